@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import decontam, langid, license, linededup, mixing, simhash, topk, toxicity
+from recollect.llm import decontam, langid, license, linededup, mixing, pii, simhash, topk, toxicity
 from recollect.llm.common import fold, table
 
 
@@ -30,6 +30,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates for personal data."""
+    return pii.replace_pii(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
@@ -56,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_decontaminate": op2_decontaminate,
         "op3_exact_topk": op3_exact_topk,
         "op4_line_dedup": op4_line_dedup,
+        "op5_surrogates": op5_surrogates,
         "op6_toxicity": op6_toxicity,
         "op7_simhash": op7_simhash,
         "op8_language": op8_language,
