@@ -2,9 +2,63 @@
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from recollect.llm import decontam, langid, linededup, mixing, simhash
+from recollect.llm.common import table
+from recollect.session import Cut
+
+#: Language ID rejects texts without a language and those whose best language is no likelier than this.
+LEAST_SCORE = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a recognised language."""
+    found = langid.identify(docs, docs.columns)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with repeated and similar lines taken out; those of which nothing is left go."""
+    found = linededup.dedup_lines(docs)
+    found = found.where(~((F.col("n_removed") > 0) & (F.trim(F.regexp_replace("text", r"\s+", " ")) == "")))
+    return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash group."""
+    return simhash.keep_one(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share no passage with the benchmark."""
+    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated to their sources' shares, in a global random order."""
+    return mixing.mix(docs).drop("shuffle_key")
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("mix_sources", mix_sources),
+]
+
+#: SQL expresses neither the classifier nor MinHash; tests compare with plain versions instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written to the shared folder and read by the next."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
+        after = Cut(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            before.drop()
+        docs, before = after.df, after
+    return docs

@@ -158,8 +158,9 @@ def identify(docs: DataFrame, keep: list[str], model: Model | None = None) -> Da
     ``model`` one is trained on the table itself (see ``fit``). Null texts, texts
     without a letter, and all texts if nothing could be learned, get ``und`` and 0.
     Rows with null doc_id or lang are predicted but never learned from; repeated rows
-    get equal results; columns other than text, lang and doc_id play no part; an empty table gives an empty result.
+    get equal results; incoming columns named lang_pred or score are replaced; columns other than text, lang and doc_id play no part; an empty table gives an empty result.
     """
+    keep = [c for c in keep if c not in ("lang_pred", "score")]
     model = model or fit(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import decontam, langid, license, linededup, mixing, pii, simhash, topk, toxicity
+from recollect.llm import chat, decontam, langid, license, linededup, mixing, pii, simhash, topk, toxicity
 from recollect.llm.common import fold, table
 
 
@@ -51,6 +51,10 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op9_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link_quotes(table(spark, sf_dir, "conversations"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan(table(spark, sf_dir, "documents"))
 
@@ -65,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_toxicity": op6_toxicity,
         "op7_simhash": op7_simhash,
         "op8_language": op8_language,
+        "op9_quote_links": op9_quote_links,
         "op10_license_scan": op10_license_scan,
     }
 
