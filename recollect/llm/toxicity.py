@@ -125,15 +125,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     marks = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("_y"))
     marks = marks.where(fold(F.col("_id")) != 0)
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text")).where("_text is not null")
-    known = texts.join(marks, "_id")
-    sizes = {r["_y"]: r for r in known.groupBy("_y").agg(F.count(F.lit(1)).alias("n"), F.avg(F.length("_text")).alias("chars")).collect()}
+    known = texts.select("_id", F.length("_text").alias("_n")).join(marks, "_id")
+    sizes = {r["_y"]: r for r in known.groupBy("_y").agg(F.count(F.lit(1)).alias("n"), F.avg("_n").alias("chars")).collect()}
     total = sum(r["n"] for r in sizes.values())
     span, chosen = 1 << 24, F.lit(False)
     for y, r in sizes.items():
         part = min(1.0, sample / r["n"], SAMPLE_CHARS / 2 / max(1.0, r["n"] * r["chars"]))
         chosen = chosen | ((F.col("_y") == y) & (F.pmod(F.xxhash64("_id", F.lit("toxic")), F.lit(span)) < int(part * span) + (part == 1.0)))
-    # the marks are cut to the sample before they meet the texts again
-    picked = texts.join(marks.where(chosen), "_id").limit(4 * sample).toArrow().to_pylist()
+    # the chosen ids are bounded by the sample, so that no text but theirs leaves its task
+    ids = marks.where(chosen).limit(4 * sample)
+    picked = texts.join(F.broadcast(ids), "_id").limit(8 * sample).toArrow().to_pylist()
     picked.sort(key=lambda r: (r["_id"], r["_text"]))
     share = sizes[1]["n"] / total if 1 in sizes else 0.0
     return train([r["_text"] for r in picked], [r["_y"] for r in picked], share)
