@@ -77,17 +77,19 @@ def train(texts: list[str], langs: list[str], calibrate: list[bool], epochs: int
     classes = sorted(set(langs))
     k = len(classes)
     number = {c: i for i, c in enumerate(classes)}
-    counts = [term_counts(t) for t in texts]
-    rows = [i for i, c in enumerate(counts) if c is not None]
+    sparse: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     df = np.zeros(FEATURES)
-    for i in rows:
-        df += counts[i] > 0
+    for i, t in enumerate(texts):  # kept sparse: dense counts of the sample would take hundreds of MB
+        tf = term_counts(t)
+        if tf is not None:
+            at = np.nonzero(tf)[0].astype(np.int32)
+            sparse[i] = (at, np.log1p(tf[at]).astype(np.float32))
+            df[at] += 1
+    rows = list(sparse)
     model = Model(classes, np.log((1 + len(rows)) / (1 + df)) + 1.0, np.zeros((FEATURES, k)), np.zeros(k))
-    sparse = {}
-    for i in rows:
-        at = np.nonzero(counts[i])[0]
-        x = np.log1p(counts[i][at]) * model.idf[at]
-        sparse[i] = (at, x / np.sqrt(x @ x))
+    for i, (at, x) in sparse.items():
+        x = x * model.idf[at]
+        sparse[i] = (at, (x / np.sqrt(x @ x)).astype(np.float32))
     fit = [i for i in rows if not calibrate[i]] or rows
     rest = [i for i in rows if calibrate[i]] or rows
     z, n = np.zeros((FEATURES + 1, k)), np.zeros((FEATURES + 1, k))
