@@ -65,7 +65,8 @@ def offline_extractor(text: Column) -> Column:
     Entities are the chunk's capitalised words of five letters or more, relations link each
     to the next, facts are the first sentences.
     """
-    names = F.slice(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b[A-Z][a-z]{4,}\b"), F.lit(0))), 1, config.MAX_ENTITIES)
+    tokens = F.split(text, r"[\s.,;:!?()\"'|#$%&*]+")
+    names = F.slice(F.array_distinct(F.filter(tokens, lambda w: w.rlike("^[A-Z][a-z]{4,}$"))), 1, config.MAX_ENTITIES)
     ents = F.transform(names, lambda n: F.struct(n.alias("name"), F.lit("Concept").alias("type"), F.lit("").alias("description"), F.array().cast("array<string>").alias("aliases")))
     pairs = F.transform(F.slice(names, 2, config.MAX_ENTITIES), lambda n, i: F.struct(F.get(names, i).alias("source"), F.lit("precedes").alias("relation"), n.alias("target")))
     sentences = F.filter(F.transform(F.split(text, r"[.!?\n]+"), lambda s: F.trim(s)), lambda s: F.length(s) >= 8)
