@@ -100,7 +100,8 @@ def build_index(nodes: DataFrame, facts: DataFrame, embed, model: str = HashedWo
         none.cast("string").alias("description"), "text", "nodes", none.cast("array<string>").alias("facts"), none.cast("array<string>").alias("sources"), "file",
     )
     items = n.unionByName(f)
-    rows = items.withColumn("vec", F.transform(l2_normalise(embed(F.col("text"))), lambda x: x.cast("float")))
+    rows = items.withColumn("vec", embed(F.col("text")))
+    rows = rows.withColumn("vec", F.transform(l2_normalise(F.col("vec")), lambda x: x.cast("float")))
     return rows.withColumn("dim", F.size("vec")).withColumn("model", F.lit(model))
 
 
