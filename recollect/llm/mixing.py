@@ -26,11 +26,9 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None, total: float
         for name, w in weights.items():
             share = F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(float(w))).otherwise(share)
     n = n.withColumn("share", share)
-    sums = n.agg(F.sum("share").alias("all_share"), F.sum("n").cast("double").alias("all_n"))
-    out = F.col("all_n") if total is None else F.lit(float(total))
-    return n.join(F.broadcast(sums)).select(  # one row by construction
-        "source", "n", F.when(F.col("all_share") > 0, F.col("share") * out / F.col("all_share") / F.col("n")).otherwise(0.0).alias("rate")
-    )
+    sums = n.agg(F.sum("share").alias("share"), F.sum("n").alias("n")).first()
+    all_share, out = float(sums["share"] or 0.0), float(sums["n"] or 0) if total is None else float(total)
+    return n.select("source", "n", (F.col("share") * F.lit(out) / F.lit(all_share) / F.col("n") if all_share > 0 else F.lit(0.0)).alias("rate"))
 
 
 def poisson_count(u: Column, rate: Column, terms: Column) -> Column:
