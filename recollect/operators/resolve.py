@@ -97,12 +97,14 @@ def assign_ids(nodes: DataFrame) -> DataFrame:
     """
     base = F.substring(slugify(F.col("name")), 1, 48)
     rows = nodes.withColumn("base", F.when(base == "", F.lit("n")).otherwise(base))
-    rows = rows.withColumn("family", F.regexp_replace("base", r"(-[0-9]+)+$", ""))
-    mixed = rows.groupBy("project", "family").agg(F.count_distinct("base").alias("bases"))
-    rows = rows.join(mixed, ["project", "family"])
+    rows = Cut(rows.withColumn("family", F.regexp_replace("base", r"(-[0-9]+)+$", "")).select("project", "key", "ord", "base", "family"), "slugs").df
+    sizes = rows.groupBy("project", "base", "family").agg(F.count(F.lit(1)).alias("n"))
+    taken = sizes.where("n > 1").select("project", F.col("base").alias("stem"))
+    # a slug that looks like a numbered one of a name that does get numbers
+    clash = sizes.where(r"base rlike '-[0-9]+$'").select("project", "family", F.regexp_replace("base", r"-[0-9]+$", "").alias("stem"))
+    mixed = clash.join(taken, ["project", "stem"], "left_semi").select("project", "family").distinct()
     w = Window.partitionBy("project", "base").orderBy("ord")
-    r = F.row_number().over(w)
-    easy = rows.where("bases = 1").withColumn("r", r)
+    easy = rows.join(mixed, ["project", "family"], "left_anti").withColumn("r", F.row_number().over(w))
     easy = easy.select("project", "key", F.when(F.col("r") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", F.col("r").cast("string"))).alias("id"))
 
     def number(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -115,7 +117,7 @@ def assign_ids(nodes: DataFrame) -> DataFrame:
             ids.append(name)
         return pdf[["project", "key"]].assign(id=ids)
 
-    hard = rows.where("bases > 1").select("project", "family", "key", "base", "ord").groupBy("project", "family").applyInPandas(number, "project string, key string, id string")
+    hard = rows.join(mixed, ["project", "family"], "left_semi").groupBy("project", "family").applyInPandas(number, "project string, key string, id string")
     return nodes.join(easy.union(hard), ["project", "key"])
 
 

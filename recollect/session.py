@@ -67,3 +67,9 @@ def release(spark: SparkSession) -> None:
     """Let Spark's cleaner remove shuffle files of plans nobody holds any more."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove all tables that ``Cut`` left in the shared folder; results that still read them end with it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/recollect")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
