@@ -20,16 +20,12 @@ _M = np.uint64(0x9E3779B97F4A7C15)
 _other = re.compile(r"[\W\d_]+")
 
 
-def _letters_only(text: str) -> np.ndarray:
-    """Code points of the lower-cased text; each run of anything but letters is one space, and one space frames it."""
-    return np.frombuffer((" " + _other.sub(" ", text.lower()).strip() + " ").encode("utf-32-le", "surrogatepass"), dtype="<u4")
-
-
 def term_counts(text: str | None) -> np.ndarray | None:
-    """Counts of hashed n-grams, or None where the text has no letter."""
-    c = _letters_only(text or "")
-    if len(c) <= 2:
+    """Counts of hashed n-grams over lower-cased words with a space around each, or None where the text has no letter."""
+    words = _other.sub(" ", (text or "").lower()).strip()
+    if not any(map(str.isalpha, words)):
         return None
+    c = np.frombuffer(f" {words} ".encode("utf-32-le", "surrogatepass"), dtype="<u4")
     h = c.astype(np.uint64)
     total = np.zeros(FEATURES, dtype=np.int64)
     for n in range(1, ORDER + 1):
