@@ -22,8 +22,10 @@ def document_keys(docs: DataFrame) -> DataFrame:
 
 def exact_duplicates(docs: DataFrame, least: int = config.DEDUP_EXACT_CHARS) -> DataFrame:
     """Rows of ``document_keys`` with ``duplicate``: an earlier row has the same long enough content."""
-    w = Window.partitionBy("project", "fingerprint").orderBy("doc_ord")
-    return document_keys(docs).withColumn("duplicate", (F.col("norm_len") > least) & (F.row_number().over(w) > 1))
+    keys = document_keys(docs)
+    first = keys.groupBy("project", "fingerprint").agg(F.min("doc_ord").alias("_first"))
+    rows = keys.join(first, ["project", "fingerprint"])
+    return rows.withColumn("duplicate", (F.col("norm_len") > least) & (F.col("doc_ord") > F.col("_first"))).drop("_first")
 
 
 def fold_duplicates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

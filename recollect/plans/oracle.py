@@ -56,6 +56,12 @@ nm as (select *, (list_filter(w, lambda x, i: list_position(w, x) = i))[1:10] as
 # a list's members whose lower-cased form did not occur before
 _ONCE = "list_filter(names, lambda x, i: list_position(list_transform(names, lambda y: lower(y)), lower(x)) = i)"
 
+_FACTS = rf"""{_RAW},
+s0 as (select *, (list_filter(list_transform(string_split_regex(text, '[.!?\n]+'), lambda x: trim(x)), lambda x: length(x) >= 8))[1:5] as s from nm),
+f as (select *, list_filter(list_transform(s, lambda x: {{'t': substr(regexp_replace(trim(regexp_replace(x, '\s+', ' ', 'g')), '^[ "''`*_#]+|[ "''`*_#]+$', '', 'g'), 1, 240), 'n': (list_filter(names, lambda n: contains(x, n)))[1:8]}}), lambda r: length(r.t) >= 8) as facts,
+  {_ONCE} as once, list_filter(list_transform(range(1, len(names)::int), lambda i: {{'s': names[i], 't': names[i + 1]}}), lambda r: lower(r.s) <> lower(r.t)) as pairs from s0)
+"""
+
 _CLAIMS = """
 m as (select case when p_partkey % 2 = 1 then p_partkey else p_partkey + 10000 end as seq, 'part ' || p_partkey as nm, 'part ' || (p_partkey * 3) as alias, 'part-' || (p_partkey * 3) as surface, 'Part ' || p_partkey as name from part where p_partkey <= 2000),
 fm as (select nm, min(seq) as s from m group by nm),
@@ -122,6 +128,13 @@ ORACLE = {
     "project_catalog": "select source as project, count(*) as files, sum(n_chars)::bigint as chars, count(*) filter (n_chars = 0) as empty from documents group by source",
     "doc_fingerprint": f"with {_DOCS} select file, fingerprint, norm_len, stem from keys",
     "doc_exact_dedup": f"with {_DOCS}, r as (select *, row_number() over (partition by fingerprint order by doc_id) as r from keys) select file, fingerprint from r where not (norm_len > 200 and r > 1)",
+    "doc_dedup": rf"""with recursive {_DOCS},
+        c as (select source || '.v' || d.doc_id || '.md' as file, source as stem, fingerprint as h, norm_len as n, row_number() over (order by d.doc_id) as rn from documents d join keys using (doc_id)),
+        r as (select 0::bigint as rn, null::varchar as file, null::varchar as skipped, []::varchar[] as hashes, map([]::varchar[], []::int[]) as stems
+          union all select c.rn, c.file, case when dup then 'duplicate' when var then 'variant' end,
+            case when dup or var then t.hashes else list_append(t.hashes, c.h) end, case when dup or var then t.stems else map_concat(t.stems, map([c.stem], [c.n])) end
+          from (select r.*, x.n > 200 and list_contains(r.hashes, x.h) as dup, coalesce(x.n > 300 and x.n / r.stems[x.stem] between 0.6 and 1.7, false) as var, x.rn as nrn from r join c x on x.rn = r.rn + 1) t join c on c.rn = t.nrn)
+        select file, skipped from r where rn > 0""",
     "doc_chunks": f"with {_chunks(200, 20)} select file, chunk, md5(text) as digest, length(text)::int as chars from chunks",
     "doc_chunk_cap": f"with {_chunks(1400, 100)} select file, count(*) as chunks, sum(length(text) // 4)::bigint as tokens from chunks where chunk < 8 group by file",
     "latest_file_state": "select user_id, event_id, event_type, value from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as r from events) where r = 1",
@@ -129,6 +142,8 @@ ORACLE = {
     "raw_entities": f"{_RAW}, d as (select *, {_ONCE} as once from nm) select base + i - 1 as seq, once[i] as name, 'Concept' as type, file, chunk from d, range(1, 11) t(i) where i <= len(once)",
     "raw_relations": f"""{_RAW}, d as (select *, list_filter(list_transform(range(1, len(names)::int), lambda i: {{'s': names[i], 't': names[i + 1]}}), lambda r: lower(r.s) <> lower(r.t)) as pairs from nm)
         select base + i - 1 as seq, pairs[i].s as source, 'precedes' as relation, pairs[i].t as target, true as grounded from d, range(1, 11) t(i) where i <= len(pairs)""",
+    "raw_facts": f"{_FACTS} select base + i - 1 as seq, facts[i].t as text, array_to_string(facts[i].n, '|') as entities from f, range(1, 6) t(i) where i <= len(facts)",
+    "extract_counts": f"{_FACTS} select count(distinct file) as docs, count(*) as chunks, sum(len(once))::bigint as raw_entities, sum(len(pairs))::bigint as raw_relations, sum(len(facts))::bigint as raw_facts from f",
     "json_salvage": "select event_id, case when event_id % 4 = 2 then null else (props ->> 'k')::bigint end as k from events",
     "alias_resolution": f"with recursive {_CLAIMS} select alias, root from roots",
     "resolved_nodes": f"""with recursive {_CLAIMS}, own as (select m.*, coalesce(r.root, m.nm) as key from m left join roots r on r.alias = m.nm),
