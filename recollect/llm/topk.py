@@ -76,13 +76,14 @@ class _Block:
                     yield at, cid, s
 
 
-def _histogram(block, low, width, k, scale):
+def _histogram(block, low, high, width, k, scale):
     def run(batches):
         b, n = block.value, len(block.value.ids)
         counts = np.zeros((n, BINS), dtype=np.int64)
         for at, _, s in b.scored(batches, scale):
             bins = (s - low[at][:, None]) // width[at][:, None]
-            inside = (bins >= 0) & (bins < BINS)
+            # the last bin may reach beyond the interval, where scores are already counted
+            inside = (bins >= 0) & (s < high[at][:, None])
             q, c = np.nonzero(inside)
             counts += np.bincount(at[q] * BINS + bins[q, c], minlength=n * BINS).reshape(n, BINS)
         # a bin below the kth largest score of this partition cannot hold the kth of all
@@ -169,10 +170,11 @@ def exact_topk(vectors: DataFrame, query_rows, k: int = 10, scale: float = 1024.
         for size, (at, _, q) in block.parts.items():
             reach = np.minimum(np.sqrt((q * q).sum(axis=1)) * norms.get(size, 0.0) * (1 + 1e-9) + 1, 2.0**61).astype(np.int64)
             low[at], width[at] = -reach, (2 * reach + 1 + BINS - 1) // BINS
+        high = low + BINS * width
         floor, open_ = low.copy(), np.ones(n, dtype=bool)
         while open_.any():
             top = np.where(open_, low, 1 << 61)  # settled queries count nothing more
-            got = rows.mapInArrow(_histogram(shared, top, width, k, scale), "q int, bin int, n long")
+            got = rows.mapInArrow(_histogram(shared, top, high, width, k, scale), "q int, bin int, n long")
             got = got.groupBy("q", "bin").agg(F.sum("n").alias("n")).toArrow()
             counts = np.zeros((n, BINS), dtype=np.int64)
             counts[np.asarray(got["q"]), np.asarray(got["bin"])] = np.asarray(got["n"])
@@ -185,7 +187,7 @@ def exact_topk(vectors: DataFrame, query_rows, k: int = 10, scale: float = 1024.
             floor = np.where(open_, lower, floor)
             settled = (width == 1) | (within <= 4 * k) | ~enough.any(axis=1)
             above = np.where(open_, within - counts[here, bin_], above)
-            low = np.where(open_, lower, low)
+            low, high = np.where(open_, lower, low), np.where(open_, np.minimum(high, lower + width), high)
             width = np.where(open_ & ~settled, (width + BINS - 1) // BINS, width)
             open_ &= ~settled
         best = rows.mapInArrow(_chosen(shared, floor, k, scale), "query_id long, vec_id long, score long")

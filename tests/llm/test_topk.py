@@ -42,3 +42,14 @@ def test_few_rows(spark):
     df = spark.createDataFrame([(100, [1.0]), (1, [2.0]), (2, [3.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.exact_topk(df, F.col("vec_id") % 100 == 0).orderBy("rank").collect()] == [(100, 1, 2, 1024 * 3072), (100, 2, 1, 1024 * 2048)]
     assert topk.exact_topk(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_near_copies_below_a_few_higher_scores(spark):
+    # one long vector coarsens the bins; five scores lie just above the bin that holds the near copies
+    rows = [(0, [1.0]), (1, [-1_000_000.0])]
+    rows += [(10 + i, [565_000.0 + i % 50]) for i in range(2000)]
+    rows += [(5000 + i, [570_412.0 + i]) for i in range(5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in topk.exact_topk(df, F.col("vec_id") == 0, scale=1.0).collect())
+    best = sorted((-int(v[0]), i) for i, v in rows if i)[:10]
+    assert got == [(0, r, i, -s) for r, (s, i) in enumerate(best, 1)]
