@@ -239,10 +239,14 @@ def json_salvage(spark, sf):
 
 
 def _claims(spark, sf):
-    """Mentions in which entity i claims the name of entity 3i as alias; odd names come first in order."""
-    p = table(spark, sf, "part").where("p_partkey <= 2000")
+    """Mentions in which entity i claims the name of entity 3i as alias; odd names come first in order.
+
+    The SQL of ``oracle`` takes keys up to 2000 only, so it compares at sf0.01 and below.
+    """
+    p = table(spark, sf, "part").withColumn("p_partkey", F.col("p_partkey").cast("bigint"))
+    p = p.crossJoin(F.broadcast(p.agg((F.max("p_partkey") + 1).alias("above"))))
     name = F.concat(F.lit("Part "), F.col("p_partkey").cast("string"))
-    seq = F.when(F.col("p_partkey") % 2 == 1, F.col("p_partkey")).otherwise(F.col("p_partkey") + 10000)
+    seq = F.when(F.col("p_partkey") % 2 == 1, F.col("p_partkey")).otherwise(F.col("p_partkey") + F.col("above"))
     alias = F.concat(F.lit("part-"), (F.col("p_partkey") * 3).cast("string"))
     return p.select(F.lit("p").alias("project"), seq.alias("seq"), name.alias("name"), F.col("p_brand").alias("type"), F.lit("").alias("description"), F.array(alias).alias("aliases"), F.lit("f").alias("file"), F.lit(0).alias("chunk"))
 

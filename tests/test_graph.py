@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recollect.operators import digest, expand, extract, graph, link, resolve, vectors
+from recollect.plans import queries
 from recollect.sources import sinks
 
 CHUNK = "project string, file string, doc_ord long, chunk int, response string, error string"
@@ -138,3 +139,31 @@ def test_search(spark, built):
     assert [h["id"] for h in hits if h["kind"] == "node" and h["rank"] == 1] == ["jane-doe"]
     assert vectors.search(index, [1.0, 2.0], 2).count() == 0
     assert "Jane Doe" in sinks.search_markdown("who", hits)
+
+
+def test_aliases_of_all_keys(spark, tmp_path):
+    keys = [*range(3001), *range(11_000, 12_000)]
+    spark.createDataFrame([(k, "b") for k in keys], "p_partkey int, p_brand string").write.parquet(str(tmp_path / "part.parquet"))
+    order = sorted(keys, key=lambda k: (k % 2 == 0, k))
+    assert queries._claims(spark, str(tmp_path)).select("seq").distinct().count() == len(keys)
+    assert [int(r["name"][5:]) for r in queries._claims(spark, str(tmp_path)).orderBy("seq").select("name").collect()] == order
+    seen, parent, surface = set(), {}, {}
+    for k in order:
+        seen.add(f"part {k}")
+        if (a := f"part {3 * k}") not in seen and a not in parent:
+            parent[a], surface[a] = f"part {k}", f"part-{3 * k}"
+
+    def root(n):
+        while n in parent:
+            n = parent[n]
+        return n
+
+    got = queries.alias_resolution(spark, str(tmp_path)).collect()
+    assert sorted((r["alias"], r["root"]) for r in got) == sorted((a, root(a)) for a in parent)
+    mentions, aliases = {}, {}
+    for k in order:
+        mentions[root(f"part {k}")] = mentions.get(root(f"part {k}"), 0) + 1
+    for a in parent:
+        aliases.setdefault(root(a), []).append(surface[a])
+    want = [(n.replace(" ", "-"), n.capitalize(), m, "|".join(sorted(aliases.get(n, []))[:8])) for n, m in mentions.items()]
+    assert sorted(tuple(r) for r in queries.resolved_nodes(spark, str(tmp_path)).collect()) == sorted(want)
