@@ -167,3 +167,10 @@ def test_aliases_of_all_keys(spark, tmp_path):
         aliases.setdefault(root(a), []).append(surface[a])
     want = [(n.replace(" ", "-"), n.capitalize(), m, "|".join(sorted(aliases.get(n, []))[:8])) for n, m in mentions.items()]
     assert sorted(tuple(r) for r in queries.resolved_nodes(spark, str(tmp_path)).collect()) == sorted(want)
+
+
+def test_misspelt_name_among_all_nodes(spark, monkeypatch):
+    rows = [("p", 1, "nation:7", "INDIA"), ("p", 2, "customer:1", "in xia"), ("p", 3, "orders:1", "Order 1")]
+    nodes = spark.createDataFrame(rows, "project string, ord long, id string, name string").selectExpr("*", "array() as aliases", "0L as degree")
+    monkeypatch.setattr(queries, "star_graph", lambda *_: graph.Graph(nodes, None, None))
+    assert [tuple(r) for r in queries.entity_lookup_fuzzy(spark, "").collect()] == [("customer:1", 4)]
