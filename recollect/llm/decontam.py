@@ -11,12 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Length of a q-gram, of a tested segment of an item, and between segment starts, in normalised characters.
-Q, SEGMENT, STRIDE = 10, 80, 40
+#: Length of a q-gram and of a tested segment of an item, the shortest passage of a longer item that must be caught, in normalised characters.
+Q, SEGMENT = 10, 80
 #: Edits allowed: one in so many characters of the segment.
 EDIT_EVERY = 16
 #: Width of a diagonal band beyond its overlap with the next.
 BAND = 16
+#: Segments aligned at a time.
+ROWS = 2048
 #: Characters of benchmark text in a block, whose index (some 20 bytes a character) is broadcast.
 BLOCK_CHARS = 4_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -37,9 +39,9 @@ def budget(length: int) -> tuple[int, int]:
 
 
 def segments(length: int) -> list[tuple[int, int]]:
-    """Starts and ends of an item's tested segments: every STRIDE, and the last one at the end."""
+    """Starts and ends of an item's tested segments: one from every place that leaves room for it."""
     w = min(SEGMENT, length)
-    return [(s, s + w) for s in sorted({*range(0, length - w + 1, STRIDE), length - w})] if length >= Q else []
+    return [(s, s + w) for s in range(length - w + 1)] if length >= Q else []
 
 
 def codes(text: str) -> np.ndarray:
@@ -86,6 +88,37 @@ def banded_distance(a: str, b: str, low: int, high: int, most: int) -> tuple[int
     return int(row[k]), len(a) + low + k
 
 
+def aligned(item: np.ndarray, starts: np.ndarray, w: int, text: np.ndarray, low: int, high: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """``banded_distance`` of many segments of an item: those of length ``w`` from ``starts``; low..high are places in the text minus places in the item.
+
+    Returns (edits, ends in the text) of each.
+    """
+    edits, ends = np.full(len(starts), most + 1, dtype=np.int64), np.full(len(starts), -1, dtype=np.int64)
+    if not len(text) or not len(starts):
+        return edits, ends
+    diag, steps, big = np.arange(low, high + 1), np.arange(high - low + 1, dtype=np.int32), np.int32(most + 1)
+    live, j = np.arange(len(starts)), starts[:, None] + diag
+    row = np.where((j >= 0) & (j <= len(text)), np.int32(0), big)
+    for i in range(w):
+        j = j + 1
+        fits = (j >= 0) & (j <= len(text))
+        same = (text[np.clip(j - 1, 0, len(text) - 1)] != item[starts[live] + i][:, None]).astype(np.int32)
+        new = np.where(fits & (j >= 1), row + same, big)
+        new[:, :-1] = np.minimum(new[:, :-1], row[:, 1:] + 1)  # a character of the item left out
+        new = np.where(fits, new, big)
+        new = np.minimum(np.minimum.accumulate(new - steps, axis=1) + steps, big)  # characters of the text left out
+        row = np.where(fits, new, big)
+        if i % 8 == 7:
+            on = row.min(axis=1) <= most
+            if not on.all():
+                live, j, row = live[on], j[on], row[on]
+                if not len(live):
+                    return edits, ends
+    best = row.argmin(axis=1)
+    edits[live], ends[live] = row[np.arange(len(live)), best], starts[live] + w + diag[best]
+    return edits, ends
+
+
 class Index:
     """The q-grams of a block of benchmark items: hash -> places in the items laid end to end."""
 
@@ -95,8 +128,8 @@ class Index:
         self.ids = np.array([i for i, _ in texts], dtype=np.int64)
         self.texts = [t for _, t in texts]
         self.starts = np.cumsum([0, *[len(t) for t in self.texts]])
-        self.least = np.array([min(budget(e - s)[1] for s, e in segments(len(t))) for t in self.texts], dtype=np.int64)
-        self.slack = np.array([max(budget(e - s)[0] for s, e in segments(len(t))) for t in self.texts], dtype=np.int64)
+        self.least = np.array([budget(min(SEGMENT, len(t)))[1] for t in self.texts], dtype=np.int64)
+        self.slack = np.array([budget(min(SEGMENT, len(t)))[0] for t in self.texts], dtype=np.int64)
         h = [qgram_hashes(codes(t)) for t in self.texts]
         place = [np.arange(len(x)) + s for x, s in zip(h, self.starts)]
         h, place = (np.concatenate(h), np.concatenate(place)) if h else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -111,7 +144,7 @@ class Index:
         return (h * _MIX) >> np.uint64(44)
 
     def hits(self, texts: list[str]):
-        """Verified (text number, item number, span start, span end, edits) of texts already normalised."""
+        """Verified (text number, item number, span start, span end, edits, segments) of texts already normalised, by diagonal band."""
         if not len(self.hash):
             return
         sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
@@ -144,20 +177,33 @@ class Index:
         for e in np.nonzero(counts >= self.least[item[heads]])[0]:
             rows = order[edges[e] : edges[e] + counts[e]]
             n, i = int(doc[rows[0]]), int(item[rows[0]])
-            yield from self._verified(n, i, texts[n], int(band[rows[0]]) * BAND, p[rows], d[rows])
+            yield from self._verified(n, i, texts[n], int(band[rows[0]]) * BAND, p[rows], d[rows] - p[rows])
 
     def _verified(self, n, i, text, low, p, d):
-        for s, e in segments(len(self.texts[i])):
-            edits, need = budget(e - s)
-            inside = (p >= s) & (p <= e - Q)
-            if np.count_nonzero(inside) < need:
-                continue
-            # within a band a place of the item meets few places of the text, so the stretch is short
-            spots = np.sort(d[inside] - (p[inside] - s))
-            lo, hi = max(0, int(spots[0]) - edits), min(len(text), int(spots[-1]) + (e - s) + edits)
-            got, end = banded_distance(self.texts[i][s:e], text[lo:hi], low + s - edits - lo, low + s + BAND + 2 * edits - lo, edits)
-            if got <= edits:
-                yield n, i, lo + end - (e - s), lo + end, got
+        item, y = codes(self.texts[i]), codes(text)
+        w = min(SEGMENT, len(item))
+        most, need = budget(w)
+        p = np.sort(p)
+        # only places that a shared q-gram's segments reach
+        starts = np.arange(max(0, int(p[0]) + Q - w), min(len(item) - w, int(p[-1])) + 1)
+        starts = starts[np.searchsorted(p, starts + w - Q, side="right") - np.searchsorted(p, starts) >= need]
+        for k in range(0, len(starts), ROWS):
+            part = starts[k : k + ROWS]
+            # verbatim segments lie on a single diagonal
+            edits, ends = np.full(len(part), most + 1, dtype=np.int64), np.full(len(part), -1, dtype=np.int64)
+            for shift in np.unique(d):
+                at = np.arange(part[0], part[-1] + w)
+                to = at + shift
+                differ = (to < 0) | (to >= len(y))
+                differ |= y[np.clip(to, 0, len(y) - 1)] != item[at]
+                sums = np.r_[0, np.cumsum(differ)]
+                whole = (sums[part - part[0] + w] == sums[part - part[0]]) & (edits > 0)
+                edits[whole], ends[whole] = 0, part[whole] + shift + w
+            rest = np.nonzero(edits > 0)[0]
+            edits[rest], ends[rest] = aligned(item, part[rest], w, y, low - most, low + BAND + 2 * most, most)
+            good = edits <= most
+            if good.any():
+                yield n, i, int(ends[good].min()) - w, int(ends[good].max()), int(edits[good].min()), int(good.sum())
 
 
 def _scan(shared):
@@ -173,9 +219,9 @@ def _scan(shared):
                     size += len(part[-1])
                     at += 1
                 best: dict = {}
-                for n, i, s, e, edits in index.hits(part):
+                for n, i, s, e, edits, k in index.hits(part):
                     was = best.get((n, i))
-                    best[n, i] = (min(s, was[0]), max(e, was[1]), min(edits, was[2]), was[3] + 1) if was else (s, e, edits, 1)
+                    best[n, i] = (min(s, was[0]), max(e, was[1]), min(edits, was[2]), was[3] + k) if was else (s, e, edits, k)
                 out += [(ids[first + n].as_py(), tks[first + n].as_py(), int(index.ids[i]), max(0, s), e, edits, k) for (n, i), (s, e, edits, k) in sorted(best.items())]
             yield pa.RecordBatch.from_pylist([dict(zip(_HITS.names, r)) for r in out], schema=_HITS)
 
@@ -188,8 +234,8 @@ _HITS = pa.schema([("doc_id", pa.int64()), ("tk", pa.int64()), ("item_id", pa.in
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``(doc_id, tk, item_id, span_start, span_end, edits, matches)`` for each document and item that share a passage.
 
-    Each benchmark item is cut into overlapping segments of SEGMENT characters
-    (the whole item, if shorter). A document shares one if some substring of it, normalised, is
+    The shortest passage that must be caught is SEGMENT characters of an item, wherever
+    they start (the whole item, if shorter); each such segment is tested. A document shares one if some substring of it, normalised, is
     within one edit per EDIT_EVERY characters. By the q-gram lemma such a
     substring shares at least ``w + 1 - Q (e + 1)`` q-grams with the segment,
     all within e diagonals; so shared q-grams are counted in overlapping

@@ -92,3 +92,30 @@ def test_odd(spark, odd):
     kept = D.decontaminate(odd("tk"), bench)
     assert kept.columns == odd("tk").columns and kept.count() == 6
     assert D.contaminated(odd(rows=[]), bench).count() == 0 and D.contaminated(odd(), bench.limit(0)).count() == 0
+
+
+def test_excerpts_from_every_place(spark):
+    rng = random.Random(7)
+    item = " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 8))) for _ in range(40))
+    cuts = [item[s : s + D.SEGMENT] for s in range(len(item) - D.SEGMENT + 1)]
+    cuts = [(s, c) for s, c in enumerate(cuts) if c == c.strip()]
+    cuts += [(s + 1000, c[:20] + "z" + c[21:50] + c[51:]) for s, c in cuts]
+    docs = spark.createDataFrame([(s, f"words before {c} and after") for s, c in cuts], "doc_id long, text string")
+    hits = D.contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in hits) == sorted(s for s, _ in cuts)
+    assert all(r["edits"] == (0 if r["doc_id"] < 1000 else 2) for r in hits if r["matches"] == 1)
+
+
+def test_aligned():
+    rng = random.Random(2)
+    for _ in range(200):
+        a = "".join(rng.choices("abc", k=60))
+        b = list("".join(rng.choices("abc", k=rng.randint(0, 20))) + a + "".join(rng.choices("abc", k=rng.randint(0, 20))))
+        for _ in range(rng.randint(0, 6)):
+            at = rng.randrange(len(b))
+            b[at : at + 1] = rng.choice(["", "a", "bc"])
+        b = "".join(b)
+        starts = np.arange(0, 31, 6)
+        edits, ends = D.aligned(D.codes(a), starts, 30, D.codes(b), -len(a), len(b), 4)
+        assert [int(e) for e in edits] == [min(plain_distance(a[s : s + 30], b), 5) for s in starts]
+        assert all(e > 4 or 0 <= at <= len(b) for e, at in zip(edits, ends))
