@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.session import Cut
@@ -13,34 +13,48 @@ TITLES = {
     "m": ["Mr", "Herr", "Señor", "Monsieur", "Господин", "Κύριος"],
     "n": ["Dr", "Prof"],
 }
+#: Words that stand uncapitalised inside names and stay as they are: fixed values.
+PARTICLES = ["de", "del", "der", "den", "des", "la", "las", "los", "le", "van", "von", "vom", "zu", "zur", "da", "das", "dos", "di", "du", "el", "al", "bin", "ibn", "ben", "ter", "y", "af", "av"]
 _TITLE = "(?:" + "|".join(t for group in TITLES.values() for t in group) + r")\.?"
+#: One or more titles with what follows them up to the name.
+_TITLED = rf"(?:{_TITLE}(?:\h+|\h*\n\h*))++"
+_PARTICLE = rf"(?:(?:{'|'.join(PARTICLES)})\h+)*+"
+_WORD = r"(?:\p{Lu}\.(?=\h*+\p{Lu})|\p{Lu}[\p{L}\p{M}]*+(?:['’](?!s(?!\p{L}))\p{L}[\p{L}\p{M}]*+)*+(?:-\p{L}[\p{L}\p{M}]*+)*+)"
 _EDGE, _END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
-#: Java patterns by kind, in order of precedence where they overlap.
+_OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_H16 = "[0-9a-fA-F]{1,4}"
+_MARK = "(?:sk|ghp|gho|xox[abp]|AKIA|AIza)"
+#: Java patterns by kind, in order of precedence where they overlap. Repeats are possessive, so that long runs cost one pass.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++){1,20}+",
-    "name": _EDGE + _TITLE + r" \p{Lu}[\p{Ll}'-]+(?: \p{Lu}[\p{Ll}'-]+)?" + _END,
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++",
+    "name": rf"{_EDGE}{_TITLED}{_PARTICLE}{_WORD}(?:\h*+(?<=[\h.]){_PARTICLE}{_WORD})*+",
     "iban": _EDGE + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?" + _END,
-    "ip": r"(?<![\p{L}\p{N}.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?[\p{L}\p{N}])",
-    "phone": r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|\(\d{3}\) ?\d{3}-\d{4}(?!\d)|" + _EDGE + r"\d{3}-\d{3}-\d{4}" + _END,
+    "ip": rf"(?<![\p{{L}}\p{{N}}.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[\p{{L}}\p{{N}}])",
+    "ip6": rf"(?<![\p{{L}}\p{{N}}:])(?=[0-9a-fA-F:]*\d)(?:(?:{_H16}:){{7}}{_H16}|(?:{_H16}:){{1,6}}(?::{_H16}){{1,6}}|(?:{_H16}:){{1,7}}:)(?![\p{{L}}\p{{N}}:])",
+    "phone": r"\+\d(?:[ .()/-]{0,2}\d){6,14}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}+])(?:\(\d{3}\) ?\d{3}[-. ]\d{4}|\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4}|0\d{2,4}[ /-]\d{6,8})(?![\p{L}\p{N}]|[-.]\d)",
     "ssn": _EDGE + r"\d{3}-\d{2}-\d{4}" + _END,
     "card": _EDGE + r"(?:\d{4}(?:-\d{4}){3}|\d{4}(?: \d{4}){3}|\d{13,19})" + _END,
-    "secret": _EDGE + r"(?:(?=[a-fA-F]*\d)[0-9a-fA-F]{32,128}|(?:sk|ghp|gho|xox[abp]|AKIA|AIza)[-_]?[A-Za-z0-9_-]{16,128})" + _END,
+    "secret": _EDGE + rf"(?:(?=[a-fA-F]*\d)[0-9a-fA-F]{{32,}}+|{_MARK}(?=[A-Za-z_-]*\d)[-_]?[A-Za-z0-9_-]{{16,}}+)" + _END,
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without any of these has no entity; it spares most texts the long pattern.
-HINT = r"\d|@|" + _TITLE + " "
-#: Letters of the scripts that surrogates keep: fixed values.
-ALPHABETS = {
-    "latin": "abcdefghijklmnopqrstuvwxyz",
-    "cyrillic": "абвгдежзиклмнопрстуфхцчшщыэюя",
-    "greek": "αβγδεζηθικλμνξοπρστυφχψω",
-}
-#: Consonants, vowels, and endings of female, male and other names by script: fixed values.
+HINT = rf"\d|@|{_TITLE}\s"
+#: Country calling codes of one and of two digits; all others have three: fixed values.
+CODES_1 = ["1", "7"]
+CODES_2 = ["20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98"]
+#: First and last code points within which characters change places: digits and the letters of one script and case: fixed values.
+RANGES = [
+    (0x30, 0x39), (0x61, 0x7A), (0x41, 0x5A), (0xE0, 0xF6), (0xF8, 0xFE), (0xC0, 0xD6), (0xD8, 0xDE), (0x3B1, 0x3C1), (0x3C3, 0x3C9), (0x391, 0x3A1), (0x3A3, 0x3A9),
+    (0x430, 0x44F), (0x410, 0x42F), (0x5D0, 0x5EA), (0x621, 0x63A), (0x905, 0x939), (0xE01, 0xE2E), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3),
+]
+#: Consonants, vowels, and endings of female, male and other given names by script: fixed values.
 SOUNDS = {
     "latin": ("bdfgklmnprstvz", "aeiou", "a", "n", "i"),
     "cyrillic": ("бвгдзклмнпрст", "аеиоу", "а", "н", "и"),
     "greek": ("βγδζκλμνπρστφ", "αειου", "α", "ν", "ι"),
 }
+#: Rounds of the keyed permutation.
+ROUNDS = 6
 
 
 def kind_of(surface: Column) -> Column:
@@ -50,155 +64,239 @@ def kind_of(surface: Column) -> Column:
     return out
 
 
-def _gender(surface: Column) -> Column:
-    out = F.lit("n")
-    for g in ("m", "f"):
-        out = F.when(surface.rlike("^(?:" + "|".join(TITLES[g]) + r")\.? "), F.lit(g)).otherwise(out)
-    return out
+def _chars(text: Column) -> Column:
+    """The characters of a text that is not empty."""
+    return F.split(text, "")
+
+
+def _lowered(text: Column) -> Column:
+    """Lower case, character for character."""
+    return F.array_join(F.transform(_chars(text), lambda c: F.substring(F.lower(c), 1, 1)), "")
+
+
+def _alnum(text: Column) -> Column:
+    return F.regexp_replace(text, r"[^\p{L}\p{N}]", "")
 
 
 def canonical(kind: Column, surface: Column) -> Column:
-    """What mentions of one entity have in common: case, spacing and titles aside."""
-    plain = F.lower(F.regexp_replace(surface, r"[^\p{L}\p{N}]", ""))
-    code = F.regexp_extract(surface, r"^\+(\d{1,3})(?=[ .(-])", 1)
-    name = F.lower(F.regexp_replace(surface, f"^{_TITLE} ", ""))
+    """What mentions of one entity have in common: case and spacing aside. Names have no such form; see ``_names``."""
     return (
-        F.when(kind == "email", F.lower(surface))
+        F.when(kind.isin("email", "ip6"), _lowered(surface))
         .when(kind == "ip", surface)
-        .when(kind == "phone", F.concat(code, F.lit(" "), F.substring(plain, F.length(code) + 1, F.length(plain))))
-        .when(kind == "name", F.concat(_gender(surface), F.lit(" "), name))
-        .when(kind == "secret", F.regexp_replace(surface, r"[^\p{L}\p{N}]", ""))
-        .otherwise(plain)
+        .when(kind == "phone", F.concat(F.when(surface.startswith("+"), F.lit("+")).otherwise(F.lit("")), _alnum(surface)))
+        .when(kind == "secret", surface)
+        .otherwise(_alnum(surface))
     )
 
 
-def _digest(key: str, *parts: Column) -> Column:
-    """256 hex digits keyed by ``key``."""
-    text = F.concat_ws("\x1f", F.lit(key), *parts)
-    return F.concat(*[F.sha2(F.concat(text, F.lit(f"\x1f{i}")), 256) for i in range(4)])
+def _bound(value: Column, f) -> Column:
+    """``f(value)`` with value computed once; a lambda's variable is, an expression in its body isn't."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def _byte(digest: Column, i: Column) -> Column:
-    return F.conv(F.substring(digest, F.lit(1) + (i % 128) * 2, F.lit(2)), 16, 10).cast("int")
+def _round(key: Column, values: Column, sizes: Column, r: Column, sign: int) -> Column:
+    """One Feistel round: the values of one half move by what key, round and the other half say, each within its size."""
+    n = F.size(values)
+    half = F.floor(n / 2).cast("int")
+    first = r % 2 == 0
+    other = F.when(first, F.slice(values, half + 1, n - half)).otherwise(F.slice(values, 1, half))
+    seed = F.concat(key, F.lit("\x1f"), r.cast("string"), F.lit("\x1f"), F.array_join(F.transform(other, lambda x: x.cast("string")), ","))
+    blocks = _bound(seed, lambda s: F.transform(F.sequence(F.lit(0), F.floor(n / 16).cast("int")), lambda b: F.sha2(F.concat(s, F.lit("\x1f"), b.cast("string")), 256)))
 
+    def moved(digests: Column) -> Column:
+        amount = lambda i: F.conv(F.substring(F.get(digests, F.floor(i / 16).cast("int")), F.lit(1) + (i % 16) * 4, F.lit(4)), 16, 10).cast("int")
+        return F.transform(values, lambda x, i: F.when((i < half) == first, F.pmod(x + sign * amount(i), F.get(sizes, i))).otherwise(x))
 
-def _chars(text: Column) -> Column:
-    return F.split(text, "")
+    return _bound(blocks, moved)
 
 
-def _other_char(c: Column, b: Column) -> Column:
-    """A character of the class and script of ``c``, chosen by ``b``."""
-    pick = lambda letters: F.substring(F.lit(letters), F.lit(1) + b % len(letters), F.lit(1))
-    low = (
-        F.when(c.rlike(r"\p{IsCyrillic}"), pick(ALPHABETS["cyrillic"]))
-        .when(c.rlike(r"\p{IsGreek}"), pick(ALPHABETS["greek"]))
-        .otherwise(pick(ALPHABETS["latin"]))
-    )
-    return F.when(c.rlike(r"\p{N}"), (b % 10).cast("string")).when(c.rlike(r"\p{Lu}"), F.upper(low)).when(c.rlike(r"\p{L}"), low).otherwise(c)
+def permuted(key: Column, values: Column, sizes: Column) -> Column:
+    """Another array of the same ``sizes``, each value below its size: a keyed bijection that leaves no array as it is, but where all sizes are 1.
+
+    ``key`` also names the form, the pattern of what surrounds the values. P is a Feistel network; x goes to the inverse of P
+    of P(x) with its first value of size 2 or more moved on by one. That is one-to-one, so distinctness needs no rounds of drawing and a form all of whose
+    values occur is no special case; and it has no fixed point, as moving on has none.
+    """
+    there = F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), values, lambda v, r: _round(key, v, sizes, r, 1))
+    first = F.array_position(F.transform(sizes, lambda n: n > 1), F.lit(True)) - 1
+    next_ = _bound(there, lambda v: F.transform(v, lambda x, i: F.when(i == first, (x + 1) % F.get(sizes, i)).otherwise(x)))
+    return F.aggregate(F.sequence(F.lit(ROUNDS - 1), F.lit(0), F.lit(-1)), next_, lambda v, r: _round(key, v, sizes, r, -1))
 
 
-def _name_part(digest: Column, token: Column, at: int, syllables: int, ending: Column | None) -> Column:
-    """A made-up name in the token's script; given names end by gender."""
+def _low(code: Column, hexed: Column) -> tuple[Column, Column]:
+    """First code point and size of the range in which a character changes places; size 1 where it stays."""
+    low, size = code, F.lit(1)
+    for a, b in RANGES:
+        n = F.when(hexed, F.lit(6)).otherwise(F.lit(b - a + 1)) if a in (0x61, 0x41) else F.lit(b - a + 1)
+        low, size = F.when(code.between(a, b), F.lit(a)).otherwise(low), F.when(code.between(a, b), n).otherwise(size)
+    return low, size
 
-    def made(script: str) -> Column:
-        consonants, vowels, f, m, n = SOUNDS[script]
-        pick = lambda letters, i: F.substring(F.lit(letters), F.lit(1) + _byte(digest, F.lit(at + i)) % len(letters), F.lit(1))
-        parts = [pick(x, 2 * i + j) for i in range(syllables) for j, x in enumerate((consonants, vowels))]
-        last = pick("nslrk" if script == "latin" else consonants, 2 * syllables) if ending is None else F.when(ending == "f", F.lit(f)).when(ending == "m", F.lit(m)).otherwise(F.lit(n))
-        return F.concat(*parts, last)
 
-    return F.when(token.rlike(r"\p{IsCyrillic}"), made("cyrillic")).when(token.rlike(r"\p{IsGreek}"), made("greek")).otherwise(made("latin"))
+def _char(code: Column) -> Column:
+    return F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 4, "0")), "UTF-16BE")
 
 
-def _luhn(digits: Column) -> Column:
-    """Sum mod 10 of an array of digit strings, every second from the right doubled."""
+def _luhn_check(digits: Column) -> Column:
+    """The digit that, put after ``digits``, makes their Luhn sum 0 mod 10."""
     n = F.size(digits)
-    d = F.transform(digits, lambda x, i: F.when((n - i) % 2 == 0, F.lit(2) * x.cast("int") - F.when(x.cast("int") > 4, 9).otherwise(0)).otherwise(x.cast("int")))
-    return F.aggregate(d, F.lit(0), lambda a, x: a + x) % 10
-
-
-def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
-    """A value of the same kind and form as ``canon``, keyed by (key, kind, canon, attempt)."""
-    digest = _digest(key, kind, canon, attempt.cast("string"))
-    swapped = F.transform(_chars(canon), lambda c, i: _other_char(c, _byte(digest, i)))
-    generic = F.array_join(swapped, "")
-    top = F.substring_index(canon, ".", -1)
-    email = F.concat(F.substring(generic, F.lit(1), F.length(canon) - F.length(top)), top)
-    octet = lambda o, i: F.when(F.length(o) == 1, _byte(digest, i) % 10).when(F.length(o) == 2, 10 + _byte(digest, i) % 90).otherwise(100 + _byte(digest, i) % 156)
-    ip = F.array_join(F.transform(F.split(canon, r"\."), lambda o, i: octet(o, i).cast("string")), ".")
-    code = F.substring_index(canon, " ", 1)
-    phone = F.concat(code, F.substring(generic, F.length(code) + 1, F.length(canon)))
-    body = F.slice(swapped, 2, F.greatest(F.size(swapped) - 2, F.lit(0)))
-    head = F.concat(F.array(F.substring(canon, 1, 1)), body)  # the first digit names the issuer
-    check = (10 - _luhn(F.concat(head, F.array(F.lit("0"))))) % 10
-    valid = _luhn(_chars(canon)) == 0
-    card = F.concat(F.array_join(head, ""), F.when(valid, check.cast("string")).otherwise(F.element_at(swapped, -1)))
-    iban = F.concat(F.substring(canon, 1, 2), F.substring(generic, F.lit(3), F.length(canon)))
-    hexed = F.array_join(F.transform(_chars(canon), lambda c, i: F.when(c.rlike("[a-f]"), F.substring(F.lit("abcdef"), F.lit(1) + _byte(digest, i) % 6, F.lit(1))).when(c.rlike("[A-F]"), F.substring(F.lit("ABCDEF"), F.lit(1) + _byte(digest, i) % 6, F.lit(1))).otherwise((_byte(digest, i) % 10).cast("string"))), "")
-    mark = F.regexp_extract(canon, "^(sk|ghp|gho|xox[abp]|AKIA|AIza)", 1)
-    secret = F.when(canon.rlike("^[0-9a-fA-F]+$"), hexed).otherwise(F.concat(mark, F.substring(generic, F.length(mark) + 1, F.length(canon))))
-    words = F.split(canon, " ")
-    gender, family = words[0], F.element_at(words, -1)
-    # each part from itself alone at the first attempt, so that a family name stays the same beside any given name
-    again = F.when(attempt > 0, F.concat(canon, attempt.cast("string"))).otherwise(F.lit(""))
-    last = _name_part(_digest(key, F.lit("family"), family, again), family, 0, 3, None)
-    given = _name_part(_digest(key, F.lit("given"), gender, words[1], again), words[1], 0, 3, gender)
-    name = F.when(F.size(words) > 2, F.concat_ws(" ", gender, given, last)).otherwise(F.concat_ws(" ", gender, last))
-    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "card", card).when(kind == "iban", iban).when(kind == "secret", secret).when(kind == "name", name).otherwise(generic)
+    doubled = lambda x: x * 2 - F.when(x > 4, 9).otherwise(0)
+    total = F.aggregate(F.transform(digits, lambda x, i: F.when((n - i) % 2 == 1, doubled(x.cast("int"))).otherwise(x.cast("int"))), F.lit(0), lambda a, x: a + x)
+    return F.pmod(-total, F.lit(10))
 
 
-def rendered(kind: Column, surface: Column, found: Column) -> Column:
-    """The surrogate ``found`` in the form of a mention: its punctuation, spacing, case and title."""
-    stream = F.regexp_replace(found, r"[^\p{L}\p{N}]", "")
-    put = lambda s, c: F.when(
-        c.rlike(r"[\p{L}\p{N}]"),
-        F.struct((s["i"] + 1).alias("i"), F.concat(s["out"], F.when(c.rlike(r"\p{Lu}"), F.upper(F.substring(stream, s["i"], F.lit(1)))).otherwise(F.substring(stream, s["i"], F.lit(1)))).alias("out")),
-    ).otherwise(F.struct(s["i"].alias("i"), F.concat(s["out"], c).alias("out")))
-    same_form = F.aggregate(_chars(surface), F.struct(F.lit(1).alias("i"), F.lit("").alias("out")), put, lambda s: s["out"])
-    title = F.regexp_extract(surface, f"^({_TITLE} )", 1)
-    # "xyz" -> the gender mark goes; the title comes back
-    name = F.concat(title, F.initcap(F.substring(found, F.lit(3), F.length(found))))
-    return F.when(kind == "name", name).otherwise(same_form)
-
-
-def assign(entities: DataFrame, key: str, wary: int = 12, most: int = 40) -> DataFrame:
-    """``(kind, canon, surrogate)`` for distinct ``(kind, canon)``; no two of a kind share a surrogate.
-
-    Attempts go on for entities whose surrogate is taken, wanted by a lesser
-    entity, or itself an entity of the corpus. Where the corpus fills so much of a form's
-    space that ``wary`` attempts fail, surrogates may be other entities' true values; after ``most`` it is an error.
+def _iban_check(country: Column, body: Column) -> Column:
+    """The two check digits of an account number, by ISO 7064."""
+    add = lambda a, c: F.when(c.rlike("[0-9]"), (a * 10 + c.cast("int")) % 97).otherwise((a * 100 + F.ascii(F.upper(c)) - 55) % 97)
+    return F.lit(98) - F.aggregate(_chars(F.concat(body, country, F.lit("00"))), F.lit(0), add)
+
+
+def surrogates(entities: DataFrame, key: str) -> DataFrame:
+    """``entities(kind, canon)`` with ``surrogate``, for all kinds but names; of one kind, no two share one and none keeps its own.
+
+    What stays of an entity is its form: the kind of each character, an e-mail's top-level domain, a phone's country code, a card's first
+    digit, an account's country, a secret's mark, the lengths of octets, and whether a check digit is right.
+    """
+    kind, canon = F.col("kind"), F.col("canon")
+    code = F.regexp_extract(canon, rf"^\+({'|'.join(CODES_1)}|{'|'.join(CODES_2)}|\d{{3}})", 0)
+    head = (
+        F.when(kind == "phone", code).when(kind == "card", F.substring(canon, 1, 1)).when(kind == "iban", F.substring(canon, 1, 2))
+        .when((kind == "secret") & ~canon.rlike("^[0-9a-fA-F]+$"), F.regexp_extract(canon, f"^{_MARK}", 0)).otherwise(F.lit(""))
+    )
+    tail = F.when(kind == "email", F.regexp_extract(canon, r"\.[^.]*$", 0)).when(kind == "card", F.substring(canon, -1, 1)).otherwise(F.lit(""))
+    rows = entities.select("kind", "canon", head.alias("head"), tail.alias("tail"), F.when(kind == "iban", F.substring(canon, 3, 2)).otherwise(F.lit("")).alias("check"))
+    start = F.length("head") + F.length("check")
+    rows = rows.withColumn("body", F.substring(canon, start + 1, F.length(canon) - start - F.length("tail")))
+    hexed = (kind == "ip6") | ((kind == "secret") & (F.col("head") == "") & canon.rlike("^[0-9a-fA-F]+$"))
+    # what changes places: an address's octets by their number of digits, else characters
+    octet = lambda o: F.struct(o.cast("int").alias("code"), F.when(F.length(o) == 1, 0).when(F.length(o) == 2, 10).otherwise(100).alias("low"), F.when(F.length(o) == 1, 10).when(F.length(o) == 2, 90).otherwise(156).alias("size"))
+    letter = lambda c: _bound(F.ascii(c), lambda a: F.struct(a.alias("code"), _low(a, hexed)[0].alias("low"), _low(a, hexed)[1].alias("size")))
+    places = F.when(kind == "ip", F.transform(F.split("body", r"\."), octet)).otherwise(F.transform(_chars(F.col("body")), letter))
+    rows = rows.select("*", F.inline(F.array(F.struct(places.alias("places")))))
+    rows = rows.select("*", F.inline(F.array(F.struct(
+        F.transform("places", lambda p: F.when(p["size"] > 1, p["code"] - p["low"]).otherwise(0)).alias("values"), F.transform("places", lambda p: p["size"]).alias("sizes"),
+        F.concat_ws("\x1f", F.lit(key), kind, "head", F.array_join(F.transform("places", lambda p: F.concat_ws(".", F.when(p["size"] > 1, p["low"]).otherwise(p["code"]), p["size"])), ",")).alias("form"),
+    ))))
+    rows = rows.select("*", F.inline(F.array(F.struct(permuted(F.sha2("form", 256), F.col("values"), F.col("sizes")).alias("put")))))
+    put = F.transform("places", lambda p, i: F.when(p["size"] > 1, p["low"] + F.get("put", i)).otherwise(p["code"]))
+    rows = rows.select("*", F.inline(F.array(F.struct(F.when(kind == "ip", F.array_join(F.transform(put, lambda x: x.cast("string")), ".")).otherwise(F.array_join(F.transform(put, _char), "")).alias("new")))))
+    # a right check digit stays right, a wrong one as wrong as it was
+    luhn = lambda b: _luhn_check(_chars(F.concat("head", b)))
+    last = F.pmod(F.col("tail").cast("int") - luhn(F.col("body")) + luhn(F.col("new")), F.lit(10)).cast("string")
+    twin = F.lpad(F.pmod(F.col("check").cast("int") - _iban_check(F.col("head"), F.col("body")) + _iban_check(F.col("head"), F.col("new")), F.lit(100)).cast("string"), 2, "0")
+    whole = F.when(kind == "card", F.concat("head", "new", last)).when(kind == "iban", F.concat("head", twin, "new")).otherwise(F.concat("head", "new", "tail"))
+    return rows.select("kind", "canon", whole.alias("surrogate"))
+
+
+def _words_of(surface: Column) -> Column:
+    return F.regexp_extract_all(F.regexp_replace(surface, f"^{_TITLED}", ""), F.lit(r"[^\s\p{Pd}.]+\.?"), F.lit(0))
+
+
+def _syllables(script: str, number: Column, count: int) -> Column:
+    """``count`` syllables that spell ``number``, one to one below (consonants x vowels) ** count."""
+    consonants, vowels = SOUNDS[script][:2]
+    n, parts = len(consonants) * len(vowels), []
+    for i in range(count):
+        d = F.pmod(F.floor(number / n**i).cast("long"), F.lit(n))
+        parts += [F.substring(F.lit(consonants), (F.floor(d / len(vowels)) + 1).cast("int"), F.lit(1)), F.substring(F.lit(vowels), (d % len(vowels) + 1).cast("int"), F.lit(1))]
+    return F.concat(*parts)
+
+
+def _by_script(script: Column, made) -> Column:
+    return F.when(script == "cyrillic", made("cyrillic")).when(script == "greek", made("greek")).otherwise(made("latin"))
+
+
+def name_words(words: DataFrame, key: str) -> DataFrame:
+    """``words(role, gender, word)``, distinct, with ``put``: made-up words, of which no two of one role and gender are equal.
+
+    A word's draw depends on the key and the word alone. The collision check: words that drew the same, or an
+    actual word of the corpus, are put in an order by hash, and all but the first get syllables that spell their rank. A rank's syllables
+    make a longer word than any draw has, so the longer words neither equal draws nor, as they hold draw and rank, each other.
+    Single letters (initials) change places by permutation. No step repeats.
     """
-    every = Cut(entities.select("kind", "canon").distinct(), "entities")
-    pending, done = every.df, None
-    for turn in range(most):
-        wanted = pending.select("kind", "canon", surrogate(key, F.col("kind"), F.col("canon"), F.lit(turn)).alias("surrogate"))
-        wanted = Cut(wanted, "wanted")
-        first = wanted.df.groupBy("kind", "surrogate").agg(F.min("canon").alias("canon"))
-        free = first.where("canon <> surrogate")
-        if turn < wary:
-            free = free.join(every.df.withColumnRenamed("canon", "surrogate"), ["kind", "surrogate"], "left_anti")
-        if done is not None:
-            free = free.join(done, ["kind", "surrogate"], "left_anti")
-        got = Cut(free.select("kind", "canon", "surrogate"), "assigned").df
-        done = got if done is None else done.union(got)
-        pending = Cut(wanted.df.select("kind", "canon").join(got, ["kind", "canon"], "left_anti"), "pending").df
-        if pending.isEmpty():
-            return done
-    raise RuntimeError("the entities of some form outnumber its surrogates")
-
-
-def replace_pii(docs: DataFrame, key: str = "recollect") -> DataFrame:
+    script = F.when(F.col("word").rlike(r"\p{IsCyrillic}"), "cyrillic").when(F.col("word").rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+    drawn = F.conv(F.substring(F.sha2(F.concat_ws("\x1f", F.lit(key), "role", "gender", "word"), 256), 1, 12), 16, 10).cast("long")
+    rows = words.where(F.length("word") > 1).select("*", script.alias("script"), drawn.alias("n"))
+    base = _by_script(F.col("script"), lambda s: _syllables(s, F.col("n"), 3))
+    rows = Cut(rows.select("*", base.alias("base")), "name-words").df
+
+    def ending(s: str) -> Column:
+        f, m, n = SOUNDS[s][2:]
+        return F.when(F.col("role") == "family", {"latin": "k", "cyrillic": "к", "greek": "ς"}[s]).when(F.col("gender") == "f", f).when(F.col("gender") == "m", m).otherwise(n)
+
+    whole = F.concat("base", _by_script(F.col("script"), ending))
+    actual = words.select(F.col("word").alias("_actual")).distinct()
+    taken = rows.join(actual, whole == F.col("_actual"), "left")
+    w = Window.partitionBy("role", "gender", "base").orderBy(F.xxhash64("word"), "word")
+    rank = F.row_number().over(w) - F.when(F.col("_actual").isNull(), 1).otherwise(0)
+    ranked = taken.withColumn("rank", rank.cast("long"))
+
+    def spelled(s: str) -> Column:
+        n = len(SOUNDS[s][0]) * len(SOUNDS[s][1])
+        out, below = F.lit(""), 0
+        for k in (1, 2, 3, 4):  # rank 1 to n, then to n + n ** 2 and so on
+            out = F.when(F.col("rank") > below, _syllables(s, F.col("rank") - 1 - below, k)).otherwise(out)
+            below += n**k
+        return out
+
+    put = F.concat("base", _by_script(F.col("script"), spelled), _by_script(F.col("script"), ending))
+    initials = words.where(F.length("word") == 1).select("role", "gender", "word", F.ascii("word").alias("code"))
+    low, size = _low(F.col("code"), F.lit(False))
+    initials = initials.select("*", low.alias("low"), size.alias("size"))
+    moved = permuted(F.sha2(F.concat_ws("\x1f", F.lit(key), "role", "gender", "low"), 256), F.array(F.col("code") - F.col("low")), F.array("size"))
+    initials = initials.select("role", "gender", "word", _char(F.col("low") + F.get(moved, F.lit(0))).alias("put"))
+    return ranked.select("role", "gender", "word", put.alias("put")).unionByName(initials)
+
+
+def _names(surfaces: DataFrame, key: str) -> DataFrame:
+    """``(surface, put)`` for the name mentions ``surfaces(surface)``, distinct.
+
+    A person is the words after the titles, case aside. The title shows the gender; under titles
+    of no gender the person has the one that other mentions of the same words show (the commoner, f if equal). The last word is the
+    family name, which stays the same beside any given name; given names end by gender. Title, particles, punctuation and case stay.
+    """
+    gender = F.when(F.col("surface").rlike(r"(?:^|\s)(?:" + "|".join(TITLES["f"]) + r")\.?\s"), "f").when(F.col("surface").rlike(r"(?:^|\s)(?:" + "|".join(TITLES["m"]) + r")\.?\s"), "m")
+    rows = surfaces.select("surface", F.filter(_words_of(F.col("surface")), lambda x: x.rlike(r"^\p{Lu}") | x.rlike(r"^(?!(?:" + "|".join(PARTICLES) + r")$)")).alias("words"), gender.alias("shown"))
+    rows = rows.withColumn("words", F.transform("words", lambda x: _lowered(F.regexp_replace(x, r"\.$", "")))).withColumn("person", F.array_join("words", " "))
+    by = rows.groupBy("person").agg(F.count_if(F.col("shown") == "f").alias("f"), F.count_if(F.col("shown") == "m").alias("m"))
+    by = by.select("person", F.when((F.col("f") == 0) & (F.col("m") == 0), "n").when(F.col("f") >= F.col("m"), "f").otherwise("m").alias("known"))
+    rows = rows.join(by, "person").withColumn("gender", F.coalesce("shown", "known"))
+    each = rows.select("surface", F.size("words").alias("of"), "gender", F.posexplode("words").alias("at", "word"))
+    role = F.when(F.col("at") + 1 == F.col("of"), "family").otherwise("given")
+    each = each.select("surface", "at", "word", role.alias("role"), F.when(role == "given", F.col("gender")).otherwise("").alias("gender"))
+    each = Cut(each, "name-mentions").df
+    made = name_words(each.select("role", "gender", "word").distinct(), key)
+    put = each.join(made, ["role", "gender", "word"]).groupBy("surface").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "put"))), lambda x: x["put"]).alias("puts"))
+    # words that are no particles are replaced one after the other
+    title = F.regexp_extract("surface", f"^{_TITLED}", 0)
+    rest = F.substring("surface", F.length(title) + 1, F.length("surface"))
+    mark = r"(?<![\p{L}\p{M}'’])(?!(?:" + "|".join(PARTICLES) + r")(?:[\s]))[\p{L}][\p{L}\p{M}'’]*+"
+    old, gaps = F.regexp_extract_all(rest, F.lit(mark), F.lit(0)), F.split(rest, mark, -1)
+    cased = lambda o, p: F.when((F.length(o) > 1) & (o == F.upper(o)), F.upper(p)).when(o.rlike(r"^\p{Lu}"), F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1 << 20))).otherwise(p)
+    new = F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(cased(F.get(old, i), F.get("puts", i)), F.lit(""))))
+    return put.select("surface", F.concat(title, F.array_join(new, "")).alias("put"))
+
+
+def rendered(kind: Column, surface: Column, found: Column) -> Column:
+    """The surrogate ``found`` in the form of a mention: its punctuation, spacing and case."""
+    stream = F.regexp_replace(found, r"^\+", "")
+    spaced = F.transform(F.split(surface, r"[\p{L}\p{N}]", -1), lambda g, i: F.concat(g, F.coalesce(F.substring(stream, i + 1, F.lit(1)), F.lit(""))))
+    mail = _bound(F.struct(_chars(surface).alias("s"), _chars(found).alias("f")), lambda x: F.transform(x["s"], lambda c, i: F.when(c.rlike(r"\p{Lu}"), F.upper(F.get(x["f"], i))).otherwise(F.get(x["f"], i))))
+    return F.when(kind.isin("email", "ip6"), F.array_join(mail, "")).when(kind.isin("ip", "secret"), found).otherwise(F.array_join(spaced, ""))
+
+
+def replace_pii(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with personal data in ``text`` replaced by surrogates, and ``n_entities``.
 
     E-mail and IP addresses, phone, card, social-security and account numbers, secrets, and names
-    after a title are found by pattern. A mention's surrogate depends on ``key``, its kind and its canonical value alone, so
-    mentions of one entity, in any document or form, get the same one (coreference), in the mention's own form: punctuation, case,
-    script, length, country code, card issuer and check digit, top-level domain, and for names the gender of the title. Within a kind
-    different entities get different surrogates, none of which is an entity of the corpus (see ``assign``).
+    after a title are found by pattern; no pattern has a length beyond which it fails. A mention's surrogate depends on ``key`` (a secret of the
+    caller's: who knows it can undo numbers and addresses), on its kind and on its canonical value, so
+    mentions of one entity, in any document or form, get the same one (coreference), in the mention's own form (see ``surrogates``, ``_names``). Within a kind
+    different entities get different surrogates and none keeps its value. In a form whose values are few, such as addresses of one-digit octets,
+    a surrogate may be another entity's true value; where all occur, it must be.
 
     Null text stays null and empty text empty, with 0 entities; rows that repeat doc_id and text get the same
     text; a null doc_id is a value like another; an incoming ``n_entities`` is replaced, other columns are kept as they are. An
-    empty table gives an empty result. Only texts with entities are shuffled.
+    empty table gives an empty result. Texts of any length are read whole, in one task each. Only texts with entities are shuffled.
     """
     own = [c for c in docs.columns if c != "n_entities"]
     rows = docs.select(*own)
@@ -209,10 +307,14 @@ def replace_pii(docs: DataFrame, key: str = "recollect") -> DataFrame:
         F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_t"), F.posexplode(F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).alias("_i", "surface")
     )
     mentions = Cut(mentions, "mentions").df
-    surfaces = mentions.select("surface").distinct().withColumn("kind", kind_of(F.col("surface")))
-    surfaces = Cut(surfaces.select("surface", "kind", canonical(F.col("kind"), F.col("surface")).alias("canon")), "surfaces").df
-    known = assign(surfaces, key)
-    found = surfaces.join(known, ["kind", "canon"]).select("surface", rendered(F.col("kind"), F.col("surface"), F.col("surrogate")).alias("put"))
+    # a fixed number of partitions, for what is done with each distinct mention is dear and its bytes are few
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    surfaces = Cut(mentions.select("surface").distinct().repartition(parts, "surface").withColumn("kind", kind_of(F.col("surface"))), "surfaces").df
+    others = surfaces.where("kind <> 'name'").withColumn("canon", canonical(F.col("kind"), F.col("surface")))
+    others = Cut(others, "canonical").df
+    known = surrogates(others.select("kind", "canon").distinct().repartition(parts, "kind", "canon"), key)
+    found = others.join(Cut(known, "surrogates").df, ["kind", "canon"]).select("surface", rendered(F.col("kind"), F.col("surface"), F.col("surrogate")).alias("put"))
+    found = found.union(_names(surfaces.where("kind = 'name'").select("surface"), key))
     found = Cut(found, "rendered").df
     puts = mentions.join(found, "surface").groupBy("_d", "_t").agg(F.transform(F.sort_array(F.collect_set(F.struct("_i", "put"))), lambda x: x["put"]).alias("_put"))
     keyed = some.withColumn("_tk", F.xxhash64("text"))

@@ -31,8 +31,8 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with surrogates for personal data."""
-    return pii.replace_pii(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities")
+    """Every document with surrogates for personal data; the session's ``spark.recollect.key`` is the secret."""
+    return pii.replace_pii(table(spark, sf_dir, "documents"), spark.conf.get("spark.recollect.key", "a key for tests only")).select("doc_id", "text", "n_entities")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,10 @@
+import hashlib
+import itertools
 import re
 
+import pytest
+from pyspark.sql import functions as F
+
 from recollect.llm import pii, queries
 
 TEXTS = [
@@ -32,7 +37,7 @@ def test_forms(spark):
     ip = re.search(r"Host (\d+)\.(\d+)\.(\d+)\.(\d+),", c)
     assert [len(g) for g in ip.groups()] == [2, 2, 3, 1] and all(int(g) < 256 for g in ip.groups())
     assert re.search(r"id \d{3}-\d{2}-\d{4}, IBAN DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d, token = \"[0-9a-f]{40}\"", c)
-    m = re.fullmatch(r"Mrs\. (\w+a) (\w+) met Mr\. (\w+) and Dr (\w+)\. Later Mr\. (\w+n) (\w+) left\. Госпожа ([А-Я][а-я]+) пришла\.", d)
+    m = re.fullmatch(r"Mrs\. (\w+a) (\w+) met Mr\. (\w+) and Dr (\w+)\. Later Mr\. (\w+n) (\w+k) left\. Госпожа ([А-Я][а-я]+) пришла\.", d)
     assert m and m[2] == m[3] == m[6] != "Weber" and m[7] != "Иванова" and m[4] != "Novak"
 
 
@@ -40,10 +45,86 @@ def test_key_and_repeat(spark):
     assert run(spark) == run(spark) != run(spark, key="other")
 
 
-def test_distinct(spark):
-    texts = [f"server 1.2.{i}.{j} up" for i in range(10) for j in range(10)]
+def plain_permuted(key, values, sizes):
+    """What ``pii.permuted`` does, value by value."""
+
+    def turn(v, r, sign):
+        half = len(v) // 2
+        other = v[half:] if r % 2 == 0 else v[:half]
+        seed = f"{key}\x1f{r}\x1f" + ",".join(map(str, other))
+        out = list(v)
+        for i in range(half) if r % 2 == 0 else range(half, len(v)):
+            digest = hashlib.sha256(f"{seed}\x1f{i // 16}".encode()).hexdigest()
+            out[i] = (v[i] + sign * int(digest[i % 16 * 4 :][:4], 16)) % sizes[i]
+        return out
+
+    for r in range(pii.ROUNDS):
+        values = turn(values, r, 1)
+    first = next((i for i, n in enumerate(sizes) if n > 1), None)
+    if first is not None:
+        values[first] = (values[first] + 1) % sizes[first]
+    for r in reversed(range(pii.ROUNDS)):
+        values = turn(values, r, -1)
+    return values
+
+
+@pytest.mark.parametrize("sizes", [[10], [2, 3], [10, 1, 26], [10] * 3, [1, 1]])
+def test_permuted_is_one_to_one_on_the_whole_space(spark, sizes):
+    every = [list(v) for v in itertools.product(*map(range, sizes))]
+    rows = spark.createDataFrame([(v, sizes) for v in every], "v array<int>, n array<int>")
+    got = [(r["v"], r["p"]) for r in rows.select("v", pii.permuted(F.lit("key"), F.col("v"), F.col("n")).alias("p")).collect()]
+    assert sorted(p for _, p in got) == every
+    assert all(p == plain_permuted("key", v, sizes) and (p != v or max(sizes) == 1) for v, p in got)
+
+
+def test_long_values(spark):
+    v, n = [i * 7 % 26 for i in range(100)], [26] * 100
+    got = spark.createDataFrame([(v, n)], "v array<int>, n array<int>").select(pii.permuted(F.lit("key"), F.col("v"), F.col("n")).alias("p")).first()["p"]
+    assert got == plain_permuted("key", v, n)
+
+
+def test_dense_form(spark):
+    """All addresses of one-digit octets, ten thousand: distinct, none unchanged, the same set again."""
+    texts = [f"server {a}.{b}.{c}.{d} up" for a, b, c, d in itertools.product(range(10), repeat=4)]
     out = run(spark, texts)
-    assert len(set(out)) == len(texts) and not set(out) & set(texts)
+    assert sorted(out) == sorted(texts) and not any(a == b for a, b in zip(out, texts))
+
+
+def test_nothing_leaks(spark):
+    mail, token = "a" * 90 + "@mail.org", "0f" * 80
+    texts = [
+        f"{mail} {token} +48 600 700 800 and +48600700800", "2001:db8::ff00:42:8329 and fe80:0:0:0:1:2:3:4 at 12:30:45, std::cout",
+        "Mr John Paul Smith, Mr McDonald, Mr O'Neil's dog, Señora María de la Cruz and Herr von Weber-Haus", "Prof. Dr. Weber\nand Mr J. R. Tolkien", "MR2 is a car, Mr. is not; 300.1.1.1 and 1.2.3",
+    ]
+    out = run(spark, texts)
+    for gone in (mail, token, "600 700", "600700", "db8", "fe80", "John", "Paul", "Smith", "McDonald", "Neil", "María", "Cruz", "Weber", "Haus", "Tolkien"):
+        assert not any(gone in t for t in out), gone
+    spaced, joined = re.fullmatch(r"\w+@\w+\.org \w{160} \+48 (\d{3} \d{3} \d{3}) and \+48(\d{9})", out[0]).groups()
+    assert spaced.replace(" ", "") == joined and out[1].endswith(" at 12:30:45, std::cout")
+    assert re.fullmatch(r"Mr \w+n \w+n \w+k, Mr \w+k, Mr \w+k's dog, Señora \w+a de la \w+k and Herr von \w+n-\w+k", out[2])
+    assert re.fullmatch(r"Prof\. Dr\. (\w+)\nand Mr [A-Z]\. [A-Z]\. \w+", out[3]) and out[4] == texts[4]
+
+
+def test_one_person_under_several_titles(spark):
+    out = run(spark, ["Dr Anna Smith", "Ms Anna Smith", "Prof. Dr. Anna Smith", "Mr Anna Smith", "Ms Smith", "Dr Kim Lee"])
+    bare = [re.sub(r"^(?:Dr|Ms|Mr|Prof\.) (?:Dr\. )?", "", t) for t in out]
+    assert bare[0] == bare[1] == bare[2] != bare[3] and bare[0].endswith(" " + bare[4]) and bare[0].split()[0].endswith("a") and bare[3].split()[0].endswith("n")
+
+
+def test_names_that_draw_the_same_differ(spark, monkeypatch):
+    """With two syllables to draw from, most words collide."""
+    monkeypatch.setitem(pii.SOUNDS, "latin", ("b", "ae", "a", "n", "i"))
+    names = [f"{a}{b}{c}x" for a in "ABCDEFG" for b in "abcdefg" for c in "abc"] + ["Bababak"]
+    out = run(spark, [f"Mr {n} left" for n in names])
+    assert len(set(out)) == len(names) and not set(out) & {f"Mr {n} left" for n in names}
+
+
+def test_checks_stay_as_they_are(spark):
+    rows = [("card", "4111111111111111"), ("card", "4111111111111112"), ("iban", "DE89370400440532013000"), ("iban", "GB29NWBK60161331926819"), ("iban", "DE00370400440532013000")]
+    got = {r["canon"]: r["surrogate"] for r in pii.surrogates(spark.createDataFrame(rows, "kind string, canon string"), "k").collect()}
+    mod = lambda x: int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97
+    assert luhn(got["4111111111111111"]) % 10 == 0 != luhn(got["4111111111111112"]) % 10
+    assert [mod(got[c]) == 1 for _, c in rows[2:]] == [True, True, False] and got["GB29NWBK60161331926819"][4:8].isupper()
 
 
 def test_query(spark, sf):
@@ -60,11 +141,11 @@ def test_query(spark, sf):
 
 
 def test_odd(spark, odd):
-    out = pii.replace_pii(odd("n_entities"))
+    out = pii.replace_pii(odd("n_entities"), "k")
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "n_entities"]
     assert sorted((repr(r["doc_id"]), repr(r["text"])) for r in out.collect()) == sorted((repr(r["doc_id"]), repr(r["text"])) for r in odd().collect())
-    assert pii.replace_pii(odd(rows=[])).count() == 0
+    assert pii.replace_pii(odd(rows=[]), "k").count() == 0
     same = [(7, "mail a@b.org now", "en", "a", 1, "x"), (7, "mail a@b.org now", "en", "a", 1, "x"), (None, "mail a@b.org now", "en", "a", 1, "x")]
-    assert len({r["text"] for r in pii.replace_pii(odd(rows=same)).collect()}) == 1
+    assert len({r["text"] for r in pii.replace_pii(odd(rows=same), "k").collect()}) == 1
     long = [(1, "x" * 200000 + " a@b.org " + "1." * 50000, "en", "a", 1, "x")]
-    assert "a@b.org" not in pii.replace_pii(odd(rows=long)).first()["text"]
+    assert "a@b.org" not in pii.replace_pii(odd(rows=long), "k").first()["text"]
