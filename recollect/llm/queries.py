@@ -78,4 +78,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_mix_sources": mixing.MIX_SQL.format(docs="documents"),
         "op3_exact_topk": topk.TOPK_SQL,
+        "op9_quote_links": chat.QUOTES_SQL.format(messages="conversations"),
     }
