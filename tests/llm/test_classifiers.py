@@ -1,10 +1,13 @@
 import random
+import re
+import textwrap
 import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from recollect.llm import langid, license, queries, toxicity
+from recollect.llm.license_texts import OTHER_HELD_OUT
 
 BIG = "/root/testdata/sf0.01"
 
@@ -74,7 +77,12 @@ def test_toxicity_odd(spark, odd):
 
 @pytest.fixture(scope="module")
 def scanner():
-    return license.train(["the quick report of the committee was read in full", "anan thes of the er"])
+    return license.train()
+
+
+def found(spark, texts, scanner):
+    rows = license.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), scanner).collect()
+    return {(r["doc_id"], r["paragraph"]): r for r in rows}
 
 
 def test_license_families(scanner):
@@ -83,34 +91,85 @@ def test_license_families(scanner):
             for form in (t, t.upper(), "Note: " + t + " Thanks."):
                 p = scanner.probabilities(form)
                 assert scanner.classes[p.index(max(p))] == family, (family, form)
+    best = lambda p: scanner.classes[p.index(max(p))]
     for t in ["He lost his driving license in May.", "The public was released under the general rule.", "", "foundation of the work"]:
-        p = scanner.probabilities(t)
-        assert scanner.classes[p.index(max(p))] == license.UNKNOWN, t
-
-
-def test_license_query(spark, sf):
-    lines = [(r["doc_id"], i, x) for r in spark.read.parquet(f"{sf}/documents.parquet").collect() for i, x in enumerate(r["text"].split("\n"))]
-    rows = {(r["doc_id"], r["paragraph"]): r for r in queries.op10_license_scan(spark, sf).collect()}
-    notice = {"Released under the MIT License.": "mit", "Licensed under the Apache License, Version 2.0.": "apache-2.0", "Licensed under CC BY-NC 4.0.": "cc-by-nc", "This work is licensed under the GNU General Public License, version 3.": "gpl"}
-    want = {(d, i): notice[x] for d, i, x in lines if x in notice}
-    assert want and {k: r["family"] for k, r in rows.items()} == want
-    assert all(r["confirmed"] and r["probability"] > 0.9 for r in rows.values())
+        assert best(scanner.probabilities(t)) == license.UNKNOWN, t
+    # of texts that the weights never saw some licences of other families pass for one; the templates don't confirm them (see below)
+    assert sum(best(scanner.probabilities(t)) == license.UNKNOWN for t in OTHER_HELD_OUT) >= 0.85 * len(OTHER_HELD_OUT)
+
+
+def test_license_texts_wrapped_as_in_files(spark, scanner):
+    """Whole licence texts, wrapped at several widths, plain and as comments: every paragraph that holds a notice is confirmed."""
+    texts, families = [], []
+    for family in ("mit", "apache-2.0", "bsd", "isc", "gpl", "lgpl", "mpl-2.0", "epl", "zlib", "boost", "unlicense"):
+        for width, mark in ((72, ""), (50, "# "), (60, " * "), (79, "// ")):
+            # a blank comment line ends a paragraph as a blank line does
+            texts.append(("\n" + mark.rstrip() + "\n").join("\n".join(textwrap.wrap(t, width, initial_indent=mark, subsequent_indent=mark)) for t in license.TEMPLATES[family]))
+            families.append(family)
+    got = found(spark, texts, scanner)
+    for i, family in enumerate(families):
+        mine = [r for (d, _), r in got.items() if d == i]
+        assert {r["family"] for r in mine if r["confirmed"]} == {family}, (family, texts[i], mine)
+        assert len([r for r in mine if r["confirmed"]]) >= len(license.TEMPLATES[family]) - 1, (family, texts[i][:300])
+
+
+def test_license_foreign_and_short(spark, scanner):
+    short = {"Licensed under the BSD license": "bsd", "SPDX-License-Identifier: MIT": "mit", "// SPDX-License-Identifier: Apache-2.0": "apache-2.0", "All rights reserved.": "proprietary", "This is free and unencumbered software released into the public domain.": "unlicense"}
+    got = found(spark, [*short, *OTHER_HELD_OUT, *license.OTHER], scanner)
+    assert [(got[i, 0]["family"], got[i, 0]["confirmed"]) for i in range(len(short))] == [(f, True) for f in short.values()]
+    assert not [r for (d, _), r in got.items() if d >= len(short) and r["confirmed"]]
+
+
+def test_license_query(spark):
+    """Every licence line of the tables is found and confirmed, and nothing else is."""
+    notice = {
+        "Released under the MIT License.": "mit", "Licensed under the Apache License, Version 2.0.": "apache-2.0", "Licensed under CC BY-NC 4.0.": "cc-by-nc",
+        "This work is licensed under the GNU General Public License, version 3.": "gpl", "All rights reserved.": "proprietary",
+    }
+    want = []
+    for r in spark.read.parquet(f"{BIG}/documents.parquet").collect():
+        for line in re.split("\n", r["text"] or ""):
+            want += [(r["doc_id"], f) for n, f in notice.items() if n in line]
+    rows = queries.op10_license_scan(spark, BIG).collect()
+    assert want and {(r["doc_id"], r["family"]) for r in rows if r["confirmed"]} == set(want)
+    assert all(r["probability"] > 0.5 for r in rows) and len(rows) <= len(want) * 1.1
+
+
+def test_license_model_and_rows_do_not_depend_on_partitions(spark, scanner):
+    license.train.cache_clear()
+    assert license.train() == scanner
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert sorted(license.scan(docs).collect(), key=repr) == sorted(license.scan(docs.repartition(17)).collect(), key=repr)
+
+
+def plain_scan(text, model):
+    """The operator in Python."""
+    out = {}
+    for i, p in enumerate(re.split(r"\r?\n", re.sub(license.WRAP, " ", text))):
+        if not re.search(license.ANCHOR, text) or not re.search(license.ANCHOR, p):
+            continue
+        score = model.probabilities(p)
+        best = model.classes[score.index(max(score))]
+        have = license.ngrams(license.words(license.anchored(p)))
+        if best != license.UNKNOWN and have & {g for _, t in license.template_sentences() for g in t}:
+            out[i] = (best, max(score), max(len(have & set(t)) / len(t) for f, t in license.template_sentences() if f == best))
+    return out
 
 
 def test_license_matches_plain(spark, scanner):
-    texts = [t for ts in license.TEMPLATES.values() for t in ts] + ["plain prose of the license of work", "Version 2.0 of MIT"]
-    got = {r["paragraph"]: r for r in license.scan(spark.createDataFrame([(1, "\n".join(texts))], "doc_id long, text string"), scanner).collect()}
-    for i, t in enumerate(texts):
-        p = scanner.probabilities(t)
-        best = scanner.classes[p.index(max(p))]
-        assert (i in got) == (best != license.UNKNOWN)
-        if i in got:
-            assert got[i]["family"] == best and got[i]["probability"] == pytest.approx(max(p), abs=1e-5)
+    texts = ["\n".join(t for ts in license.TEMPLATES.values() for t in ts), "plain prose of the license of work\nVersion 2.0 of MIT", "\n".join([*license.OTHER, *OTHER_HELD_OUT])]
+    texts += [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    got = found(spark, texts, scanner)
+    want = {(i, p): v for i, t in enumerate(texts) for p, v in plain_scan(t or "", scanner).items()}
+    assert got.keys() == want.keys() and len(want) > 60
+    for k, (family, p, coverage) in want.items():
+        assert got[k]["family"] == family and got[k]["probability"] == pytest.approx(p, abs=1e-5) and got[k]["coverage"] == pytest.approx(coverage, abs=1e-5)
 
 
 def test_license_odd(spark, odd, scanner):
     rows = [(None, "Released under the MIT License.", "en", "a", 1, "x"), (1, "Released under the MIT License.", "en", "a", 1, "x"), (1, "Released under the MIT License.", "en", "a", 1, "x"), (2, None, None, None, None, None), (3, "", "en", "a", 0, "x")]
+    rows += [(4, "word " * 40000 + "\nReleased under the MIT License.", "en", "a", 0, "x")]
     got = license.scan(odd("family", rows), scanner).collect()
-    assert sorted((r["doc_id"] or 0, r["family"]) for r in got) == [(0, "mit"), (1, "mit")]
+    assert sorted((r["doc_id"] or 0, r["family"]) for r in got) == [(0, "mit"), (1, "mit"), (4, "mit")]
     assert license.scan(odd(rows=[]), scanner).count() == 0
     assert license.scan(odd(), scanner).count() == 0
