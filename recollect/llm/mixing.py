@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from recollect.llm.common import unit_hash
 
+#: Highest mean that is drawn at once; ``exp(-rate)`` of higher ones would leave the range of doubles.
+MOST_RATE = 500
 #: Sources up to this many have their rates broadcast (about 4 MB); beyond, rates are joined by shuffle.
 BROADCAST_SOURCES = 20_000
 
@@ -51,16 +53,15 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float |
 
     Each row gets a Poisson number of copies whose mean is its source's rate.
     The number comes from a hash of (seed, doc_id), so reruns, other
-    partitionings and lost executors give the same rows. Of a rate above 700
-    the integer part is taken as it is and only the rest is drawn, as
-    ``exp(-rate)`` would leave the range of doubles.
+    partitionings and lost executors give the same rows. A rate above MOST_RATE
+    is drawn as the sum of equal Poisson parts, each from a hash of its own.
 
     Columns: those of ``docs`` (they win over clashing names: an incoming
     ``copy``, ``n_copies`` or ``shuffle_key`` is replaced), then ``copy`` (from 0),
     ``n_copies`` and ``shuffle_key``. Rows are dealt by ``shuffle_key`` and sorted
     by it within partitions, so any prefix of a partition is a fair mix.
-    Null source is a source of its own; a null doc_id hashes as ``null``, and
-    repeated rows get the same number of copies; text, also null, is carried along. An empty table
+    Null source is a source of its own; a null doc_id counts by its text, and
+    repeated rows get the same number of copies; text, also null or very long, is carried along. An empty table
     gives an empty result; n_copies 0 leaves the result.
     """
     own = [c for c in docs.columns if c not in ("copy", "n_copies", "shuffle_key")]
@@ -68,14 +69,16 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float |
     rates = source_rates(docs, weights, total, alpha).select(F.col("source").alias("_s"), F.col("rate").alias("_rate"))
     known = rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     rated = docs.join(F.broadcast(rates) if known else rates, F.col("source").eqNullSafe(F.col("_s")))
-    whole = F.when(F.col("_rate") > 700, F.floor("_rate")).otherwise(F.lit(0)).cast("int")
-    rest = F.col("_rate") - whole
+    who = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.coalesce(F.md5("text"), F.lit(""))))
+    parts = F.ceil(F.col("_rate") / MOST_RATE).cast("int")
+    each = F.when(parts > 1, F.col("_rate") / parts).otherwise(F.col("_rate"))
     # beyond this many terms the tail weighs less than the 2**-49 that the hash can tell apart
-    terms = (rest + 12 * F.sqrt(rest) + 40).cast("int")
-    n = whole + poisson_count(unit_hash(F.lit(seed), F.col("doc_id")), rest, terms)
+    terms = (each + 12 * F.sqrt(each) + 40).cast("int")
+    many = F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda a, i: a + poisson_count(unit_hash(F.lit(seed), who, i), each, terms))
+    n = F.when(parts > 1, many).otherwise(poisson_count(unit_hash(F.lit(seed), who), each, terms))
     drawn = rated.select(*own, n.alias("n_copies")).where("n_copies > 0")
     copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
-    keyed = copies.withColumn("shuffle_key", F.xxhash64(F.lit(seed), "doc_id", "copy", F.length("text")))
+    keyed = copies.withColumn("shuffle_key", F.xxhash64(F.lit(seed), "doc_id", "copy", "text"))
     return keyed.select(*own, "copy", "n_copies", "shuffle_key").repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 
@@ -83,7 +86,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float |
 MIX_SQL = """
 with recursive n as (select source, count(*) as n from {docs} group by source),
 r as (select source, sqrt(n::double) * (select sum(n) from n)::double / (select sum(sqrt(n::double)) from n) / n as rate from n),
-u as (select d.*, r.rate, (('0x' || substr(md5('17:' || coalesce(cast(d.doc_id as varchar), 'null')), 1, 12))::bigint::double + 0.5) / 281474976710656.0 as u
+u as (select d.*, r.rate, (('0x' || substr(md5('17:' || coalesce(cast(d.doc_id as varchar), 'null:' || coalesce(md5(d.text), ''))), 1, 12))::bigint::double + 0.5) / 281474976710656.0 as u
       from {docs} d join r on d.source is not distinct from r.source),
 k as (select distinct source, rate, 0 as k, exp(-rate) as p, exp(-rate) as cdf from r
       union all select source, rate, k + 1, p * rate / (k + 1), cdf + p * rate / (k + 1) from k where k < (rate + 12 * sqrt(rate) + 40)),

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,13 +11,15 @@ from pyspark.sql import functions as F
 
 from recollect.session import Cut
 
-#: Mean number of queries in a block; a block (about 1 MB) is broadcast and all rows are scored against it.
-BLOCK = 1500
+#: Mean number of queries in a block; a block (some 12 MB) is broadcast and all rows are scored against it, TILE queries at a time.
+BLOCK, TILE = 12_000, 1500
 #: Bins of a histogram; each round narrows a query's interval by this factor.
 BINS = 256
 #: Rows scored at a time.
 ROWS = 512
-_NONE = -(1 << 62)
+#: Scores are held to 64 bits, less the least value, which marks a query's own rows.
+_NONE, _MOST = -(1 << 63), (1 << 63) - 1
+_FLIP = np.uint64(1 << 63)
 
 
 def _quantised(column: pa.Array, scale: float):
@@ -38,14 +39,32 @@ def _quantised(column: pa.Array, scale: float):
 
 
 def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Integer inner products, exact: float64 while they fit 53 bits, else Python integers held to 64 bits."""
+    """Integer inner products, exact: float64 where they fit 53 bits, else Python integers held to 64 bits."""
     if not q.size or not c.size:
         return np.zeros((len(q), len(c)), dtype=np.int64)
-    if float(np.abs(q).max()) * float(np.abs(c).max()) * q.shape[1] < 2.0**53:
+    qm, cm = np.abs(q).max(axis=1), np.abs(c).max(axis=1)
+    fits = 2.0**53 / q.shape[1]
+    if float(qm.max()) * float(cm.max()) < fits:
         return (q @ c.T).astype(np.int64)
+    out = np.zeros((len(q), len(c)), dtype=np.int64)
+    wide_q, wide_c = qm * float(cm.min()) >= fits, cm * float(qm.min()) >= fits
+    few_q, few_c = np.nonzero(~wide_q)[0], np.nonzero(~wide_c)[0]
+    if len(few_q) and len(few_c) and float(qm[few_q].max()) * float(cm[few_c].max()) < fits:
+        out[np.ix_(few_q, few_c)] = (q[few_q] @ c[few_c].T).astype(np.int64)
+    else:
+        wide_q[:] = True
     big = np.vectorize(int, otypes=[object])
-    s = big(q) @ big(c).T
-    return np.clip(s, _NONE + 1, -_NONE).astype(np.int64)
+    held = lambda s: np.clip(s, -_MOST, _MOST).astype(np.int64)
+    if wide_q.any():
+        out[wide_q] = held(big(q[wide_q]) @ big(c).T)
+    if wide_c.any() and not wide_q.all():
+        out[np.ix_(~wide_q, wide_c)] = held(big(q[~wide_q]) @ big(c[wide_c]).T)
+    return out
+
+
+def _order(scores: np.ndarray) -> np.ndarray:
+    """Scores as unsigned numbers of the same order, whose differences never overflow."""
+    return scores.view(np.uint64) ^ _FLIP
 
 
 class _Block:
@@ -66,14 +85,15 @@ class _Block:
             for rows, m in _quantised(batch.column("vec"), scale):
                 if m.shape[1] not in self.parts:
                     continue
-                at, qid, q = self.parts[m.shape[1]]
-                for lo in range(0, len(rows), ROWS):
-                    cid = ids[rows[lo : lo + ROWS]]
-                    s = _scores(q, m[lo : lo + ROWS])
-                    own = np.minimum(np.searchsorted(qid, cid), len(qid) - 1)
-                    same = np.nonzero(qid[own] == cid)[0]
-                    s[own[same], same] = _NONE
-                    yield at, cid, s
+                for t in range(0, len(self.parts[m.shape[1]][0]), TILE):
+                    at, qid, q = (x[t : t + TILE] for x in self.parts[m.shape[1]])
+                    for lo in range(0, len(rows), ROWS):
+                        cid = ids[rows[lo : lo + ROWS]]
+                        s = _scores(q, m[lo : lo + ROWS])
+                        own = np.minimum(np.searchsorted(qid, cid), len(qid) - 1)
+                        same = np.nonzero(qid[own] == cid)[0]
+                        s[own[same], same] = _NONE
+                        yield at, cid, s
 
 
 def _histogram(block, low, high, width, k, scale):
@@ -81,11 +101,11 @@ def _histogram(block, low, high, width, k, scale):
         b, n = block.value, len(block.value.ids)
         counts = np.zeros((n, BINS), dtype=np.int64)
         for at, _, s in b.scored(batches, scale):
-            bins = (s - low[at][:, None]) // width[at][:, None]
+            u = _order(s)
             # the last bin may reach beyond the interval, where scores are already counted
-            inside = (bins >= 0) & (s < high[at][:, None])
-            q, c = np.nonzero(inside)
-            counts += np.bincount(at[q] * BINS + bins[q, c], minlength=n * BINS).reshape(n, BINS)
+            q, c = np.nonzero((u >= low[at][:, None]) & (u <= high[at][:, None]))
+            bins = ((u[q, c] - low[at[q]]) // width[at[q]]).astype(np.int64)
+            counts += np.bincount(at[q] * BINS + bins, minlength=n * BINS).reshape(n, BINS)
         # a bin below the kth largest score of this partition cannot hold the kth of all
         above = np.cumsum(counts[:, ::-1], axis=1)[:, ::-1] - counts
         q, c = np.nonzero((counts > 0) & (above < k))
@@ -107,7 +127,7 @@ def _chosen(block, floor, k, scale):
     def run(batches):
         b, held, size = block.value, [], 0
         for at, cid, s in b.scored(batches, scale):
-            q, c = np.nonzero((s >= floor[at][:, None]) & (s != _NONE))
+            q, c = np.nonzero((_order(s) >= floor[at][:, None]) & (s != _NONE))
             held.append((at[q], cid[c], s[q, c]))
             size += len(q)
             if size > 1_000_000:
@@ -145,7 +165,7 @@ def exact_topk(vectors: DataFrame, query_rows, k: int = 10, scale: float = 1024.
 
     Rows with a null id, a null vector or null or non-finite components take
     no part. Vectors of another length than the query's are not its candidates.
-    A query's candidates exclude all rows with its id; of several query rows with one
+    Scores beyond 64 bits count as the greatest or least long. A query's candidates exclude all rows with its id; of several query rows with one
     id the smallest vector asks. Rows repeated under one id are ranked each. Fewer than k candidates give
     fewer rows; an empty table gives none. Other columns are ignored.
     """
@@ -166,15 +186,18 @@ def exact_topk(vectors: DataFrame, query_rows, k: int = 10, scale: float = 1024.
         if not n:
             continue
         shared = spark.sparkContext.broadcast(block)
-        low, width, above = np.zeros(n, np.int64), np.ones(n, np.int64), np.zeros(n, np.int64)
+        # intervals in the order of ``_order``, both ends included
+        low, high, above = np.ones(n, np.uint64), np.full(n, ~np.uint64(0)), np.zeros(n, np.int64)
         for size, (at, _, q) in block.parts.items():
-            reach = np.minimum(np.sqrt((q * q).sum(axis=1)) * norms.get(size, 0.0) * (1 + 1e-9) + 1, 2.0**61).astype(np.int64)
-            low[at], width[at] = -reach, (2 * reach + 1 + BINS - 1) // BINS
-        high = low + BINS * width
-        floor, open_ = low.copy(), np.ones(n, dtype=bool)
+            reach = np.sqrt((q * q).sum(axis=1)) * norms.get(size, 0.0) * (1 + 1e-9) + 1
+            near = reach < 2.0**62  # others may hold any score
+            far = np.where(near, reach, 0.0).astype(np.uint64)
+            low[at], high[at] = np.where(near, _FLIP - far, low[at]), np.where(near, _FLIP + far, high[at])
+        wide = lambda: (high - low) // np.uint64(BINS) + np.uint64(1)
+        width, floor, open_ = wide(), low.copy(), np.ones(n, dtype=bool)
         while open_.any():
-            top = np.where(open_, low, 1 << 61)  # settled queries count nothing more
-            got = rows.mapInArrow(_histogram(shared, top, high, width, k, scale), "q int, bin int, n long")
+            top = np.where(open_, high, np.uint64(0))  # settled queries count nothing more
+            got = rows.mapInArrow(_histogram(shared, low, top, width, k, scale), "q int, bin int, n long")
             got = got.groupBy("q", "bin").agg(F.sum("n").alias("n")).toArrow()
             counts = np.zeros((n, BINS), dtype=np.int64)
             counts[np.asarray(got["q"]), np.asarray(got["bin"])] = np.asarray(got["n"])
@@ -183,19 +206,21 @@ def exact_topk(vectors: DataFrame, query_rows, k: int = 10, scale: float = 1024.
             bin_ = np.where(enough.any(axis=1), BINS - 1 - np.argmax(enough[:, ::-1], axis=1), 0)
             here = np.arange(n)
             within = upto[here, bin_]
-            lower = low + bin_ * width
+            lower = low + bin_.astype(np.uint64) * width
             floor = np.where(open_, lower, floor)
             settled = (width == 1) | (within <= 4 * k) | ~enough.any(axis=1)
             above = np.where(open_, within - counts[here, bin_], above)
-            low, high = np.where(open_, lower, low), np.where(open_, np.minimum(high, lower + width), high)
-            width = np.where(open_ & ~settled, (width + BINS - 1) // BINS, width)
+            high = np.where(open_, lower + np.minimum(width - np.uint64(1), high - lower), high)
+            low = np.where(open_, lower, low)
+            width = np.where(open_ & ~settled, wide(), width)
             open_ &= ~settled
         best = rows.mapInArrow(_chosen(shared, floor, k, scale), "query_id long, vec_id long, score long")
-        found.append(Cut(best, "topk").df)
+        found.append(Cut(best, "topk").path)
+        shared.unpersist()
     if not found:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = reduce(DataFrame.union, found).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = spark.read.schema("query_id long, vec_id long, score long").parquet(*found).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 

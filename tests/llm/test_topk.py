@@ -6,12 +6,15 @@ from pyspark.sql import functions as F
 from recollect.llm import queries, topk
 
 
+MOST = (1 << 63) - 1
+
+
 def brute(rows, k=10):
     ok = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
     for q, a in ok:
         if q % 100 == 0:
-            s = sorted(((-sum(x * y for x, y in zip(a, b)), i) for i, b in ok if i != q and len(b) == len(a)))[:k]
+            s = sorted(((-max(-MOST, min(MOST, sum(x * y for x, y in zip(a, b)))), i) for i, b in ok if i != q and len(b) == len(a)))[:k]
             out += [(q, r, i, -s) for r, (s, i) in enumerate(s, 1)]
     return out
 
@@ -29,13 +32,21 @@ def test_ties_blocks_and_odd_rows(spark, monkeypatch):
     rows += [(2000, None), (2100, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (2200, [float("nan")] * 6), (2300, [float("inf")] + [0.0] * 5), (2400, [1.0, 2.0]), (2401, [0.5, 0.5]), (None, [1.0] * 6), (2500, []), (2600, [1e30, 1.0, 0.0, 0.0, 0.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("clash"))
     got = sorted(tuple(r) for r in topk.exact_topk(df, F.col("vec_id") % 100 == 0).collect())
-    small = [r for r in rows if r[0] != 2600]
-    want = sorted(brute(small))
-    big = {r[0] for r in got if r[0] == 2600}
-    assert big == {2600}
-    # the huge vector tops some lists; without it they are those of brute force
-    rest = sorted(tuple(r) for r in topk.exact_topk(df.where("vec_id <> 2600 or vec_id is null"), F.col("vec_id") % 100 == 0).collect())
-    assert rest == want
+    want = sorted(brute([(i, [float(np.float32(x)) if x is not None else None for x in v] if v is not None else None) for i, v in rows]))
+    assert got == want and any(abs(r[3]) > 1 << 53 for r in got)
+
+
+def test_scores_beyond_53_bits(spark):
+    rows = [(100, [2.0**31, 2.0**31]), (1, [2.0**31, 2.0**30]), (2, [2.0**31, 2.0**30 - 1]), (3, [1.0, 0.0]), (4, [-(2.0**31), -(2.0**30)]), (5, [2.0**31, 2.0**31 - 1]), (200, [3.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in topk.exact_topk(df, F.col("vec_id") % 100 == 0, scale=1.0).collect())
+    exact = lambda q, v: sum(int(a) * int(b) for a, b in zip(q, v))
+    want = []
+    for q, a in rows:
+        if q % 100 == 0:
+            best = sorted((-min(exact(a, v), (1 << 63) - 1), i) for i, v in rows if i != q)
+            want += [(q, r, i, -s) for r, (s, i) in enumerate(best[:10], 1)]
+    assert got == sorted(want) and (100, 2, 1, 6917529027641081856) in got
 
 
 def test_few_rows(spark):
