@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recollect.session import Cut
+
 #: Length of a q-gram and of a tested segment of an item, the shortest passage of a longer item that must be caught, in normalised characters.
 Q, SEGMENT = 10, 80
 #: Edits allowed: one in so many characters of the segment.
@@ -19,8 +21,12 @@ EDIT_EVERY = 16
 BAND = 16
 #: Segments aligned at a time.
 ROWS = 2048
-#: Characters of benchmark text in a block, whose index (some 20 bytes a character) is broadcast.
-BLOCK_CHARS = 4_000_000
+#: Characters of benchmark text in a block, whose index (some 20 bytes a character) is broadcast; blocks that one pass over the documents takes.
+BLOCK_CHARS, BLOCKS = 4_000_000, 4
+#: Longest piece of an item; longer items are cut into pieces that overlap by all but one character of a segment.
+PIECE = 4096
+#: Shared q-grams that are counted at a time, and characters of a piece of a document that has more.
+HITS, WINDOW = 2_000_000, 2048
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _junk = re.compile(r"[\W_]+")
 
@@ -119,14 +125,23 @@ def aligned(item: np.ndarray, starts: np.ndarray, w: int, text: np.ndarray, low:
     return edits, ends
 
 
-class Index:
-    """The q-grams of a block of benchmark items: hash -> places in the items laid end to end."""
+def pieces(text: str) -> list[tuple[int, str]]:
+    """(start, piece) of an item; every segment lies in some piece."""
+    if len(text) <= PIECE:
+        return [(0, text)]
+    return [(s, text[s : s + PIECE]) for s in range(0, len(text) - SEGMENT + 1, PIECE - SEGMENT + 1)]
 
-    def __init__(self, items: list[tuple[int, str]]):
-        texts = [(i, normalise(t)) for i, t in items]
-        texts = [(i, t) for i, t in texts if len(t) >= Q]
-        self.ids = np.array([i for i, _ in texts], dtype=np.int64)
-        self.texts = [t for _, t in texts]
+
+class Index:
+    """The q-grams of a block of benchmark items: hash -> places in the items' pieces laid end to end."""
+
+    def __init__(self, items: list[tuple[int | None, str]]):
+        whole = [(i, normalise(t)) for i, t in items]
+        cut = [(n, s, x) for n, (_, t) in enumerate(whole) if len(t) >= Q for s, x in pieces(t)]
+        #: Ids of the items; then item number, start in the item and text of each piece.
+        self.ids = [i for i, _ in whole]
+        self.owner, self.offset = [n for n, _, _ in cut], [s for _, s, _ in cut]
+        self.texts = [x for _, _, x in cut]
         self.starts = np.cumsum([0, *[len(t) for t in self.texts]])
         self.least = np.array([budget(min(SEGMENT, len(t)))[1] for t in self.texts], dtype=np.int64)
         self.slack = np.array([budget(min(SEGMENT, len(t)))[0] for t in self.texts], dtype=np.int64)
@@ -136,6 +151,8 @@ class Index:
         order = np.argsort(h, kind="stable")
         self.place = place[order]
         self.hash, self.first, self.count = np.unique(h[order], return_index=True, return_counts=True)
+        #: Number of the q-gram and place as one ascending number, by which the places of a range of pieces are found.
+        self.ranked = np.repeat(np.arange(len(self.hash)), self.count) * int(self.starts[-1] + 1) + self.place
         self.seen = np.zeros(1 << 20, dtype=bool)
         self.seen[self._slot(self.hash)] = True
 
@@ -144,8 +161,12 @@ class Index:
         return (h * _MIX) >> np.uint64(44)
 
     def hits(self, texts: list[str]):
-        """Verified (text number, item number, span start, span end, edits, segments) of texts already normalised, by diagonal band."""
-        if not len(self.hash):
+        """(text number, item number, span start, span end, edits, starts in the item) of verified segments of texts already normalised.
+
+        At most some HITS shared q-grams are held at a time. Texts that have more are cut into windows that overlap by what a segment
+        and its edits span, and windows that have more meet the pieces of the benchmark in ranges.
+        """
+        if not len(self.hash) or not texts:
             return
         sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
         begins = np.cumsum(sizes) - sizes
@@ -155,12 +176,52 @@ class Index:
         real = self.hash[at] == h[maybe]
         where, at = maybe[real], at[real]
         many = self.count[at]
-        doc_at = np.repeat(where, many)
-        inner = np.arange(len(doc_at)) - np.repeat(np.cumsum(many) - many, many)
-        item_at = self.place[np.repeat(self.first[at], many) + inner]
-        doc = np.searchsorted(begins, doc_at, side="right") - 1
+        doc = np.searchsorted(begins, where, side="right") - 1
+        per = np.bincount(doc, many, minlength=len(texts)).astype(np.int64)
+        if int(per.sum()) <= HITS:
+            yield from self._counted(texts, sizes, doc, where - begins[doc], at, 0, len(self.texts))
+            return
+        if len(texts) > 1:  # texts of more than HITS alone, of the others as many at once as stay near that
+            alone = per > HITS
+            group = np.where(alone, -1 - np.arange(len(texts)), np.cumsum(np.where(alone, 0, per)) // HITS)
+            for g in np.unique(group):
+                some = np.nonzero(group == g)[0]
+                for n, *found in self.hits([texts[k] for k in some]):
+                    yield (int(some[n]), *found)
+            return
+        text, over = texts[0], SEGMENT + 2 * (SEGMENT // EDIT_EVERY)
+        if len(text) > WINDOW + over:
+            for s in range(0, len(text), WINDOW):
+                for _, i, a, b, edits, found in self.hits([text[s : s + WINDOW + over]]):
+                    yield 0, i, a + s, b + s, edits, found
+            return
+        total = int(self.starts[-1] + 1)
+        low = 0
+        while low < len(self.texts):  # ranges of pieces, each of at most HITS shared q-grams or a single piece
+            high = min(len(self.texts), low + max(1, (len(self.texts) * HITS) // int(per.sum())))
+            first = np.searchsorted(self.ranked, at * total + self.starts[low])
+            last = np.searchsorted(self.ranked, at * total + self.starts[high])
+            while high > low + 1 and int((last - first).sum()) > HITS:
+                high = low + (high - low) // 2
+                last = np.searchsorted(self.ranked, at * total + self.starts[high])
+            some = np.nonzero(last > first)[0]
+            yield from self._counted(texts, sizes, doc[some], where[some], at[some], low, high)
+            low = high
+
+    def _counted(self, texts, sizes, doc, place, at, low, high):
+        """Hits of the q-grams ``at``, which texts ``doc`` have at ``place``, in the pieces from low to high, counted by diagonal band."""
+        total = int(self.starts[-1] + 1)
+        if low == 0 and high == len(self.texts):
+            first, many = self.first[at], self.count[at]
+        else:
+            first = np.searchsorted(self.ranked, at * total + self.starts[low])
+            many = np.searchsorted(self.ranked, at * total + self.starts[high]) - first
+        d = np.repeat(place, many)
+        doc = np.repeat(doc, many)
+        inner = np.arange(len(d)) - np.repeat(np.cumsum(many) - many, many)
+        item_at = self.place[np.repeat(first, many) + inner]
         item = np.searchsorted(self.starts, item_at, side="right") - 1
-        d, p = doc_at - begins[doc], item_at - self.starts[item]
+        p = item_at - self.starts[item]
         band = (d - p) // BAND
         # the first ``slack`` diagonals of a band belong to the one before as well, so that any path of that many edits lies in one band
         also = np.nonzero((d - p) - band * BAND < self.slack[item])[0]
@@ -169,7 +230,7 @@ class Index:
             return
         width = int(sizes.max()) // BAND + 2
         deep = int(max(map(len, self.texts))) // BAND + 2
-        key = (doc * len(self.ids) + item) * (width + deep + 2) + band + deep + 1
+        key = (doc * len(self.texts) + item) * (width + deep + 2) + band + deep + 1
         order = np.argsort(key, kind="stable")
         edges = np.nonzero(np.diff(key[order], prepend=key[order][:1] - 1))[0]
         counts = np.diff(np.r_[edges, len(order)])
@@ -177,9 +238,10 @@ class Index:
         for e in np.nonzero(counts >= self.least[item[heads]])[0]:
             rows = order[edges[e] : edges[e] + counts[e]]
             n, i = int(doc[rows[0]]), int(item[rows[0]])
-            yield from self._verified(n, i, texts[n], int(band[rows[0]]) * BAND, p[rows], d[rows] - p[rows])
+            for start, end, edits, found in self._verified(i, texts[n], int(band[rows[0]]) * BAND, p[rows], d[rows] - p[rows]):
+                yield n, self.owner[i], start, end, edits, found + self.offset[i]
 
-    def _verified(self, n, i, text, low, p, d):
+    def _verified(self, i, text, low, p, d):
         item, y = codes(self.texts[i]), codes(text)
         w = min(SEGMENT, len(item))
         most, need = budget(w)
@@ -203,31 +265,52 @@ class Index:
             edits[rest], ends[rest] = aligned(item, part[rest], w, y, low - most, low + BAND + 2 * most, most)
             good = edits <= most
             if good.any():
-                yield n, i, int(ends[good].min()) - w, int(ends[good].max()), int(edits[good].min()), int(good.sum())
+                yield int(ends[good].min()) - w, int(ends[good].max()), int(edits[good].min()), part[good]
+
+
+def _parts(column):
+    """(first row, normalised texts) of a column, some 500,000 characters at a time."""
+    at = 0
+    while at < len(column):
+        part, size, first = [], 0, at
+        while at < len(column) and size < 500_000:
+            part.append(normalise(column[at].as_py()))
+            size += len(part[-1])
+            at += 1
+        yield first, part
 
 
 def _scan(shared):
     def run(batches):
-        index = shared.value
         for batch in batches:
-            ids, tks, texts = batch.column("doc_id"), batch.column("tk"), batch.column("text")
-            out, at = [], 0
-            while at < len(texts):
-                part, size, first = [], 0, at
-                while at < len(texts) and size < 500_000:
-                    part.append(normalise(texts[at].as_py()))
-                    size += len(part[-1])
-                    at += 1
-                best: dict = {}
-                for n, i, s, e, edits, k in index.hits(part):
-                    was = best.get((n, i))
-                    best[n, i] = (min(s, was[0]), max(e, was[1]), min(edits, was[2]), was[3] + k) if was else (s, e, edits, k)
-                out += [(ids[first + n].as_py(), tks[first + n].as_py(), int(index.ids[i]), max(0, s), e, edits, k) for (n, i), (s, e, edits, k) in sorted(best.items())]
+            ids, tks, out = batch.column("doc_id"), batch.column("tk"), []
+            for first, part in _parts(batch.column("text")):
+                for block in shared:
+                    best: dict = {}
+                    for n, i, s, e, edits, found in block.value.hits(part):
+                        was = best.get((n, i))
+                        best[n, i] = (min(s, was[0]), max(e, was[1]), min(edits, was[2]), np.union1d(was[3], found)) if was else (s, e, edits, found)
+                    out += [(ids[first + n].as_py(), tks[first + n].as_py(), block.value.ids[i], max(0, s), e, edits, len(found)) for (n, i), (s, e, edits, found) in sorted(best.items())]
             yield pa.RecordBatch.from_pylist([dict(zip(_HITS.names, r)) for r in out], schema=_HITS)
 
     return run
 
 
+def _clean(shared, at: int):
+    """Batches without the rows whose text (column ``at``) shares a passage with a block."""
+
+    def run(batches):
+        for batch in batches:
+            keep = np.ones(batch.num_rows, dtype=bool)
+            for first, part in _parts(batch.column(at)):
+                for block in shared:
+                    for n, *_ in block.value.hits(part):
+                        keep[first + n] = False
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
 _HITS = pa.schema([("doc_id", pa.int64()), ("tk", pa.int64()), ("item_id", pa.int64()), ("span_start", pa.int64()), ("span_end", pa.int64()), ("edits", pa.int32()), ("matches", pa.int32())])
 
 
@@ -243,27 +326,34 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     verifies the segments that reach it. No match is lost to the filter. Spans are places in
     the normalised text, edits the fewest of any segment, matches the number of verified segments.
 
-    The benchmark is taken in blocks of BLOCK_CHARS characters, each one
-    broadcast and scanned against all documents, so its size is not limited;
+    The benchmark is taken in blocks of BLOCK_CHARS characters, BLOCKS of which are
+    broadcast and met by one pass over the documents, so its size is not limited;
     documents never shuffle. Null or empty texts and items shorter than Q
-    normalised characters share nothing; null doc_ids are kept as null; repeated rows of documents repeat
-    in the result; other columns are ignored; empty tables give an empty result.
+    normalised characters share nothing; rows of null item_id are items of their own, by text; null doc_ids are kept as null; repeated rows of documents repeat
+    in the result; texts of any length are read whole; other columns are ignored; empty tables give an empty result.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
-    total = items.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
-    blocks = max(1, math.ceil(total / BLOCK_CHARS))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tk"), "text")
-    found = []
-    for b in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        shared = spark.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in part.collect()]))
-        found.append(rows.mapInArrow(_scan(shared), "doc_id long, tk long, item_id long, span_start long, span_end long, edits int, matches int"))
+    found = [rows.mapInArrow(_scan(blocks), "doc_id long, tk long, item_id long, span_start long, span_end long, edits int, matches int") for blocks in _shared(benchmark)]
     return reduce(DataFrame.union, found)
 
 
+def _shared(benchmark: DataFrame):
+    """Broadcast indexes of the benchmark, BLOCKS at a time."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null").distinct()
+    total = items.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    blocks = max(1, math.ceil(total / BLOCK_CHARS))
+    for low in range(0, blocks, BLOCKS):
+        parts = [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect() for b in range(low, min(blocks, low + BLOCKS))]
+        yield [spark.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in part])) for part in parts]
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that share no passage with the benchmark, columns unchanged."""
-    hits = contaminated(docs, benchmark).select(F.col("doc_id").alias("_d"), F.col("tk").alias("_t")).distinct()
-    keyed = docs.withColumn("_tk", F.xxhash64("text"))
-    return keyed.join(hits, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_tk") == F.col("_t")), "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that share no passage with the benchmark, columns unchanged (see ``contaminated``).
+
+    The scan itself lets rows pass, so nothing is shuffled; between the passes of a large benchmark the rows left are written.
+    """
+    at = docs.columns.index("text")
+    for n, blocks in enumerate(_shared(benchmark)):
+        docs = (Cut(docs, "clean").df if n else docs).mapInArrow(_clean(blocks, at), docs.schema)
+    return docs

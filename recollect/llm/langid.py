@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,10 +15,11 @@ from recollect.llm.common import fold
 
 #: Character n-grams of 1 to this length, hashed to this many features.
 ORDER, FEATURES = 3, 1 << 14
-#: Bound of the labelled sample that is collected for training, in rows and in characters.
-SAMPLE, SAMPLE_CHARS = 3000, 12_000_000
+#: Bound of the labelled sample that is collected for training, in rows and in characters, and rows that each language has in it at least.
+SAMPLE, SAMPLE_CHARS, LEAST = 3000, 12_000_000, 50
 _M = np.uint64(0x9E3779B97F4A7C15)
-_other = re.compile(r"[\W\d_]+")
+#: Marks belong to the letters they stand on, as vowel signs do.
+_other = regex.compile(r"[^\p{L}\p{M}]+")
 
 
 def term_counts(text: str | None) -> np.ndarray | None:
@@ -65,13 +67,15 @@ class Model:
         return self.classes[k], float(p[k])
 
 
-def train(texts: list[str], langs: list[str], calibrate: list[bool], epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.001, seed: int = 8) -> Model:
+def train(texts: list[str], langs: list[str], calibrate: list[bool], weight: dict[str, float] | None = None, epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.001, seed: int = 8) -> Model:
     """Follow-the-regularised-leader with per-coordinate rates and elastic-net penalties, then a temperature.
 
-    Rows marked in ``calibrate`` set the temperature (all rows do, if none is marked) and no weight.
+    Rows marked in ``calibrate`` set the temperature (all rows do, if none is marked) and no weight. ``weight`` says how many rows of all
+    a language's row stands for, 1 by default: it shifts that language's bias and counts in the temperature's choice.
     """
     classes = sorted(set(langs))
     k = len(classes)
+    weight = weight or {}
     number = {c: i for i, c in enumerate(classes)}
     sparse: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     df = np.zeros(FEATURES)
@@ -96,7 +100,7 @@ def train(texts: list[str], langs: list[str], calibrate: list[bool], epochs: int
         w[np.abs(z[at]) <= l1] = 0.0
         return w
 
-    for _ in range(epochs):
+    for _ in range(max(epochs, 2000 // max(1, len(fit)))):  # few rows need more turns
         for i in rng.permutation(np.array(fit, dtype=np.int64)) if fit else []:
             at, x = sparse[int(i)]
             at, x = np.r_[at, FEATURES], np.r_[x, 1.0]
@@ -110,31 +114,41 @@ def train(texts: list[str], langs: list[str], calibrate: list[bool], epochs: int
             z[at] += g - sigma * w
             n[at] += g * g
     w = weights(np.arange(FEATURES + 1))
-    model.weights, model.bias = w[:-1], w[-1]
+    model.weights, model.bias = w[:-1], w[-1] + np.log([weight.get(c, 1.0) for c in classes])
     if rest and k > 1:
         logits = np.array([sparse[i][1] @ model.weights[sparse[i][0]] + model.bias for i in rest])
         truth = np.array([number[langs[i]] for i in rest])
 
+        counts = np.array([weight.get(langs[i], 1.0) for i in rest])
+
         def loss(t):
             s = logits / t
             s = s - s.max(axis=1, keepdims=True)
-            return float((np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(rest)), truth]).mean())
+            return float(((np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(rest)), truth]) * counts).sum())
 
         model.temperature = float(min(np.exp(np.linspace(np.log(0.05), np.log(5), 80)), key=loss))
     return model
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Train on at most ``sample`` rows, chosen by a hash of doc_id, outside fold 0 with text and lang; fold 1 calibrates."""
+    """Train on a sample outside fold 0 with text and lang, chosen by a hash of doc_id; fold 1 calibrates.
+
+    Each language has an equal share of ``sample`` rows, or LEAST, or all it has, so that none is lost however rare; its rows
+    then count as its share of all labelled rows says.
+    """
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0)).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     known = known.where(fold(F.col("doc_id")) != 0)
-    size = known.agg(F.count(F.lit(1)).alias("n"), F.avg(F.length("text")).alias("chars")).first()
-    share = min(1.0, sample / max(1, size["n"]), SAMPLE_CHARS / max(1.0, size["n"] * (size["chars"] or 0.0)))
-    span = 1 << 24
-    chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(span)) < int(share * span) + (share == 1.0))
-    rows = chosen.select("text", "lang", (fold(F.col("doc_id")) == 1).alias("c"), "doc_id").limit(2 * sample).toArrow().to_pylist()
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.avg(F.length("text")).alias("chars")).collect()
+    each = max(LEAST, sample // max(1, len(sizes)))
+    span, chosen = 1 << 24, F.lit(False)
+    for r in sizes:
+        share = min(1.0, each / r["n"], max(LEAST / r["n"], SAMPLE_CHARS / len(sizes) / max(1.0, r["n"] * r["chars"])))
+        chosen = chosen | ((F.col("lang") == r["lang"]) & (F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(span)) < int(share * span) + (share == 1.0)))
+    rows = known.where(chosen).select("text", "lang", (fold(F.col("doc_id")) == 1).alias("c"), "doc_id").toArrow().to_pylist()
     rows.sort(key=lambda r: (r["doc_id"], r["lang"], r["text"]))
-    return train([r["text"] for r in rows], [r["lang"] for r in rows], [r["c"] for r in rows])
+    total, drawn = sum(r["n"] for r in sizes), Counter(r["lang"] for r in rows)
+    weight = {r["lang"]: r["n"] / total * len(rows) / drawn[r["lang"]] for r in sizes if drawn[r["lang"]]}
+    return train([r["text"] for r in rows], [r["lang"] for r in rows], [r["c"] for r in rows], weight)
 
 
 def _predicted(shared):

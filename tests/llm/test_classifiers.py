@@ -29,6 +29,20 @@ def test_language_sees_text_only(spark):
     assert a == b
 
 
+def test_language_keeps_rare_ones(spark, monkeypatch):
+    """A language of four rows in a thousand stays in a sample of sixty, and its words keep their vowel signs."""
+    monkeypatch.setattr(langid, "LEAST", 4)
+    rng = random.Random(8)
+    make = lambda letters: " ".join("".join(rng.choices(letters, k=5)) for _ in range(20))
+    rows = [(i, make("abcde"), "aa") for i in range(600)] + [(i, make("vwxyz"), "vv") for i in range(600, 1195)] + [(i, make("कखगाीु"), "hi") for i in range(1195, 1205)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, 60)
+    assert model.classes == ["aa", "hi", "vv"]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, ["doc_id"], model).collect()}
+    assert sum(got[i] == lang for i, _, lang in rows) >= 1200 and all(got[i] == "hi" for i, _, lang in rows if lang == "hi")
+    assert langid._other.sub(" ", "कि की, x") == "कि की x"
+
+
 def test_language_odd(spark, odd):
     rows = {(r["doc_id"], r["text"]): (r["lang_pred"], r["score"]) for r in langid.identify(odd("lang_pred"), ["doc_id", "text", "lang_pred"]).collect()}
     assert rows[3, None] == rows[2, ""] == rows[5, "\n\n \t\n"] == ("und", 0.0)

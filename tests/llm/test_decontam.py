@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from recollect.llm import decontam as D
 from recollect.llm import queries
@@ -88,7 +89,7 @@ def test_query(spark, sf):
 def test_odd(spark, odd):
     bench = spark.createDataFrame([(1, "Plain words stand here in one line"), (2, None), (3, ""), (None, "Plain words stand here"), (4, "tiny")], "item_id long, text string")
     hits = D.contaminated(odd("tk"), bench).collect()
-    assert sorted((r["doc_id"] or 0, r["item_id"]) for r in hits) == [(0, 1), (1, 1), (1, 1)]
+    assert sorted((r["doc_id"] or 0, r["item_id"] or 0) for r in hits) == [(0, 0), (0, 1), (1, 0), (1, 0), (1, 1), (1, 1)]
     kept = D.decontaminate(odd("tk"), bench)
     assert kept.columns == odd("tk").columns and kept.count() == 6
     assert D.contaminated(odd(rows=[]), bench).count() == 0 and D.contaminated(odd(), bench.limit(0)).count() == 0
@@ -119,3 +120,35 @@ def test_aligned():
         edits, ends = D.aligned(D.codes(a), starts, 30, D.codes(b), -len(a), len(b), 4)
         assert [int(e) for e in edits] == [min(plain_distance(a[s : s + 30], b), 5) for s in starts]
         assert all(e > 4 or 0 <= at <= len(b) for e, at in zip(edits, ends))
+
+
+@pytest.mark.parametrize("hits", [40, 2_000_000])
+def test_bounded_hits_change_nothing(spark, monkeypatch, hits):
+    """Templated items, runs of one letter, long items and texts: few shared q-grams at a time give what all at once give."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=5))
+    stem = " ".join(word() for _ in range(12))
+    items = [(i, f"{stem} {word()} {word()}") for i in range(12)] + [(50, "a" * 300), (51, " ".join(word() for _ in range(80))), (None, "null id " + " ".join(word() for _ in range(12)))]
+    docs = [(0, stem), (1, "x " * 30 + items[3][1] + " y" * 40), (2, "a" * 700), (3, " ".join(word() for _ in range(60))), (4, "b " + items[13][1][100:260] + " c"), (5, "z" + items[14][1]), (None, items[5][1]), (7, None), (8, "")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(D, "PIECE", 200)
+    monkeypatch.setattr(D, "WINDOW", 100)
+    index = D.Index(items)
+    want = {}
+    for n, (_, t) in enumerate(docs):
+        for _, i, s, e, edits, found in index.hits([D.normalise(t)]):
+            was = want.get((n, i), (s, e, edits, set()))
+            want[n, i] = (min(s, was[0]), max(e, was[1]), min(edits, was[2]), was[3] | set(found.tolist()))
+    monkeypatch.setattr(D, "HITS", hits)
+    got = {}
+    for n, i, s, e, edits, found in index.hits([D.normalise(t) for _, t in docs]):
+        was = got.get((n, i), (s, e, edits, set()))
+        got[n, i] = (min(s, was[0]), max(e, was[1]), min(edits, was[2]), was[3] | set(found.tolist()))
+    assert got == want and {(1, 3), (2, 12), (4, 13), (5, 14), (6, 5)} <= got.keys()
+    assert {(n, i) for n, i in got} == {(n, i) for n, (_, t) in enumerate(docs) for i, (_, x) in enumerate(items) if any(plain_distance(D.normalise(x)[s:e], D.normalise(t)) <= D.budget(e - s)[0] for s, e in D.segments(len(D.normalise(x))))}
+    if hits > 40:
+        monkeypatch.setattr(D, "BLOCK_CHARS", 150)
+        monkeypatch.setattr(D, "BLOCKS", 2)
+        assert {r["doc_id"] for r in D.decontaminate(d, b).collect()} == {d for n, (d, _) in enumerate(docs) if not any(k[0] == n for k in got)}
+        assert {(r["doc_id"], r["item_id"], r["matches"]) for r in D.contaminated(d, b).collect()} == {(docs[n][0], items[i][0], len(v[3])) for (n, i), v in got.items()}
