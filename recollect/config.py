@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+# Limits, sizes and thresholds of the operators.
 CHUNK_WORDS, CHUNK_OVERLAP, MAX_CHUNKS = 1400, 100, 8
 MAX_ENTITIES, MAX_RELATIONS, MAX_FACTS = 10, 10, 5
 MERGE_COSINE, MERGE_RATIO = 0.86, 0.5

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect import config
@@ -14,6 +14,15 @@ YEAR = r"(?i)^(19|20)\d{2}(\s*[-–—/to]+\s*((19|20)\d{2}\+?|present|now|\+))?
 NUMERIC = r"(?i)^[-+]?\$?\d[\d,.]*\s*(%|percent|kw|kv|mw|kg|tco2e?|tons?)?\+?$"
 
 
+def computed(rows: DataFrame, **cols: Column) -> DataFrame:
+    """``rows`` with columns that are computed once, however often later expressions use them.
+
+    The optimizer would put the expressions in place of their names, and a list function's body would compute them
+    for each member; it does not do so across a generator.
+    """
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in cols.items()]))))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
 

@@ -6,12 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect import config
-from recollect.functions.text import strip, words
+from recollect.functions.text import computed, strip, words
+
+
+def without_comments(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?s)<!--.*?-->", " ")
 
 
 def heading_blocks(text: Column) -> Column:
     """Blocks that begin at headings; comments are taken out first."""
-    return F.split(F.regexp_replace(text, r"(?s)<!--.*?-->", " "), r"\n(?=#{1,6}[^\S\n])", -1)
+    return F.split(without_comments(text), r"\n(?=#{1,6}[^\S\n])", -1)
 
 
 def sized_blocks(blocks: Column, size: int) -> Column:
@@ -58,14 +62,17 @@ def chunks_of(text: Column, size: int = config.CHUNK_WORDS, overlap: int = confi
     return F.filter(made, lambda c: F.size(words(c)) >= 3)
 
 
-def plain_chunks_of(text: Column, size: int, overlap: int) -> Column:
-    """``chunks_of`` for texts without headings, in closed form: pieces of ``size`` words, each led by the overlap."""
-    t = F.regexp_replace(text, r"(?s)<!--.*?-->", " ")
-    w = words(t)
-    starts = F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1)), F.lit(size))
-    lead = lambda i: F.when((i > 1) & F.lit(overlap > 0), F.concat(F.array_join(F.slice(w, F.greatest(i - overlap, F.lit(1)), F.least(F.lit(overlap), i - 1)), " "), F.lit("\n"))).otherwise(F.lit(""))
-    many = F.transform(starts, lambda i: F.concat(lead(i), F.array_join(F.slice(w, i, size), " ")))
-    return F.filter(F.when(F.size(w) <= size, F.array(strip(t))).otherwise(many), lambda c: F.size(words(c)) >= 3)
+def plain_chunks_of(text: str, word_list: str, size: int, overlap: int) -> Column:
+    """``chunks_of`` for texts without headings and comments, in closed form: pieces of ``size`` words, each led by the overlap.
+
+    ``text`` and ``word_list``, its words, name columns, so that the words are split once.
+    """
+    n = F.size(word_list)
+    lead = lambda i: F.least(F.lit(overlap), i - 1)
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1)), F.lit(size)), lambda i: F.least(F.lit(size), n - i + 1) + lead(i) >= 3)
+    join = lambda i, k: F.array_join(F.slice(word_list, i, k), " ")
+    many = F.transform(starts, lambda i: F.when(lead(i) > 0, F.concat(join(i - lead(i), lead(i)), F.lit("\n"), join(i, F.lit(size)))).otherwise(join(i, F.lit(size))))
+    return F.when(n < 3, F.array().cast("array<string>")).when(n <= size, F.array(strip(F.col(text)))).otherwise(many)
 
 
 def chunk_documents(docs: DataFrame, size: int | None = None, overlap: int | None = None, most: int | None = config.MAX_CHUNKS, text: str = "body") -> DataFrame:
@@ -76,10 +83,12 @@ def chunk_documents(docs: DataFrame, size: int | None = None, overlap: int | Non
     """
     size = config.CHUNK_WORDS if size is None else size
     overlap = config.CHUNK_OVERLAP if overlap is None else overlap
-    t = F.col(text)
-    headed = t.rlike(r"\n#{1,6}[^\S\n]")
-    made = F.when(headed, chunks_of(t, size, overlap)).otherwise(plain_chunks_of(t, size, overlap)) if overlap <= size else chunks_of(t, size, overlap)
+    rest = [c for c in docs.columns if c != text]
+    headed = F.lit(overlap > size) | F.coalesce(F.col(text).rlike(r"\n#{1,6}[^\S\n]"), F.lit(False))
+    rows = docs.select(*rest, F.col(text).alias("_body"), headed.alias("_headed"))
+    rows = computed(rows, _plain=F.when(~F.col("_headed"), without_comments(F.col("_body"))))
+    rows = computed(rows, _words=words(F.col("_plain")))
+    made = F.when(F.col("_headed"), chunks_of(F.col("_body"), size, overlap)).otherwise(plain_chunks_of("_plain", "_words", size, overlap))
     if most is not None:
         made = F.slice(made, 1, most)
-    rest = [c for c in docs.columns if c != text]
-    return docs.select(*rest, F.posexplode(made).alias("chunk", "text"))
+    return rows.select(*rest, F.posexplode(made).alias("chunk", "text"))

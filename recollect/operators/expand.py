@@ -24,13 +24,14 @@ def find_entity(nodes: DataFrame, entity: str, fuzzy: bool = True, cutoff: float
         .when((low == e) | F.exists("aliases", lambda a: F.lower(a) == e), 2)
         .when(F.contains(low, F.lit(e)), 3)
     )
-    found = nodes.withColumn("_p", rank)
+    found = nodes.withColumn("_p", rank).withColumn("_s", F.lit(None).cast("double")).where("_p is not null")
     if fuzzy:
-        # likeness is only computed where the cheap rules fail
-        found = found.withColumn("_s", F.when(F.col("_p").isNull(), ratio(low, F.lit(e)))).withColumn("_p", F.coalesce("_p", F.when(F.col("_s") >= cutoff, 4)))
-    else:
-        found = found.withColumn("_s", F.lit(None).cast("double"))
-    found = found.where("_p is not null")
+        # likeness only for projects in which the cheap rules find nothing, and names long and short enough to reach the cutoff
+        sure = Cut(found, "found").df
+        shorter, longer = F.least(F.length("name"), F.lit(len(e))), F.greatest(F.length("name"), F.lit(len(e)))
+        rest = nodes.join(sure.select("project").distinct(), "project", "left_anti").where(2 * shorter >= cutoff * (shorter + longer))
+        like = rest.withColumn("_p", F.lit(4)).withColumn("_s", ratio(low, F.lit(e))).where(F.col("_s") >= cutoff)
+        found = sure.unionByName(like)
     less_name = F.when(F.col("_p") == 4, low)
     order = F.struct(
         (-F.col("_p")).alias("p"), F.when(F.col("_p") == 3, F.col("degree")).alias("d"), F.col("_s").alias("s"), less_name.alias("n"), (-F.col("ord")).alias("o")
@@ -58,7 +59,8 @@ def hops(edges: DataFrame, start: DataFrame, depth: int = 1) -> DataFrame:
 def ego_relations(edges: DataFrame, nodes: DataFrame, centre: DataFrame, most: int = 25) -> DataFrame:
     """Edges at the centre, with node names where nodes are known; however deep the expansion, no others."""
     c = centre.select("project", F.col("id").alias("_c"))
-    at = edges.join(c, "project").where((F.col("source") == F.col("_c")) | (F.col("target") == F.col("_c")))
+    # few centres, one a project, so that the edges need no exchange
+    at = edges.join(F.broadcast(c), "project").where((F.col("source") == F.col("_c")) | (F.col("target") == F.col("_c")))
     s = nodes.select("project", F.col("id").alias("source"), F.col("name").alias("source_name"))
     t = nodes.select("project", F.col("id").alias("target"), F.col("name").alias("target_name"))
     named = at.join(s, ["project", "source"], "left").join(t, ["project", "target"], "left")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect import config
-from recollect.functions.text import clean_name, norm_type, parse_json
+from recollect.functions.text import clean_name, computed, norm_type, parse_json
 
 CHUNK = ["project", "file", "doc_ord", "chunk"]
 
@@ -33,18 +33,21 @@ def prompt(text: str, types: list[str] | None = None) -> str:
 
 
 def run_extractor(chunks: DataFrame, make: Callable[[], Extractor], attempts: int = 3, waits: tuple[float, ...] = (2, 5, 8)) -> DataFrame:
-    """``chunks`` with ``response`` and ``error`` from a provider, made once per task and retried per chunk."""
+    """``chunks`` with ``response`` and ``error`` from a provider, made once per task and retried per chunk.
+
+    After FAILED_LEAST chunks in a row have failed, a task takes the provider for down and asks no more.
+    """
     schema = chunks.drop("text").schema.simpleString()[len("struct<") : -1]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import time
 
-        ask = make()
+        ask, streak = make(), 0
         for pdf in batches:
             responses, errors = [], []
             for text in pdf["text"]:
-                response, error = None, None
-                for attempt in range(attempts):
+                response, error = None, f"not asked: {streak} chunks in a row had failed" if streak >= config.FAILED_LEAST else None
+                for attempt in range(attempts if error is None else 0):
                     try:
                         response, error = ask(text), None
                         break
@@ -52,6 +55,7 @@ def run_extractor(chunks: DataFrame, make: Callable[[], Extractor], attempts: in
                         error = str(e) or type(e).__name__
                         if attempt + 1 < attempts:
                             time.sleep(waits[min(attempt, len(waits) - 1)] if waits else 0)
+                streak = streak + 1 if error is not None else 0
                 responses.append(response)
                 errors.append(error)
             yield pdf.drop(columns=["text"]).assign(response=responses, error=errors)
@@ -59,23 +63,21 @@ def run_extractor(chunks: DataFrame, make: Callable[[], Extractor], attempts: in
     return chunks.mapInPandas(run, schema + ",response:string,error:string")
 
 
-def offline_extractor(text: Column) -> Column:
-    """A provider of Columns for use without a model, as JSON text.
+def run_offline(chunks: DataFrame) -> DataFrame:
+    """``chunks`` answered by a provider of Columns, for use without a model; answers are typed, not JSON text.
 
     Entities are the chunk's capitalised words of five letters or more, relations link each
     to the next, facts are the first sentences.
     """
-    tokens = F.split(text, r"[\s.,;:!?()\"'|#$%&*]+")
+    tokens = F.split("text", r"[\s.,;:!?()\"'|#$%&*]+")
     names = F.slice(F.array_distinct(F.filter(tokens, lambda w: w.rlike("^[A-Z][a-z]{4,}$"))), 1, config.MAX_ENTITIES)
-    ents = F.transform(names, lambda n: F.struct(n.alias("name"), F.lit("Concept").alias("type"), F.lit("").alias("description"), F.array().cast("array<string>").alias("aliases")))
-    pairs = F.transform(F.slice(names, 2, config.MAX_ENTITIES), lambda n, i: F.struct(F.get(names, i).alias("source"), F.lit("precedes").alias("relation"), n.alias("target")))
-    sentences = F.filter(F.transform(F.split(text, r"[.!?\n]+"), lambda s: F.trim(s)), lambda s: F.length(s) >= 8)
-    facts = F.transform(F.slice(sentences, 1, config.MAX_FACTS), lambda s: F.struct(s.alias("text"), F.filter(names, lambda n: F.contains(s, n)).alias("entities")))
-    return F.to_json(F.struct(ents.alias("entities"), pairs.alias("relations"), facts.alias("facts")))
-
-
-def run_offline(chunks: DataFrame) -> DataFrame:
-    return chunks.select(*[c for c in chunks.columns if c != "text"], offline_extractor(F.col("text")).alias("response"), F.lit(None).cast("string").alias("error"))
+    sentences = F.filter(F.transform(F.split("text", r"[.!?\n]+"), lambda s: F.trim(s)), lambda s: F.length(s) >= 8)
+    rows = computed(chunks, _names=names, _said=F.slice(sentences, 1, config.MAX_FACTS))
+    none = F.array().cast("array<string>")
+    ents = F.transform("_names", lambda n: F.struct(n.alias("name"), F.lit("Concept").alias("type"), F.lit("").alias("description"), none.alias("aliases")))
+    pairs = F.transform(F.slice("_names", 2, config.MAX_ENTITIES), lambda n, i: F.struct(F.get("_names", i).alias("source"), F.lit("precedes").alias("relation"), n.alias("target")))
+    facts = F.transform("_said", lambda s: F.struct(s.alias("text"), F.filter("_names", lambda n: F.contains(s, n)).alias("entities")))
+    return rows.select(*[c for c in chunks.columns if c != "text"], F.lit(None).cast("string").alias("error"), F.lit(True).alias("parse_ok"), ents.alias("_e"), pairs.alias("_r"), facts.alias("_f"))
 
 
 def _objects(name: str, schema: str) -> Column:
@@ -83,50 +85,46 @@ def _objects(name: str, schema: str) -> Column:
     return F.transform(F.filter(F.coalesce(F.col(name), F.array().cast("array<string>")), lambda x: x.startswith("{")), lambda x: F.from_json(x, schema))
 
 
-def _computed(rows: DataFrame, **cols: Column) -> DataFrame:
-    """``rows`` with columns that are computed once, however often later expressions use them.
-
-    The optimizer would put the expressions in place of their names, and nested
-    list functions would grow beyond measure; it does not do so across a generator.
-    """
-    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in cols.items()]))))
+def _typed(answers: DataFrame) -> DataFrame:
+    """JSON answers as lists of entities, relations and facts; members that are not what they should be are left out."""
+    rows = computed(answers, _json=parse_json(F.col("response")))
+    rows = computed(rows, _p=F.from_json("_json", "entities array<string>, relations array<string>, facts array<string>"))
+    rows = rows.withColumn("parse_ok", F.coalesce(F.col("_json").startswith("{") & F.col("_p").isNotNull(), F.lit(False)))
+    rows = rows.withColumns({"_pe": F.col("_p.entities"), "_pr": F.col("_p.relations"), "_pf": F.col("_p.facts")})
+    fact = lambda x: F.when(x.startswith("{"), F.from_json(x, "text string, entities array<string>")).otherwise(F.struct(x.alias("text"), F.array().cast("array<string>").alias("entities")))
+    return computed(
+        rows, _e=_objects("_pe", "name string, type string, description string, aliases array<string>"), _r=_objects("_pr", "source string, relation string, target string"),
+        _f=F.transform(F.coalesce("_pf", F.array().cast("array<string>")), fact),
+    )
 
 
 def parse_responses(answers: DataFrame) -> DataFrame:
     """One row per answer with its valid ``entities``, ``relations`` and ``facts``, capped; ``parse_ok`` tells unusable answers.
 
-    Everything happens within the row, so nothing is shuffled.
+    Answers are JSON text in ``response`` or typed lists (see ``run_offline``). Everything happens within the row, so nothing is shuffled.
     """
     cleaned = lambda a: F.filter(F.transform(F.coalesce(a, F.array().cast("array<string>")), clean_name), lambda x: x != "")
-    rows = _computed(answers, _json=parse_json(F.col("response")))
-    parts = F.from_json("_json", "entities array<string>, relations array<string>, facts array<string>")
-    rows = _computed(rows, _p=parts)
-    rows = rows.withColumn("parse_ok", F.col("_json").startswith("{") & F.col("_p").isNotNull())
-    rows = rows.withColumns({"_e": F.col("_p.entities"), "_r": F.col("_p.relations"), "_f": F.col("_p.facts")})
-    ents = F.transform(
-        _objects("_e", "name string, type string, description string, aliases array<string>"),
-        lambda e: F.struct(clean_name(e["name"]).alias("name"), norm_type(e["type"]).alias("type"), F.substring(clean_name(e["description"]), 1, 240).alias("description"), cleaned(e["aliases"]).alias("aliases")),
-    )
-    rows = _computed(rows, _all=F.filter(ents, lambda e: F.length(e["name"]).between(1, 120)))
-    rows = _computed(rows, _k=F.transform("_all", lambda e: F.lower(e["name"])))
-    own = F.transform("_all", lambda e: F.struct(e["name"].alias("name"), e["type"].alias("type"), e["description"].alias("description"), F.slice(F.filter(e["aliases"], lambda a: F.lower(a) != F.lower(e["name"])), 1, 6).alias("aliases")))
-    rows = _computed(rows.drop("_e"), _e=F.filter(own, lambda e, i: F.array_position("_k", F.lower(e["name"])) == i + 1))
-    known = F.concat(F.col("_k"), F.flatten(F.transform("_e", lambda e: F.transform(e["aliases"], lambda a: F.lower(a)))))
-    rows = _computed(rows, _known=known)
-    rels = F.transform(
-        _objects("_r", "source string, relation string, target string"),
-        lambda r: F.struct(clean_name(r["source"]).alias("source"), F.substring(clean_name(r["relation"]), 1, 60).alias("relation"), clean_name(r["target"]).alias("target")),
+    rows = _typed(answers) if "response" in answers.columns else answers
+    ents = F.transform("_e", lambda e: F.struct(clean_name(e["name"]).alias("name"), norm_type(e["type"]).alias("type"), F.substring(clean_name(e["description"]), 1, 240).alias("description"), cleaned(e["aliases"]).alias("aliases")))
+    rels = F.transform("_r", lambda r: F.struct(clean_name(r["source"]).alias("source"), F.substring(clean_name(r["relation"]), 1, 60).alias("relation"), clean_name(r["target"]).alias("target")))
+    facts = F.transform("_f", lambda f: F.struct(F.substring(clean_name(f["text"]), 1, 240).alias("text"), F.slice(cleaned(f["entities"]), 1, 8).alias("entities")))
+    rows = computed(rows, _clean=ents, _rels=rels, _facts=facts)
+    # names in lower case once, beside what they belong to
+    lower = F.transform("_clean", lambda e: F.struct(F.lower(e["name"]).alias("k"), e.alias("e")))
+    rows = computed(rows, _all=F.filter(lower, lambda x: F.length(x["e"]["name"]).between(1, 120)))
+    rows = computed(rows, _k=F.transform("_all", lambda x: x["k"]))
+    own = F.transform(
+        F.filter("_all", lambda x, i: F.array_position("_k", x["k"]) == i + 1),
+        lambda x: F.struct(x["e"]["name"].alias("name"), x["e"]["type"].alias("type"), x["e"]["description"].alias("description"), F.slice(F.filter(x["e"]["aliases"], lambda a: F.lower(a) != x["k"]), 1, 6).alias("aliases")),
     )
-    rows = _computed(rows, _rels=rels)
-    rels = F.filter("_rels", lambda r: (r["source"] != "") & (r["relation"] != "") & (r["target"] != "") & (F.lower(r["source"]) != F.lower(r["target"])))
-    rels = F.transform(rels, lambda r: F.struct(r["source"].alias("source"), r["relation"].alias("relation"), r["target"].alias("target"), (F.array_contains("_known", F.lower(r["source"])) & F.array_contains("_known", F.lower(r["target"]))).alias("grounded")))
-    fact = lambda x: F.when(x.startswith("{"), F.from_json(x, "text string, entities array<string>")).otherwise(F.struct(x.alias("text"), F.array().cast("array<string>").alias("entities")))
-    facts = F.transform(F.transform(F.coalesce("_f", F.array().cast("array<string>")), fact), lambda f: F.struct(F.substring(clean_name(f["text"]), 1, 240).alias("text"), F.slice(cleaned(f["entities"]), 1, 8).alias("entities")))
-    rows = _computed(rows, _facts=facts)
-    facts = F.filter("_facts", lambda f: F.length(f["text"]) >= 8)
+    rows = computed(rows, _own=own)
+    rows = computed(rows, _known=F.concat(F.col("_k"), F.flatten(F.transform("_own", lambda e: F.transform(e["aliases"], lambda a: F.lower(a))))))
+    ends = F.transform("_rels", lambda r: F.struct(r.alias("r"), F.lower(r["source"]).alias("s"), F.lower(r["target"]).alias("t")))
+    ends = F.filter(ends, lambda x: (x["s"] != "") & (x["r"]["relation"] != "") & (x["t"] != "") & (x["s"] != x["t"]))
+    rels = F.transform(ends, lambda x: F.struct(x["r"]["source"].alias("source"), x["r"]["relation"].alias("relation"), x["r"]["target"].alias("target"), (F.array_contains("_known", x["s"]) & F.array_contains("_known", x["t"])).alias("grounded")))
     return rows.select(
-        *CHUNK, "error", F.coalesce("parse_ok", F.lit(False)).alias("parse_ok"),
-        F.slice("_e", 1, config.MAX_ENTITIES).alias("entities"), F.slice(rels, 1, config.MAX_RELATIONS).alias("relations"), F.slice(facts, 1, config.MAX_FACTS).alias("facts"),
+        *CHUNK, "error", "parse_ok", F.slice("_own", 1, config.MAX_ENTITIES).alias("entities"), F.slice(rels, 1, config.MAX_RELATIONS).alias("relations"),
+        F.slice(F.filter("_facts", lambda f: F.length(f["text"]) >= 8), 1, config.MAX_FACTS).alias("facts"),
     )
 
 

@@ -81,8 +81,11 @@ def near_duplicates(canon: DataFrame, embed: Callable[[Column], Column], cosine:
     pairs = near_pairs(labels.select("project", "id", "ord", "vec"), cosine)
     a = labels.select(F.col("id").alias("a"), F.col("low").alias("la"))
     b = labels.select(F.col("id").alias("b"), F.col("low").alias("lb"))
-    named = pairs.join(a, "a").join(b, "b")
-    alike = named.where(F.contains("la", F.col("lb")) | F.contains("lb", F.col("la")) | (ratio("la", "lb") >= least_ratio))
+    named = Cut(pairs.join(a, "a").join(b, "b"), "named").df
+    within = F.contains("la", F.col("lb")) | F.contains("lb", F.col("la"))
+    # likeness only for pairs that the cheap rule leaves, of lengths that can reach it
+    reach = 2 * F.least(F.length("la"), F.length("lb")) >= least_ratio * (F.length("la") + F.length("lb"))
+    alike = named.where(within).unionByName(named.where(~within & reach).where(ratio("la", "lb") >= least_ratio))
     comp = connected_components(alike.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     members = labels.join(comp.select(F.col("node").alias("id"), "component"), "id")
     w = Window.partitionBy("project", "component").orderBy(F.desc("mentions"), "ord")

@@ -48,17 +48,39 @@ class Memory:
         schema = TABLES[name]
         if not files._exists(self.spark, self.path(name)):
             return self.spark.createDataFrame([], schema)
+        self._recover(name)
         rows = self.spark.read.schema(schema).parquet(self.path(name))
         rows = rows.select(*[c.split()[0] for c in _columns(schema)])
         return rows if project is None else rows.where(F.col("project") == project)
 
     def write(self, name: str, rows: DataFrame, project: str) -> None:
-        """Replace a project's partition; the rows may come from it."""
+        """Replace a project's partition; the rows may come from it.
+
+        The new rows are written beside the old ones, in a folder that readers don't see, and the folders then change
+        places by renaming: what stops in between loses nothing (see ``_recover``).
+        """
         cols = [c.split()[0] for c in _columns(TABLES[name])]
-        held = Cut(rows.select(*cols), f"new-{name}")
-        out = f"{self.path(name)}/project={project}"
-        held.df.drop("project").write.mode("overwrite").parquet(out)
-        held.drop()
+        out, new, old = (f"{self.path(name)}/{mark}project={project}" for mark in ("", "_new-", "_old-"))
+        rows.select(*cols).drop("project").write.mode("overwrite").parquet(new)
+        fs, path = self._files(out)
+        fs.delete(path(old), True)
+        if fs.exists(path(out)):
+            fs.rename(path(out), path(old))
+        fs.rename(path(new), path(out))
+        fs.delete(path(old), True)
+
+    def _files(self, at: str):
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path
+        return path(at).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def _recover(self, name: str) -> None:
+        """Put partitions back that a stopped ``write`` had moved away and not replaced."""
+        fs, path = self._files(self.path(name))
+        for found in fs.globStatus(path(f"{self.path(name)}/_old-project=*")) or []:
+            out = path(f"{self.path(name)}/{found.getPath().getName().removeprefix('_old-')}")
+            if not fs.exists(out):
+                fs.rename(found.getPath(), out)
 
     def graph(self, project: str | None = None) -> Graph:
         return Graph(*(self.read(t, project) for t in ("nodes", "edges", "facts")))
@@ -220,9 +242,7 @@ class Memory:
         out = [sinks.write_text(os.path.join(dest, as_context or f"{project}-memory.md"), self.overview(project))]
         if graph:
             path = os.path.join(dest, f"{project}-graph.json")
-            g = self.graph(project)
-            parts = [f'"{n}": [' + ",\n".join(d.orderBy("ord").toJSON().toLocalIterator()) + "]" for n, d in zip(("nodes", "edges", "facts"), g)]
-            out.append(sinks.write_text(path, "{" + ",\n".join(parts) + "}"))
+            out.append(sinks.write_graph(path, self.graph(project)))
         if mindmap:
             out.append(sinks.write_text(os.path.join(dest, f"{project}-mindmap.html"), self.mindmap(project)))
         return out
