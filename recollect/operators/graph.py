@@ -87,6 +87,13 @@ def entities_by_type(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("project", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def catalog(projects: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``projects`` with their numbers of nodes and edges, 0 where they have none."""
+    count = lambda d, name: d.groupBy("project").agg(F.count(F.lit(1)).alias(name))
+    rows = projects.join(count(nodes, "nodes"), "project", "left").join(count(edges, "edges"), "project", "left")
+    return rows.fillna(0, ["nodes", "edges"])
+
+
 def graph_stats(graph: Graph) -> DataFrame:
     """Counts of nodes, edges and facts by project."""
     parts = [d.groupBy("project").agg(F.count(F.lit(1)).alias("n")).select("project", F.lit(k).alias("k"), "n") for k, d in zip(("nodes", "edges", "facts"), graph)]

@@ -212,9 +212,7 @@ class Memory:
 
     def projects(self) -> DataFrame:
         """One row per project with its counts."""
-        count = lambda t: self.read(t).groupBy("project").agg(F.count(F.lit(1)).alias(t))
-        rows = self.read("projects").join(count("nodes"), "project", "left").join(count("edges"), "project", "left")
-        return rows.fillna(0, ["nodes", "edges"]).orderBy("project")
+        return graph.catalog(*(self.read(t) for t in ("projects", "nodes", "edges"))).orderBy("project")
 
     def link(self, into: str, origin: str, query: str | None = None, k: int = config.LINK_K) -> dict:
         """Import the nodes of ``origin`` that match a query, or its most central ones."""

@@ -49,8 +49,7 @@ chunks as (select file, doc_id, (row_number() over (partition by file order by i
 
 
 _RAW = rf"""with {_chunks(1400, 100)},
-ch as (select * from chunks where chunk < 8),
-t as (select *, doc_id * 16777216 + chunk * 256 as base, list_filter(string_split_regex(text, '[\s.,;:!?()"''|#$%&*]+'), lambda w: regexp_full_match(w, '[A-Z][a-z]{{4,}}')) as w from ch),
+t as (select *, doc_id * 16777216 + chunk * 256 as base, list_filter(string_split_regex(text, '[\s.,;:!?()"''|#$%&*]+'), lambda w: regexp_full_match(w, '[A-Z][a-z]{{4,}}')) as w from chunks),
 nm as (select *, (list_filter(w, lambda x, i: list_position(w, x) = i))[1:10] as names from t)
 """
 # a list's members whose lower-cased form did not occur before
@@ -63,7 +62,7 @@ f as (select *, list_filter(list_transform(s, lambda x: {{'t': substr(regexp_rep
 """
 
 _CLAIMS = """
-m as (select case when p_partkey % 2 = 1 then p_partkey else p_partkey + 10000 end as seq, 'part ' || p_partkey as nm, 'part ' || (p_partkey * 3) as alias, 'part-' || (p_partkey * 3) as surface, 'Part ' || p_partkey as name from part where p_partkey <= 2000),
+m as (select case when p_partkey % 2 = 1 then p_partkey else p_partkey + (select max(p_partkey) + 1 from part) end as seq, 'part ' || p_partkey as nm, 'part ' || (p_partkey * 3) as alias, 'part-' || (p_partkey * 3) as surface, 'Part ' || p_partkey as name from part),
 fm as (select nm, min(seq) as s from m group by nm),
 parents as (select m.alias, m.nm as parent, m.surface from m left join fm on fm.nm = m.alias where fm.s is null or m.seq < fm.s),
 chase as (select alias, parent as root, surface from parents union all select c.alias, p.parent, c.surface from chase c join parents p on p.alias = c.root),
@@ -94,6 +93,20 @@ _PAIRS = f"""with recursive {_VECTORS},
 pairs as (select a.vec_id as a, b.vec_id as b, list_dot_product(a.v, b.v) as sim from u a join u b on a.vec_id < b.vec_id)
 """
 
+_GRAPH = rf"""{_FACTS.replace("from documents)", "from kept)", 1).replace("with ", "with kept as (select doc_id, source, text from (select doc_id, source, text, length(norm) as n, row_number() over (partition by md5(norm) order by doc_id) as r from (select *, trim(regexp_replace(lower(text), '[ \t\n\r\f]+', ' ', 'g')) as norm from documents)) where not (n > 200 and r > 1)),", 1)},
+ments as (select base + i - 1 as seq, once[i] as name, lower(once[i]) as key, file from f, range(1, 11) t(i) where i <= len(once) and lower(once[i]) not in ('page', 'source', 'method', 'chunk', 'image') and not starts_with(lower(once[i]), 'recollect')),
+ent as (select key as id, min(seq) as ord, min_by(name, seq) as name, count(*) as mentions from ments group by key),
+src as (select key, file, count(*) as n, min(seq) as s from ments group by key, file),
+srcs as (select key as id, string_agg(file, '|' order by r) as sources from (select *, row_number() over (partition by key order by n desc, s) as r from src) where r <= 8 group by key),
+rel as (select base + i - 1 as seq, lower(pairs[i].s) as source, lower(pairs[i].t) as target, file from f, range(1, 11) t(i) where i <= len(pairs)),
+edg as (select source, target, min(seq) as ord, count(*) as count, list_sort(list(distinct file)) as fl from rel where source <> target and source in (select id from ent) and target in (select id from ent) group by source, target),
+dg as (select id, count(*) as degree from (select source as id from edg union all select target from edg) group by id),
+fct as (select base + i - 1 as seq, facts[i].t as text, list_transform(facts[i].n, lambda x: lower(x)) as n, file from f, range(1, 6) t(i) where i <= len(facts)),
+fn as (select *, list_filter(list_filter(n, lambda x, i: list_position(n, x) = i), lambda x: list_contains(ids, x)) as nodes from fct, (select list(id) as ids from ent)),
+nf as (select id, text, min(seq) as seq from (select unnest(nodes[1:4]) as id, text, seq from fn) group by id, text),
+nfs as (select id, string_agg(text, '|' order by r) as facts from (select *, row_number() over (partition by id order by seq, text) as r from nf) where r <= 12 group by id)
+"""
+
 ORACLE = {
     "graph_degree": f"{_G} select id, degree from deg",
     "graph_top_entities": f"{_G} select name, type, degree, mentions from nodes order by score desc, ord, id limit 12",
@@ -125,7 +138,8 @@ ORACLE = {
         select 'node' as kind, 'star:' || id as id from k union all
         select 'edge', concat_ws(' ', 'star:' || source, relation, 'star:' || target) from edges where source in (select id from k) and target in (select id from k) union all
         select 'fact', concat_ws(' ', text, concat_ws(',', case when n1 in (select id from k) then 'star:' || n1 end, case when n2 in (select id from k) then 'star:' || n2 end)) from facts where n1 in (select id from k) or n2 in (select id from k)""",
-    "project_catalog": "select source as project, count(*) as files, sum(n_chars)::bigint as chars, count(*) filter (n_chars = 0) as empty from documents group by source",
+    "project_catalog": f"""{_G}, p as (select source as project, count(*) as files, sum(n_chars)::bigint as chars from documents group by source union all select distinct split_part(id, ':', 1), 0, 0 from nodes)
+        select project, files, chars, (select count(*) from nodes where split_part(id, ':', 1) = project) as nodes, (select count(*) from edges where split_part(source, ':', 1) = project) as edges from p""",
     "doc_fingerprint": f"with {_DOCS} select file, fingerprint, norm_len, stem from keys",
     "doc_exact_dedup": f"with {_DOCS}, r as (select *, row_number() over (partition by fingerprint order by doc_id) as r from keys) select file, fingerprint from r where not (norm_len > 200 and r > 1)",
     "doc_dedup": rf"""with recursive {_DOCS},
@@ -159,6 +173,30 @@ ORACLE = {
         regexp_replace(regexp_replace(lower(c_name || '  of the ' || c_mktsegment), '[^\\w\\s-]', '', 'g'), '[\\s_-]+', '-', 'g') as slug from customer""".replace("\\\\", "\\"),
     "node_ids": """with b as (select c_custkey, regexp_replace(lower(c_mktsegment), '[\\s_-]+', '-', 'g') as base from customer), r as (select *, row_number() over (partition by base order by c_custkey) as r from b)
         select c_custkey::varchar as key, case when r = 1 then base else base || '-' || r end as id from r""",
+    "document_graph": f"{_GRAPH} select id, name, 'Concept' as type, mentions, coalesce(degree, 0)::bigint as degree from ent left join dg using (id) order by 2 * coalesce(degree, 0) + mentions desc, ord, id limit 12",
+    "document_nodes": f"{_GRAPH} select id, name, 'Concept' as type, mentions, coalesce(degree, 0)::bigint as degree, sources, coalesce(nfs.facts, '') as facts from ent left join dg using (id) left join srcs using (id) left join nfs using (id)",
+    "document_edges": f"{_GRAPH} select ord, source, 'precedes' as relation, target, count, array_to_string(fl[1:8], '|') as files from edg",
+    "document_facts": f"{_GRAPH} select seq as ord, text, array_to_string(nodes, '|') as nodes, file from fn",
+    "linked_project": f"""{_G}, k as (select id from nodes order by score desc, ord, id limit 20), j as (select id from nodes order by score desc, ord, id limit 10), had as (select n1, n2, ord, text from facts where n1 in (select id from j) or n2 in (select id from j))
+        select 'node' as kind, 'star:' || id as id from k where id not in (select id from j) union all
+        select 'edge', concat_ws(' ', 'star:' || source, relation, 'star:' || target) from edges where source in (select id from k) and target in (select id from k) and not (source in (select id from j) and target in (select id from j)) union all
+        select 'fact', t from (select text || ' ' || concat_ws(',', case when n1 in (select id from k) then 'star:' || n1 end, case when n2 in (select id from k) then 'star:' || n2 end) as t from facts where n1 in (select id from k) or n2 in (select id from k))
+        where t not in (select text || ' ' || concat_ws(',', case when n1 in (select id from j) then 'star:' || n1 end, case when n2 in (select id from j) then 'star:' || n2 end) from had)""",
+    "safe_script_json": r"""select page_id, md5(replace(replace(replace(replace(replace(to_json({'url': url, 'html': html})::varchar, '<', '\u003c'), '>', '\u003e'), '&', '\u0026'), chr(8232), '\u2028'), chr(8233), '\u2029')) as digest,
+        case when page_id % 40 = 0 then 8192 when page_id % 40 <= 8 then 4096 when page_id % 40 <= 16 then 8192 else 16384 end as window from pages""".replace("\\\\", "\\"),
+    "heading_chunks": r"""with recursive d as (select source || '/' || doc_id as file, list_concat([' '], list_transform(string_split(text, chr(10)), lambda x: '## ' || x)) as blocks from documents),
+        b as (select file, unnest(blocks) as b, unnest(range(len(blocks))) as j from d),
+        w as (select *, list_filter(string_split_regex(b, '\s+'), lambda y: y <> '') as w from b),
+        q as (select file, j, unnest(case when len(w) <= 60 then [b] else list_transform(range(0, len(w), 60), lambda i: array_to_string(w[i + 1:i + 60], ' ')) end) as b, unnest(range(greatest((len(w) + 59) // 60, 1))) as i from w),
+        p as (select file, b, len(list_filter(string_split_regex(b, '\s+'), lambda y: y <> '')) as w, row_number() over (partition by file order by j, i) - 1 as k from q),
+        r as (select file, 0::bigint as k, null::varchar as buf, 0::bigint as n, []::varchar[] as out from d
+          union all select file, k + 1, case when not huge then b2 end, case when huge then 0 else n1 + w end, case when huge then list_append(o1, regexp_replace(b2, '^\s+|\s+$', '', 'g')) else o1 end from (
+            select *, n1 + w > 120 as huge, case when b1 is null then b else b1 || chr(10) || b end as b2 from (
+              select *, case when f then list_append(out, regexp_replace(buf, '^\s+|\s+$', '', 'g')) else out end as o1, case when f then nullif(array_to_string(t, ' '), '') else buf end as b1, case when f then len(t) else n end as n1 from (
+                select *, n + w > 60 and buf is not null as f, l[greatest(len(l) - 9, 1):] as t from (select r.*, p.b, p.w, list_filter(string_split_regex(coalesce(buf, ''), '\s+'), lambda y: y <> '') as l from r join p on p.file = r.file and p.k = r.k))))),
+        e as (select file, case when buf is null then out else list_append(out, regexp_replace(buf, '^\s+|\s+$', '', 'g')) end as out from r join (select file, count(*) as c from p group by file) using (file) where k = c),
+        c as (select file, unnest(out) as t, unnest(range(len(out))) as i from e), n as (select *, len(list_filter(string_split_regex(t, '\s+'), lambda y: y <> '')) as n from c)
+        select file, (row_number() over (partition by file order by i) - 1)::int as chunk, md5(t) as digest, n::int as n from n where n >= 3""",
     "vector_topk": f"with {_VECTORS} select u.vec_id, round(list_dot_product(u.v, q.v), 3) as score from u, q where u.vec_id <> 7 order by list_dot_product(u.v, q.v) desc, u.vec_id limit 10",
     "vector_topk_per_project": f"{_search("where project = 'p3'")} select vec_id::varchar as id, rank, round(score, 3) as score from best where rank <= 8",
     "vector_search_all": f"{_search('')} select project, vec_id::varchar as id, rank, round(score, 3) as score from best where rank <= 8",

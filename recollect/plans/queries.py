@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from recollect.functions import text as T
 from recollect.operators import chunk, dedup, digest, expand, extract, graph, link, resolve, vectors
 from recollect.operators.components import connected_components
+from recollect.session import Cut
 from recollect.sources import convert, manifest
 from recollect.sources.tables import documents, star_graph, table
 
@@ -135,9 +136,13 @@ def link_import(spark, sf):
 
 @query
 def project_catalog(spark, sf):
-    """Documents by source as projects, with their counts."""
-    d = table(spark, sf, "documents")
-    return d.groupBy(F.col("source").alias("project")).agg(F.count(F.lit(1)).alias("files"), F.sum("n_chars").cast("bigint").alias("chars"), F.count_if(F.col("n_chars") == 0).alias("empty"))
+    """Documents by source, and nodes by kind, as projects with their counts."""
+    g, d = star_graph(spark, sf), table(spark, sf, "documents")
+    projects = d.groupBy(F.col("source").alias("project")).agg(F.count(F.lit(1)).alias("files"), F.sum("n_chars").cast("bigint").alias("chars"))
+    # each kind of node is a project of its own, with the edges that leave it
+    kind = lambda c: F.substring_index(c, ":", 1)
+    rows = projects.unionByName(g.nodes.select(kind("id").alias("project")).distinct().select("project", F.lit(0).cast("bigint").alias("files"), F.lit(0).cast("bigint").alias("chars")))
+    return graph.catalog(rows, g.nodes.withColumn("project", kind("id")), g.edges.withColumn("project", kind("source"))).select("project", "files", "chars", "nodes", "edges")
 
 
 # --- documents ------------------------------------------------------------------------------
@@ -204,7 +209,8 @@ def manifest_diff(spark, sf):
 
 
 def _parsed(spark, sf):
-    return extract.parse_responses(extract.run_offline(chunk.chunk_documents(documents(spark, sf))))
+    """Every chunk's answers; the cap of chunks is ``doc_chunk_cap``'s."""
+    return extract.parse_responses(extract.run_offline(chunk.chunk_documents(documents(spark, sf), most=None)))
 
 
 @query
@@ -239,10 +245,7 @@ def json_salvage(spark, sf):
 
 
 def _claims(spark, sf):
-    """Mentions in which entity i claims the name of entity 3i as alias; odd names come first in order.
-
-    The SQL of ``oracle`` takes keys up to 2000 only, so it compares at sf0.01 and below.
-    """
+    """Mentions in which entity i claims the name of entity 3i as alias; odd names come first in order."""
     p = table(spark, sf, "part").withColumn("p_partkey", F.col("p_partkey").cast("bigint"))
     p = p.crossJoin(F.broadcast(p.agg((F.max("p_partkey") + 1).alias("above"))))
     name = F.concat(F.lit("Part "), F.col("p_partkey").cast("string"))
@@ -308,14 +311,61 @@ def node_ids(spark, sf):
     return resolve.assign_ids(n).select("key", "id")
 
 
-@query
-def document_graph(spark, sf):
-    """The whole way from documents to the twelve best entities."""
+def _document_graph(spark, sf):
+    """The whole way from documents to a graph, every chunk of every document that is no copy."""
     docs = documents(spark, sf)
     kept = docs.join(dedup.document_dedup(docs).where("skipped is null").select("file"), "file", "left_semi")
-    parsed = extract.parse_responses(extract.run_offline(chunk.chunk_documents(kept)))
-    g = graph.build_graph(*extract.raw_tables(parsed))
-    return graph.top_nodes(g.nodes, 12).select("id", "name", "type", "mentions", "degree")
+    parsed = Cut(extract.parse_responses(extract.run_offline(chunk.chunk_documents(kept, most=None))), "parsed").df
+    return graph.build_graph(*extract.raw_tables(parsed))
+
+
+@query
+def document_graph(spark, sf):
+    """The twelve best entities of the documents."""
+    return graph.top_nodes(_document_graph(spark, sf).nodes, 12).select("id", "name", "type", "mentions", "degree")
+
+
+@query
+def document_nodes(spark, sf):
+    """All entities of the documents with what is said of them."""
+    return _document_graph(spark, sf).nodes.select("id", "name", "type", "mentions", "degree", F.array_join("sources", "|").alias("sources"), F.array_join("facts", "|").alias("facts"))
+
+
+@query
+def document_edges(spark, sf):
+    """All relations of the documents between entities that are known, none to itself."""
+    return _document_graph(spark, sf).edges.select("ord", "source", "relation", "target", "count", F.array_join("files", "|").alias("files"))
+
+
+@query
+def document_facts(spark, sf):
+    """All facts of the documents with the entities they name, each once, in order."""
+    return _document_graph(spark, sf).facts.select("ord", "text", F.array_join("nodes", "|").alias("nodes"), "file")
+
+
+@query
+def linked_project(spark, sf):
+    """Linking into a project that holds a part already: only what is missing is added."""
+    g = star_graph(spark, sf)
+    first = link.link(g, "other", "star", 10)
+    new = link.imported(first, "other", "star", 20)
+    rows = new.nodes.select(F.lit("node").alias("kind"), "id").union(new.edges.select(F.lit("edge"), F.concat_ws(" ", "source", "relation", "target")))
+    return rows.union(new.facts.select(F.lit("fact"), F.concat_ws(" ", "text", F.array_join("nodes", ","))))
+
+
+@query
+def safe_script_json(spark, sf):
+    """Pages as JSON text that cannot leave a script element, and the context window of a machine."""
+    p = table(spark, sf, "pages")
+    return p.select("page_id", F.md5(T.html_safe_json(F.to_json(F.struct("url", "html")))).alias("digest"), T.context_window((F.col("page_id") % 40).cast("int")).alias("window"))
+
+
+@query
+def heading_chunks(spark, sf):
+    """Documents whose every line is a section, comments among them: packed with overlap."""
+    docs = documents(spark, sf).withColumn("body", F.regexp_replace(F.concat(F.lit("<!-- from\na file -->\n"), F.col("body")), "\n", "\n## "))
+    made = chunk.chunk_documents(docs, 60, 10, None)
+    return made.select("file", "chunk", F.md5("text").alias("digest"), F.size(T.words(F.col("text"))).alias("n"))
 
 
 # --- vectors --------------------------------------------------------------------------------
@@ -332,9 +382,9 @@ def _query_vector(spark, sf):
 
 @query
 def vector_topk(spark, sf):
-    q = F.array(*[F.lit(float(x)) for x in _query_vector(spark, sf)])
-    e = table(spark, sf, "embeddings").where("vec_id <> 7")
-    return e.select("vec_id", T.cosine(F.col("embedding"), q).alias("score")).orderBy(F.desc("score"), "vec_id").limit(10).select("vec_id", F.round("score", 3).alias("score"))
+    q = T.l2_normalise(F.array(*[F.lit(float(x)) for x in _query_vector(spark, sf)]))
+    e = table(spark, sf, "embeddings").where("vec_id <> 7").select("vec_id", T.l2_normalise(F.col("embedding")).alias("vec"))
+    return vectors.nearest(e, q, "vec_id", "vec", 10).select("vec_id", F.round("score", 3).alias("score"))
 
 
 @query

@@ -57,4 +57,8 @@ def star_graph(spark: SparkSession, sf_dir: str, project: str = "star") -> Graph
 def documents(spark: SparkSession, sf_dir: str, project: str = "docs") -> DataFrame:
     """``documents`` as converted documents; ``file`` is source/doc_id."""
     d = table(spark, sf_dir, "documents")
+    # a table of fewer files than there are cores is dealt out before dear expressions; larger ones are read as they lie
+    cores = spark.sparkContext.defaultParallelism
+    if len(d.inputFiles()) < cores:
+        d = d.repartition(cores, "doc_id")
     return d.select(F.lit(project).alias("project"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("file"), F.col("doc_id").alias("doc_ord"), F.col("text").alias("body"))
