@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from recollect import config
 from recollect.functions.text import normal_body, stem_key
 from recollect.operators.components import connected_components
+from recollect.session import Cut
 
 
 def document_keys(docs: DataFrame) -> DataFrame:
@@ -57,13 +58,18 @@ def document_dedup(docs: DataFrame) -> DataFrame:
     """``(project, file, doc_ord, skipped)``: null for accepted documents, else ``duplicate`` or ``variant``.
 
     Documents that share a stem or long content form components, which are
-    independent of each other; each is folded in document order. Keys, not texts, are shuffled.
+    independent of each other; each is folded in document order, as whether a document counts depends on those before it: a
+    component is one task's, streamed from its sorted keys. Keys, not texts, are shuffled.
     """
     keys = document_keys(docs)
     stem = F.xxhash64(F.lit("s"), "project", "stem")
-    content = F.when(F.col("norm_len") > config.DEDUP_EXACT_CHARS, F.xxhash64(F.lit("h"), "project", "fingerprint")).otherwise(stem)
-    comp = connected_components(keys.select(stem.alias("src"), content.alias("dst"))).withColumnRenamed("node", "_stem")
-    placed = keys.withColumn("_stem", stem).join(comp, "_stem").select("component", "project", "file", F.col("doc_ord").cast("long").alias("doc_ord"), "fingerprint", "norm_len", "stem")
+    keys = Cut(keys.withColumn("_stem", stem), "document-keys").df
+    long = keys.where(F.col("norm_len") > config.DEDUP_EXACT_CHARS)
+    # only content that several stems share links them
+    shared = long.groupBy("project", "fingerprint").agg(F.min("_stem").alias("least"), F.max("_stem").alias("most")).where("least < most")
+    links = long.join(shared, ["project", "fingerprint"], "left_semi").select(F.col("_stem").alias("src"), F.xxhash64(F.lit("h"), "project", "fingerprint").alias("dst"))
+    comp = connected_components(links).withColumnRenamed("node", "_stem")
+    placed = keys.join(comp, "_stem", "left").select(F.coalesce("component", "_stem").alias("component"), "project", "file", F.col("doc_ord").cast("long").alias("doc_ord"), "fingerprint", "norm_len", "stem")
     dealt = placed.repartition("component").sortWithinPartitions("component", "project", "doc_ord")
     return dealt.mapInPandas(fold_duplicates, "project string, file string, doc_ord long, skipped string")
 

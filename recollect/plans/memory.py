@@ -69,6 +69,11 @@ class Memory:
         fs.rename(path(new), path(out))
         fs.delete(path(old), True)
 
+    def append(self, name: str, rows: DataFrame, project: str) -> None:
+        """Add rows to a project's partition."""
+        cols = [c.split()[0] for c in _columns(TABLES[name])]
+        rows.select(*cols).drop("project").write.mode("append").parquet(f"{self.path(name)}/project={project}")
+
     def _files(self, at: str):
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path
@@ -104,8 +109,11 @@ class Memory:
         total, empty, new = found.count(), done.where("chars = 0").count(), done.count()
         return {"total": total, "converted": new - empty, "cached": total - new, "empty_or_failed": empty}
 
-    def extract(self, project: str) -> dict:
-        """Extract from documents whose content has not been extracted; documents with a failed chunk wait for the next run whole."""
+    def extract(self, project: str, batch: int = 1000) -> dict:
+        """Extract from documents whose content has not been extracted; documents with a failed chunk wait for the next run whole.
+
+        A provider gets about ``batch`` documents at a time; what was answered before it failed is kept.
+        """
         docs = self.read("documents", project).select("project", F.col("rel_path").alias("file"), "hash", "body")
         # document order is path order; a rank by ranges of paths needs no single task
         ranked = _ranked(docs.select("project", "file"), "file")
@@ -113,18 +121,28 @@ class Memory:
         keep = dedup.document_dedup(docs).where("skipped is null").select("file")
         state = self.read("manifest", project).select(F.col("rel_path").alias("file"), "extracted_hash")
         pending = docs.join(keep, "file", "left_semi").join(state, "file", "left").where("extracted_hash is null or extracted_hash <> hash")
-        chunks = chunk.chunk_documents(pending.select("project", "file", "doc_ord", "body"))
-        answers = extract.run_offline(chunks) if self.extractor is None else extract.run_extractor(chunks, self.extractor)
-        parsed = Cut(extract.parse_responses(answers), "parsed").df
-        extract.check_provider(parsed)
-        clean = extract.clean_documents(parsed)
-        current = self.read("documents", project).select(F.col("rel_path").alias("file"))
-        old = self.read("parsed", project).join(current, "file", "left_semi").join(clean.select("file").distinct(), "file", "left_anti")
-        fresh = old.drop("doc_ord").join(ranked.select("file", "doc_ord"), "file")
-        self.write("parsed", fresh.unionByName(clean), project)
-        marked = self.read("manifest", project).join(clean.select(F.col("file").alias("rel_path"), F.lit(True).alias("_new")).distinct(), "rel_path", "left")
-        self.write("manifest", marked.withColumn("extracted_hash", F.when(F.col("_new"), F.col("hash")).otherwise(F.col("extracted_hash"))), project)
-        return {"chunks": parsed.count(), "failed_chunks": parsed.where("error is not null").count(), "documents": self.read("parsed", project).select("file").distinct().count()}
+        pending = Cut(pending.select("project", "file", "doc_ord", "body"), "pending").df
+        # answers of documents that are gone or read anew go first, so that an interrupted run is simply repeated
+        old = self.read("parsed", project).join(pending.select("file"), "file", "left_anti").drop("doc_ord").join(ranked.select("file", "doc_ord"), "file")
+        self.write("parsed", old, project)
+        # each batch's answers are kept as soon as they are there
+        batches = 1 if self.extractor is None else max(1, -(-pending.count() // batch))
+        counts, streak = {"chunks": 0, "failed_chunks": 0}, 0
+        for b in range(batches):
+            chunks = chunk.chunk_documents(pending.where(F.pmod(F.xxhash64("file"), F.lit(batches)) == b))
+            answers = extract.run_offline(chunks) if self.extractor is None else extract.run_extractor(chunks, self.extractor)
+            parsed = Cut(extract.parse_responses(answers), "parsed").df
+            extract.check_provider(parsed)
+            clean = extract.clean_documents(parsed)
+            self.append("parsed", clean, project)
+            marked = self.read("manifest", project).join(clean.select(F.col("file").alias("rel_path"), F.lit(True).alias("_new")).distinct(), "rel_path", "left")
+            self.write("manifest", marked.withColumn("extracted_hash", F.when(F.col("_new"), F.col("hash")).otherwise(F.col("extracted_hash"))), project)
+            asked, failed = parsed.count(), parsed.where("error is not null").count()
+            counts = {"chunks": counts["chunks"] + asked, "failed_chunks": counts["failed_chunks"] + failed}
+            streak = streak + failed if failed == asked else 0
+            if streak >= config.FAILED_LEAST:
+                raise RuntimeError(f"{streak} chunks in a row failed; the extractor seems to be down")
+        return {**counts, "documents": self.read("parsed", project).select("file").distinct().count()}
 
     def derive(self, project: str) -> dict:
         """Graph and index of a project from its answers; imported rows stay."""

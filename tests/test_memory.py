@@ -3,6 +3,7 @@ import os
 import pytest
 
 from recollect import cli
+from recollect.operators import extract
 from recollect.plans.memory import Memory
 from recollect.sources import convert, files
 from recollect.streaming.ingest import ingest_stream
@@ -78,3 +79,40 @@ def test_conversion():
     assert convert.convert_bytes(".json", b"{bad", p) == ("", "none")
     md = convert.html_markdown("<h1>T</h1><nav>n</nav><p>a <b>b</b> <a href='u'>l</a></p><ol><li>x</li><li>y</li></ol><!-- c --><script>z</script>")
     assert md.startswith("# T") and "a **b** [l](u)" in md and "1. x\n2. y" in md and "z" not in md
+
+
+def test_answers_are_kept_when_the_provider_fails(spark, tmp_path):
+    """Batches answered before an outage stay; the next run asks for the rest only; an interrupted write loses nothing."""
+    src = tmp_path / "src"
+    src.mkdir()
+    for i in range(24):
+        (src / f"f{i:02}.md").write_text(f"Document number {i} names Entity{i} at length, and nothing else of note is said in it.")
+    log, down = tmp_path / "asked", tmp_path / "down"
+    down.write_text("")
+
+    def make():
+        def ask(text):
+            if down.exists() and log.exists() and len(log.read_text().split()) >= 5:
+                raise RuntimeError("down")
+            with open(log, "a") as f:
+                f.write("x ")
+            return '{"entities": [{"name": "Entity", "type": "System"}], "relations": [], "facts": []}'
+
+        return ask
+
+    m = Memory(spark, str(tmp_path / "mem"), extractor=make)
+    m.ingest(str(src), "p")
+    extract_now = extract.run_extractor
+    try:
+        extract.run_extractor = lambda chunks, make: extract_now(chunks.coalesce(1), make, attempts=1, waits=())
+        with pytest.raises(RuntimeError):
+            m.extract("p", batch=1)
+        kept = m.read("parsed", "p").count()
+        assert 0 < kept <= 5
+        down.unlink()
+        assert m.extract("p", batch=100) == {"chunks": 24 - kept, "failed_chunks": 0, "documents": 24}
+    finally:
+        extract.run_extractor = extract_now
+    # a write that stopped between its two renames
+    os.rename(tmp_path / "mem/parsed/project=p", tmp_path / "mem/parsed/_old-project=p")
+    assert m.read("parsed", "p").count() == 24
