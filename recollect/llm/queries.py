@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import chat, decontam, langid, license, linededup, mixing, pii, simhash, topk, toxicity
+from recollect.llm import align, chat, decontam, langid, license, linededup, mixing, packing, pii, simhash, topk, toxicity
 from recollect.llm.common import fold, table
 
 
@@ -59,6 +59,21 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document and its place in a sequence of 1,024 tokens."""
+    found = packing.pack(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's groups of tokens under two tokenizers, and how common its links are."""
+    encoded = align.encode(table(spark, sf_dir, "documents"))
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
+    found = align.score(encoded.select("row", "doc_id", "n_a", "n_b", "n_groups", "n_links", digest, "links"))
+    long = [F.col(c).cast("long").alias(c) for c in ("n_a", "n_b", "n_groups", "n_links")]
+    return found.select("doc_id", *long, "n_best", "count_sum", "groups_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
@@ -71,6 +86,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language": op8_language,
         "op9_quote_links": op9_quote_links,
         "op10_license_scan": op10_license_scan,
+        "op11_pack": op11_pack,
+        "op12_align": op12_align,
     }
 
 
