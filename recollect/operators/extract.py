@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
 import pandas as pd
@@ -98,9 +98,11 @@ def _typed(answers: DataFrame) -> DataFrame:
     )
 
 
-def parse_responses(answers: DataFrame) -> DataFrame:
+def parse_responses(answers: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """One row per answer with its valid ``entities``, ``relations`` and ``facts``, capped; ``parse_ok`` tells unusable answers.
 
+    ``keep`` names columns of the answers to carry along.
+
     Answers are JSON text in ``response`` or typed lists (see ``run_offline``). Everything happens within the row, so nothing is shuffled.
     """
     cleaned = lambda a: F.filter(F.transform(F.coalesce(a, F.array().cast("array<string>")), clean_name), lambda x: x != "")
@@ -123,7 +125,7 @@ def parse_responses(answers: DataFrame) -> DataFrame:
     ends = F.filter(ends, lambda x: (x["s"] != "") & (x["r"]["relation"] != "") & (x["t"] != "") & (x["s"] != x["t"]))
     rels = F.transform(ends, lambda x: F.struct(x["r"]["source"].alias("source"), x["r"]["relation"].alias("relation"), x["r"]["target"].alias("target"), (F.array_contains("_known", x["s"]) & F.array_contains("_known", x["t"])).alias("grounded")))
     return rows.select(
-        *CHUNK, "error", "parse_ok", F.slice("_own", 1, config.MAX_ENTITIES).alias("entities"), F.slice(rels, 1, config.MAX_RELATIONS).alias("relations"),
+        *CHUNK, *keep, "error", "parse_ok", F.slice("_own", 1, config.MAX_ENTITIES).alias("entities"), F.slice(rels, 1, config.MAX_RELATIONS).alias("relations"),
         F.slice(F.filter("_facts", lambda f: F.length(f["text"]) >= 8), 1, config.MAX_FACTS).alias("facts"),
     )
 

@@ -37,9 +37,9 @@ keys as (select file, doc_id, md5(norm) as fingerprint, length(norm)::int as nor
 """
 
 
-def _chunks(size: int, overlap: int) -> str:
+def _chunks(size: int, overlap: int, docs: str = "documents") -> str:
     return rf"""
-w as (select source || '/' || doc_id as file, doc_id, text, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') as w from documents),
+w as (select source || '/' || doc_id as file, doc_id, text, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') as w from {docs}),
 p as (select file, doc_id, text, w, unnest(range(greatest((len(w) + {size - 1}) // {size}, 1))) as i from w),
 c0 as (select file, doc_id, i, case when len(w) <= {size} then regexp_replace(text, '^\s+|\s+$', '', 'g')
    else case when i > 0 then array_to_string(w[greatest(i * {size} - {overlap - 1}, 1):i * {size}], ' ') || chr(10) else '' end || array_to_string(w[i * {size} + 1:(i + 1) * {size}], ' ') end as text from p),
@@ -48,18 +48,24 @@ chunks as (select file, doc_id, (row_number() over (partition by file order by i
 """
 
 
-_RAW = rf"""with {_chunks(1400, 100)},
+def raw_facts(size: int, overlap: int, docs: str = "documents") -> str:
+    """Chunks of a table of documents with what the offline rules find in them: ``names``, ``once``, ``pairs`` and ``facts`` in ``f``."""
+    return rf"""{_raw(size, overlap, docs)},
+s0 as (select *, (list_filter(list_transform(string_split_regex(text, '[.!?\n]+'), lambda x: trim(x)), lambda x: length(x) >= 8))[1:5] as s from nm),
+f as (select *, list_filter(list_transform(s, lambda x: {{'t': substr(regexp_replace(trim(regexp_replace(x, '\s+', ' ', 'g')), '^[ "''`*_#]+|[ "''`*_#]+$', '', 'g'), 1, 240), 'n': (list_filter(names, lambda n: contains(x, n)))[1:8]}}), lambda r: length(r.t) >= 8) as facts,
+  {_ONCE} as once, list_filter(list_transform(range(1, len(names)::int), lambda i: {{'s': names[i], 't': names[i + 1]}}), lambda r: lower(r.s) <> lower(r.t)) as pairs from s0)"""
+
+
+def _raw(size: int, overlap: int, docs: str = "documents") -> str:
+    return rf"""{_chunks(size, overlap, docs)},
 t as (select *, doc_id * 16777216 + chunk * 256 as base, list_filter(string_split_regex(text, '[\s.,;:!?()"''|#$%&*]+'), lambda w: regexp_full_match(w, '[A-Z][a-z]{{4,}}')) as w from chunks),
-nm as (select *, (list_filter(w, lambda x, i: list_position(w, x) = i))[1:10] as names from t)
-"""
+nm as (select *, (list_filter(w, lambda x, i: list_position(w, x) = i))[1:10] as names from t)"""
+
+
 # a list's members whose lower-cased form did not occur before
 _ONCE = "list_filter(names, lambda x, i: list_position(list_transform(names, lambda y: lower(y)), lower(x)) = i)"
-
-_FACTS = rf"""{_RAW},
-s0 as (select *, (list_filter(list_transform(string_split_regex(text, '[.!?\n]+'), lambda x: trim(x)), lambda x: length(x) >= 8))[1:5] as s from nm),
-f as (select *, list_filter(list_transform(s, lambda x: {{'t': substr(regexp_replace(trim(regexp_replace(x, '\s+', ' ', 'g')), '^[ "''`*_#]+|[ "''`*_#]+$', '', 'g'), 1, 240), 'n': (list_filter(names, lambda n: contains(x, n)))[1:8]}}), lambda r: length(r.t) >= 8) as facts,
-  {_ONCE} as once, list_filter(list_transform(range(1, len(names)::int), lambda i: {{'s': names[i], 't': names[i + 1]}}), lambda r: lower(r.s) <> lower(r.t)) as pairs from s0)
-"""
+_RAW = f"with {_raw(1400, 100)}\n"
+_FACTS = f"with {raw_facts(1400, 100)}\n"
 
 _CLAIMS = """
 m as (select case when p_partkey % 2 = 1 then p_partkey else p_partkey + (select max(p_partkey) + 1 from part) end as seq, 'part ' || p_partkey as nm, 'part ' || (p_partkey * 3) as alias, 'part-' || (p_partkey * 3) as surface, 'Part ' || p_partkey as name from part),
