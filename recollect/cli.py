@@ -24,7 +24,7 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("--" + f.replace("_", "-"), **({"action": "store_true"} if kind is bool else {"type": kind}))
         return c
 
-    add("build", "source_dir", name=str, reset=bool, full=bool, max_files=int, prune=bool)
+    add("build", "source_dir", name=str, reset=bool, full=bool, max_files=int, prune=bool, verify=bool)
     add("update", source_dir=str)
     add("overview")
     add("query", "text", k=int, all=bool)
@@ -35,6 +35,7 @@ def parser() -> argparse.ArgumentParser:
     add("export", "dest", graph=bool, mindmap=bool, as_context=str)
     add("mindmap", out=str)
     add("status")
+    add("compact")
     return p
 
 
@@ -43,7 +44,7 @@ def main(argv: list[str] | None = None, memory: Memory | None = None) -> str:
     m = memory or Memory(local_session(), a.root)
     dump = lambda x: json.dumps(x, indent=2, ensure_ascii=False, default=str)
     if a.command == "build":
-        out = dump(m.build(a.source_dir, a.project or "default", a.name, not a.full, a.reset, a.max_files, a.prune))
+        out = dump(m.build(a.source_dir, a.project or "default", a.name, not a.full, a.reset, a.max_files, a.prune, a.verify))
     elif a.command == "update":
         out = dump(m.update(m.sole(a.project), a.source_dir))
     elif a.command == "overview":
@@ -62,6 +63,8 @@ def main(argv: list[str] | None = None, memory: Memory | None = None) -> str:
         out = dump(m.export(a.dest, a.project, a.graph, a.mindmap, a.as_context))
     elif a.command == "mindmap":
         out = sinks.write_text(a.out or "mindmap.html", m.mindmap(a.project))
+    elif a.command == "compact":
+        out = dump(m.compact(m.sole(a.project)))
     else:
         out = dump(m.status())
     print(out)

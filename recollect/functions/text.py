@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -129,11 +131,16 @@ def parse_json(text: Column) -> Column:
     return F.coalesce(good(blank(t)), good(blank(F.regexp_extract(t, r"(?s)\{.*\}", 0))), good(blank(F.regexp_extract(t, r"(?s)\[.*\]", 0))))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it: also inside a list function's lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def l2_normalise(v: Column) -> Column:
     """Unit vector in double; a zero vector stays as it is."""
-    d = F.transform(v, lambda x: x.cast("double"))
-    n = F.sqrt(F.aggregate(d, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(d, lambda x: F.when(n == 0, x).otherwise(x / n))
+    wide = lambda x: x.cast("double")
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + wide(x) * wide(x)))
+    return bound(norm, lambda n: F.transform(v, lambda x: F.when(n == 0, wide(x)).otherwise(wide(x) / n)))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -16,9 +16,9 @@ from recollect.session import Cut
 from recollect.sources import convert, files, manifest, sinks
 
 TABLES = {
-    "manifest": "project string, rel_path string, hash string, chars long, method string, extracted_hash string",
-    "documents": "project string, rel_path string, hash string, method string, chars long, body string",
-    "parsed": "project string, file string, doc_ord long, chunk int, error string, parse_ok boolean, entities array<struct<name:string,type:string,description:string,aliases:array<string>>>, relations array<struct<source:string,relation:string,target:string,grounded:boolean>>, facts array<struct<text:string,entities:array<string>>>",
+    "manifest": "project string, rel_path string, size long, modified timestamp, hash string, chars long, method string, extracted_hash string, version long, gone boolean",
+    "documents": "project string, rel_path string, hash string, method string, chars long, body string, version long, gone boolean",
+    "parsed": "version long, gone boolean, project string, file string, doc_ord long, chunk int, error string, parse_ok boolean, entities array<struct<name:string,type:string,description:string,aliases:array<string>>>, relations array<struct<source:string,relation:string,target:string,grounded:boolean>>, facts array<struct<text:string,entities:array<string>>>",
     "nodes": "project string, ord long, id string, name string, type string, description string, aliases array<string>, sources array<string>, mentions long, degree long, facts array<string>, from_project string",
     "edges": "project string, ord long, source string, relation string, target string, count long, files array<string>, from_project string",
     "facts": "project string, ord long, text string, nodes array<string>, file string, from_project string",
@@ -26,9 +26,24 @@ TABLES = {
     "projects": "project string, name string, source_dir string, model string, files long, updated string",
 }
 
+#: Tables that only grow: a row stands until one of its key has a higher version.
+LOGS = {"manifest": ["project", "rel_path"], "documents": ["project", "rel_path"], "parsed": ["project", "file"]}
+#: Characters that Spark's writers escape in the names of partitions.
+ESCAPED = {chr(c) for c in range(1, 32)} | set("\"#%'*/:=?\\{[]^\x7f")
+
+
+def folder_of(project: str) -> str:
+    """The name of a project's partition, as Spark's writers name it and its readers read it."""
+    if not project:
+        raise ValueError("a project needs a name")
+    return "project=" + "".join(f"%{ord(c):02X}" if c in ESCAPED else c for c in project)
+
 
 class Memory:
-    """Tables under ``root``, each partitioned by project; a build replaces its project's partitions only.
+    """Tables under ``root``, each partitioned by project.
+
+    What is derived (graph, index) is replaced by a build; files, documents and answers are appended (see ``append``), so that
+    what an update writes is in proportion to what changed.
 
     ``extractor`` makes a provider for chunks (None: the offline rules); ``embed_with`` is an embedding provider; ``converters``
     makes the conversion providers; ``summarise`` may write overviews.
@@ -51,7 +66,8 @@ class Memory:
         self._recover(name)
         rows = self.spark.read.schema(schema).parquet(self.path(name))
         rows = rows.select(*[c.split()[0] for c in _columns(schema)])
-        return rows if project is None else rows.where(F.col("project") == project)
+        rows = rows if project is None else rows.where(F.col("project") == project)
+        return manifest.current(rows, LOGS[name]) if name in LOGS else rows
 
     def write(self, name: str, rows: DataFrame, project: str) -> None:
         """Replace a project's partition; the rows may come from it.
@@ -60,7 +76,7 @@ class Memory:
         places by renaming: what stops in between loses nothing (see ``_recover``).
         """
         cols = [c.split()[0] for c in _columns(TABLES[name])]
-        out, new, old = (f"{self.path(name)}/{mark}project={project}" for mark in ("", "_new-", "_old-"))
+        out, new, old = (f"{self.path(name)}/{mark}{folder_of(project)}" for mark in ("", "_new-", "_old-"))
         rows.select(*cols).drop("project").write.mode("overwrite").parquet(new)
         fs, path = self._files(out)
         fs.delete(path(old), True)
@@ -70,9 +86,25 @@ class Memory:
         fs.delete(path(old), True)
 
     def append(self, name: str, rows: DataFrame, project: str) -> None:
-        """Add rows to a project's partition."""
+        """Add rows to a project's part of a log: they stand in place of older rows of their keys.
+
+        Without a ``gone`` column they are there. Rows that a stopped run appended are superseded when it runs again.
+        """
         cols = [c.split()[0] for c in _columns(TABLES[name])]
-        rows.select(*cols).drop("project").write.mode("append").parquet(f"{self.path(name)}/project={project}")
+        rows = rows if "gone" in rows.columns else rows.withColumn("gone", F.lit(False))
+        rows = rows.withColumn("version", F.lit(time.time_ns()))
+        rows.select(*cols).drop("project").write.mode("append").parquet(f"{self.path(name)}/{folder_of(project)}")
+
+    def compact(self, project: str) -> dict:
+        """Rewrite a project's logs without rows that are superseded; counts of the rows left."""
+        for name in LOGS:
+            self.write(name, self.read(name, project), project)
+        return {name: self.read(name, project).count() for name in LOGS}
+
+    def record(self, converted: DataFrame, project: str) -> None:
+        """Append converted files to documents and manifest; files without text are known, but are no documents."""
+        self.append("documents", converted.withColumn("gone", F.col("chars") == 0), project)
+        self.append("manifest", converted.withColumn("extracted_hash", F.lit(None).cast("string")), project)
 
     def _files(self, at: str):
         jvm = self.spark.sparkContext._jvm
@@ -92,21 +124,35 @@ class Memory:
 
     # --- build -------------------------------------------------------------------------------
 
-    def ingest(self, source_dir: str, project: str, incremental: bool = True, max_files: int | None = None, prune: bool = False) -> dict:
-        """Convert new and changed files; counts of what was done."""
-        found = Cut(files.scan(self.spark, source_dir, project, max_files), "files").df
-        old = self.read("manifest", project)
-        if not incremental:
-            old = old.limit(0)
-        status = manifest.diff(found.drop("content"), old.select("rel_path", "hash"))
-        todo = found.join(status.where("status <> 'cached'").select("rel_path"), "rel_path", "left_semi")
-        done = Cut(convert.convert_files(todo, self.converters), "converted").df
-        fresh = done.select("project", "rel_path", "hash", "chars", "method", F.lit(None).cast("string").alias("extracted_hash"))
-        present = found.select("rel_path") if prune else None
-        docs = manifest.merged(self.read("documents", project), done, present).where("chars > 0")
-        self.write("documents", docs, project)
-        self.write("manifest", manifest.merged(self.read("manifest", project), fresh, present), project)
-        total, empty, new = found.count(), done.where("chars = 0").count(), done.count()
+    def ingest(self, source_dir: str, project: str, incremental: bool = True, max_files: int | None = None, prune: bool = False, verify: bool = False) -> dict:
+        """Convert new and changed files; counts of what was done.
+
+        Files are listed first. Those of the size and time that the manifest knows are not opened; of the others the
+        content's hash decides, and ``verify`` has all of them opened. Nothing but converted files is written.
+        """
+        found = Cut(files.listing(self.spark, source_dir, project, max_files), "files")
+        known = self.read("manifest", project) if incremental else self.read("manifest", project).limit(0)
+        todo = found.df
+        if incremental and not verify:
+            todo = todo.join(manifest.untouched(found.df, known), "rel_path", "left_anti")
+        todo = Cut(todo, "candidates")
+        hashed = manifest.diff(files.contents(self.spark, source_dir, project, todo.df), known.select("rel_path", "hash"))
+        done = Cut(convert.convert_files(hashed.where("status <> 'cached'"), self.converters), "converted")
+        new, empty = done.df.agg(F.count(F.lit(1)), F.count_if(F.col("chars") == 0)).first()
+        if new:
+            self.record(done.df, project)
+        if not todo.df.isEmpty():
+            # touched, but of the same content: the manifest takes their new times
+            same = todo.df.join(done.df.select("rel_path"), "rel_path", "left_anti").withColumnsRenamed({"size": "_size", "modified": "_modified"})
+            seen = known.join(same.drop("project"), "rel_path").withColumns({"size": F.col("_size"), "modified": F.col("_modified")})
+            self.append("manifest", seen, project)
+        if prune:
+            for name in ("documents", "manifest"):
+                gone = self.read(name, project).join(found.df.select("rel_path"), "rel_path", "left_anti")
+                self.append(name, gone.withColumn("gone", F.lit(True)), project)
+        total = found.df.count()
+        for held in (found, todo, done):
+            held.drop()
         return {"total": total, "converted": new - empty, "cached": total - new, "empty_or_failed": empty}
 
     def extract(self, project: str, batch: int = 1000) -> dict:
@@ -114,39 +160,51 @@ class Memory:
 
         A provider gets about ``batch`` documents at a time; what was answered before it failed is kept.
         """
-        docs = self.read("documents", project).select("project", F.col("rel_path").alias("file"), "hash", "body")
-        # document order is path order; a rank by ranges of paths needs no single task
-        ranked = _ranked(docs.select("project", "file"), "file")
-        docs = docs.join(ranked, ["project", "file"])
+        docs = self._ordered(project)
         keep = dedup.document_dedup(docs).where("skipped is null").select("file")
         state = self.read("manifest", project).select(F.col("rel_path").alias("file"), "extracted_hash")
         pending = docs.join(keep, "file", "left_semi").join(state, "file", "left").where("extracted_hash is null or extracted_hash <> hash")
         pending = Cut(pending.select("project", "file", "doc_ord", "body"), "pending").df
-        # answers of documents that are gone or read anew go first, so that an interrupted run is simply repeated
-        old = self.read("parsed", project).join(pending.select("file"), "file", "left_anti").drop("doc_ord").join(ranked.select("file", "doc_ord"), "file")
-        self.write("parsed", old, project)
+        # older answers of documents that are read anew go first
+        stale = self.read("parsed", project).join(pending.select("file"), "file", "left_semi").select("project", "file").distinct()
+        if not stale.isEmpty():
+            empty = self.spark.createDataFrame([], TABLES["parsed"])
+            self.append("parsed", empty.unionByName(stale.withColumn("gone", F.lit(True)), allowMissingColumns=True), project)
         # each batch's answers are kept as soon as they are there
         batches = 1 if self.extractor is None else max(1, -(-pending.count() // batch))
         counts, streak = {"chunks": 0, "failed_chunks": 0}, 0
         for b in range(batches):
-            chunks = chunk.chunk_documents(pending.where(F.pmod(F.xxhash64("file"), F.lit(batches)) == b))
+            part = pending.where(F.pmod(F.xxhash64("file"), F.lit(batches)) == b)
+            chunks = chunk.chunk_documents(part)
             answers = extract.run_offline(chunks) if self.extractor is None else extract.run_extractor(chunks, self.extractor)
             parsed = Cut(extract.parse_responses(answers), "parsed").df
             extract.check_provider(parsed)
             clean = extract.clean_documents(parsed)
             self.append("parsed", clean, project)
-            marked = self.read("manifest", project).join(clean.select(F.col("file").alias("rel_path"), F.lit(True).alias("_new")).distinct(), "rel_path", "left")
-            self.write("manifest", marked.withColumn("extracted_hash", F.when(F.col("_new"), F.col("hash")).otherwise(F.col("extracted_hash"))), project)
+            failed = parsed.where("error is not null").select("file").distinct()
+            answered = part.join(failed, "file", "left_anti").select(F.col("file").alias("rel_path"))
+            marked = self.read("manifest", project).join(answered, "rel_path", "left_semi")
+            self.append("manifest", marked.withColumn("extracted_hash", F.col("hash")), project)
             asked, failed = parsed.count(), parsed.where("error is not null").count()
             counts = {"chunks": counts["chunks"] + asked, "failed_chunks": counts["failed_chunks"] + failed}
             streak = streak + failed if failed == asked else 0
             if streak >= config.FAILED_LEAST:
                 raise RuntimeError(f"{streak} chunks in a row failed; the extractor seems to be down")
-        return {**counts, "documents": self.read("parsed", project).select("file").distinct().count()}
+        return {**counts, "documents": self.answers(project).select("file").distinct().count()}
+
+    def _ordered(self, project: str) -> DataFrame:
+        """Documents with ``doc_ord``: document order is path order; a rank by ranges of paths needs no single task."""
+        docs = self.read("documents", project).select("project", F.col("rel_path").alias("file"), "hash", "body")
+        return docs.join(_ranked(docs.select("project", "file"), "file"), ["project", "file"])
+
+    def answers(self, project: str) -> DataFrame:
+        """The answers for documents that are there, in today's document order."""
+        order = self._ordered(project).select("project", "file", "doc_ord")
+        return self.read("parsed", project).drop("doc_ord").join(order, ["project", "file"])
 
     def derive(self, project: str) -> dict:
         """Graph and index of a project from its answers; imported rows stay."""
-        raw = extract.raw_tables(self.read("parsed", project))
+        raw = extract.raw_tables(self.answers(project))
         built = graph.build_graph(*raw, embed=self.embed)
         for name, rows in zip(("nodes", "edges", "facts"), built):
             kept = self.read(name, project).where("from_project is not null")
@@ -158,12 +216,12 @@ class Memory:
         self.write("vectors", vectors.build_index(g.nodes, g.facts, self.embed, self.provider.model), project)
         return {"nodes": g.nodes.count(), "edges": g.edges.count(), "facts": g.facts.count(), "vectors": self.read("vectors", project).count()}
 
-    def build(self, source_dir: str, project: str, name: str | None = None, incremental: bool = True, reset: bool = False, max_files: int | None = None, prune: bool = False) -> dict:
+    def build(self, source_dir: str, project: str, name: str | None = None, incremental: bool = True, reset: bool = False, max_files: int | None = None, prune: bool = False, verify: bool = False) -> dict:
         if not files._exists(self.spark, source_dir):
             raise FileNotFoundError(source_dir)
         if reset:
             self.reset(project)
-        out = {"project": project, "ingest": self.ingest(source_dir, project, incremental, max_files, prune), "extract": self.extract(project), "graph": self.derive(project)}
+        out = {"project": project, "ingest": self.ingest(source_dir, project, incremental, max_files, prune, verify), "extract": self.extract(project), "graph": self.derive(project)}
         row = [(project, name or project, source_dir, self.provider.model, out["ingest"]["total"], time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()))]
         self.write("projects", self.spark.createDataFrame(row, TABLES["projects"]), project)
         return out
@@ -177,7 +235,7 @@ class Memory:
 
     def reset(self, project: str) -> None:
         for name in TABLES:
-            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path(name)}/project={project}")
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path(name)}/{folder_of(project)}")
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
     # --- use ---------------------------------------------------------------------------------

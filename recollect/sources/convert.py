@@ -230,12 +230,12 @@ def convert_bytes(ext: str, data: bytes, p: Providers, ocr: str = config.OCR_MOD
 
 
 def convert_files(files: DataFrame, providers: Callable[[], Providers] = Providers, ocr: str = config.OCR_MODE, vision: str = config.VISION_MODE) -> DataFrame:
-    """``files(project, rel_path, hash, content)`` as ``(project, rel_path, hash, method, chars, body)``; providers are made once a task."""
+    """``files(project, rel_path, size, modified, hash, content)`` with ``method, chars, body`` in place of the content; providers are made once a task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = providers()
         for pdf in batches:
             got = [convert_bytes(e, bytes(c) if c is not None else b"", p, ocr, vision) for e, c in zip(pdf["ext"], pdf["content"])]
-            yield pdf[["project", "rel_path", "hash"]].assign(method=[m for _, m in got], chars=[len(t) for t, _ in got], body=[t for t, _ in got])
+            yield pdf[["project", "rel_path", "size", "modified", "hash"]].assign(method=[m for _, m in got], chars=[len(t) for t, _ in got], body=[t for t, _ in got])
 
-    return files.withColumn("ext", suffix(F.col("rel_path"))).select("project", "rel_path", "hash", "ext", "content").mapInPandas(run, "project string, rel_path string, hash string, method string, chars long, body string")
+    return files.withColumn("ext", suffix(F.col("rel_path"))).select("project", "rel_path", "size", "modified", "hash", "ext", "content").mapInPandas(run, "project string, rel_path string, size long, modified timestamp, hash string, method string, chars long, body string")

@@ -13,7 +13,18 @@ def diff(files: DataFrame, manifest: DataFrame, key: str = "rel_path") -> DataFr
     return files.join(old, key, "left").withColumn("status", status).drop("_old", "_known")
 
 
-def merged(manifest: DataFrame, fresh: DataFrame, present: DataFrame | None = None, key: str = "rel_path") -> DataFrame:
-    """``manifest`` with the rows of ``fresh`` in place of older ones; with ``present``, without files that are gone."""
-    out = manifest.join(fresh.select(key), key, "left_anti").unionByName(fresh, allowMissingColumns=True)
-    return out if present is None else out.join(present.select(key), key, "left_semi")
+def untouched(listed: DataFrame, manifest: DataFrame, key: str = "rel_path") -> DataFrame:
+    """Keys of listed files whose size and time are those of the manifest: their content need not be read."""
+    old = manifest.select(key, F.col("size").alias("_size"), F.col("modified").alias("_modified"))
+    return listed.join(old, key).where("size = _size and modified = _modified").select(key)
+
+
+def current(log: DataFrame, key: list[str]) -> DataFrame:
+    """The rows of a log as they stand: of each key those of the highest ``version``, unless these say that it is ``gone``.
+
+    Keys and versions alone decide which rows are superseded; a log without any (a compact one) is read as it lies.
+    """
+    narrow = log.select(*key, "version", "gone")
+    last = narrow.groupBy(*key).agg(F.max("version").alias("_last"))
+    dead = narrow.join(last, key).where("version < _last or gone").select(*key, "version").distinct()
+    return log if dead.isEmpty() else log.join(dead, [*key, "version"], "left_anti").select(*log.columns)

@@ -1,4 +1,4 @@
-"""Continuous ingestion: a file stream upserted into the memory's tables."""
+"""Continuous ingestion: a file stream appended to the memory's tables."""
 
 from __future__ import annotations
 
@@ -11,16 +11,17 @@ from recollect.sources import convert, files, manifest
 
 
 def upsert(memory: Memory, project: str):
-    """A function for ``foreachBatch``: converts a batch's files and merges them; running a batch again changes nothing."""
+    """A function for ``foreachBatch``: converts a batch's files and appends what is new; a batch again appends nothing new.
+
+    What is written is in proportion to the batch: rows of earlier batches stay where they are (see ``Memory.append``).
+    """
 
     def run(batch: DataFrame, _: int) -> None:
-        last = batch.groupBy("project", "rel_path").agg(F.max_by(F.struct("hash", "content"), "modified").alias("f")).select("project", "rel_path", "f.hash", "f.content")
+        last = batch.groupBy("project", "rel_path").agg(F.max_by(F.struct("hash", "content", "size", "modified"), "modified").alias("f")).select("project", "rel_path", "f.*")
         status = manifest.diff(last, memory.read("manifest", project).select("rel_path", "hash"))
         done = Cut(convert.convert_files(status.where("status <> 'cached'"), memory.converters), "converted")
         if not done.df.isEmpty():
-            fresh = done.df.select("project", "rel_path", "hash", "chars", "method", F.lit(None).cast("string").alias("extracted_hash"))
-            memory.write("documents", manifest.merged(memory.read("documents", project), done.df).where("chars > 0"), project)
-            memory.write("manifest", manifest.merged(memory.read("manifest", project), fresh), project)
+            memory.record(done.df, project)
         done.drop()
 
     return run

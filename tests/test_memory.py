@@ -1,10 +1,11 @@
+import hashlib
 import os
 
 import pytest
 
 from recollect import cli
 from recollect.operators import extract
-from recollect.plans.memory import Memory
+from recollect.plans.memory import TABLES, Memory
 from recollect.sources import convert, files
 from recollect.streaming.ingest import ingest_stream
 
@@ -69,6 +70,103 @@ def test_stream(spark, folder):
     assert m.read("documents", "s").count() == 2 and m.read("manifest", "s").count() == 3
 
 
+def test_names_of_projects(spark, folder):
+    root, src = folder
+    m = Memory(spark, str(root / "named"))
+    m.ingest(str(src), "a/b")
+    assert m.read("documents", "a/b").count() == 2 and m.read("manifest", "a/b").count() == 3
+    names = ["a/b", "50%25 off", "x=y", "{odd} [name]?*", "naïve: 日本", "%", "a\\b"]
+    for name in names:
+        m.write("projects", spark.createDataFrame([(name, name, "", "m", 1, "")], TABLES["projects"]), name)
+        assert [r["name"] for r in m.read("projects", name).collect()] == [name]
+    assert sorted(r["project"] for r in m.read("projects").collect()) == sorted(names)
+    m.reset("a/b")
+    assert m.read("documents", "a/b").count() == 0
+    with pytest.raises(ValueError):
+        m.ingest(str(src), "")
+
+
+def written(path):
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(path) for f in names if f.endswith(".parquet"))
+
+
+class TestUpdates:
+    """Files are listed before they are opened; what is written is in proportion to what changed."""
+
+    def make(self, tmp_path, n=40, size=20):
+        src = tmp_path / "src"
+        src.mkdir()
+        for i in range(n):
+            (src / f"f{i:02}.md").write_text(f"Document number {i} names Entity and Castle{'x' * i} at length. " + " ".join(hashlib.md5(f"{i} {j}".encode()).hexdigest() for j in range(size)))
+        return src
+
+    def test_unchanged_folder_is_not_opened(self, spark, tmp_path, monkeypatch):
+        src = self.make(tmp_path)
+        m = Memory(spark, str(tmp_path / "mem"))
+        assert m.ingest(str(src), "p") == {"total": 40, "converted": 40, "cached": 0, "empty_or_failed": 0}
+        before = written(tmp_path / "mem")
+        opened = []
+        contents = files.contents
+
+        def watched(spark, root, project, listed):
+            opened.append(sorted(r["rel_path"] for r in listed.collect()))
+            return contents(spark, root, project, listed)
+
+        monkeypatch.setattr(files, "contents", watched)
+        assert m.ingest(str(src), "p") == {"total": 40, "converted": 0, "cached": 40, "empty_or_failed": 0}
+        assert opened == [[]] and written(tmp_path / "mem") == before
+        # one file changed, one only touched, one is new
+        (src / "f03.md").write_text("Document three is about Gardens now, and about nothing else.")
+        os.utime(src / "f04.md", (2e9, 2e9))
+        (src / "new.md").write_text("An old file that was moved here with its old time.")
+        os.utime(src / "new.md", (1e9, 1e9))
+        assert m.ingest(str(src), "p") == {"total": 41, "converted": 2, "cached": 39, "empty_or_failed": 0}
+        assert opened[1] == ["f03.md", "f04.md", "new.md"]
+        assert m.ingest(str(src), "p")["cached"] == 41 and opened[2] == []
+        assert m.ingest(str(src), "p", verify=True)["cached"] == 41 and len(opened[3]) == 41
+        bodies = {r["rel_path"]: r["body"] for r in m.read("documents", "p").collect()}
+        assert len(bodies) == 41 and "Gardens" in bodies["f03.md"]
+
+    def test_content_outside_the_times_is_not_read(self, spark, tmp_path):
+        """The condition on times reaches the scan of the files."""
+        src = self.make(tmp_path, 3)
+        os.utime(src / "f01.md", (1e9, 1e9))
+        listed = files.listing(spark, str(src), "p")
+        assert "content" not in listed._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[-1]
+        rows = files.contents(spark, str(src), "p", listed.where("rel_path = 'f01.md'"))
+        assert "GreaterThanOrEqual(modificationTime" in rows._jdf.queryExecution().executedPlan().toString()
+        assert [r["rel_path"] for r in rows.collect()] == ["f01.md"]
+
+    def test_writes_follow_the_change(self, spark, tmp_path):
+        src = self.make(tmp_path, size=1200)
+        m = Memory(spark, str(tmp_path / "mem"))
+        m.build(str(src), "p")
+        logs = lambda: sum(written(tmp_path / "mem" / n) for n in ("documents", "manifest", "parsed"))
+        before = logs()
+        (src / "f03.md").write_text("Document three is about Gardens now, and about nothing else.")
+        m.build(str(src), "p")
+        assert logs() - before < before / 10
+        names = {r["name"] for r in m.graph("p").nodes.collect()}
+        assert "Gardens" in names and "Castlexxx" not in names
+        # a document that is emptied, one that is deleted, one too short for a chunk
+        (src / "f04.md").write_text("")
+        (src / "f05.md").unlink()
+        (src / "f06.md").write_text("two words")
+        out = m.build(str(src), "p", prune=True)
+        assert out["ingest"] == {"total": 38, "converted": 1, "cached": 37, "empty_or_failed": 0}
+        names = {r["name"] for r in m.graph("p").nodes.collect()}
+        assert not {"Castle" + "x" * i for i in (3, 4, 5, 6)} & names and "Castlexxxxxxx" in names
+        rows = {n: sorted(map(str, m.read(n, "p").drop("version").collect())) for n in ("documents", "manifest", "parsed")}
+        assert m.compact("p")["documents"] == 38
+        assert rows == {n: sorted(map(str, m.read(n, "p").drop("version").collect())) for n in rows}
+        assert m.extract("p")["chunks"] == 0  # nothing is pending, the short document included
+        # an update equals a build from nothing
+        m.build(str(src), "q")
+        for name in ("nodes", "edges", "facts"):
+            one, two = ({str(r.asDict() | {"project": ""}) for r in m.read(name, p).collect()} for p in "pq")
+            assert one == two
+
+
 def test_conversion():
     p = convert.Providers(ocr_image=lambda b: "seen", caption=lambda b: "a chart", ocr_pages=lambda b, n: ["one", "", "three"][:n], transcribe=lambda b: "said")
     assert convert.convert_bytes(".png", b"x", p) == ("## OCR text\n\nseen\n\n## Image description\n\na chart", "ocr+vision")
