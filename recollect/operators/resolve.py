@@ -12,7 +12,7 @@ from recollect import config
 from recollect.functions.fuzzy import ratio
 from recollect.functions.text import is_junk, norm_key, refine_type, slugify, strip
 from recollect.operators.components import connected_components
-from recollect.operators.vectors import near_pairs
+from recollect.operators.similar import near_pairs
 from recollect.session import Cut
 
 

@@ -1,4 +1,4 @@
-"""Vector index, exact retrieval, and the similarity self-join."""
+"""Vector index and exact retrieval."""
 
 from __future__ import annotations
 
@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 from recollect import config
 from recollect.functions.text import dot, l2_normalise, node_text
 
-#: Rows of a block of the self-join: a pair of blocks is one small matrix product.
-BLOCK = 2048
-
 
 class HashedWords:
     """Offline embedder: signed counts of hashed words, so equal words give near vectors."""
@@ -51,42 +48,6 @@ def embedder(provider=None):
     return embed
 
 
-def _block_pairs(threshold: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        a = pdf[pdf["block"] == i]
-        b = pdf[pdf["block"] == j]
-        out = []
-        for _, x in a.groupby("size"):
-            y = b[b["size"] == x["size"].iloc[0]]
-            if not len(y):
-                continue
-            s = np.stack(x["vec"].to_numpy()) @ np.stack(y["vec"].to_numpy()).T
-            r, c = np.nonzero(s >= threshold)
-            xo, yo = x["ord"].to_numpy()[r], y["ord"].to_numpy()[c]
-            xi, yi = x["id"].to_numpy()[r], y["id"].to_numpy()[c]
-            keep = (xi != yi) & ((xo < yo) | ((xo == yo) & (xi < yi))) if i == j else xi != yi
-            first = (xo < yo) | ((xo == yo) & (xi < yi))
-            out.append(pd.DataFrame({"a": np.where(first, xi, yi)[keep], "b": np.where(first, yi, xi)[keep], "sim": s[r, c][keep]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "sim": []}).astype({"a": "int64", "b": "int64"})
-
-    return run
-
-
-def near_pairs(rows: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """``(a, b, sim)`` of all pairs within a project whose cosine is ``threshold`` or more; a comes before b by ``ord``.
-
-    Exact: rows ``(project, id, ord, vec)`` are cut into blocks, each pair of blocks is one matrix
-    product in a task of its own, and only pairs over the threshold leave it.
-    """
-    sizes = rows.groupBy("project").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.lit(1)).cast("int").alias("blocks"))
-    placed = rows.join(sizes, "project").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("vec", l2_normalise(F.col("vec"))).withColumn("size", F.size("vec"))
-    meets = placed.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    meets = meets.select("project", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", "id", "ord", "size", "vec")
-    return meets.groupBy("project", "i", "j").applyInPandas(_block_pairs(threshold), "a long, b long, sim double")
-
-
 def build_index(nodes: DataFrame, facts: DataFrame, embed, model: str = HashedWords.model) -> DataFrame:
     """Unit vectors of all nodes and of facts with text, nodes first."""
     none = F.lit(None)
@@ -105,6 +66,11 @@ def build_index(nodes: DataFrame, facts: DataFrame, embed, model: str = HashedWo
     return rows.withColumn("dim", F.size("vec")).withColumn("model", F.lit(model))
 
 
+def pool_size(k: int) -> int:
+    """How many of each project's best items a search for k nodes and k facts chooses from."""
+    return max(3 * k, 20)
+
+
 def search(vectors: DataFrame, query: list[float], k: int = config.QUERY_K, project: str | None = None, model: str | None = None, decimals: int | None = 3) -> DataFrame:
     """Up to k nodes and k facts nearest to the query, of the best ``max(3k, 20)`` items of each project.
 
@@ -120,7 +86,7 @@ def search(vectors: DataFrame, query: list[float], k: int = config.QUERY_K, proj
         rows = rows.where(F.col("model") == model)
     scored = rows.withColumn("score", dot(F.col("vec"), q)).drop("vec")
     w = Window.partitionBy("project").orderBy(F.desc("score"), "pos")
-    pool = scored.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max(3 * k, 20))
+    pool = scored.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= pool_size(k))
     same = F.when(F.col("kind") == "fact", F.lower(F.trim("text"))).otherwise(F.concat_ws("\x1f", "project", "id"))
     best = Window.partitionBy("kind", same).orderBy(F.desc("score"), "project", "pos")
     once = pool.withColumn("_d", F.row_number().over(best)).where("_d = 1")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import time
 from collections.abc import Callable
@@ -10,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect import config
-from recollect.operators import chunk, dedup, digest, expand, extract, graph, link, vectors
+from recollect.functions.text import dot
+from recollect.operators import chunk, dedup, digest, expand, extract, graph, link, similar, vectors
 from recollect.operators.graph import Graph
 from recollect.session import Cut
 from recollect.sources import convert, files, manifest, sinks
@@ -22,10 +24,13 @@ TABLES = {
     "nodes": "project string, ord long, id string, name string, type string, description string, aliases array<string>, sources array<string>, mentions long, degree long, facts array<string>, from_project string",
     "edges": "project string, ord long, source string, relation string, target string, count long, files array<string>, from_project string",
     "facts": "project string, ord long, text string, nodes array<string>, file string, from_project string",
-    "vectors": "project string, pos long, kind string, id string, name string, type string, description string, text string, nodes array<string>, facts array<string>, sources array<string>, file string, vec array<float>, dim int, model string",
+    "vectors": "project string, pos long, kind string, id string, name string, type string, description string, text string, nodes array<string>, facts array<string>, sources array<string>, file string, vec array<float>, dim int, model string, away double, cell int",
+    "cells": "project string, cell int, pivot array<double>, least double, most double, n long, dim int, model string",
     "projects": "project string, name string, source_dir string, model string, files long, updated string",
 }
 
+#: Columns by which a project's partition is parted further.
+PARTED = {"vectors": ["cell"]}
 #: Tables that only grow: a row stands until one of its key has a higher version.
 LOGS = {"manifest": ["project", "rel_path"], "documents": ["project", "rel_path"], "parsed": ["project", "file"]}
 #: Characters that Spark's writers escape in the names of partitions.
@@ -77,7 +82,7 @@ class Memory:
         """
         cols = [c.split()[0] for c in _columns(TABLES[name])]
         out, new, old = (f"{self.path(name)}/{mark}{folder_of(project)}" for mark in ("", "_new-", "_old-"))
-        rows.select(*cols).drop("project").write.mode("overwrite").parquet(new)
+        rows.select(*cols).drop("project").write.mode("overwrite").partitionBy(*PARTED.get(name, [])).parquet(new)
         fs, path = self._files(out)
         fs.delete(path(old), True)
         if fs.exists(path(out)):
@@ -213,7 +218,13 @@ class Memory:
 
     def index(self, project: str) -> dict:
         g = self.graph(project)
-        self.write("vectors", vectors.build_index(g.nodes, g.facts, self.embed, self.provider.model), project)
+        rows = Cut(vectors.build_index(g.nodes, g.facts, self.embed, self.provider.model), "index")
+        points = similar.pivots(rows.df, "pos", "vec")
+        placed = similar.assigned(rows.df, "vec", points)
+        self.write("vectors", placed, project)
+        cells = similar.cell_table(self.read("vectors", project), points)
+        self.write("cells", cells.withColumns({"dim": F.lit(points.shape[1]), "model": F.lit(self.provider.model)}), project)
+        rows.drop()
         return {"nodes": g.nodes.count(), "edges": g.edges.count(), "facts": g.facts.count(), "vectors": self.read("vectors", project).count()}
 
     def build(self, source_dir: str, project: str, name: str | None = None, incremental: bool = True, reset: bool = False, max_files: int | None = None, prune: bool = False, verify: bool = False) -> dict:
@@ -255,9 +266,15 @@ class Memory:
         return digest.digest_text(self.graph(project), project, meta and meta["name"], meta and meta["source_dir"], (meta and meta["updated"]) or "", self.summarise)
 
     def query(self, text: str, project: str | None = None, k: int | None = None, scope: str = "project") -> list:
-        rows = self.read("vectors") if scope == "all" else self.read("vectors", self.sole(project))
-        vec = [float(x) for x in self.provider.vectors([text])[0]]
-        return vectors.search(rows, vec, k or config.QUERY_K, model=self.provider.model).collect()
+        """The nodes and facts nearest to a text; only cells of the index that can hold one of them are read."""
+        within = None if scope == "all" else self.sole(project)
+        vec, k = [float(x) for x in self.provider.vectors([text])[0]], k or config.QUERY_K
+        norm = math.sqrt(sum(x * x for x in vec)) or 1.0
+        fits = (F.col("dim") == len(vec)) & (F.col("model") == self.provider.model)
+        rows, cells = (self.read(t, within).where(fits) for t in ("vectors", "cells"))
+        score = dot(F.col("vec"), F.array(*[F.lit(x / norm) for x in vec]))
+        found, _ = similar.search_cells(rows, cells, [x / norm for x in vec], vectors.pool_size(k), score)
+        return vectors.search(found, vec, k, model=self.provider.model).collect()
 
     def query_markdown(self, text: str, project: str | None = None, k: int | None = None, scope: str = "project") -> str:
         return sinks.search_markdown(text, self.query(text, project, k, scope), scope == "all")

@@ -206,6 +206,10 @@ ORACLE = {
     "vector_topk": f"with {_VECTORS} select u.vec_id, round(list_dot_product(u.v, q.v), 3) as score from u, q where u.vec_id <> 7 order by list_dot_product(u.v, q.v) desc, u.vec_id limit 10",
     "vector_topk_per_project": f"{_search("where project = 'p3'")} select vec_id::varchar as id, rank, round(score, 3) as score from best where rank <= 8",
     "vector_search_all": f"{_search('')} select project, vec_id::varchar as id, rank, round(score, 3) as score from best where rank <= 8",
+    "vector_search_cells": f"{_search('')} select project, vec_id::varchar as id, rank, round(score, 3) as score from best where rank <= 8",
+    "title_pairs": """with t as (select list_sort(list_distinct(list_filter(string_split_regex(lower(substr(text, 1, 60)), '[^a-z]+'), lambda w: w <> ''))) as words, min(doc_id) as id from documents group by 1 having len(words) > 0),
+        e as (select id, len(words) as n, unnest(words) as term from t), p as (select a.id as a, b.id as b, count(*)::double / sqrt(a.n::double * b.n::double) as sim from e a join e b on a.term = b.term and a.id < b.id group by a.id, b.id, a.n, b.n)
+        select a, b, round(sim, 6) as sim from p where sim >= 0.6""",
     "vector_near_duplicates": f"{_PAIRS} select a, b, round(sim, 3) as sim from pairs where sim >= 0.3",
     "vector_components": f"""{_PAIRS}, l as (select a, b from pairs where sim >= 0.35 union all select b, a from pairs where sim >= 0.35),
         r as (select a as node, a as seen from l union select r.node, l.b from r join l on l.a = r.seen) select node, min(seen) as component from r group by node""",

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.functions import text as T
-from recollect.operators import chunk, dedup, digest, expand, extract, graph, link, resolve, vectors
+from recollect.operators import chunk, dedup, digest, expand, extract, graph, link, resolve, similar, vectors
 from recollect.operators.components import connected_components
 from recollect.session import Cut
 from recollect.sources import convert, manifest
@@ -398,9 +399,48 @@ def vector_search_all(spark, sf):
     return vectors.search(_index(spark, sf), _query_vector(spark, sf), 8).select("project", "id", "rank", "score")
 
 
+@query
+def vector_search_cells(spark, sf):
+    """The search over all projects through an index of cells around pivots: only cells that can hold a result are read."""
+    query, index = _query_vector(spark, sf), _index(spark, sf)
+    points = similar.pivots(index, "pos", "vec")
+    placed = Cut(similar.assigned(index, "vec", points), "cells", by=("project", "cell")).df
+    norm = math.sqrt(sum(float(x) ** 2 for x in query))
+    unit = [float(x) / norm for x in query]
+    score = T.dot(F.col("vec"), F.array(*[F.lit(x) for x in unit]))
+    rows, _ = similar.search_cells(placed, similar.cell_table(placed, points), unit, 24, score)
+    return vectors.search(rows.select(*index.columns), query, 8).select("project", "id", "rank", "score")
+
+
+def _titles(spark, sf):
+    """The distinct sets of words of the documents' first 60 characters, each with its first document."""
+    words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower(F.substring("text", 1, 60)), r"[^a-z]+"), lambda w: w != "")))
+    d = table(spark, sf, "documents").select("doc_id", words.alias("words")).where("size(words) > 0")
+    return d.groupBy("words").agg(F.min("doc_id").alias("id")).select(F.lit("t").alias("project"), "id", F.col("id").alias("ord"), "words")
+
+
+@query
+def title_pairs(spark, sf):
+    """Beginnings of documents that share most of their words: a threshold join by the rarest terms."""
+    t = _titles(spark, sf)
+    entries = t.select("project", "id", F.explode("words").alias("term"), F.lit(1.0).alias("weight"))
+    return similar.sparse_pairs(entries, t.select("project", "id", "ord"), 0.6).select("a", "b", F.round("sim", 6).alias("sim"))
+
+
+@query
+def merged_titles(spark, sf):
+    """Entities named by the first five to seven words of each document, merged where an embedder finds them near and the names are alike."""
+    d = table(spark, sf, "documents")
+    name = F.array_join(F.slice(T.words(F.col("text")), F.lit(1), (5 + F.col("doc_id") % 3).cast("int")), " ")
+    kind = F.when(F.col("doc_id") % 7 == 0, F.lit("Document")).otherwise(F.lit("Concept"))
+    raw = d.select(F.lit("t").alias("project"), F.col("doc_id").alias("seq"), T.clean_name(name).alias("name"), kind.alias("type"), F.coalesce("source", F.lit("")).alias("description"), F.array().cast("array<string>").alias("aliases"), F.concat_ws("/", "source", "lang").alias("file"), F.lit(0).alias("chunk"))
+    nodes, _ = resolve.resolve(raw, vectors.embedder())
+    return nodes.select("id", "ord", "name", "type", "mentions", F.array_join("aliases", "|").alias("aliases"))
+
+
 def _near(spark, sf, threshold):
     e = table(spark, sf, "embeddings")
-    return vectors.near_pairs(e.select(F.lit("p").alias("project"), F.col("vec_id").alias("id"), F.col("vec_id").alias("ord"), F.col("embedding").alias("vec")), threshold)
+    return similar.near_pairs(e.select(F.lit("p").alias("project"), F.col("vec_id").alias("id"), F.col("vec_id").alias("ord"), F.col("embedding").alias("vec")), threshold)
 
 
 @query

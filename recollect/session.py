@@ -48,10 +48,11 @@ class Cut:
     columnar and ``drop()`` removes them as soon as nothing reads them.
     """
 
-    def __init__(self, df: DataFrame, name: str = "cut"):
+    def __init__(self, df: DataFrame, name: str = "cut", by: tuple[str, ...] = ()):
+        """``by`` names columns to partition the files by."""
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/recollect/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        df.write.partitionBy(*by).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def count(self) -> int:
