@@ -73,6 +73,46 @@ def test_dedup_matches_sequential(spark):
     assert got == want and "variant" in want.values() and "duplicate" in want.values()
 
 
+def test_lengths_are_the_fold(spark):
+    """The function of a run of lengths against the run itself, for every length before it; runs compose."""
+    rng = random.Random(6)
+
+    def fold(before, run):
+        for n in run:
+            if not dedup.is_variant(n, before):
+                before = n
+        return before
+
+    for _ in range(300):
+        spread = rng.choice([(1, 900), (301, 900), (301, 5000), (250, 400)])
+        run = [rng.randint(*spread) for _ in range(rng.randint(0, 30))]
+        f = dedup.Lengths()
+        for n in run:
+            f.add(n)
+        for before in [None, 0, *range(1, 9000, 7), *[x + d for x in run for d in (-1, 0, 1)]]:
+            assert f(before) == fold(before, run), (run, before)
+        assert len(f.out) <= len(run)
+
+
+def test_dedup_of_one_stem(spark):
+    """One stem for everything over many ranges, copies that variants hide, several rounds; ties of content across stems."""
+    rng = random.Random(9)
+    for turn in range(3):
+        sizes = [rng.randint(150, 900) for _ in range(30)]
+        docs = [("p", f"{'same' if turn == 0 or rng.random() < 0.7 else 'other'}.v{i}.md", i, "x" * rng.choice(sizes)) for i in range(250)]
+        df = spark.createDataFrame(docs, "project string, file string, doc_ord long, body string")
+        want = sequential_dedup([(f, len(b), b, f.split(".")[0]) for _, f, _, b in docs])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "13")
+        try:
+            got = dedup.document_dedup(df)
+            assert {r["file"]: r["skipped"] for r in got.collect()} == want
+        finally:
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert dedup.document_dedup(df.limit(0)).count() == 0
+
+
 def test_components(spark):
     rng = random.Random(3)
     chain = [(i, i + 1) for i in range(200)]
