@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
-from recollect import config
 from recollect.functions.fuzzy import ratio
+from recollect.operators.chunk import chunk_documents
 
 #: name -> (parameters, return type, expression); the expressions are those of ``text``.
 SQL_FUNCTIONS = {
@@ -21,37 +17,9 @@ SQL_FUNCTIONS = {
 }
 
 
-class ChunkMarkdown:
-    """``SELECT c.* FROM docs, LATERAL chunk_markdown(body, 1400, 100) c``: the chunks of a text, from 0."""
-
-    def eval(self, text: str, size: int, overlap: int) -> Iterator[tuple[int, str]]:
-        n = 0
-        for c in packed_chunks(text or "", size or config.CHUNK_WORDS, config.CHUNK_OVERLAP if overlap is None else overlap):
-            if len(c.split()) >= 3:
-                yield n, c
-                n += 1
-
-
-def packed_chunks(text: str, size: int, overlap: int) -> Iterator[str]:
-    """Heading blocks, cut to ``size`` words, packed with overlap: one text at a time, for use from SQL."""
-    held: list[str] = []
-    count = 0
-    for block in re.split(r"\n(?=#{1,6}[^\S\n])", re.sub(r"(?s)<!--.*?-->", " ", text)):
-        w = block.split()
-        for piece in [block] if len(w) <= size else [" ".join(w[i : i + size]) for i in range(0, len(w), size)]:
-            n = len(piece.split())
-            if held and count + n > size:
-                whole = "\n".join(held)
-                yield whole.strip()
-                tail = whole.split()[-overlap:] if overlap else []
-                held, count = ([" ".join(tail)] if tail else []), len(tail)
-            held.append(piece)
-            count += n
-            if count > 2 * size:
-                yield "\n".join(held).strip()
-                held, count = [], 0
-    if held:
-        yield "\n".join(held).strip()
+def chunk_view(spark: SparkSession, table: str, name: str, text: str = "body", size: int | None = None, overlap: int | None = None) -> None:
+    """A view of a table's chunks for SQL: ``text`` becomes a row for each chunk, with its number; other columns stay."""
+    chunk_documents(spark.table(table), size, overlap, None, text).createOrReplaceTempView(name)
 
 
 def register(spark: SparkSession) -> list[str]:
@@ -59,5 +27,4 @@ def register(spark: SparkSession) -> list[str]:
     for name, (params, kind, body) in SQL_FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({params}) RETURNS {kind} RETURN {body}")
     spark.udf.register("sequence_ratio", ratio)
-    spark.udtf.register("chunk_markdown", F.udtf(ChunkMarkdown, returnType="chunk: int, text: string"))
-    return [*SQL_FUNCTIONS, "sequence_ratio", "chunk_markdown"]
+    return [*SQL_FUNCTIONS, "sequence_ratio"]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect import config
-from recollect.functions.text import computed, strip, words
+from recollect.functions.text import bound, computed, strip, words
 
 
 def without_comments(text: Column) -> Column:
@@ -29,37 +29,46 @@ def sized_blocks(blocks: Column, size: int) -> Column:
     return F.flatten(F.transform(blocks, cut))
 
 
-def packed(blocks: Column, size: int, overlap: int) -> Column:
-    """Blocks packed until the next would exceed ``size`` words; a chunk begins with the last ``overlap`` words of the one before."""
-    empty = F.array().cast("array<string>")
-    start = F.struct(empty.alias("out"), F.lit(None).cast("string").alias("buf"), F.lit(0).alias("n"))
-
-    def step(s: Column, b: Column) -> Column:
-        w = F.size(words(b))
-        full = (s["n"] + w > size) & s["buf"].isNotNull()
-        last = words(s["buf"])
-        tail = F.array_join(F.slice(last, F.greatest(F.size(last) - overlap + 1, F.lit(1)), F.lit(overlap)), " ") if overlap else F.lit("")
-        kept = F.when(tail != "", tail)
-        out = F.when(full, F.concat(s["out"], F.array(strip(s["buf"])))).otherwise(s["out"])
-        buf = F.when(full, kept).otherwise(s["buf"])
-        n = F.when(full, F.coalesce(F.size(words(kept)), F.lit(0))).otherwise(s["n"])
-        n = F.when(full & kept.isNull(), F.lit(0)).otherwise(n)
-        buf = F.when(buf.isNull(), b).otherwise(F.concat(buf, F.lit("\n"), b))
-        huge = n + w > 2 * size
+def cuts(sizes: Column, size: int, overlap: int) -> Column:
+    """Where chunks begin and end, from the numbers of words of their pieces.
+
+    A chunk takes pieces until the next would exceed ``size`` words, and begins with the last ``overlap`` words of the one before,
+    which are simply the words before its first piece. Each is ``first`` and ``count`` of its pieces, ``at``, the number of words
+    before them, ``lead``, how many of these it repeats, and ``n``, its number of words.
+    """
+    start = F.struct(F.array().cast("array<struct<first:int,count:int,at:int,lead:int,n:int>>").alias("out"), *[F.lit(0).alias(c) for c in ("first", "count", "at", "lead", "n", "i", "pos")])
+
+    def step(s: Column, w: Column) -> Column:
+        closed = F.concat(s["out"], F.array(F.struct(*[s[c].alias(c) for c in ("first", "count", "at", "lead", "n")])))
+        full = (s["n"] + w > size) & (s["count"] > 0)
+        fresh = full | (s["count"] == 0)
+        lead = F.when(full, F.least(F.lit(overlap), s["n"])).when(s["count"] == 0, F.lit(0)).otherwise(s["lead"])
+        first, at = F.when(fresh, s["i"]).otherwise(s["first"]), F.when(fresh, s["pos"]).otherwise(s["at"])
+        before = F.when(fresh, lead).otherwise(s["n"])
+        count, n = F.when(fresh, F.lit(1)).otherwise(s["count"] + 1), before + w
+        out = F.when(full, closed).otherwise(s["out"])
+        now = F.struct(first.alias("first"), count.alias("count"), at.alias("at"), lead.alias("lead"), n.alias("n"))
+        # a lead longer than a chunk can bring it to twice the size: it ends at once, and the next repeats nothing
+        huge = n > 2 * size
         return F.struct(
-            F.when(huge, F.concat(out, F.array(strip(buf)))).otherwise(out).alias("out"),
-            F.when(~huge, buf).alias("buf"),
-            F.when(huge, F.lit(0)).otherwise(n + w).cast("int").alias("n"),
+            F.when(huge, F.concat(out, F.array(now))).otherwise(out).alias("out"), first.alias("first"), F.when(huge, F.lit(0)).otherwise(count).alias("count"), at.alias("at"), lead.alias("lead"),
+            F.when(huge, F.lit(0)).otherwise(n).alias("n"), (s["i"] + 1).alias("i"), (s["pos"] + w).alias("pos"),
         )
 
-    last = lambda s: F.when(s["buf"].isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(strip(s["buf"]))))
-    return F.aggregate(blocks, start, step, last)
+    last = lambda s: F.when(s["count"] == 0, s["out"]).otherwise(F.concat(s["out"], F.array(F.struct(*[s[c].alias(c) for c in ("first", "count", "at", "lead", "n")]))))
+    return F.aggregate(sizes, start, step, last)
 
 
 def chunks_of(text: Column, size: int = config.CHUNK_WORDS, overlap: int = config.CHUNK_OVERLAP) -> Column:
-    """The chunks of a text, without those of fewer than three words."""
-    made = packed(sized_blocks(heading_blocks(text), size), size, overlap)
-    return F.filter(made, lambda c: F.size(words(c)) >= 3)
+    """The chunks of a text, without those of fewer than three words: places first, by numbers of words, then texts."""
+
+    def texts(pieces: Column, by_piece: Column) -> Column:
+        found = F.filter(cuts(F.transform(by_piece, F.size), size, overlap), lambda c: c["n"] >= 3)
+        body = lambda c: F.array_join(F.slice(pieces, c["first"] + 1, c["count"]), "\n")
+        lead = lambda every, c: F.concat(F.array_join(F.slice(every, c["at"] - c["lead"] + 1, c["lead"]), " "), F.lit("\n"))
+        return bound(F.flatten(by_piece), lambda every: F.transform(found, lambda c: strip(F.when(c["lead"] > 0, F.concat(lead(every, c), body(c))).otherwise(body(c)))))
+
+    return bound(sized_blocks(heading_blocks(text), size), lambda p: bound(F.transform(p, words), lambda w: texts(p, w)))
 
 
 def plain_chunks_of(text: str, word_list: str, size: int, overlap: int) -> Column:
@@ -78,14 +87,15 @@ def plain_chunks_of(text: str, word_list: str, size: int, overlap: int) -> Colum
 def chunk_documents(docs: DataFrame, size: int | None = None, overlap: int | None = None, most: int | None = config.MAX_CHUNKS, text: str = "body") -> DataFrame:
     """One row per chunk: the columns of ``docs`` but the text, then ``chunk`` (from 0) and ``text``.
 
-    ``most`` keeps the first chunks of each document; None keeps all. Texts
+    ``most`` keeps the first chunks of each document; None keeps all. A null text has none. Texts
     without headings take the closed form, which needs no fold.
     """
     size = config.CHUNK_WORDS if size is None else size
     overlap = config.CHUNK_OVERLAP if overlap is None else overlap
     rest = [c for c in docs.columns if c != text]
-    headed = F.lit(overlap > size) | F.coalesce(F.col(text).rlike(r"\n#{1,6}[^\S\n]"), F.lit(False))
-    rows = docs.select(*rest, F.col(text).alias("_body"), headed.alias("_headed"))
+    body = F.coalesce(F.col(text), F.lit(""))
+    headed = F.lit(overlap > size) | body.rlike(r"\n#{1,6}[^\S\n]")
+    rows = docs.select(*rest, body.alias("_body"), headed.alias("_headed"))
     rows = computed(rows, _plain=F.when(~F.col("_headed"), without_comments(F.col("_body"))))
     rows = computed(rows, _words=words(F.col("_plain")))
     made = F.when(F.col("_headed"), chunks_of(F.col("_body"), size, overlap)).otherwise(plain_chunks_of("_plain", "_words", size, overlap))

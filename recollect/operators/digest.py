@@ -75,20 +75,12 @@ def digest_text(graph: Graph, project: str, name: str | None = None, source_dir:
             overview = ""
     if not overview:
         lead = sorted(overview_lead(nodes).collect(), key=lambda r: r["rank"])
-        overview = " ".join(f"{r['name']} — {r['description']}" for r in lead) or f"Project memory with {n_nodes} entities and {n_edges} relationships."
-    out = [f"# Project Memory — {name or project}", "", f"*{n_nodes} entities · {n_edges} relationships · {n_facts} facts · generated {generated}*"]
-    if source_dir:
-        out.append(f"*Source: {source_dir}*")
-    out += ["", "## Overview", "", overview, "", "## Key entities", ""]
-    last = None
+        overview = " ".join(f"{r['name']} is {r['description']}." for r in lead) or f"{n_nodes} entities are known, with {n_edges} links between them."
+    kinds: dict[str, list[str]] = {}
     for r in sorted(sections(nodes).collect(), key=lambda r: r["line"]):
-        if r["type"] != last:
-            out += ([""] if last else []) + [f"**{r['type']}**"]
-            last = r["type"]
-        out.append(f"- {r['name']}" + (f" — {r['description']}" if r["description"] else ""))
-    if last:
-        out.append("")
-    out += ["## Key relationships", ""]
-    out += [f"- {r['source']} **{r['relation']}** {r['target']}" for r in sorted(top_relations(edges, nodes).collect(), key=lambda r: r["rank"])]
-    out += ["", "## Key facts", "", *[f"- {r['text']}" for r in best[: config.DIGEST_FACTS]], "", "---", "*Compact memory digest: query for specifics, expand an entity, or open the mind map.*"]
-    return "\n".join(out)
+        kinds.setdefault(r["type"], []).append(f"- {r['name']}" + (f": {r['description']}" if r["description"] else ""))
+    links = [f"- {r['source']}, {r['relation']}: {r['target']}" for r in sorted(top_relations(edges, nodes).collect(), key=lambda r: r["rank"])]
+    said = [f"- {r['text']}" for r in best[: config.DIGEST_FACTS]]
+    head = [f"# {name or project}", "", overview, "", f"Known: {n_nodes} entities, {n_edges} links, {n_facts} statements" + (f", read from {source_dir}" if source_dir else "") + (f", {generated}" if generated else "") + "."]
+    parts = [(f"{kind} entities", lines) for kind, lines in kinds.items()] + [("Links", links), ("Statements", said)]
+    return "\n".join(head + [line for title, lines in parts if lines for line in ("", f"## {title}", "", *lines)])

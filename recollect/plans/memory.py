@@ -54,7 +54,7 @@ class Memory:
     makes the conversion providers; ``summarise`` may write overviews.
     """
 
-    def __init__(self, spark: SparkSession, root: str, extractor: Callable | None = None, embed_with=None, converters: Callable = convert.Providers, summarise: Callable | None = None):
+    def __init__(self, spark: SparkSession, root: str, extractor: Callable | None = None, embed_with=None, converters: Callable = convert.installed, summarise: Callable | None = None):
         self.spark, self.root = spark, root.rstrip("/")
         self.extractor, self.converters, self.summarise = extractor, converters, summarise
         self.provider = embed_with or vectors.HashedWords()
@@ -340,7 +340,9 @@ class Memory:
 
     def status(self) -> dict:
         conf = self.spark.conf
-        return {"spark": self.spark.version, "root": self.root, "model": self.provider.model, "extractor": "offline" if self.extractor is None else "provider", "adaptive": conf.get("spark.sql.adaptive.enabled"), "projects": self.read("projects").count()}
+        have = self.converters()
+        work = {n: "yes" if getattr(have, n) else "no" for n in ("ocr_image", "pages", "caption", "transcribe")}
+        return {"converters": work, "spark": self.spark.version, "root": self.root, "model": self.provider.model, "extractor": "offline" if self.extractor is None else "provider", "adaptive": conf.get("spark.sql.adaptive.enabled"), "projects": self.read("projects").count()}
 
 
 def _columns(schema: str) -> list[str]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 import json
+import shutil
 import subprocess
 import zipfile
 from collections.abc import Callable, Iterator
@@ -19,6 +20,7 @@ from pyspark.sql.types import StringType
 
 from recollect import config
 from recollect.functions.text import suffix
+from recollect.session import Cut
 
 
 class _Markdown(HTMLParser):
@@ -124,16 +126,135 @@ def _table(rows: list[list[str]]) -> str:
     return "\n".join(["| " + " | ".join(r) + " |" for r in [rows[0], ["---"] * width, *rows[1:]]])
 
 
-def _office_text(data: bytes, part: str, paragraph: str, text: str) -> str:
-    """Paragraphs of an Office file's XML parts whose names begin with ``part``."""
+_W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+
+
+def _styles(z: zipfile.ZipFile) -> dict[str, int]:
+    """Heading level of each paragraph style: its own outline level or the one of the style that it is based on."""
+    if "word/styles.xml" not in z.namelist():
+        return {}
+    own, base = {}, {}
+    for s in ElementTree.fromstring(z.read("word/styles.xml")).iter(f"{_W}style"):
+        key, outline, parent = s.get(f"{_W}styleId"), s.find(f"{_W}pPr/{_W}outlineLvl"), s.find(f"{_W}basedOn")
+        name = (s.find(f"{_W}name").get(f"{_W}val") or "").lower() if s.find(f"{_W}name") is not None else ""
+        if outline is not None:
+            own[key] = int(outline.get(f"{_W}val")) + 1
+        elif name.startswith("heading ") and name[8:].isdigit():
+            own[key] = int(name[8:])
+        elif name == "title":
+            own[key] = 1
+        if parent is not None:
+            base[key] = parent.get(f"{_W}val")
+    out = {}
+    for key in {*own, *base}:
+        at, seen = key, set()
+        while at not in own and at in base and at not in seen:
+            seen.add(at)
+            at = base[at]
+        if at in own and own[at] <= 9:
+            out[key] = min(own[at], 6)
+    return out
+
+
+def _numbered(z: zipfile.ZipFile) -> dict[tuple[str, str], bool]:
+    """Whether a list's level is numbered, by the list's id and level; others have bullets."""
+    if "word/numbering.xml" not in z.namelist():
+        return {}
+    root = ElementTree.fromstring(z.read("word/numbering.xml"))
+    kinds = {}
+    for a in root.iter(f"{_W}abstractNum"):
+        for level in a.iter(f"{_W}lvl"):
+            form = level.find(f"{_W}numFmt")
+            kinds[a.get(f"{_W}abstractNumId"), level.get(f"{_W}ilvl")] = form is not None and form.get(f"{_W}val") not in ("bullet", "none")
+    out = {}
+    for n in root.iter(f"{_W}num"):
+        ref = n.find(f"{_W}abstractNumId")
+        for (abstract, level), kind in kinds.items():
+            if ref is not None and ref.get(f"{_W}val") == abstract:
+                out[n.get(f"{_W}numId"), level] = kind
+    return out
+
+
+def _paragraph(p) -> str:
+    """Text of a paragraph; deleted runs are left out, tabs and breaks are spaces and line ends."""
+    marks = {f"{_W}tab": " ", f"{_W}br": "\n", f"{_W}cr": "\n"}
+    return "".join((t.text or "") if t.tag == f"{_W}t" else marks.get(t.tag, "") for t in p.iter()).strip()
+
+
+def word_markdown(data: bytes) -> str:
+    """A text document's headings, lists, tables and paragraphs as Markdown, in order."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        body, styles, numbered = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_W}body"), _styles(z), _numbered(z)
+    out: list[str] = []
+    counts: dict[tuple[str, str], int] = {}
+    listed = False
+
+    def block(el) -> None:
+        nonlocal listed
+        if el.tag == f"{_W}tbl":
+            rows = [[" ".join(filter(None, map(_paragraph, c.iter(f"{_W}p")))) for c in r.findall(f"{_W}tc")] for r in el.findall(f"{_W}tr")]
+            out.append(_table([r for r in rows if r]))
+            listed = False
+        elif el.tag == f"{_W}p":
+            text = _paragraph(el)
+            style, number = el.find(f"{_W}pPr/{_W}pStyle"), el.find(f"{_W}pPr/{_W}numPr")
+            outline = el.find(f"{_W}pPr/{_W}outlineLvl")
+            level = int(outline.get(f"{_W}val")) + 1 if outline is not None else styles.get(style.get(f"{_W}val")) if style is not None else None
+            if not text:
+                return
+            if level and level <= 9:
+                out.append("#" * min(level, 6) + " " + text.replace("\n", " "))
+                listed = False
+            elif number is not None and number.find(f"{_W}numId") is not None:
+                depth = number.find(f"{_W}ilvl")
+                key = number.find(f"{_W}numId").get(f"{_W}val"), depth.get(f"{_W}val") if depth is not None else "0"
+                counts[key] = counts.get(key, 0) + 1
+                for other in [k for k in counts if k[0] == key[0] and int(k[1]) > int(key[1])]:
+                    del counts[other]  # a deeper level begins anew
+                line = "  " * int(key[1]) + (f"{counts[key]}. " if numbered.get(key) else "- ") + text.replace("\n", " ")
+                if listed:
+                    out[-1] += "\n" + line
+                else:
+                    out.append(line)
+                listed = True
+            else:
+                out.append(text)
+                listed = False
+        elif el.tag in (f"{_W}sdt", f"{_W}sdtContent"):
+            for inner in el:
+                block(inner)
+
+    for el in body if body is not None else []:
+        block(el)
+    return "\n\n".join(x for x in out if x)
+
+
+_A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
+_P = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
+
+
+def slides_markdown(data: bytes) -> str:
+    """Slides in order of number: titles as headings, paragraphs by depth as list items, tables as tables."""
     out = []
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        for name in sorted(n for n in z.namelist() if n.startswith(part) and n.endswith(".xml")):
-            for p in ElementTree.fromstring(z.read(name)).iter():
-                if p.tag.endswith("}" + paragraph):
-                    line = "".join(t.text or "" for t in p.iter() if t.tag.endswith("}" + text)).strip()
-                    if line:
-                        out.append(line)
+        names = [n for n in z.namelist() if n.startswith("ppt/slides/slide") and n.endswith(".xml")]
+        for name in sorted(names, key=lambda n: int("".join(c for c in n if c.isdigit()) or 0)):
+            root = ElementTree.fromstring(z.read(name))
+            for shape in root.iter():
+                if shape.tag == f"{_P}sp":
+                    kind = shape.find(f"{_P}nvSpPr/{_P}nvPr/{_P}ph")
+                    title = kind is not None and kind.get("type") in ("title", "ctrTitle")
+                    lines = []
+                    for p in shape.iter(f"{_A}p"):
+                        text = "".join(t.text or "" for t in p.iter(f"{_A}t")).strip()
+                        props = p.find(f"{_A}pPr")
+                        depth = int(props.get("lvl") or 0) if props is not None else 0
+                        if text:
+                            lines.append(text if title else "  " * depth + "- " + text)
+                    if lines:
+                        out.append("## " + " ".join(lines) if title else "\n".join(lines))
+                elif shape.tag == f"{_A}tbl":
+                    out.append(_table([["".join(t.text or "" for t in c.iter(f"{_A}t")) for c in r.findall(f"{_A}tc")] for r in shape.findall(f"{_A}tr")]))
     return "\n\n".join(out)
 
 
@@ -167,9 +288,9 @@ def builtin_convert(ext: str, data: bytes) -> str:
     if ext == ".json":
         return "```json\n" + json.dumps(json.loads(decode()), indent=2, ensure_ascii=False) + "\n```"
     if ext == ".docx":
-        return _office_text(data, "word/document", "p", "t")
+        return word_markdown(data)
     if ext == ".pptx":
-        return _office_text(data, "ppt/slides/slide", "p", "t")
+        return slides_markdown(data)
     if ext == ".xlsx":
         return _sheet(data)
     return ""
@@ -186,56 +307,96 @@ def tesseract(data: bytes, lang: str = config.OCR_LANG, command: str = "tesserac
 
 @dataclass
 class Providers:
-    """What conversion can call; what is None is not available. All take file contents and return text."""
+    """What conversion can call; what is None is not available. All take file contents and return text but ``pages``, which
+    returns the images of a document's first pages. A file of providers is made on the driver, to see what there is, and once a task."""
 
     convert: Callable[[str, bytes], str] = builtin_convert
     ocr_image: Callable[[bytes], str] | None = None
-    ocr_pages: Callable[[bytes, int], list[str]] | None = None
+    pages: Callable[[bytes, int], list[bytes]] | None = None
     caption: Callable[[bytes], str] | None = None
     transcribe: Callable[[bytes], str] | None = None
 
 
-def convert_bytes(ext: str, data: bytes, p: Providers, ocr: str = config.OCR_MODE, vision: str = config.VISION_MODE, pages: int = config.OCR_PAGES) -> tuple[str, str]:
-    """(Markdown, method) of one file; a provider's failure counts as no text."""
-
-    def attempt(f, *args):
-        try:
-            return f(*args) or ""
-        except Exception:  # one file's failure must not end the job
-            return ""
-
-    parts, methods = [], []
-    base = "" if ext in config.AUDIO_EXTS else attempt(p.convert, ext, data).strip()
-    if base:
-        parts.append(base)
-        methods.append("convert")
-    if ext in config.IMAGE_EXTS:
-        if ocr != "off" and p.ocr_image and (t := attempt(p.ocr_image, data).strip()):
-            parts.append(f"## OCR text\n\n{t}")
-            methods.append("ocr")
-        if vision in ("auto", "force") and p.caption and (t := attempt(p.caption, data).strip()):
-            parts.append(f"## Image description\n\n{t}")
-            methods.append("vision")
-    elif ext == ".pdf":
-        if p.ocr_pages and (ocr in ("force", "hybrid") or ocr == "auto" and len(base) < config.OCR_LEAST_CHARS):
-            found = [t.strip() for t in (attempt(p.ocr_pages, data, pages) or [])[:pages]]
-            t = "\n\n".join(f"<!-- page {i} -->\n{x}" for i, x in enumerate(found, 1) if x)
-            if t:
-                parts.append(f"## OCR text\n\n{t}" if base else t)
-                methods.append("ocr-pdf")
-    elif ext in config.AUDIO_EXTS and p.transcribe and (t := attempt(p.transcribe, data).strip()):
-        parts.append(f"## Transcript\n\n{t}")
-        methods.append("transcribe")
-    return "\n\n".join(parts).strip(), "+".join(methods) or "none"
-
-
-def convert_files(files: DataFrame, providers: Callable[[], Providers] = Providers, ocr: str = config.OCR_MODE, vision: str = config.VISION_MODE) -> DataFrame:
-    """``files(project, rel_path, size, modified, hash, content)`` with ``method, chars, body`` in place of the content; providers are made once a task."""
+def installed() -> Providers:
+    """The providers of programs that are there: ``tesseract``, where it is installed."""
+    return Providers(ocr_image=tesseract if shutil.which("tesseract") else None)
+
+
+KEYS = ["project", "rel_path", "size", "modified", "hash"]
+_KEYS = "project string, rel_path string, size long, modified timestamp, hash string"
+
+
+def _stage(rows: DataFrame, providers: Callable[[], Providers], call: Callable, name: str, place: int) -> DataFrame:
+    """One kind of work over the files that need it: their text, where ``call(providers, suffix, content)`` finds any.
+
+    ``rows`` have the keys, ``page``, ``ext`` and ``content``; a file whose call fails has no text of this kind.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = providers()
         for pdf in batches:
-            got = [convert_bytes(e, bytes(c) if c is not None else b"", p, ocr, vision) for e, c in zip(pdf["ext"], pdf["content"])]
-            yield pdf[["project", "rel_path", "size", "modified", "hash"]].assign(method=[m for _, m in got], chars=[len(t) for t, _ in got], body=[t for t, _ in got])
+            texts = []
+            for ext, content in zip(pdf["ext"], pdf["content"]):
+                try:
+                    texts.append((call(p, ext, bytes(content) if content is not None else b"") or "").strip())
+                except Exception:  # one file's failure must not end the job
+                    texts.append("")
+            out = pdf[[*KEYS, "page"]].assign(place=place, method=name, text=texts)
+            yield out[out["text"] != ""]
+
+    return rows.select(*KEYS, "page", "ext", "content").mapInPandas(run, f"{_KEYS}, page int, place int, method string, text string")
+
 
-    return files.withColumn("ext", suffix(F.col("rel_path"))).select("project", "rel_path", "size", "modified", "hash", "ext", "content").mapInPandas(run, "project string, rel_path string, size long, modified timestamp, hash string, method string, chars long, body string")
+def _page_images(rows: DataFrame, providers: Callable[[], Providers], most: int) -> DataFrame:
+    """A row for each page's image in place of a document's."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        p = providers()
+        for pdf in batches:
+            for i in range(len(pdf)):
+                one = pdf.iloc[[i]]
+                try:
+                    images = list(p.pages(bytes(one["content"].iloc[0]), most))[:most]
+                except Exception:
+                    images = []
+                if images:
+                    yield pd.concat([one.assign(page=n, content=[image]) for n, image in enumerate(images, 1)])
+
+    return rows.select(*KEYS, "page", "ext", "content").mapInPandas(run, f"{_KEYS}, page int, ext string, content binary")
+
+
+def convert_files(files: DataFrame, providers: Callable[[], Providers] = installed, ocr: str = config.OCR_MODE, vision: str = config.VISION_MODE, pages: int = config.OCR_PAGES) -> DataFrame:
+    """``files(project, rel_path, size, modified, hash, content)`` with ``method, chars, body`` in place of the content.
+
+    Files are routed by format: each kind of work is a stage of its own over those that need it, so that a slow kind
+    holds up no other. Pages of scanned documents are rows, dealt over all tasks. What was found comes together by file and
+    place; a file without any text has none.
+    """
+    have = providers()
+    ext = suffix(F.col("rel_path"))
+    rows = files.select(*KEYS, F.lit(0).alias("page"), ext.alias("ext"), "content")
+    sound, image = F.col("ext").isin(config.AUDIO_EXTS), F.col("ext").isin(config.IMAGE_EXTS)
+    read = Cut(_stage(rows.where(~sound), providers, lambda p, e, c: p.convert(e, c), "text", 0), "read")
+    found = read.df
+    if have.ocr_image and ocr != "off":
+        found = found.unionByName(_stage(rows.where(image), providers, lambda p, e, c: p.ocr_image(c), "recognised", 1))
+        if have.pages:
+            scans = rows.where("ext = '.pdf'")
+            if ocr == "auto":  # those that have hardly a text of their own
+                texts = read.df.where(F.length("text") >= config.OCR_LEAST_CHARS).select("rel_path")
+                scans = scans.join(texts, "rel_path", "left_anti").select(*rows.columns)
+            images = _page_images(scans, providers, pages).repartition("rel_path", "page")
+            found = found.unionByName(_stage(images, providers, lambda p, e, c: p.ocr_image(c), "recognised", 1))
+    if have.caption and vision in ("auto", "force"):
+        found = found.unionByName(_stage(rows.where(image), providers, lambda p, e, c: p.caption(c), "described", 2))
+    if have.transcribe:
+        found = found.unionByName(_stage(rows.where(sound), providers, lambda p, e, c: p.transcribe(c), "heard", 1))
+    title = F.create_map(*[F.lit(x) for kv in (("recognised", "## Recognised text\n\n"), ("described", "## Picture\n\n"), ("heard", "## Recording\n\n")) for x in kv])
+    head = F.when(F.col("page") <= 1, F.coalesce(F.try_element_at(title, F.col("method")), F.lit("")))
+    page = F.when(F.col("page") > 0, F.concat(F.lit("<!-- page "), F.col("page").cast("string"), F.lit(" -->\n")))
+    shown = found.withColumn("text", F.concat(F.coalesce(head, F.lit("")), F.coalesce(page, F.lit("")), F.col("text")))
+    parts = shown.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("place", "page", "method", "text"))).alias("parts"))
+    bodies = parts.select("rel_path", F.array_join("parts.text", "\n\n").alias("body"), F.array_join(F.array_distinct("parts.method"), "+").alias("method"))
+    out = files.select(*KEYS).join(bodies, "rel_path", "left")
+    body = F.coalesce("body", F.lit(""))
+    return out.select(*KEYS, F.coalesce("method", F.lit("none")).alias("method"), F.length(body).cast("long").alias("chars"), body.alias("body"))

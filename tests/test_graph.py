@@ -14,11 +14,11 @@ CHUNK = "project string, file string, doc_ord long, chunk int, response string,
 def built(spark):
     answer = {
         "entities": [
-            {"name": "Acme Corp", "type": "organization", "description": "maker", "aliases": ["Acme"]}, {"name": "Acme", "type": "Concept", "aliases": []},
-            {"name": "Jane Doe", "type": "Person", "description": "chief"}, {"name": "Widget X", "type": "Product"}, {"name": "ISO 9001", "type": "Policy"}, "not an object", {"name": "acme corp"},
+            {"name": "Tidewater Works", "type": "organization", "description": "maker", "aliases": ["Tidewater"]}, {"name": "Tidewater", "type": "Concept", "aliases": []},
+            {"name": "Ines Park", "type": "Person", "description": "chief"}, {"name": "Lantern Q", "type": "Product"}, {"name": "EN 4711", "type": "Policy"}, "not an object", {"name": "tidewater works"},
         ],
-        "relations": [{"source": "Jane Doe", "relation": "leads", "target": "Acme"}, {"source": "Acme Corp", "relation": "makes", "target": "Widget X"}, {"source": "Acme", "relation": "certified to", "target": "ISO 9001"}, {"source": "Acme", "relation": "is", "target": "acme"}],
-        "facts": [{"text": "Jane Doe leads Acme Corp.", "entities": ["Jane Doe", "Acme Corp"]}, {"text": "Acme makes Widget X.", "entities": ["Acme", "Widget X"]}, "Acme is certified.", {"text": "short", "entities": []}],
+        "relations": [{"source": "Ines Park", "relation": "chairs", "target": "Tidewater"}, {"source": "Tidewater Works", "relation": "ships", "target": "Lantern Q"}, {"source": "Tidewater", "relation": "audited under", "target": "EN 4711"}, {"source": "Tidewater", "relation": "is", "target": "tidewater"}],
+        "facts": [{"text": "Ines Park chairs Tidewater Works.", "entities": ["Ines Park", "Tidewater Works"]}, {"text": "Tidewater ships Lantern Q.", "entities": ["Tidewater", "Lantern Q"]}, "Tidewater is audited.", {"text": "short", "entities": []}],
     }
     rows = [("p", "a.md", 0, 0, json.dumps(answer), None), ("p", "b.md", 1, 0, "nothing", None), ("p", "c.md", 2, 0, "[1, 2]", None)]
     parsed = extract.parse_responses(spark.createDataFrame(rows, CHUNK)).cache()
@@ -28,19 +28,19 @@ def built(spark):
 def test_parsing(built):
     parsed, _ = built
     row = parsed.where("file = 'a.md'").first()
-    assert [e["name"] for e in row["entities"]] == ["Acme Corp", "Acme", "Jane Doe", "Widget X", "ISO 9001"]
+    assert [e["name"] for e in row["entities"]] == ["Tidewater Works", "Tidewater", "Ines Park", "Lantern Q", "EN 4711"]
     assert len(row["relations"]) == 3 and all(r["grounded"] for r in row["relations"])
-    assert [f["text"] for f in row["facts"]] == ["Jane Doe leads Acme Corp.", "Acme makes Widget X.", "Acme is certified."]
+    assert [f["text"] for f in row["facts"]] == ["Ines Park chairs Tidewater Works.", "Tidewater ships Lantern Q.", "Tidewater is audited."]
     assert {r["file"]: r["parse_ok"] for r in parsed.collect()} == {"a.md": True, "b.md": False, "c.md": False}
 
 
 def test_graph(built):
     g = built[1]
     nodes = {n["id"]: n for n in g.nodes.collect()}
-    assert set(nodes) == {"acme-corp", "jane-doe", "widget-x", "iso-9001"}
-    acme = nodes["acme-corp"]
-    assert (acme["mentions"], acme["degree"], acme["type"], acme["aliases"], acme["description"]) == (2, 3, "Organization", ["Acme"], "maker")
-    assert acme["facts"] == ["Jane Doe leads Acme Corp.", "Acme makes Widget X."]
+    assert set(nodes) == {"tidewater-works", "ines-park", "lantern-q", "en-4711"}
+    tidewater = nodes["tidewater-works"]
+    assert (tidewater["mentions"], tidewater["degree"], tidewater["type"], tidewater["aliases"], tidewater["description"]) == (2, 3, "Organization", ["Tidewater"], "maker")
+    assert tidewater["facts"] == ["Ines Park chairs Tidewater Works.", "Tidewater ships Lantern Q."]
     assert g.edges.count() == 3 and g.facts.count() == 3
 
 
@@ -99,13 +99,13 @@ def test_ids_with_numbered_names(spark):
 def test_expand_digest_link(spark, built):
     g = built[1]
     by = lambda e, **k: [(r["id"], r["matched_by"]) for r in expand.find_entity(g.nodes, e, **k).collect()]
-    assert by("iso-9001") == [("iso-9001", 1)] and by("ACME") == [("acme-corp", 2)] and by("widget") == [("widget-x", 3)] and by("jane dow") == [("jane-doe", 4)] and by("zzzz") == []
+    assert by("en-4711") == [("en-4711", 1)] and by("TIDEWATER") == [("tidewater-works", 2)] and by("lantern") == [("lantern-q", 3)] and by("ines parc") == [("ines-park", 4)] and by("zzzz") == []
     with pytest.raises(ValueError):
         expand.find_entity(g.nodes, " ")
-    start = g.nodes.where("id = 'jane-doe'").select("project", "id")
-    assert {r["id"]: r["hop"] for r in expand.hops(g.edges, start, 2).collect()} == {"jane-doe": 0, "acme-corp": 1, "widget-x": 2, "iso-9001": 2}
+    start = g.nodes.where("id = 'ines-park'").select("project", "id")
+    assert {r["id"]: r["hop"] for r in expand.hops(g.edges, start, 2).collect()} == {"ines-park": 0, "tidewater-works": 1, "lantern-q": 2, "en-4711": 2}
     text = digest.digest_text(g, "p")
-    assert len(text) // 4 < 1500 and "Acme Corp — maker" in text and "- Jane Doe **leads** Acme Corp" in text
+    assert len(text) // 4 < 1500 and "- Tidewater Works: maker" in text and "- Ines Park, chairs: Tidewater Works" in text
     new = link.imported(g, "q", "p", 2)
     ids = {r["id"] for r in new.nodes.collect()}
     assert len(ids) == 2 and all(i.startswith("p:") for i in ids)
@@ -129,16 +129,16 @@ def test_mindmap_escapes(spark, built):
 def test_search(spark, built):
     class Words:
         model = "words"
-        vocabulary = ["acme", "jane", "widget", "iso"]
+        vocabulary = ["tidewater", "ines", "widget", "iso"]
 
         def vectors(self, texts):
             return [[float(t.lower().count(w)) or 0.001 for w in self.vocabulary] for t in texts]
 
     index = vectors.build_index(built[1].nodes, built[1].facts, vectors.embedder(Words()), "words")
-    hits = vectors.search(index, Words().vectors(["who is jane"])[0], 2).collect()
-    assert [h["id"] for h in hits if h["kind"] == "node" and h["rank"] == 1] == ["jane-doe"]
+    hits = vectors.search(index, Words().vectors(["who is ines"])[0], 2).collect()
+    assert [h["id"] for h in hits if h["kind"] == "node" and h["rank"] == 1] == ["ines-park"]
     assert vectors.search(index, [1.0, 2.0], 2).count() == 0
-    assert "Jane Doe" in sinks.search_markdown("who", hits)
+    assert "Ines Park" in sinks.search_markdown("who", hits)
 
 
 def test_aliases_of_all_keys(spark, tmp_path):

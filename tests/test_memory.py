@@ -1,10 +1,12 @@
 import hashlib
+import io
 import os
+import zipfile
 
 import pytest
 
 from recollect import cli
-from recollect.operators import extract
+from recollect.operators import chunk, extract
 from recollect.plans.memory import TABLES, Memory
 from recollect.sources import convert, files
 from recollect.streaming.ingest import ingest_stream
@@ -167,14 +169,95 @@ class TestUpdates:
             assert one == two
 
 
-def test_conversion():
-    p = convert.Providers(ocr_image=lambda b: "seen", caption=lambda b: "a chart", ocr_pages=lambda b, n: ["one", "", "three"][:n], transcribe=lambda b: "said")
-    assert convert.convert_bytes(".png", b"x", p) == ("## OCR text\n\nseen\n\n## Image description\n\na chart", "ocr+vision")
-    assert convert.convert_bytes(".pdf", b"x", p)[1] == "ocr-pdf" and "page 3" in convert.convert_bytes(".pdf", b"x", p)[0]
-    assert convert.convert_bytes(".mp3", b"x", p) == ("## Transcript\n\nsaid", "transcribe")
-    assert convert.convert_bytes(".png", b"x", convert.Providers()) == ("", "none")
-    assert convert.convert_bytes(".csv", b"a,b\n1,2\n", p)[0] == "| a | b |\n| --- | --- |\n| 1 | 2 |"
-    assert convert.convert_bytes(".json", b"{bad", p) == ("", "none")
+def converted(spark, contents, make=convert.Providers, **options):
+    rows = [("p", path, len(data), None, "h", bytearray(data)) for path, data in contents.items()]
+    files_df = spark.createDataFrame(rows, files.FILES)
+    return {r["rel_path"]: (r["body"], r["method"]) for r in convert.convert_files(files_df, make, **options).collect()}
+
+
+def test_routes(spark):
+    """Each kind of work over the files that need it; pages of scans are rows of their own, back in order."""
+    some = {"a.png": b"x", "b.pdf": b"abc", "c.mp3": b"x", "d.csv": b"a,b\n1,2\n", "e.json": b"{bad", "f.md": b" text ", "g.bin": b"\x00"}
+    make = lambda: convert.Providers(ocr_image=lambda b: "" if b == b"b" else "seen " + b.decode(), caption=lambda b: "a chart", pages=lambda b, n: [bytes([c]) for c in b][:n], transcribe=lambda b: "said")
+    assert converted(spark, some, make) == {
+        "a.png": ("## Recognised text\n\nseen x\n\n## Picture\n\na chart", "recognised+described"),
+        "b.pdf": ("## Recognised text\n\n<!-- page 1 -->\nseen a\n\n<!-- page 3 -->\nseen c", "recognised"),
+        "c.mp3": ("## Recording\n\nsaid", "heard"), "d.csv": ("| a | b |\n| --- | --- |\n| 1 | 2 |", "text"), "e.json": ("", "none"), "f.md": ("text", "text"), "g.bin": ("", "none"),
+    }
+    plain = converted(spark, some)
+    assert {k for k, v in plain.items() if v[0]} == {"d.csv", "f.md"} and len(plain) == len(some)
+    assert converted(spark, some, make, ocr="off", vision="off")["a.png"] == ("", "none")
+
+    def failing():
+        def fail(*_):
+            raise RuntimeError("no")
+
+        return convert.Providers(ocr_image=fail, pages=lambda b, n: fail(), caption=fail, transcribe=fail)
+
+    assert converted(spark, some, failing) == plain
+
+
+def test_pages_are_many_tasks(spark):
+    """A scan of sixty pages is recognised by many tasks."""
+
+    def make():
+        def seen(image):
+            from pyspark import TaskContext
+
+            return f"task {TaskContext.get().partitionId()}"
+
+        return convert.Providers(ocr_image=seen, pages=lambda b, n: [bytes([i]) for i in range(min(n, 90))])
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        body = converted(spark, {"a.pdf": b"x"}, make)["a.pdf"][0]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert body.count("<!-- page ") == 60 and [int(x.split()[0]) for x in body.split("<!-- page ")[1:]] == list(range(1, 61))
+    assert len({x for x in body.split("\n") if x.startswith("task ")}) > 1
+
+
+def office(parts):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, text in parts.items():
+            z.writestr(name, text)
+    return out.getvalue()
+
+
+W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+STYLES = f"""<w:styles {W}><w:style w:type="paragraph" w:styleId="H1"><w:name w:val="heading 1"/></w:style><w:style w:type="paragraph" w:styleId="Own"><w:name w:val="My Head"/><w:basedOn w:val="H2"/></w:style>
+<w:style w:type="paragraph" w:styleId="H2"><w:name w:val="Custom"/><w:pPr><w:outlineLvl w:val="1"/></w:pPr></w:style><w:style w:type="paragraph" w:styleId="Loop"><w:name w:val="Loop"/><w:basedOn w:val="Loop"/></w:style></w:styles>"""
+NUMBERS = f"""<w:numbering {W}><w:abstractNum w:abstractNumId="7"><w:lvl w:ilvl="0"><w:numFmt w:val="decimal"/></w:lvl><w:lvl w:ilvl="1"><w:numFmt w:val="bullet"/></w:lvl></w:abstractNum><w:num w:numId="3"><w:abstractNumId w:val="7"/></w:num></w:numbering>"""
+
+
+def para(text, style=None, level=None):
+    props = (f'<w:pStyle w:val="{style}"/>' if style else "") + (f'<w:numPr><w:ilvl w:val="{level}"/><w:numId w:val="3"/></w:numPr>' if level is not None else "")
+    return f"<w:p><w:pPr>{props}</w:pPr><w:r><w:t>{text}</w:t></w:r></w:p>"
+
+
+def test_text_documents(spark):
+    """Headings by style, lists by numbering, tables; the chunks are those of the same document in Markdown."""
+    cell = lambda t: f"<w:tc><w:p><w:r><w:t>{t}</w:t></w:r></w:p></w:tc>"
+    body = para("Plan", "H1") + para("Some opening words.") + para("one", level=0) + para("deep", level=1) + para("two", level=0) + para("Costs", "Own") + f"<w:tbl><w:tr>{cell('a')}{cell('b|c')}</w:tr><w:tr>{cell('1')}{cell('2')}</w:tr></w:tbl>" + para("End.", "Loop") + "<w:p><w:r><w:delText>gone</w:delText></w:r></w:p>"
+    data = office({"word/document.xml": f"<w:document {W}><w:body>{body}</w:body></w:document>", "word/styles.xml": STYLES, "word/numbering.xml": NUMBERS})
+    want = "# Plan\n\nSome opening words.\n\n1. one\n  - deep\n2. two\n\n## Costs\n\n| a | b\\|c |\n| --- | --- |\n| 1 | 2 |\n\nEnd."
+    got = converted(spark, {"a.docx": data, "a.md": want.encode(), "bad.docx": b"no zip"})
+    assert got["a.docx"] == got["a.md"] == (want, "text") and got["bad.docx"] == ("", "none")
+    chunks = lambda n: [r["text"] for r in chunk.chunk_documents(spark.createDataFrame([(got[n][0],)], "body string"), 6, 2, None).orderBy("chunk").collect()]
+    assert chunks("a.docx") == chunks("a.md") and len(chunks("a.md")) > 2
+
+
+def test_slides(spark):
+    ns = 'xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"'
+    shape = lambda kind, *lines: f'<p:sp><p:nvSpPr><p:nvPr>{kind}</p:nvPr></p:nvSpPr><p:txBody>{"".join(lines)}</p:txBody></p:sp>'
+    line = lambda t, lvl=0: f'<a:p><a:pPr lvl="{lvl}"/><a:r><a:t>{t}</a:t></a:r></a:p>'
+    slide = lambda *s: f"<p:sld {ns}>{''.join(s)}</p:sld>"
+    data = office({"ppt/slides/slide10.xml": slide(shape('<p:ph type="title"/>', line("Last"))), "ppt/slides/slide2.xml": slide(shape('<p:ph type="ctrTitle"/>', line("First")), shape("", line("point"), line("detail", 1)))})
+    assert converted(spark, {"a.pptx": data})["a.pptx"][0] == "## First\n\n- point\n  - detail\n\n## Last"
+
+
+def test_html():
     md = convert.html_markdown("<h1>T</h1><nav>n</nav><p>a <b>b</b> <a href='u'>l</a></p><ol><li>x</li><li>y</li></ol><!-- c --><script>z</script>")
     assert md.startswith("# T") and "a **b** [l](u)" in md and "1. x\n2. y" in md and "z" not in md
 
