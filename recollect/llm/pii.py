@@ -9,8 +9,8 @@ from recollect.session import Cut
 
 #: Titles that mark a name, by the gender they show: fixed values.
 TITLES = {
-    "f": ["Mrs", "Ms", "Miss", "Frau", "Señora", "Madame", "Mme", "Госпожа", "Κυρία"],
-    "m": ["Mr", "Herr", "Señor", "Monsieur", "Господин", "Κύριος"],
+    "f": ["Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Srta", "Signora", "Madame", "Mme", "Mlle", "Lady", "Госпожа", "Κυρία"],
+    "m": ["Mr", "Herr", "Señor", "Sr", "Signor", "Monsieur", "Sir", "Lord", "Господин", "Κύριος"],
     "n": ["Dr", "Prof"],
 }
 #: Words that stand uncapitalised inside names and stay as they are: fixed values.
@@ -23,18 +23,21 @@ _WORD = r"(?:\p{Lu}\.(?=\h*+\p{Lu})|\p{Lu}[\p{L}\p{M}]*+(?:['’](?!s(?!\p{L}))\
 _EDGE, _END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _H16 = "[0-9a-fA-F]{1,4}"
-_MARK = "(?:sk|ghp|gho|xox[abp]|AKIA|AIza)"
+_MARK = "(?:sk|ghp|gho|xox[abp]|AKIA|AIza|eyJ)"
+#: A web token: two or three parts, of which the first begins as encoded JSON does.
+_TOKEN = r"eyJ[A-Za-z0-9_-]{5,}+\.[A-Za-z0-9_-]{5,}+(?:\.[A-Za-z0-9_-]*+)?"
 #: Java patterns by kind, in order of precedence where they overlap. Repeats are possessive, so that long runs cost one pass.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++",
     "name": rf"{_EDGE}{_TITLED}{_PARTICLE}{_WORD}(?:\h*+(?<=[\h.]){_PARTICLE}{_WORD})*+",
-    "iban": _EDGE + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?" + _END,
+    "iban": _EDGE + r"(?:[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?|(?=(?: ?[a-z]{0,4} ?\d){12})[a-z]{2}\d{2}(?: ?[a-z0-9]{4}){3,7}(?: ?[a-z0-9]{1,3})?)" + _END,
     "ip": rf"(?<![\p{{L}}\p{{N}}.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[\p{{L}}\p{{N}}])",
     "ip6": rf"(?<![\p{{L}}\p{{N}}:])(?=[0-9a-fA-F:]*\d)(?:(?:{_H16}:){{7}}{_H16}|(?:{_H16}:){{1,6}}(?::{_H16}){{1,6}}|(?:{_H16}:){{1,7}}:)(?![\p{{L}}\p{{N}}:])",
-    "phone": r"\+\d(?:[ .()/-]{0,2}\d){6,14}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}+])(?:\(\d{3}\) ?\d{3}[-. ]\d{4}|\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4}|0\d{2,4}[ /-]\d{6,8})(?![\p{L}\p{N}]|[-.]\d)",
+    "phone": r"\+\d(?:[ .()/-]{0,2}\d){6,14}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}+])(?:\(\d{3}\) ?\d{3}[-. ]\d{4}|\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4}|0\d{2,4}[ /-]\d{6,8}"
+    r"|0\d(?:[ .-]\d{2}){4}|0\d{2,4}[ -]\d{3,4}[ -]\d{3,4}|\(0\d{1,4}\) ?\d{3,4}[ -]?\d{3,4}|[679]\d{2} \d{3} \d{3})(?![\p{L}\p{N}]|[-. ]\d)",
     "ssn": _EDGE + r"\d{3}-\d{2}-\d{4}" + _END,
     "card": _EDGE + r"(?:\d{4}(?:-\d{4}){3}|\d{4}(?: \d{4}){3}|\d{13,19})" + _END,
-    "secret": _EDGE + rf"(?:(?=[a-fA-F]*\d)[0-9a-fA-F]{{32,}}+|{_MARK}(?=[A-Za-z_-]*\d)[-_]?[A-Za-z0-9_-]{{16,}}+)" + _END,
+    "secret": _EDGE + rf"(?:{_TOKEN}|(?=[a-fA-F]*\d)[0-9a-fA-F]{{32,}}+|{_MARK}(?=[A-Za-z_-]*\d)[-_]?[A-Za-z0-9_-]{{16,}}+|(?<=://)[^\s:/@]++:[^\s/@]++(?=@))" + _END,
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without any of these has no entity; it spares most texts the long pattern.
@@ -85,6 +88,7 @@ def canonical(kind: Column, surface: Column) -> Column:
         .when(kind == "ip", surface)
         .when(kind == "phone", F.concat(F.when(surface.startswith("+"), F.lit("+")).otherwise(F.lit("")), _alnum(surface)))
         .when(kind == "secret", surface)
+        .when(kind == "iban", F.upper(_alnum(surface)))
         .otherwise(_alnum(surface))
     )
 
@@ -133,7 +137,7 @@ def _low(code: Column, hexed: Column) -> tuple[Column, Column]:
 
 
 def _char(code: Column) -> Column:
-    return F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 4, "0")), "UTF-16BE")
+    return F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32")
 
 
 def _luhn_check(digits: Column) -> Column:
@@ -281,14 +285,24 @@ def rendered(kind: Column, surface: Column, found: Column) -> Column:
     stream = F.regexp_replace(found, r"^\+", "")
     spaced = F.transform(F.split(surface, r"[\p{L}\p{N}]", -1), lambda g, i: F.concat(g, F.coalesce(F.substring(stream, i + 1, F.lit(1)), F.lit(""))))
     mail = _bound(F.struct(_chars(surface).alias("s"), _chars(found).alias("f")), lambda x: F.transform(x["s"], lambda c, i: F.when(c.rlike(r"\p{Lu}"), F.upper(F.get(x["f"], i))).otherwise(F.get(x["f"], i))))
-    return F.when(kind.isin("email", "ip6"), F.array_join(mail, "")).when(kind.isin("ip", "secret"), found).otherwise(F.array_join(spaced, ""))
+    spaced = F.array_join(spaced, "")
+    spaced = F.when((kind == "iban") & (surface == F.lower(surface)), F.lower(spaced)).otherwise(spaced)
+    return F.when(kind.isin("email", "ip6"), F.array_join(mail, "")).when(kind.isin("ip", "secret"), found).otherwise(spaced)
+
+
+def is_account(surface: Column) -> Column:
+    """Whether what looks like an account number is one: its check digits are right, or it is mostly digits, mistyped."""
+    plain = F.upper(_alnum(surface))
+    right = F.substring(plain, 3, 2).cast("int") == _iban_check(F.substring(plain, 1, 2), F.substring(plain, 5, 1 << 20))
+    return right | (F.length(F.regexp_replace(plain, "[^0-9]", "")) >= 10)
 
 
 def replace_pii(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with personal data in ``text`` replaced by surrogates, and ``n_entities``.
 
     E-mail and IP addresses, phone, card, social-security and account numbers, secrets, and names
-    after a title are found by pattern; no pattern has a length beyond which it fails. A mention's surrogate depends on ``key`` (a secret of the
+    after a title are found by pattern. Phone and card numbers have the lengths that their standards allow (15 and 19 digits); of the rest none has a
+    length beyond which it fails. Names are known by their capitals, so not in scripts without case. A mention's surrogate depends on ``key`` (a secret of the
     caller's: who knows it can undo numbers and addresses), on its kind and on its canonical value, so
     mentions of one entity, in any document or form, get the same one (coreference), in the mention's own form (see ``surrogates``, ``_names``). Within a kind
     different entities get different surrogates and none keeps its value. In a form whose values are few, such as addresses of one-digit octets,
@@ -309,17 +323,22 @@ def replace_pii(docs: DataFrame, key: str) -> DataFrame:
     mentions = Cut(mentions, "mentions").df
     # a fixed number of partitions, for what is done with each distinct mention is dear and its bytes are few
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    surfaces = Cut(mentions.select("surface").distinct().repartition(parts, "surface").withColumn("kind", kind_of(F.col("surface"))), "surfaces").df
-    others = surfaces.where("kind <> 'name'").withColumn("canon", canonical(F.col("kind"), F.col("surface")))
+    surfaces = mentions.select("surface").distinct().repartition(parts, "surface").withColumn("kind", kind_of(F.col("surface")))
+    # a part number in the form of an account number is no entity
+    surfaces = surfaces.withColumn("kind", F.when((F.col("kind") == "iban") & ~is_account(F.col("surface")), "none").otherwise(F.col("kind")))
+    surfaces = Cut(surfaces, "surfaces").df
+    others = surfaces.where("kind not in ('name', 'none')").withColumn("canon", canonical(F.col("kind"), F.col("surface")))
     others = Cut(others, "canonical").df
     known = surrogates(others.select("kind", "canon").distinct().repartition(parts, "kind", "canon"), key)
     found = others.join(Cut(known, "surrogates").df, ["kind", "canon"]).select("surface", rendered(F.col("kind"), F.col("surface"), F.col("surrogate")).alias("put"))
     found = found.union(_names(surfaces.where("kind = 'name'").select("surface"), key))
+    found = found.withColumn("real", F.lit(1)).union(surfaces.where("kind = 'none'").select("surface", F.col("surface").alias("put"), F.lit(0)))
     found = Cut(found, "rendered").df
-    puts = mentions.join(found, "surface").groupBy("_d", "_t").agg(F.transform(F.sort_array(F.collect_set(F.struct("_i", "put"))), lambda x: x["put"]).alias("_put"))
+    puts = mentions.join(found, "surface").groupBy("_d", "_t").agg(F.sort_array(F.collect_set(F.struct("_i", "put", "real"))).alias("_all"))
+    puts = puts.select("_d", "_t", F.col("_all.put").alias("_put"), F.aggregate("_all.real", F.lit(0), lambda a, x: a + x).alias("_n"))
     keyed = some.withColumn("_tk", F.xxhash64("text"))
     joined = keyed.join(puts, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_tk") == F.col("_t")))
     gaps = F.split("text", ANY, -1)
     text = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get("_put", i), F.lit("")))), "")
-    changed = joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in own], F.size("_put").alias("n_entities"))
+    changed = joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in own], F.col("_n").alias("n_entities"))
     return plain.unionByName(changed)

@@ -105,6 +105,38 @@ def test_nothing_leaks(spark):
     assert re.fullmatch(r"Prof\. Dr\. (\w+)\nand Mr [A-Z]\. [A-Z]\. \w+", out[3]) and out[4] == texts[4]
 
 
+def test_letters_beyond_16_bits(spark):
+    """Two addresses that differ in such letters only stay two, and keep these letters."""
+    texts = ["𝐀𝐛@mail.org wrote", "𝐁𝐛@mail.org wrote", "😀 a@b.org 😀"]
+    a, b, c = run(spark, texts)
+    assert a != b and a.startswith("𝐀𝐛@") and b.startswith("𝐁𝐛@") and "mail" not in a and c[0] == c[-1] == "😀" and c != texts[2]
+
+
+def test_national_forms(spark):
+    texts = [
+        "06 12 34 56 78 or 600 700 800", "020 7946 0958 and (02) 1234 5678", "Signora Rossi, Sr. Pérez, Sra. Gómez and Sir Walter", "de89 3704 0044 0532 0130 00",
+        "Bearer eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.SflKxwRJSMeKKF2QT4 sent", "see https://bob:pw@host/x and mailto:ann@mail.org",
+    ]
+    out = run(spark, texts)
+    for gone in ("34 56", "600 700", "7946", "1234 5678", "Rossi", "Pérez", "Gómez", "Walter", "3704", "zdWIi", "SflKx", "bob:pw", "ann@mail"):
+        assert not any(gone in t for t in out), gone
+    assert re.fullmatch(r"\d\d( \d\d){4} or \d{3} \d{3} \d{3}", out[0]) and re.fullmatch(r"\d{3} \d{4} \d{4} and \(\d\d\) \d{4} \d{4}", out[1])
+    assert re.fullmatch(r"Signora \w+k, Sr\. \w+k, Sra\. \w+k and Sir \w+k", out[2]) and re.fullmatch(r"de\d\d( \d{4}){4} \d\d", out[3])
+    assert re.fullmatch(r"Bearer eyJ[\w-]+\.[\w-]+\.[\w-]+ sent", out[4]) and re.fullmatch(r"see https://\w{3}:\w\w@host/x and mailto:\w{3}@\w{4}\.org", out[5])
+
+
+def test_what_is_no_account(spark):
+    texts = ["part AB12 CDEF GHIJ KLMN fits", "DE89 3704 0044 0532 0130 00 and de89370400440532013000", "GB82 WEST 1234 5698 7654 32", "DE00 3704 0044 0532 0130 00"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.replace_pii(df, "k").collect()}
+    assert got[0]["text"] == texts[0] and got[0]["n_entities"] == 0
+    spaced, joined = got[1]["text"].split(" and ")
+    assert spaced.replace(" ", "").lower() == joined != "de89370400440532013000" and got[1]["n_entities"] == 2
+    number = lambda t: int("".join(str(int(c, 36)) for c in t.replace(" ", "")[4:] + t.replace(" ", "")[:4]))
+    assert number(spaced) % 97 == 1 and number(got[2]["text"]) % 97 == 1 and got[2]["text"].startswith("GB")
+    assert got[3]["text"] != texts[3]
+
+
 def test_one_person_under_several_titles(spark):
     out = run(spark, ["Dr Anna Smith", "Ms Anna Smith", "Prof. Dr. Anna Smith", "Mr Anna Smith", "Ms Smith", "Dr Kim Lee"])
     bare = [re.sub(r"^(?:Dr|Ms|Mr|Prof\.) (?:Dr\. )?", "", t) for t in out]
