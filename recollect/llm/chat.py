@@ -10,7 +10,9 @@ from recollect.session import Cut
 
 #: A quoted line: marks ``>`` with optional space, at the start.
 MARKS = r"^(?:[ \t]{0,3}>)+"
-#: A text with such a line.
+#: A line that opens or closes a stretch of code.
+FENCE = r"^[ \t]{0,3}(?:```|~~~)"
+#: A text with a quoted line.
 QUOTES = r"(?:^|\n)(?:[ \t]{0,3}>)"
 #: A line that, right before a quote, only introduces it.
 LEAD_IN = r"(?i)^\s*(?:on .{1,200}\bwrote|.{1,80}\b(?:wrote|writes|said|schrieb|a écrit|escribió))\s*:\s*$"
@@ -29,23 +31,53 @@ def _computed(rows: DataFrame, **cols: Column) -> DataFrame:
     return rows.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in cols.items()]))))
 
 
-def parsed(messages: DataFrame) -> DataFrame:
-    """``messages`` with ``bare``, the text without quotes, and ``runs``: its stretches of lines of one quote level, as (level, lines).
+def _lined(messages: DataFrame) -> DataFrame:
+    """``messages`` with ``_raw``, the lines, ``_lines``, their quote levels and what follows the marks, and ``_blocks``, where quoted stretches begin.
 
-    A line that introduces a quote goes from ``bare`` if a quoted line follows it, at most one blank line between.
+    In a code fence no line is quoted.
     """
     rows = _computed(messages, _raw=F.split("text", "\n"))
-    mark = lambda x: F.regexp_extract(x, MARKS, 0)
-    rows = _computed(rows, _lines=F.transform("_raw", lambda x: F.struct(F.length(F.regexp_replace(mark(x), "[^>]", "")).alias("level"), F.substring(x, F.length(mark(x)) + 1, F.length(x)).alias("line"))))
-    at = lambda i: F.get("_lines", i)["level"]
-    follows = lambda i: (at(i + 1) > 0) | ((F.trim(F.get("_raw", i + 1)) == "") & (at(i + 2) > 0))
-    own = F.filter("_raw", lambda x, i: (at(i) == 0) & ~(x.rlike(LEAD_IN) & F.coalesce(follows(i), F.lit(False))))
-    bare = F.regexp_replace(F.regexp_replace(F.array_join(own, "\n"), r"\n{3,}", "\n\n"), r"^\n+|\n+$", "")
-    starts = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: (i == 0) | (at(i) != at(i - 1)))
-    rows = _computed(rows, _starts=starts, bare=bare)
+    rows = _computed(rows, _fences=F.filter(F.sequence(F.lit(0), F.size("_raw") - 1), lambda i: F.get("_raw", i).rlike(FENCE)))
+    fenced = lambda i: F.size(F.filter("_fences", lambda f: f < i)) % 2 == 1
+    mark = lambda x, i: F.when(x.rlike(MARKS) & ~fenced(i), F.regexp_extract(x, MARKS, 0)).otherwise("")
+    rows = _computed(rows, _marks=F.transform("_raw", mark))
+    rows = _computed(rows, _lines=F.zip_with("_raw", "_marks", lambda x, m: F.struct(F.length(F.regexp_replace(m, "[^>]", "")).alias("level"), F.substring(x, F.length(m) + 1, F.length(x)).alias("line"))))
+    rows = _computed(rows, _blocks=F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: (_level(i) > 0) & (F.coalesce(_level(i - 1), F.lit(0)) == 0)))
+    return rows.drop("_fences", "_marks")
+
+
+def _level(i: Column) -> Column:
+    """The quote level of line i; null beside the ends."""
+    return F.when(i >= 0, F.get("_lines", i)["level"])
+
+
+def _block(i: Column) -> Column:
+    """The number of blocks that have begun at line i, so a quoted line's block, from 1."""
+    return F.size(F.filter("_blocks", lambda b: b <= i))
+
+
+def parsed(messages: DataFrame) -> DataFrame:
+    """``messages`` with ``runs``: the stretches of lines of one quote level, as (level, block, lines); a block is a whole quoted stretch."""
+    rows = _lined(messages)
+    starts = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: (i == 0) | (_level(i) != _level(i - 1)))
+    rows = _computed(rows, _starts=starts)
     end = lambda k: F.coalesce(F.get("_starts", k + 1), F.size("_lines"))
-    runs = F.transform("_starts", lambda i, k: F.struct(at(i).alias("level"), F.transform(F.slice("_lines", i + 1, end(k) - i), lambda x: x["line"]).alias("lines")))
-    return _computed(rows, runs=runs).drop("_raw", "_lines", "_starts")
+    runs = F.transform("_starts", lambda i, k: F.struct(_level(i).alias("level"), _block(i).alias("block"), F.transform(F.slice("_lines", i + 1, end(k) - i), lambda x: x["line"]).alias("lines")))
+    return _computed(rows, runs=runs).drop("_raw", "_lines", "_starts", "_blocks")
+
+
+def unquoted(messages: DataFrame) -> DataFrame:
+    """``messages`` with ``bare``: the text without the blocks whose numbers are in ``cut``, and as it is where ``cut`` is null.
+
+    A line that introduces a block goes with it, at most one blank line between; blank lines left around go too.
+    """
+    rows = _lined(messages)
+    gone = lambda n: F.array_contains("cut", n)
+    follows = lambda i: (_level(i + 1) > 0) | ((F.trim(F.get("_raw", i + 1)) == "") & (_level(i + 2) > 0))
+    dropped = lambda x, i: F.when(_level(i) > 0, gone(_block(i))).otherwise(x.rlike(LEAD_IN) & F.coalesce(follows(i), F.lit(False)) & gone(_block(i) + 1))
+    own = F.filter("_raw", lambda x, i: ~dropped(x, i))
+    clean = F.regexp_replace(F.regexp_replace(F.array_join(own, "\n"), r"\n{3,}", "\n\n"), r"^\n+|\n+$", "")
+    return rows.withColumn("bare", F.when(F.col("cut").isNull(), F.col("text")).otherwise(clean)).drop("_raw", "_lines", "_blocks")
 
 
 def passages(rows: DataFrame, *cols: str) -> DataFrame:
@@ -84,10 +116,10 @@ def _turns_before(nodes: DataFrame) -> DataFrame:
 
 
 def _links(keyed: DataFrame) -> DataFrame:
-    """``(conv_id, turn, r, tk, best, quote_depth, quoted, found)`` of the messages that quote."""
+    """``(conv_id, turn, r, tk, best, quote_depth, quoted, found, cut)`` of the messages that quote; ``cut`` are the linked blocks."""
     quoting = _computed(parsed(keyed.where("quotes")), run=F.col("runs")).select(*_MESSAGE, F.explode("run").alias("run"))
-    runs = Cut(quoting.select(*_MESSAGE, "run.level", "run.lines"), "runs").df
-    quoted = Cut(passages(runs.where("level > 0"), *_MESSAGE).distinct(), "quoted").df
+    runs = Cut(quoting.select(*_MESSAGE, "run.level", "run.block", "run.lines"), "runs").df
+    quoted = Cut(passages(runs.where("level > 0"), *_MESSAGE, "block").distinct(), "quoted").df
     # only passages that someone quotes are kept of all the messages' own
     plain = keyed.where("not quotes and text is not null").select("conv_id", "turn", F.lit(0).alias("level"), F.split("text", "\n").alias("lines"))
     own = passages(plain.unionByName(runs.where("level = 0").select("conv_id", "turn", "level", "lines")), "conv_id", "turn")
@@ -100,14 +132,17 @@ def _links(keyed: DataFrame) -> DataFrame:
     inside = F.coalesce(F.col("near") < F.col("turn"), F.lit(False))
     other = F.when(F.col("words") >= FOREIGN_WORDS, F.when(F.col("one.conv_id") != F.col("conv_id"), F.col("one")).otherwise(F.col("two")))
     found = found.select(
-        *_MESSAGE, "level", "words", F.when(inside, F.col("conv_id")).otherwise(other["conv_id"]).alias("reply_conv"), F.when(inside, F.col("near")).otherwise(other["turn"]).alias("reply_turn"),
+        *_MESSAGE, "block", "level", "h", "words", F.when(inside, F.col("conv_id")).otherwise(other["conv_id"]).alias("reply_conv"), F.when(inside, F.col("near")).otherwise(other["turn"]).alias("reply_turn"),
     )
-    votes = found.groupBy(*_MESSAGE, "level", "reply_conv", "reply_turn").agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("words"))
+    found = Cut(found, "found").df
+    cut = found.where("reply_turn is not null").groupBy(*_MESSAGE).agg(F.sort_array(F.collect_set("block")).alias("cut"))
+    votes = found.drop("block").distinct().groupBy(*_MESSAGE, "level", "reply_conv", "reply_turn").agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("words"))
     named = F.col("reply_turn").isNotNull()
-    return votes.groupBy(*_MESSAGE).agg(
+    told = votes.groupBy(*_MESSAGE).agg(
         F.max("level").alias("quote_depth"), F.sum("n").alias("quoted"), F.sum(F.when(named, F.col("n")).otherwise(0)).alias("found"),
         F.min(F.when(named, F.struct("level", (-F.col("words")).alias("less"), (F.col("reply_conv") != F.col("conv_id")).alias("far"), (-F.col("reply_turn")).alias("late"), "reply_conv", "reply_turn"))).alias("best"),
     )
+    return told.join(cut, _MESSAGE, "left")
 
 
 def _threads(nodes: DataFrame) -> DataFrame:
@@ -145,10 +180,11 @@ def _threads(nodes: DataFrame) -> DataFrame:
 
 
 def link_quotes(messages: DataFrame) -> DataFrame:
-    """One row per row of ``messages(conv_id, turn, role, text)``, without quotes, linked and in reply order.
+    """One row per row of ``messages(conv_id, turn, role, text)``, without what it quotes, linked and in reply order.
 
-    Quoted lines (any depth of marks) are cut from the text, with a line that introduces them and the blank lines left
-    around. The quoted passages (see ``passages``), normalised and hashed, are looked up among the messages' own: the original
+    A stretch of quoted lines (any depth of marks) of which a passage is found in an original is cut from the text, with a line that introduces it
+    and the blank lines left around. Stretches of which nothing is found stay as they are, as no other message has what they say: shell and
+    interpreter prompts, for one. In code fences nothing is quoted. The quoted passages (see ``passages``), normalised and hashed, are looked up among the messages' own: the original
     is the earliest message of the same conversation before this one that has it, else, for a passage of FOREIGN_WORDS words, the earliest of the least other
     conversation. What most words of the outermost quote level present (the least marks) name is what the message replies to; without one it
     replies to the turn before.
@@ -158,7 +194,7 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     thread, named by its least conv_id; ``position`` (from 1) is the message's place in the thread, in which each reply comes after what it
     replies to (see ``_threads``); a thread of one conversation goes by turn.
 
-    Rows without conv_id or turn stay, without thread, position and reply, their quotes cut. Null text gives null text; empty text stays empty.
+    Rows without conv_id or turn stay, without thread, position and reply, as they are. Null text gives null text; empty text stays empty.
     Several rows of one (conv_id, turn) follow each other in the order of role (null first) and md5 of the text, and of their links the first one's
     places them all; rows repeated whole share one place. Other columns are ignored; an empty table gives an empty result. Texts of any length are
     read whole. Passages that many messages hold are reduced to their earliest holders before any join; long conversations are placed by ranges.
@@ -168,9 +204,12 @@ def link_quotes(messages: DataFrame) -> DataFrame:
         "r": F.coalesce("role", F.lit("")), "tk": F.coalesce(F.md5("text"), F.lit("")), "quotes": F.coalesce(F.col("text").rlike(QUOTES), F.lit(False)),
     })
     known = rows.where("conv_id is not null and turn is not null")
-    links = Cut(_links(known), "reply-links").df
+    if rows.where("quotes").isEmpty():  # then no message links to another
+        links = rows.sparkSession.createDataFrame([], "conv_id long, turn long, r string, tk string, best struct<level:int,less:long,far:boolean,late:long,reply_conv:long,reply_turn:long>, quote_depth int, quoted long, found long, cut array<int>")
+    else:
+        links = Cut(_links(known), "reply-links").df
     keys = Cut(known.select(*_MESSAGE).distinct(), "messages").df
-    told = keys.join(links, _MESSAGE, "left")
+    told = keys.join(links.drop("cut"), _MESSAGE, "left")
     first = told.groupBy("conv_id", "turn").agg(F.min(F.struct("r", "tk", "best")).alias("first"))
     turns = _turns_before(first.select("conv_id", "turn"))
     nodes = first.select("conv_id", "turn", "first.best").join(turns, ["conv_id", "turn"])
@@ -182,7 +221,7 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     place = told.join(nodes.select("conv_id", "turn", "prev"), ["conv_id", "turn"]).join(threads, ["conv_id", "turn"])
     place = _placed(place, "thread_id", ["depth", "conv_id", "turn", "r", "tk"])
     place = place.select(*_MESSAGE, "thread_id", "position", reply_conv.alias("reply_conv"), reply_turn.alias("reply_turn"), linked.alias("linked"), "quote_depth", "quoted", "found")
-    bare = parsed(rows.where("quotes")).select("conv_id", "turn", "role", F.col("bare").alias("text"), "r", "tk")
+    bare = unquoted(rows.where("quotes").join(links.select(*_MESSAGE, "cut"), _MESSAGE, "left")).select("conv_id", "turn", "role", F.col("bare").alias("text"), "r", "tk")
     texts = rows.where("not quotes").select("conv_id", "turn", "role", "text", "r", "tk").unionByName(bare)
     out = texts.join(place, _MESSAGE, "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
@@ -197,23 +236,26 @@ QUOTES_SQL = r"""
 with recursive m as (select conv_id::bigint as conv_id, turn::bigint as turn, role, text, coalesce(role, '') as r, coalesce(md5(text), '') as tk, coalesce(regexp_matches(text, '(?:^|\n)(?:[ \t]{{0,3}}>)'), false) as q from {messages}),
 d as (select row_number() over () as id, * from (select distinct * from m where text is not null)),
 raws as (select id, q, unnest(string_split(text, chr(10))) as raw, unnest(range(len(string_split(text, chr(10))))) as i from d),
-marks as (select *, regexp_extract(raw, '^(?:[ \t]{{0,3}}>)+') as mark from raws),
+fenced as (select *, coalesce(sum(case when regexp_matches(raw, '^[ \t]{{0,3}}(?:```|~~~)') then 1 else 0 end) over (partition by id order by i rows between unbounded preceding and 1 preceding), 0) % 2 = 1 as code from raws),
+marks as (select *, case when code then '' else regexp_extract(raw, '^(?:[ \t]{{0,3}}>)+') end as mark from fenced),
 lines as (select *, length(regexp_replace(mark, '[^>]', '', 'g')) as level, substr(raw, length(mark) + 1) as line from marks),
-around as (select *, lag(level) over w as before, lead(level) over w as next, lead(raw) over w as next_raw, lead(level, 2) over w as after from lines window w as (partition by id order by i)),
-kept as (select id, string_agg(raw, chr(10) order by i) as t from around where level = 0 and not (regexp_matches(raw, '(?i)^\s*(?:on .{{1,200}}\bwrote|.{{1,80}}\b(?:wrote|writes|said|schrieb|a écrit|escribió))\s*:\s*$')
-         and coalesce(next > 0 or (trim(next_raw) = '' and after > 0), false)) group by id),
-bares as (select d.id, regexp_replace(regexp_replace(coalesce(t, ''), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\n+|\n+$', '', 'g') as bare from d left join kept using (id) where q),
+near as (select *, lag(level) over w as before, lead(level) over w as next, lead(raw) over w as next_raw, lead(level, 2) over w as after from lines window w as (partition by id order by i)),
+around as (select *, sum(case when level > 0 and coalesce(before, 0) = 0 then 1 else 0 end) over (partition by id order by i) as block from near),
 runs as (select *, sum(case when level is distinct from before then 1 else 0 end) over (partition by id order by i) as run from around),
-wholes as (select id, run, any_value(level) as level, string_agg(line, chr(10) order by i) as whole from runs group by id, run),
-parts as (select id, level, line as p from runs union all select id, level, whole from wholes union all select id, level, unnest(string_split_regex(replace(whole, chr(10), ' '), '[.!?]+(?:\s|$)')) from wholes),
-said as (select distinct d.conv_id, d.turn, d.r, d.tk, level, trim(regexp_replace(lower(p), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) as said from parts join d using (id) where conv_id is not null and turn is not null),
+wholes as (select id, run, any_value(level) as level, any_value(block) as block, string_agg(line, chr(10) order by i) as whole from runs group by id, run),
+parts as (select id, level, block, line as p from runs union all select id, level, block, whole from wholes union all select id, level, block, unnest(string_split_regex(replace(whole, chr(10), ' '), '[.!?]+(?:\s|$)')) from wholes),
+said as (select distinct d.conv_id, d.turn, d.r, d.tk, level, block, trim(regexp_replace(lower(p), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) as said from parts join d using (id) where conv_id is not null and turn is not null),
 quoted as (select *, len(string_split(said, ' ')) as words from said where level > 0 and said <> ''),
 here as (select said, conv_id, min(turn) as near from said where level = 0 group by all),
 ordered as (select *, row_number() over (partition by said order by conv_id) as k from here),
-found as (select q.conv_id, q.turn, q.r, q.tk, q.level, q.words, case when h.near < q.turn then q.conv_id when q.words >= 5 then f.conv_id end as reply_conv, case when h.near < q.turn then h.near when q.words >= 5 then f.near end as reply_turn
+found as (select q.conv_id, q.turn, q.r, q.tk, q.level, q.block, q.said, q.words, case when h.near < q.turn then q.conv_id when q.words >= 5 then f.conv_id end as reply_conv, case when h.near < q.turn then h.near when q.words >= 5 then f.near end as reply_turn
   from quoted q left join here h on h.said = q.said and h.conv_id = q.conv_id
   left join ordered a on a.said = q.said and a.k = 1 left join ordered f on f.said = q.said and f.k = case when a.conv_id <> q.conv_id then 1 else 2 end),
-votes as (select conv_id, turn, r, tk, level, reply_conv, reply_turn, count(*) as n, sum(words) as words from found group by all),
+cuts_ as (select distinct d.id, f.block from found f join d on d.conv_id = f.conv_id and d.turn = f.turn and d.r = f.r and d.tk = f.tk where f.reply_turn is not null),
+kept as (select a.id, string_agg(a.raw, chr(10) order by a.i) as t from around a left join cuts_ c on c.id = a.id and c.block = case when a.level > 0 then a.block else a.block + 1 end
+  where not (c.block is not null and (a.level > 0 or (regexp_matches(a.raw, '(?i)^\s*(?:on .{{1,200}}\bwrote|.{{1,80}}\b(?:wrote|writes|said|schrieb|a écrit|escribió))\s*:\s*$') and coalesce(a.next > 0 or (trim(a.next_raw) = '' and a.after > 0), false)))) group by a.id),
+bares as (select d.id, case when d.id in (select id from cuts_) then regexp_replace(regexp_replace(coalesce(t, ''), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\n+|\n+$', '', 'g') else d.text end as bare from d left join kept using (id) where q),
+votes as (select conv_id, turn, r, tk, level, reply_conv, reply_turn, count(*) as n, sum(words) as words from (select distinct conv_id, turn, r, tk, level, said, words, reply_conv, reply_turn from found) group by all),
 totals as (select conv_id, turn, r, tk, max(level) as depth, sum(n) as quoted, coalesce(sum(n) filter (where reply_turn is not null), 0) as found from votes group by all),
 best as (select * from votes where reply_turn is not null qualify row_number() over (partition by conv_id, turn, r, tk order by level, words desc, reply_conv <> conv_id, reply_turn desc, reply_conv) = 1),
 told as (select k.*, b.reply_conv as bc, b.reply_turn as bt, t.depth as quote_depth, t.quoted, t.found from (select distinct conv_id, turn, r, tk from m where conv_id is not null and turn is not null) k

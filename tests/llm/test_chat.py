@@ -53,7 +53,7 @@ def test_links(spark):
     assert link(1, 2) == (1, 0, True) and got[1, 2]["text"] == "I agree with that."
     # an own line that looks like an introduction stays, as no quote follows it
     assert link(1, 3) == (1, 2, True) and got[1, 3]["quote_depth"] == 2 and got[1, 3]["text"] == "As my mother said:\nGood."
-    assert link(1, 4) == (1, 3, False) and got[1, 4]["linked_passages"] == 0 < got[1, 4]["quoted_passages"]
+    assert link(1, 4) == (1, 3, False) and got[1, 4]["linked_passages"] == 0 < got[1, 4]["quoted_passages"] and got[1, 4]["text"] == ROWS[4][3]
     # wrapped anew, the sentence is found all the same; one short line is not enough for another conversation
     assert link(2, 0) == (1, 0, True) and link(2, 7) == (2, 0, False) and link(3, 0) == (None, None, False)
     assert link(4, 0) == (1, 0, True) and got[4, 0]["text"] == "see:\nyes"
@@ -67,6 +67,20 @@ def test_links(spark):
     assert sorted(p for t, p in place.values() if t == 1) == list(range(1, 10))
 
 
+def test_only_linked_quotes_go(spark):
+    """Prompts, code and quotes that nobody wrote stay; a block with one linked passage goes whole."""
+    code = "```\n>>> print('x')\n> we need more people now\n```"
+    rows = [
+        (1, 0, "a", "we need more people now"), (1, 1, "b", f"try this:\n{code}\nor\n> npm test\n> b"), (1, 2, "c", ">>> print(7)\n7"), (1, 3, "d", "Someone wrote:\n> not in here\n\n\n\nright"),
+        (1, 4, "e", "On May 1, a wrote:\n\n> we need more people now\n> - a\nyes\n> nothing of this was said\nno"), (1, 5, "f", "~~~\n> we need more people now"), (2, 0, "g", "> never said\n" + code),
+    ]
+    got = {(r[0], r[1]): r for r in same_as_sql(spark, rows)}
+    for c, t, _, text in rows:
+        if (c, t) != (1, 4):
+            assert got[c, t][3] == text and not got[c, t][8]
+    assert got[1, 4][3] == "yes\n> nothing of this was said\nno" and got[1, 4][6:9] == (1, 0, True)
+
+
 def test_earliest_other_conversation(spark):
     text = "this passage has enough words to count"
     rows = [(1, 0, "a", "> " + text), (1, 1, "a", text), (2, 5, "b", text), (3, 0, "c", text)]
@@ -89,7 +103,8 @@ def test_random_conversations(spark, seed):
     words = ["alpha", "beta", "gamma", "delta", "épée", "zeta"]
     for c in range(8):
         for t in range(rng.randrange(1, 9)):
-            own = [" ".join(rng.choices(words, k=rng.randrange(1, 9))) + rng.choice([".", "", "?"]) for _ in range(rng.randrange(0, 4))]
+            fence = ["```"] if rng.random() < 0.2 else []
+            own = fence + [" ".join(rng.choices(words, k=rng.randrange(1, 9))) + rng.choice([".", "", "?"]) for _ in range(rng.randrange(0, 4))]
             quote = []
             if rows and rng.random() < 0.6:
                 said = rng.choice(rows)[3].split()
@@ -97,7 +112,7 @@ def test_random_conversations(spark, seed):
                 mark = rng.choice(["> ", ">> ", "> > ", ">"])
                 quote = [mark + " ".join(said[at : at + 4]), mark + " ".join(said[at + 4 :])] if rng.random() < 0.4 else [mark + x for x in rng.choice(rows)[3].split("\n")]
                 quote = (["X wrote:"] if rng.random() < 0.5 else []) + ([""] if rng.random() < 0.2 else []) + quote + ([""] if rng.random() < 0.5 else [])
-            rows.append((c, t * rng.choice([1, 1, 1000003]) + (t if rng.random() < 0.9 else 0), rng.choice(["u", "v", None]), "\n".join(quote + own)))
+            rows.append((c, t * rng.choice([1, 1, 1000003]) + (t if rng.random() < 0.9 else 0), rng.choice(["u", "v", None]), "\n".join(quote + own if rng.random() < 0.8 else own + quote)))
     rows += rng.choices(rows, k=3)
     same_as_sql(spark, rows)
 
@@ -115,7 +130,7 @@ def test_long_conversation_and_odd_rows(spark):
     got = {r[:2]: r for r in have}
     assert [got[1, i * 86400000][5] for i in range(3000)] == list(range(1, 3001))
     assert got[1, 3000 * 86400000][6:8] == (1, 5 * 86400000)
-    assert len(have) == len(rows) and got[None, 1][3:9] == ("y", None, None, None, None, False)
+    assert len(have) == len(rows) and got[None, 1][3:9] == ("> x\ny", None, None, None, None, False)
     extra = spark.createDataFrame([(1, 0, "u", "hi", 7, "q")], S + ", position long, _p string")
     assert chat.link_quotes(extra).count() == 1
     assert run(spark, []).count() == 0
