@@ -26,6 +26,50 @@ ANCHOR = r"(?i)licen[cs]|copyright|rights|permi(?:ssion|tted)|public domain|crea
 SENTENCE, WRAP = r"(?<=[.!?])\s+", r"(?<![.!?:;\s])[ \t]*\r?\n[ \t]*(?:(?:[*#;%]+|//+|--+)[ \t]+)?(?=[^\s*#;%/-])"
 
 
+#: A declared identifier, or an expression of several: what it says is taken as said.
+_ID = r"[A-Za-z0-9][A-Za-z0-9.+-]*+"
+TAG = rf"(?:SPDX-License-Identifier|(?i:licen[cs]e(?:-expression)?))[\"']?\s*[:=]\s*[\"']?(\(*\s*{_ID}(?:\)*\s+(?:AND|OR|WITH)\s+\(*\s*{_ID})*)"
+#: Identifiers by family: fixed values. Others name no family here.
+IDENTIFIERS = {
+    "mit": r"MIT(?:-0)?", "apache-2.0": r"Apache-2\.0", "gpl": r"GPL-[123](?:\.\d)?(?:-only|-or-later|\+)?", "lgpl": r"LGPL-[23](?:\.\d)?(?:-only|-or-later|\+)?", "agpl": r"AGPL-[13](?:\.\d)?(?:-only|-or-later|\+)?",
+    "bsd": r"0BSD|BSD-[1-4]-Clause(?:-[A-Za-z-]+)?", "mpl-2.0": r"MPL-2\.0(?:-no-copyleft-exception)?", "epl": r"EPL-[12]\.0", "isc": r"ISC", "zlib": r"Zlib", "boost": r"BSL-1\.0", "unlicense": r"Unlicense",
+    "cc-by": r"CC-BY-\d\.\d", "cc-by-sa": r"CC-BY-SA-\d\.\d", "cc-by-nc": r"CC-BY-NC-\d\.\d", "cc0": r"CC0-1\.0",
+}
+#: What restricts or extends a licence of attribution, by name or sign; a family has just its own ones.
+TERMS = {"nd": r"(?i:\bno[ -]?deriv(?:ative)?s?\b)|[ -]ND\b", "nc": r"(?i:\bnon[ -]?commercial\b)|[ -]NC\b", "sa": r"(?i:\bshare[ -]?alike\b)|[ -]SA\b"}
+FAMILY_TERMS = {"cc-by": 0, "cc-by-sa": 4, "cc-by-nc": 2}
+#: Other licences of the same maker, whose names hold the name of the first.
+OTHER_GNU = r"(?i)\b(?:lesser|library|affero)\s+(?:GNU\s+)?general\s+public\s+licen[cs]e\b|\b[LA]GPL"
+GNU = r"(?i)\bgeneral\s+public\s+licen[cs]e\b|\bGPL"
+
+
+def terms(text: Column) -> Column:
+    """A number that tells which TERMS a paragraph has (1, 2, 4), and whether it names only the other GNU licences (8)."""
+    own = F.when(text.rlike(OTHER_GNU) & ~F.regexp_replace(text, OTHER_GNU, " ").rlike(GNU), 8).otherwise(0)
+    return sum((F.when(text.rlike(p), 1 << i).otherwise(0) for i, p in enumerate(TERMS.values())), own)
+
+
+def contradicted(family: Column, found: Column) -> Column:
+    """Whether the terms of a paragraph are not those of the family that it is most like."""
+    out = (family == "gpl") & found.bitwiseAND(F.lit(8)).cast("boolean")
+    for name, own in FAMILY_TERMS.items():
+        out = out | ((family == name) & (found.bitwiseAND(F.lit(7)) != own))
+    return out
+
+
+def declared(paragraphs: DataFrame) -> DataFrame:
+    """``(doc_id, tk, paragraph, family)`` of the identifiers that paragraphs declare, one row for each family named."""
+    said = F.regexp_extract_all("text", F.lit(TAG), F.lit(1))
+    # what follows WITH is an exception to a licence
+    plain = F.transform(said, lambda e: F.regexp_replace(e, rf"\sWITH\s+\(*\s*{_ID}", ""))
+    ids = F.filter(F.flatten(F.transform(plain, lambda e: F.split(e, r"[()\s]+"))), lambda i: ~i.isin("", "AND", "OR"))
+    family = F.lit(None).cast("string")
+    for name, pattern in IDENTIFIERS.items():
+        family = F.when(F.col("id").rlike(f"^(?i:{pattern})$"), name).otherwise(family)
+    rows = paragraphs.where(F.col("text").rlike(TAG)).select("doc_id", "tk", "paragraph", F.explode(F.array_distinct(ids)).alias("id"))
+    return rows.select("doc_id", "tk", "paragraph", family.alias("family")).where("family is not null").distinct()
+
+
 def words(text: str) -> list[str]:
     return re.findall(r"[^\W_]+", text.lower())
 
@@ -161,13 +205,16 @@ def paragraphs(text: Column) -> Column:
 
 
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """``(doc_id, paragraph, family, probability, coverage, confirmed)`` for each paragraph of a licence family.
+    """``(doc_id, paragraph, family, probability, coverage, confirmed)`` for each paragraph and licence family found in it.
 
     Every text is split into paragraphs (see ``paragraphs``; numbered from 0). A paragraph is judged by its sentences that
     hold an ANCHOR, as all template sentences do; the others can neither be a notice nor confirm one. Their n-grams
     that the model or a template knows (a fixed number, broadcast) are found by one join, summed by paragraph, and a softmax with the calibrated unknown
     class decides. Paragraphs of which unknown is not the likeliest class are returned. ``coverage`` is the largest share of
-    a template sentence of that family whose n-grams the paragraph holds; ``confirmed`` says that it reaches CONFIRM.
+    a template sentence of that family whose n-grams the paragraph holds; ``confirmed`` says that it reaches CONFIRM and that the paragraph's
+    TERMS are those of the family: a licence without derivatives is none of the families, however like one it is. Declared identifiers, of which
+    an expression can hold several, name their families by themselves, with probability and coverage 1, and are not judged again; of those that
+    name no family here nothing is said.
 
     All of it is DataFrame operations; only training, over templates, runs on the driver.
     Null and empty texts have no paragraphs. Texts of any length are read whole. Rows that repeat doc_id and text give one result. A null doc_id
@@ -181,19 +228,27 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     weights = spark.createDataFrame([(g, i, model.weights.get(g, [0.0] * k)) for i, g in enumerate(grams)], "gram string, i int, w array<double>")
     at = {g: i for i, g in enumerate(grams)}
     rows = docs.where(F.col("text").rlike(ANCHOR)).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tk"), F.posexplode(paragraphs(F.col("text"))).alias("paragraph", "text"))
+    declarations = declared(rows)
+    rows = rows.withColumn("text", F.regexp_replace("text", TAG, " ")).withColumn("terms", terms(F.col("text")))
     said = F.array_join(F.filter(F.split("text", SENTENCE), lambda s: s.rlike(ANCHOR)), " ")
-    split = rows.where(F.col("text").rlike(ANCHOR)).select("doc_id", "tk", "paragraph", F.explode(F.array(tokens(said))).alias("t"))
-    exploded = split.select("doc_id", "tk", "paragraph", F.explode(F.array_distinct(_ngrams("t"))).alias("gram"))
+    split = rows.where(F.col("text").rlike(ANCHOR)).select("doc_id", "tk", "paragraph", "terms", F.explode(F.array(tokens(said))).alias("t"))
+    exploded = split.select("doc_id", "tk", "paragraph", "terms", F.explode(F.array_distinct(_ngrams("t"))).alias("gram"))
     found = exploded.join(F.broadcast(weights), "gram")
-    sums = found.groupBy("doc_id", "tk", "paragraph").agg(F.sort_array(F.collect_set(F.struct("i", "w"))).alias("g"))  # bounded by the vocabulary
+    sums = found.groupBy("doc_id", "tk", "paragraph", "terms").agg(F.sort_array(F.collect_set(F.struct("i", "w"))).alias("g"))  # bounded by the vocabulary
     z = F.aggregate("g", F.array(*[F.lit(float(b)) for b in model.bias]), lambda a, g: F.zip_with(a, g["w"], lambda x, y: x + y))
     z = F.transform(z, lambda x, i: x * F.lit(float(model.scale)) + F.when(i == k - 1, F.lit(float(model.shift))).otherwise(0.0))
-    scored = sums.select("doc_id", "tk", "paragraph", F.explode(F.array(F.struct(F.transform("g", lambda g: g["i"]).alias("grams"), z.alias("z")))).alias("s")).select("doc_id", "tk", "paragraph", "s.grams", "s.z")
+    scored = sums.select("doc_id", "tk", "paragraph", "terms", F.explode(F.array(F.struct(F.transform("g", lambda g: g["i"]).alias("grams"), z.alias("z")))).alias("s")).select("doc_id", "tk", "paragraph", "terms", "s.grams", "s.z")
     top = F.array_max("z")
     scored = scored.select("*", F.array_position("z", top).cast("int").alias("at"), (1.0 / F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x - F.array_max("z")))).alias("probability")).where(F.col("at") < k)
     family = F.element_at(F.array(*[F.lit(c) for c in model.classes]), F.col("at"))
     # the template sentences of the predicted family only, as numbers of their n-grams
     sentences = F.array(*[F.array(*[F.array(*[F.lit(at[g]) for g in t]) for f, t in templates if f == c] or [F.array(F.lit(-1))]) for c in model.classes])
     coverage = F.array_max(F.transform(F.element_at(sentences, F.col("at")), lambda t: F.size(F.array_intersect(F.col("grams"), t)) / F.size(t)))
-    picked = Cut(scored.select("doc_id", "tk", "paragraph", family.alias("family"), "probability", coverage.alias("coverage")), "licences")
-    return picked.df.select("doc_id", "paragraph", "family", F.round("probability", 6).alias("probability"), F.round("coverage", 6).alias("coverage"), (F.col("coverage") >= CONFIRM).alias("confirmed"))
+    picked = scored.select("doc_id", "tk", "paragraph", family.alias("family"), "probability", coverage.alias("coverage"), "terms")
+    confirmed = (F.col("coverage") >= CONFIRM) & ~contradicted(F.col("family"), F.col("terms"))
+    judged = picked.select("doc_id", "tk", "paragraph", "family", F.round("probability", 6).alias("probability"), F.round("coverage", 6).alias("coverage"), confirmed.alias("confirmed"))
+    # what is declared is as sure as can be; beside it a paragraph can be of one more family
+    sure = declarations.select("*", F.lit(1.0).alias("probability"), F.lit(1.0).alias("coverage"), F.lit(True).alias("confirmed"))
+    best = F.max_by(F.struct("probability", "coverage", "confirmed"), F.struct("confirmed", "coverage", "probability"))
+    both = judged.unionByName(sure).groupBy("doc_id", "tk", "paragraph", "family").agg(best.alias("b"))
+    return Cut(both.select("doc_id", "paragraph", "family", "b.probability", "b.coverage", "b.confirmed"), "licences").df

@@ -127,6 +127,22 @@ def test_license_texts_wrapped_as_in_files(spark, scanner):
         assert len([r for r in mine if r["confirmed"]]) >= len(license.TEMPLATES[family]) - 1, (family, texts[i][:300])
 
 
+def test_license_terms_and_identifiers(spark, scanner):
+    """Words that tell licences apart, and declared identifiers."""
+    texts = {
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.": set(), "Licensed under CC BY-NC-SA 4.0.": set(), "Licensed under CC BY-NC-ND 4.0.": set(),
+        "Licensed under CC BY-SA 4.0.": {"cc-by-sa"}, "Licensed under CC BY-NC 4.0.": {"cc-by-nc"}, "This work is licensed under a Creative Commons Attribution 4.0 International License.": {"cc-by"},
+        "// SPDX-License-Identifier: (MIT OR Apache-2.0)": {"mit", "apache-2.0"}, "SPDX-License-Identifier: Artistic-2.0": set(), "License: GPL-2.0+": {"gpl"}, "license = \"BSD-3-Clause\"": {"bsd"},
+        "SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 AND (ISC OR CC-BY-NC-ND-4.0)": {"gpl", "isc"}, "License: see the file": set(),
+        "SPDX-License-Identifier: MIT\nPermission is hereby granted, free of charge, to any person": {"mit"}, "This work is licensed under the GNU General Public License, version 3.": {"gpl"},
+        "Licensed under the GNU Lesser General Public License, version 2.1.": {"lgpl"},
+    }
+    rows = license.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), scanner).collect()
+    got = {i: {r["family"] for r in rows if r["doc_id"] == i and r["confirmed"]} for i in range(len(texts))}
+    assert {t: got[i] for i, t in enumerate(texts)} == texts
+    assert all(r["probability"] == r["coverage"] == 1.0 for r in rows if r["doc_id"] == 6)
+
+
 def test_license_foreign_and_short(spark, scanner):
     short = {"Licensed under the BSD license": "bsd", "SPDX-License-Identifier: MIT": "mit", "// SPDX-License-Identifier: Apache-2.0": "apache-2.0", "All rights reserved.": "proprietary", "This is free and unencumbered software released into the public domain.": "unlicense"}
     got = found(spark, [*short, *OTHER_HELD_OUT, *license.OTHER], scanner)
