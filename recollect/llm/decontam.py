@@ -27,6 +27,8 @@ BLOCK_CHARS, BLOCKS = 4_000_000, 4
 PIECE = 4096
 #: Shared q-grams that are counted at a time, and characters of a piece of a document that has more.
 HITS, WINDOW = 2_000_000, 2048
+#: Words that an item too short for a q-gram must have to be a passage.
+SHORT_WORDS = 3
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _junk = re.compile(r"[\W_]+")
 
@@ -138,6 +140,12 @@ class Index:
     def __init__(self, items: list[tuple[int | None, str]]):
         whole = [(i, normalise(t)) for i, t in items]
         cut = [(n, s, x) for n, (_, t) in enumerate(whole) if len(t) >= Q for s, x in pieces(t)]
+        #: Items too short for a q-gram, by their text, and the numbers of words that such have.
+        self.short: dict[str, list[int]] = {}
+        for n, (_, t) in enumerate(whole):
+            if len(t) < Q and len(t.split()) >= SHORT_WORDS:
+                self.short.setdefault(t, []).append(n)
+        self.short_words = sorted({len(t.split()) for t in self.short})
         #: Ids of the items; then item number, start in the item and text of each piece.
         self.ids = [i for i, _ in whole]
         self.owner, self.offset = [n for n, _, _ in cut], [s for _, s, _ in cut]
@@ -160,6 +168,19 @@ class Index:
     def _slot(h: np.ndarray) -> np.ndarray:
         return (h * _MIX) >> np.uint64(44)
 
+    def found(self, texts: list[str]):
+        """All hits of texts already normalised: of q-grams, and of whole short items between word ends."""
+        yield from self.hits(texts)
+        for n, text in enumerate(texts if self.short else []):
+            words = text.split(" ")
+            ends = np.cumsum([len(w) + 1 for w in words])
+            for k in self.short_words:
+                for i in range(len(words) - k + 1):
+                    said = " ".join(words[i : i + k])
+                    start = int(ends[i]) - len(words[i]) - 1
+                    for item in self.short.get(said, ()):
+                        yield n, item, start, start + len(said), 0, np.zeros(1, dtype=np.int64)
+
     def hits(self, texts: list[str]):
         """(text number, item number, span start, span end, edits, starts in the item) of verified segments of texts already normalised.
 
@@ -287,7 +308,7 @@ def _scan(shared):
             for first, part in _parts(batch.column("text")):
                 for block in shared:
                     best: dict = {}
-                    for n, i, s, e, edits, found in block.value.hits(part):
+                    for n, i, s, e, edits, found in block.value.found(part):
                         was = best.get((n, i))
                         best[n, i] = (min(s, was[0]), max(e, was[1]), min(edits, was[2]), np.union1d(was[3], found)) if was else (s, e, edits, found)
                     out += [(ids[first + n].as_py(), tks[first + n].as_py(), block.value.ids[i], max(0, s), e, edits, len(found)) for (n, i), (s, e, edits, found) in sorted(best.items())]
@@ -304,7 +325,7 @@ def _clean(shared, at: int):
             keep = np.ones(batch.num_rows, dtype=bool)
             for first, part in _parts(batch.column(at)):
                 for block in shared:
-                    for n, *_ in block.value.hits(part):
+                    for n, *_ in block.value.found(part):
                         keep[first + n] = False
             yield batch.filter(pa.array(keep))
 
@@ -328,24 +349,34 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     The benchmark is taken in blocks of BLOCK_CHARS characters, BLOCKS of which are
     broadcast and met by one pass over the documents, so its size is not limited;
-    documents never shuffle. Null or empty texts and items shorter than Q
-    normalised characters share nothing; rows of null item_id are items of their own, by text; null doc_ids are kept as null; repeated rows of documents repeat
+    documents never shuffle. Items shorter than Q normalised characters hold no q-gram: they are looked up whole, from word end to word end,
+    if they have SHORT_WORDS words; a word or two are no passage. Null or empty texts share nothing; rows of null item_id are items of their own, by text; null doc_ids are kept as null; repeated rows of documents repeat
     in the result; texts of any length are read whole; other columns are ignored; empty tables give an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tk"), "text")
-    found = [rows.mapInArrow(_scan(blocks), "doc_id long, tk long, item_id long, span_start long, span_end long, edits int, matches int") for blocks in _shared(benchmark)]
+    found = []
+    for blocks, last in _shared(benchmark):
+        part = rows.mapInArrow(_scan(blocks), "doc_id long, tk long, item_id long, span_start long, span_end long, edits int, matches int")
+        found.append(part if last else Cut(part, "hits").df)
+        if not last:
+            _release(blocks)
     return reduce(DataFrame.union, found)
 
 
+def _release(blocks: list) -> None:
+    for block in blocks:
+        block.unpersist()
+
+
 def _shared(benchmark: DataFrame):
-    """Broadcast indexes of the benchmark, BLOCKS at a time."""
+    """Broadcast indexes of the benchmark, BLOCKS at a time, and whether they are the last."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null").distinct()
     total = items.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
     blocks = max(1, math.ceil(total / BLOCK_CHARS))
     for low in range(0, blocks, BLOCKS):
         parts = [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect() for b in range(low, min(blocks, low + BLOCKS))]
-        yield [spark.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in part])) for part in parts]
+        yield [spark.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in part])) for part in parts], low + BLOCKS >= blocks
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -354,6 +385,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     The scan itself lets rows pass, so nothing is shuffled; between the passes of a large benchmark the rows left are written.
     """
     at = docs.columns.index("text")
-    for n, blocks in enumerate(_shared(benchmark)):
-        docs = (Cut(docs, "clean").df if n else docs).mapInArrow(_clean(blocks, at), docs.schema)
+    for blocks, last in _shared(benchmark):
+        docs = docs.mapInArrow(_clean(blocks, at), docs.schema)
+        if not last:
+            docs = Cut(docs, "clean").df
+            _release(blocks)
     return docs

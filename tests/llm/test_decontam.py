@@ -152,3 +152,15 @@ def test_bounded_hits_change_nothing(spark, monkeypatch, hits):
         monkeypatch.setattr(D, "BLOCKS", 2)
         assert {r["doc_id"] for r in D.decontaminate(d, b).collect()} == {d for n, (d, _) in enumerate(docs) if not any(k[0] == n for k in got)}
         assert {(r["doc_id"], r["item_id"], r["matches"]) for r in D.contaminated(d, b).collect()} == {(docs[n][0], items[i][0], len(v[3])) for (n, i), v in got.items()}
+
+
+def test_short_items(spark):
+    """Items too short for a q-gram count whole, between word ends; a word or two are no passage."""
+    items = [(1, "7 x 8 = 56"), (2, "yes"), (3, "7 x 8 = 56"), (4, "a b c"), (5, "no way")]
+    docs = [(1, "We know: 7 × 7... and 7 X 8 -- 56!"), (2, "17 x 8 = 56, 7 x 8 = 567"), (3, "yes, no way"), (4, "a b c"), (5, None), (6, "x a b c a b c")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    rows = D.contaminated(d, b).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in rows) == [(1, 1), (1, 3), (4, 4), (6, 4)] and all(r["edits"] == 0 for r in rows)
+    text = D.normalise(docs[0][1])
+    assert all(text[r["span_start"] : r["span_end"]] == "7 x 8 56" for r in rows if r["doc_id"] == 1)
+    assert sorted(r["doc_id"] for r in D.decontaminate(d, b).collect()) == [2, 3, 5]
