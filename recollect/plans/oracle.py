@@ -138,7 +138,7 @@ ORACLE = {
         l as (select b.*, row_number() over (order by type_rank, place)::int as line from b join tr using (type) where place <= 6)
         select type, place, line, name, description from l where line <= 30""",
     "digest_lead": f"{_G}, r as (select *, row_number() over (order by score desc, ord, id)::int as rank from nodes where type in ('Project', 'Organization')) select rank, name, description from r where rank <= 2 and description <> ''",
-    "node_fact_lists": f"""{_G}, d as (select n2 as id, text, min(ord) as ord from facts group by n2, text), r as (select *, row_number() over (partition by id order by ord, text) as r from d)
+    "node_fact_lists": f"""{_G}, named as (select n1 as id, text, ord from facts union all select n2, text, ord from facts), d as (select id, text, min(ord) as ord from named group by id, text), r as (select *, row_number() over (partition by id order by ord, text) as r from d)
         select id, string_agg(text, '|' order by r) as facts, count(*)::int as n from r where r <= 12 group by id""",
     "link_import": f"""{_G}, k as (select id from nodes order by score desc, ord, id limit 20)
         select 'node' as kind, 'star:' || id as id from k union all
