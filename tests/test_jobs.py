@@ -1,6 +1,7 @@
 """The jobs: two runs over growing input, reruns, broken runs, configs, and their SQL."""
 
 import json
+import os
 import subprocess
 import sys
 
@@ -184,6 +185,6 @@ def test_command_line(spark, tmp_path):
     """The command line makes a session of its own and prints the counts."""
     spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 20").write.parquet(str(tmp_path / "docs"))
     args = ["--documents", str(tmp_path / "docs"), "--out", str(tmp_path / "out"), "--checkpoint", str(tmp_path / "mark")]
-    done = subprocess.run([sys.executable, "-m", "jobs.stream_memory", *args], capture_output=True, text=True, timeout=300, cwd="/root/repo")
+    done = subprocess.run([sys.executable, "-m", "jobs.stream_memory", *args], capture_output=True, text=True, timeout=300, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     assert json.loads(done.stdout.splitlines()[-1]) == {"rows_read": 20, "documents": 20}, done.stderr[-2000:]
     assert "batch 0: read 20 rows" in done.stderr
