@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.functions.fuzzy import ratio
+from recollect.functions.fuzzy import most_ratio, most_shared, ratio
 from recollect.session import Cut
 
 
@@ -26,12 +26,10 @@ def find_entity(nodes: DataFrame, entity: str, fuzzy: bool = True, cutoff: float
     )
     found = nodes.withColumn("_p", rank).withColumn("_s", F.lit(None).cast("double")).where("_p is not null")
     if fuzzy:
-        # likeness only for projects in which the cheap rules find nothing, and names long and short enough to reach the cutoff
+        # likeness only for projects in which the cheap rules find nothing
         sure = Cut(found, "found").df
-        shorter, longer = F.least(F.length("name"), F.lit(len(e))), F.greatest(F.length("name"), F.lit(len(e)))
-        rest = nodes.join(sure.select("project").distinct(), "project", "left_anti").where(2 * shorter >= cutoff * (shorter + longer))
-        like = rest.withColumn("_p", F.lit(4)).withColumn("_s", ratio(low, F.lit(e))).where(F.col("_s") >= cutoff)
-        found = sure.unionByName(like)
+        rest = nodes.join(sure.select("project").distinct(), "project", "left_anti")
+        found = sure.unionByName(_alike(rest, e, cutoff).withColumn("_p", F.lit(4)))
     less_name = F.when(F.col("_p") == 4, low)
     order = F.struct(
         (-F.col("_p")).alias("p"), F.when(F.col("_p") == 3, F.col("degree")).alias("d"), F.col("_s").alias("s"), less_name.alias("n"), (-F.col("ord")).alias("o")
@@ -39,6 +37,21 @@ def find_entity(nodes: DataFrame, entity: str, fuzzy: bool = True, cutoff: float
     return found.groupBy("project").agg(F.max_by(F.struct(*[F.col(c) for c in nodes.columns]), order).alias("n"), F.max_by("_p", order).alias("matched_by")).select("n.*", "matched_by")
 
 
+def _alike(nodes: DataFrame, e: str, cutoff: float) -> DataFrame:
+    """``nodes`` whose likeness ``_s`` to a text may be the best of their project.
+
+    Bounds that Spark computes come first: those below the cutoff go, then those below the likeness of their project's
+    most promising name. Only the rest, and no node that could win is not in it, are compared in Python.
+    """
+    low = F.lower("name")
+    bounded = nodes.where(most_shared(low, e) >= cutoff).withColumn("_most", most_ratio(low, F.lit(e))).where(F.col("_most") >= cutoff)
+    bounded = Cut(bounded, "alike").df
+    first = bounded.groupBy("project").agg(F.max_by(low, F.struct("_most", low)).alias("_n"))
+    reached = first.select("project", ratio(F.col("_n"), F.lit(e)).alias("_least"))
+    near = bounded.join(reached, "project").where(F.col("_most") >= F.col("_least"))
+    return near.withColumn("_s", ratio(low, F.lit(e))).where(F.col("_s") >= cutoff).drop("_most", "_least")
+
+
 def hops(edges: DataFrame, start: DataFrame, depth: int = 1) -> DataFrame:
     """``(project, id, hop)`` of all nodes within ``depth`` undirected steps of ``start(project, id)``."""
     links = edges.select("project", F.col("source").alias("id"), F.col("target").alias("to")).unionAll(edges.select("project", F.col("target").alias("id"), F.col("source").alias("to")))

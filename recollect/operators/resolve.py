@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect import config
-from recollect.functions.fuzzy import ratio
+from recollect.functions.fuzzy import most_ratio, ratio
 from recollect.functions.text import is_junk, norm_key, refine_type, slugify, strip
 from recollect.operators.components import connected_components
 from recollect.operators.similar import near_pairs
@@ -83,8 +83,8 @@ def near_duplicates(canon: DataFrame, embed: Callable[[Column], Column], cosine:
     b = labels.select(F.col("id").alias("b"), F.col("low").alias("lb"))
     named = Cut(pairs.join(a, "a").join(b, "b"), "named").df
     within = F.contains("la", F.col("lb")) | F.contains("lb", F.col("la"))
-    # likeness only for pairs that the cheap rule leaves, of lengths that can reach it
-    reach = 2 * F.least(F.length("la"), F.length("lb")) >= least_ratio * (F.length("la") + F.length("lb"))
+    # likeness only for pairs that the cheap rule leaves and whose bound reaches it
+    reach = most_ratio(F.col("la"), F.col("lb")) >= least_ratio
     alike = named.where(within).unionByName(named.where(~within & reach).where(ratio("la", "lb") >= least_ratio))
     comp = connected_components(alike.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     members = labels.join(comp.select(F.col("node").alias("id"), "component"), "id")
@@ -95,8 +95,8 @@ def near_duplicates(canon: DataFrame, embed: Callable[[Column], Column], cosine:
 def assign_ids(nodes: DataFrame) -> DataFrame:
     """``nodes`` with ``id``: the name's slug, numbered from 2 where it is taken, in order.
 
-    Numbered ids can clash only with slugs of the same name that end in numbers themselves; those few names
-    are gone through one after the other, all others are ranked.
+    Numbered ids can clash only with slugs that end in numbers themselves (see ``_numbered``); all others are ranked.
+    Names without letters or digits share one slug; empty tables give none; rows that are equal but for their key are numbered.
     """
     base = F.substring(slugify(F.col("name")), 1, 48)
     rows = nodes.withColumn("base", F.when(base == "", F.lit("n")).otherwise(base))
@@ -109,19 +109,57 @@ def assign_ids(nodes: DataFrame) -> DataFrame:
     w = Window.partitionBy("project", "base").orderBy("ord")
     easy = rows.join(mixed, ["project", "family"], "left_anti").withColumn("r", F.row_number().over(w))
     easy = easy.select("project", "key", F.when(F.col("r") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", F.col("r").cast("string"))).alias("id"))
+    return nodes.join(easy.union(_numbered(rows.join(mixed, ["project", "family"], "left_semi"))), ["project", "key"])
 
-    def number(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, used, ids = pdf.sort_values("ord"), set(), []
-        for base in pdf["base"]:
-            name, i = base, 2
-            while name in used:
-                name, i = f"{base}-{i}", i + 1
-            used.add(name)
-            ids.append(name)
-        return pdf[["project", "key"]].assign(id=ids)
-
-    hard = rows.join(mixed, ["project", "family"], "left_semi").groupBy("project", "family").applyInPandas(number, "project string, key string, id string")
-    return nodes.join(easy.union(hard), ["project", "key"])
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``(project, key, id)`` of rows whose numbered slugs meet other slugs.
+
+    Call report the stem of report-7. The id report-7 can be claimed by the stem's seventh or by the first row whose own slug it is,
+    by nobody else. So slugs are settled level by level, by how many numbers they end in. At each level:
+
+    * A number is lost to the stem if its slug's first row comes before the stem gets there. Taken in order of numbers, number k is lost if
+      fewer than ``k - 1 - c`` smaller ones are, where c of the stem's numbered rows come before that first row.
+    * The stem's i-th numbered row gets the i-th number of those that are left: i + 1 and the lost ones before it, of which the
+      r-th, with number b, counts from i = b - r on.
+    * A slug whose number is not lost to its stem has lost its own first id, and all its rows are numbered.
+
+    Windows rank and count; only the numbers of a stem's slugs, a row each, are gone through in order.
+    """
+    depth = F.size(F.regexp_extract_all(F.regexp_extract("base", r"(-[0-9]+)*$", 0), F.lit("-"), F.lit(0)))
+    rows = Cut(rows.select("project", "key", "ord", "base", depth.alias("depth")), "clashing").df
+    numbered = r"^(.+)-([2-9]|[1-9][0-9]{1,8})$"
+    firsts = rows.groupBy("project", "base").agg(F.min("ord").alias("ord"))
+    slugs = firsts.where(F.col("base").rlike(numbered)).select("project", F.regexp_extract("base", numbered, 1).alias("stem"), F.regexp_extract("base", numbered, 2).cast("long").alias("k"), "ord")
+    lost_by = rows.sparkSession.createDataFrame([], "project string, base string, kept boolean")
+    done, deepest = None, rows.agg(F.max("depth")).first()[0]
+
+    def lost(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, n, found = pdf.sort_values("k"), 0, []
+        for room in (pdf["k"] - 1 - pdf["c"]).tolist():
+            found.append(n < room)
+            n += found[-1]
+        return pdf[["project", "stem", "k"]].assign(lost=found)
+
+    for level in range((deepest if deepest is not None else -1) + 1):
+        here = rows.where(F.col("depth") == level).join(lost_by, ["project", "base"], "left")
+        rank = F.row_number().over(Window.partitionBy("project", "base").orderBy("ord"))
+        # i: 0 for the row that has the slug itself, then from 1 on
+        here = Cut(here.select("project", "key", "ord", "base", (rank - F.coalesce("kept", F.lit(True)).cast("int")).cast("long").alias("i")), "level").df
+        mine = slugs.join(here.select("project", F.col("base").alias("stem")).distinct(), ["project", "stem"], "left_semi")
+        events = here.where("i > 0").select("project", F.col("base").alias("stem"), "ord", F.lit(None).cast("long").alias("k")).unionByName(mine)
+        before = F.count_if(F.col("k").isNull()).over(Window.partitionBy("project", "stem").orderBy("ord"))
+        counted = events.withColumn("c", before).where("k is not null").select("project", "stem", "k", "c")
+        judged = Cut(counted.groupBy("project", "stem").applyInPandas(lost, "project string, stem string, k long, lost boolean"), "judged").df
+        lost_by = judged.select("project", F.concat_ws("-", "stem", F.col("k").cast("string")).alias("base"), F.col("lost").alias("kept"))
+        r = F.row_number().over(Window.partitionBy("project", "base").orderBy("k"))
+        gaps = judged.where("lost").select("project", F.col("stem").alias("base"), "k").select("project", F.lit(None).cast("string").alias("key"), "base", (F.col("k") - r).alias("i"))
+        placed = here.select("project", "key", "base", "i").unionByName(gaps)
+        skipped = F.count_if(F.col("key").isNull()).over(Window.partitionBy("project", "base").orderBy("i", F.col("key").isNotNull()))
+        number = F.col("i") + 1 + F.col("_g")
+        ids = placed.withColumn("_g", skipped).where("key is not null").select("project", "key", F.when(F.col("i") == 0, F.col("base")).otherwise(F.concat_ws("-", "base", number.cast("string"))).alias("id"))
+        done = ids if done is None else done.union(ids)
+    return done if done is not None else rows.select("project", "key", F.col("base").alias("id"))
 
 
 def resolve(raw_entities: DataFrame, embed: Callable[[Column], Column] | None = None, cosine: float = config.MERGE_COSINE, least_ratio: float = config.MERGE_RATIO) -> tuple[DataFrame, DataFrame]:

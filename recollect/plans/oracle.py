@@ -179,6 +179,12 @@ ORACLE = {
         regexp_replace(regexp_replace(lower(c_name || '  of the ' || c_mktsegment), '[^\\w\\s-]', '', 'g'), '[\\s_-]+', '-', 'g') as slug from customer""".replace("\\\\", "\\"),
     "node_ids": """with b as (select c_custkey, regexp_replace(lower(c_mktsegment), '[\\s_-]+', '-', 'g') as base from customer), r as (select *, row_number() over (partition by base order by c_custkey) as r from b)
         select c_custkey::varchar as key, case when r = 1 then base else base || '-' || r end as id from r""",
+    # one row of each brand a step, with the ids that its earlier rows took
+    "node_ids_clashing": """with recursive b as (select p_partkey, p_brand, replace(lower(p_brand), '#', '') || case p_partkey % 3 when 0 then '' when 1 then '-' || p_size else '-' || p_size % 4 || '-' || p_size % 3 end as base, row_number() over (partition by p_brand order by p_partkey) as step from part),
+        w(p_brand, step, key, id, used) as (select p_brand, step, p_partkey, base, [base] from b where step = 1
+        union all select p_brand, step, p_partkey, id, list_append(used, id) from (select b.p_brand, b.step, b.p_partkey, w.used,
+        case when not list_contains(w.used, b.base) then b.base else b.base || '-' || list_min(list_filter(range(2, len(w.used) + 3), lambda k: not list_contains(w.used, b.base || '-' || k))) end as id from w join b on b.p_brand = w.p_brand and b.step = w.step + 1))
+        select key::varchar as key, id from w""",
     "document_graph": f"{_GRAPH} select id, name, 'Concept' as type, mentions, coalesce(degree, 0)::bigint as degree from ent left join dg using (id) order by 2 * coalesce(degree, 0) + mentions desc, ord, id limit 12",
     "document_nodes": f"{_GRAPH} select id, name, 'Concept' as type, mentions, coalesce(degree, 0)::bigint as degree, sources, coalesce(nfs.facts, '') as facts from ent left join dg using (id) left join srcs using (id) left join nfs using (id)",
     "document_edges": f"{_GRAPH} select ord, source, 'precedes' as relation, target, count, array_to_string(fl[1:8], '|') as files from edg",

@@ -312,6 +312,15 @@ def node_ids(spark, sf):
     return resolve.assign_ids(n).select("key", "id")
 
 
+@query
+def node_ids_clashing(spark, sf):
+    """Ids of nodes whose names end in numbers that other names are numbered with."""
+    p = table(spark, sf, "part")
+    name = F.when(F.col("p_partkey") % 3 == 0, F.col("p_brand")).when(F.col("p_partkey") % 3 == 1, F.concat_ws(" ", "p_brand", "p_size")).otherwise(F.concat_ws(" ", "p_brand", F.col("p_size") % 4, F.col("p_size") % 3))
+    n = p.select(F.col("p_brand").alias("project"), F.col("p_partkey").cast("string").alias("key"), F.col("p_partkey").alias("ord"), name.alias("name"))
+    return resolve.assign_ids(n).select("key", "id")
+
+
 def _document_graph(spark, sf):
     """The whole way from documents to a graph, every chunk of every document that is no copy."""
     docs = documents(spark, sf)

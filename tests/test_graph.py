@@ -1,8 +1,11 @@
+import difflib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from recollect.functions import fuzzy
 from recollect.operators import digest, expand, extract, graph, link, resolve, vectors
 from recollect.plans import queries
 from recollect.sources import sinks
@@ -96,6 +99,42 @@ def test_ids_with_numbered_names(spark):
     assert got == ["report", "report-2", "report-3", "report-4", "report-2-2", "other"]
 
 
+def test_ids_by_windows_equal_one_after_the_other(spark):
+    rng = random.Random(7)
+    rows, want = [], {}
+    for project in range(30):
+        used, stems = set(), ["a", "a 2", "a 3", "a 2 2", "a 2 3", "a 4", "a 12", "a 02", "a 1", "b", "b 2", "2", "!", "untitled 2"]
+        names = rng.choices(stems[: rng.randint(2, len(stems))], k=rng.randint(0, 60))
+        for i, name in enumerate(names):
+            base = name.replace(" ", "-") if name != "!" else "untitled"
+            got, k = base, 2
+            while got in used:
+                got, k = f"{base}-{k}", k + 1
+            used.add(got)
+            rows.append((str(project), str(i), i * 10, name))
+            want[str(project), str(i)] = got
+    df = spark.createDataFrame(rows, "project string, key string, ord long, name string")
+    assert {(r["project"], r["key"]): r["id"] for r in resolve.assign_ids(df).collect()} == want
+    assert resolve.assign_ids(df.limit(0)).count() == 0
+
+
+def test_likeness_bounds(spark):
+    rng = random.Random(3)
+    names = ["".join(rng.choices("abcde x\U0001d400é", k=rng.randint(0, 14))) for _ in range(1500)]
+    df = spark.createDataFrame([(str(i % 7), i, n) for i, n in enumerate(names)], "project string, ord long, name string")
+    df = df.select("project", "ord", F.col("ord").cast("string").alias("id"), "name", F.array().cast("array<string>").alias("aliases"), F.lit(0).alias("degree"))
+    for e in ("abcab d", "\U0001d400xé", "e"):
+        tight, loose = fuzzy.most_ratio(F.col("name"), F.lit(e)), fuzzy.most_shared(F.col("name"), e)
+        for n, t, s in df.select("name", tight, loose).collect():
+            true = difflib.SequenceMatcher(None, n, e).ratio()
+            assert true <= t + 1e-12 and true <= s + 1e-12, (n, e)
+        for r in expand._alike(df, e, 0.6).groupBy("project").agg(F.max(F.struct("_s", F.lower("name").alias("n"))).alias("m")).collect():
+            best = max((difflib.SequenceMatcher(None, n.lower(), e).ratio(), n.lower()) for i, n in enumerate(names) if str(i % 7) == r["project"])
+            assert tuple(r["m"]) == best
+        reached = {str(i % 7) for i, n in enumerate(names) if difflib.SequenceMatcher(None, n.lower(), e).ratio() >= 0.6}
+        assert {r["project"] for r in expand._alike(df, e, 0.6).select("project").collect()} == reached
+
+
 def test_expand_digest_link(spark, built):
     g = built[1]
     by = lambda e, **k: [(r["id"], r["matched_by"]) for r in expand.find_entity(g.nodes, e, **k).collect()]
