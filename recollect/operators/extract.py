@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import threading
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
 import pandas as pd
+from pyspark.accumulators import AccumulatorParam
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect import config
 from recollect.functions.text import clean_name, computed, norm_type, parse_json
+from recollect.session import Cut
 
 CHUNK = ["project", "file", "doc_ord", "chunk"]
 
@@ -63,6 +67,77 @@ def run_extractor(chunks: DataFrame, make: Callable[[], Extractor], attempts: in
     return chunks.mapInPandas(run, schema + ",response:string,error:string")
 
 
+class _Outcomes(AccumulatorParam):
+    """(answers, failures since the last answer), added up in the order in which tasks end."""
+
+    def zero(self, value):
+        return (0, 0)
+
+    def addInPlace(self, before, after):
+        return (before[0] + after[0], after[1] if after[0] else before[1] + after[1])
+
+
+class Breaker:
+    """Ends a job as soon as FAILED_LEAST chunks in a row have failed over all its tasks.
+
+    Providers made by ``watched`` report how each chunk went, once however often it is tried again. ``cut`` writes a table under
+    a job tag; a thread of the driver cancels the tag's jobs once the reports show an outage, so that tasks in line never ask.
+    """
+
+    def __init__(self, spark, poll: float = 0.2):
+        self.sc, self.poll, self.tag = spark.sparkContext, poll, f"extract-{uuid.uuid4().hex}"
+        self.outcomes = self.sc.accumulator((0, 0), _Outcomes())
+
+    def watched(self, make: Callable[[], Extractor]) -> Callable[[], Extractor]:
+        outcomes = self.outcomes
+
+        def made() -> Extractor:
+            ask, failed = make(), [None]
+
+            def heard(text: str) -> str:
+                try:
+                    answer = ask(text)
+                except Exception:
+                    if failed[0] is not text:
+                        failed[0] = text
+                        outcomes.add((0, 1))
+                    raise
+                failed[0] = None
+                outcomes.add((1, 0))
+                return answer
+
+            return heard
+
+        return made
+
+    @property
+    def open(self) -> bool:
+        return self.outcomes.value[1] >= config.FAILED_LEAST
+
+    def cut(self, df: DataFrame, name: str) -> Cut:
+        over = threading.Event()
+
+        def watch() -> None:
+            while not over.wait(self.poll):
+                if self.open:
+                    self.sc.cancelJobsWithTag(self.tag)
+                    return
+
+        thread = threading.Thread(target=watch, daemon=True)
+        self.sc.addJobTag(self.tag)
+        thread.start()
+        try:
+            return Cut(df, name)
+        except Exception as e:
+            if self.open:
+                raise RuntimeError(f"{self.outcomes.value[1]} chunks in a row failed; the extractor seems to be down") from e
+            raise
+        finally:
+            over.set()
+            thread.join()
+            self.sc.removeJobTag(self.tag)
+
+
 def run_offline(chunks: DataFrame) -> DataFrame:
     """``chunks`` answered by a provider of Columns, for use without a model; answers are typed, not JSON text.
 

@@ -163,7 +163,8 @@ class Memory:
     def extract(self, project: str, batch: int = 1000) -> dict:
         """Extract from documents whose content has not been extracted; documents with a failed chunk wait for the next run whole.
 
-        A provider gets about ``batch`` documents at a time; what was answered before it failed is kept.
+        A provider gets about ``batch`` documents at a time; what was answered in batches before it failed is kept. An outage ends
+        the batch's job for all its tasks (see ``extract.Breaker``).
         """
         docs = self._ordered(project)
         keep = dedup.document_dedup(docs).where("skipped is null").select("file")
@@ -181,8 +182,15 @@ class Memory:
         for b in range(batches):
             part = pending.where(F.pmod(F.xxhash64("file"), F.lit(batches)) == b)
             chunks = chunk.chunk_documents(part)
-            answers = extract.run_offline(chunks) if self.extractor is None else extract.run_extractor(chunks, self.extractor)
-            parsed = Cut(extract.parse_responses(answers), "parsed").df
+            if self.extractor is None:
+                parsed = Cut(extract.parse_responses(extract.run_offline(chunks)), "parsed").df
+            else:
+                # small tasks, which report soon and of which few run before the job ends
+                chunks = Cut(chunks, "chunks").df
+                chunks = chunks.repartition(max(1, -(-chunks.count() // config.FAILED_LEAST)))
+                breaker = extract.Breaker(self.spark)
+                answers = extract.run_extractor(chunks, breaker.watched(self.extractor))
+                parsed = breaker.cut(extract.parse_responses(answers), "parsed").df
             extract.check_provider(parsed)
             clean = extract.clean_documents(parsed)
             self.append("parsed", clean, project)

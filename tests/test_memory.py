@@ -1,6 +1,7 @@
 import hashlib
 import io
 import os
+import time
 import zipfile
 
 import pytest
@@ -297,3 +298,40 @@ def test_answers_are_kept_when_the_provider_fails(spark, tmp_path):
     # a write that stopped between its two renames
     os.rename(tmp_path / "mem/parsed/project=p", tmp_path / "mem/parsed/_old-project=p")
     assert m.read("parsed", "p").count() == 24
+
+
+def test_an_outage_ends_the_job_of_all_tasks(spark, tmp_path):
+    log = tmp_path / "asked"
+
+    def make():
+        def ask(text):
+            with open(log, "a") as f:
+                f.write("x ")
+            time.sleep(0.3)
+            raise RuntimeError("down")
+
+        return ask
+
+    chunks = spark.createDataFrame([("p", f"f{i}", i, 0, f"text {i}") for i in range(240)], "project string, file string, doc_ord long, chunk int, text string").repartition(40)
+    breaker = extract.Breaker(spark)
+    with pytest.raises(RuntimeError, match="in a row"):
+        breaker.cut(extract.run_extractor(chunks, breaker.watched(make), attempts=1, waits=()), "parsed")
+    # without the breaker each of 40 tasks asks for six chunks
+    assert 6 <= len(log.read_text().split()) <= 80
+
+
+def test_failures_between_answers_are_no_outage(spark):
+    def make():
+        def ask(text):
+            if int(text) % 3:
+                raise RuntimeError("busy")
+            return "{}"
+
+        return ask
+
+    chunks = spark.createDataFrame([("p", f"f{i}", i, 0, str(i)) for i in range(60)], "project string, file string, doc_ord long, chunk int, text string").coalesce(1)
+    breaker = extract.Breaker(spark)
+    got = breaker.cut(extract.run_extractor(chunks, breaker.watched(make), attempts=2, waits=(0,)), "parsed").df
+    assert got.count() == 60 and got.where("error is null").count() == 20 and not breaker.open
+    # a chunk counts once, however often it is tried again, and an answer ends the row
+    assert breaker.outcomes.value == (20, 2)
