@@ -34,7 +34,7 @@ def parser() -> argparse.ArgumentParser:
     add("link", "into", "origin", query=str, k=int)
     add("export", "dest", graph=bool, mindmap=bool, as_context=str)
     add("mindmap", out=str)
-    add("status")
+    add("status", ask=bool)
     add("compact")
     return p
 
@@ -66,7 +66,7 @@ def main(argv: list[str] | None = None, memory: Memory | None = None) -> str:
     elif a.command == "compact":
         out = dump(m.compact(m.sole(a.project)))
     else:
-        out = dump(m.status())
+        out = dump(m.status(a.ask))
     print(out)
     return out
 

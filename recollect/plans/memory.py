@@ -346,11 +346,24 @@ class Memory:
             out.append(sinks.write_text(os.path.join(dest, f"{project}-mindmap.html"), self.mindmap(project)))
         return out
 
-    def status(self) -> dict:
+    def health(self) -> dict:
+        """Whether the providers answer: ok, or what they fail with. Each is asked once, for a short text."""
+
+        def asked(ask: Callable) -> str:
+            try:
+                ask()
+                return "ok"
+            except Exception as e:  # what is wrong with a provider is the answer
+                return f"{type(e).__name__}: {e}"
+
+        return {"embedding": asked(lambda: self.provider.vectors(["ready?"])[0]), "extractor": asked(lambda: (self.extractor or (lambda: str))()("ready?"))}
+
+    def status(self, ask: bool = False) -> dict:
+        """Settings and counts; ``ask`` also asks the providers (see ``health``)."""
         conf = self.spark.conf
         have = self.converters()
         work = {n: "yes" if getattr(have, n) else "no" for n in ("ocr_image", "pages", "caption", "transcribe")}
-        return {"converters": work, "spark": self.spark.version, "root": self.root, "model": self.provider.model, "extractor": "offline" if self.extractor is None else "provider", "adaptive": conf.get("spark.sql.adaptive.enabled"), "projects": self.read("projects").count()}
+        return {"converters": work, "spark": self.spark.version, "root": self.root, "model": self.provider.model, "extractor": "offline" if self.extractor is None else "provider", "adaptive": conf.get("spark.sql.adaptive.enabled"), "projects": self.read("projects").count(), **({"health": self.health()} if ask else {})}
 
 
 def _columns(schema: str) -> list[str]:

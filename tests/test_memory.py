@@ -335,3 +335,21 @@ def test_failures_between_answers_are_no_outage(spark):
     assert got.count() == 60 and got.where("error is null").count() == 20 and not breaker.open
     # a chunk counts once, however often it is tried again, and an answer ends the row
     assert breaker.outcomes.value == (20, 2)
+
+
+def test_health_of_providers(spark, tmp_path):
+    class Down:
+        model = "down"
+
+        def vectors(self, texts):
+            raise OSError("no such host")
+
+    fine = Memory(spark, str(tmp_path / "m"), extractor=lambda: lambda text: "{}").status(ask=True)
+    assert fine["health"] == {"embedding": "ok", "extractor": "ok"} and "health" not in Memory(spark, str(tmp_path / "m")).status()
+
+    def unset():
+        raise KeyError("token")
+
+    down = Memory(spark, str(tmp_path / "m"), extractor=unset, embed_with=Down()).health()
+    assert down == {"embedding": "OSError: no such host", "extractor": "KeyError: 'token'"}
+    assert '"health"' in cli.main(["status", "--ask"], Memory(spark, str(tmp_path / "m")))
