@@ -92,7 +92,7 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     Equal texts meet as one fingerprint, and no bucket is ever expanded into
     all its pairs beyond PAIR_BUCKET members.
 
-    Null or empty texts have fingerprint 0 and link like any other; null
+    A text of any length is fingerprinted whole, in memory proportional to it. Null or empty texts have fingerprint 0 and link like any other; null
     doc_ids take part but are never a component's name unless it has no other
     (then it is null); repeated rows come back repeated; other columns are
     ignored; an empty table gives an empty result.

@@ -161,7 +161,7 @@ _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score
 def score_toxicity(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
     """``(doc_id, score, spans)`` for every row: the document's score and its offending sentences.
 
-    Only text enters a score. Without ``model`` one is trained on labelled
+    Only text enters a score, a text of any length whole, sentence by sentence. Without ``model`` one is trained on labelled
     rows outside fold 0 (see ``fit``). Null and empty texts score 0 and have no
     spans; spans of a document of score 0.5 or more are places in the text with the sentence's own probability, of sentences
     whose logit exceeds the model's bias by over 2. Without any labelled row, or with one class
