@@ -13,6 +13,7 @@ from recollect.functions.fuzzy import most_ratio, ratio
 from recollect.functions.text import is_junk, norm_key, refine_type, slugify, strip
 from recollect.operators.components import connected_components
 from recollect.operators.similar import near_pairs
+from recollect.operators.vectors import Embedded
 from recollect.session import Cut
 
 
@@ -70,14 +71,18 @@ def top_values(votes: DataFrame, name: str, most: int) -> DataFrame:
     return best.groupBy("project", "key").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "value"))), lambda x: x["value"]).alias(name))
 
 
-def near_duplicates(canon: DataFrame, embed: Callable[[Column], Column], cosine: float, least_ratio: float) -> DataFrame:
+def near_duplicates(canon: DataFrame, embed: Callable[[Column], Column], cosine: float, least_ratio: float, known: DataFrame | None = None, keep: Callable[[DataFrame], None] | None = None) -> DataFrame:
     """``(project, key, rep)`` for entities that merge with others.
 
     Labels closer than ``cosine`` whose names are similar, or contain each other, are linked;
-    the member with most mentions (the earliest, if several) stands for its component.
+    the member with most mentions (the earliest, if several) stands for its component. ``known(text, vec)`` are vectors of
+    labels that need not be embedded again; ``keep`` is given ``(project, text, vec)`` of all labels, for the next time.
     """
-    labels = canon.select("project", "key", "ord", "mentions", F.lower("name").alias("low"), embed(F.concat("name", F.lit(" ("), "top", F.lit(")"))).alias("vec"))
+    labels = canon.select("project", "key", "ord", "mentions", F.lower("name").alias("low"), F.concat("name", F.lit(" ("), "top", F.lit(")")).alias("text"))
+    labels = Embedded(embed, known).attach(labels, F.col("text"))
     labels = Cut(labels.withColumn("id", F.xxhash64("project", "key")), "labels").df
+    if keep is not None:
+        keep(labels.select("project", "text", "vec"))
     pairs = near_pairs(labels.select("project", "id", "ord", "vec"), cosine)
     a = labels.select(F.col("id").alias("a"), F.col("low").alias("la"))
     b = labels.select(F.col("id").alias("b"), F.col("low").alias("lb"))
@@ -162,10 +167,10 @@ def _numbered(rows: DataFrame) -> DataFrame:
     return done if done is not None else rows.select("project", "key", F.col("base").alias("id"))
 
 
-def resolve(raw_entities: DataFrame, embed: Callable[[Column], Column] | None = None, cosine: float = config.MERGE_COSINE, least_ratio: float = config.MERGE_RATIO) -> tuple[DataFrame, DataFrame]:
+def resolve(raw_entities: DataFrame, embed: Callable[[Column], Column] | None = None, cosine: float = config.MERGE_COSINE, least_ratio: float = config.MERGE_RATIO, known: DataFrame | None = None, keep: Callable[[DataFrame], None] | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes (without degree and facts) and ``resolution(project, norm_key, node_id)``.
 
-    ``embed`` maps a text Column to a vector Column; without it only names and aliases merge.
+    ``embed`` maps a text Column to a vector Column; without it only names and aliases merge. ``known`` and ``keep`` are those of ``near_duplicates``.
     """
     mentions = Cut(mentions_of(raw_entities), "mentions").df
     aliases = chase(alias_parents(mentions))
@@ -178,7 +183,7 @@ def resolve(raw_entities: DataFrame, embed: Callable[[Column], Column] | None =
         first = keyed.select("project", F.col("own").alias("key"), "type", "seq", F.lit(0).alias("rank"))
         tops = modes(_votes(first, "type"), "top")
         labelled = canon.join(tops, ["project", "key"], "left").fillna("Concept", ["top"])
-        near = near_duplicates(labelled, embed, cosine, least_ratio)
+        near = near_duplicates(labelled, embed, cosine, least_ratio, known, keep)
         merged = canon.select("project", "key", "ord").join(near, ["project", "key"], "left").select("project", "key", F.coalesce("rep", "key").alias("rep"), F.coalesce("rank", F.lit(0)).alias("rank"), F.coalesce("at", "ord").alias("at"))
     merged = Cut(merged, "merged").df
     rows = keyed.join(merged.withColumnRenamed("key", "own"), ["project", "own"]).withColumn("key", F.col("rep"))

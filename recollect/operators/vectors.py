@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from recollect import config
 from recollect.functions.text import dot, l2_normalise, node_text
+from recollect.session import Cut
 
 
 class HashedWords:
@@ -48,8 +49,34 @@ def embedder(provider=None):
     return embed
 
 
-def build_index(nodes: DataFrame, facts: DataFrame, embed, model: str = HashedWords.model) -> DataFrame:
-    """Unit vectors of all nodes and of facts with text, nodes first."""
+class Embedded:
+    """Adds vectors to rows of texts: each distinct text is embedded once, and none whose vector is known.
+
+    ``known(text, vec)`` holds vectors of the same model, as ``attach`` made them; a text may occur repeatedly. ``unit`` makes new
+    vectors unit vectors. Texts meet their vectors by a join, so nothing is held in memory; a null text is an empty one.
+    """
+
+    def __init__(self, embed: Callable[[Column], Column], known: DataFrame | None = None, unit: bool = False):
+        self.embed, self.known, self.unit = embed, known, unit
+
+    def attach(self, rows: DataFrame, text: Column) -> DataFrame:
+        """``rows`` with ``vec``, the vector of ``text``."""
+        rows = rows.withColumn("_text", F.coalesce(text, F.lit("")))
+        new = rows.select("_text").distinct()
+        held = None
+        if self.known is not None:
+            held = self.known.groupBy(F.col("text").alias("_text")).agg(F.any_value("vec").alias("vec"))
+            new = new.join(held, "_text", "left_anti")
+        # written, so that no later stage asks the provider again
+        made = new.withColumn("vec", self.embed(F.col("_text")))
+        if self.unit:
+            made = made.withColumn("vec", F.transform(l2_normalise(F.col("vec")), lambda x: x.cast("float")))
+        made = Cut(made, "embedded").df
+        return rows.join(made if held is None else made.unionByName(held), "_text").drop("_text")
+
+
+def build_index(nodes: DataFrame, facts: DataFrame, embed, model: str = HashedWords.model, known: DataFrame | None = None) -> DataFrame:
+    """Unit vectors of all nodes and of facts with text, nodes first; ``known(text, vec)`` are vectors of an earlier index of the model."""
     none = F.lit(None)
     n = nodes.select(
         "project", F.col("ord").alias("pos"), F.lit("node").alias("kind"), "id", "name", "type", "description",
@@ -61,8 +88,7 @@ def build_index(nodes: DataFrame, facts: DataFrame, embed, model: str = HashedWo
         none.cast("string").alias("description"), "text", "nodes", none.cast("array<string>").alias("facts"), none.cast("array<string>").alias("sources"), "file",
     )
     items = n.unionByName(f)
-    rows = items.withColumn("vec", embed(F.col("text")))
-    rows = rows.withColumn("vec", F.transform(l2_normalise(F.col("vec")), lambda x: x.cast("float")))
+    rows = Embedded(embed, known, unit=True).attach(items, F.col("text"))
     return rows.withColumn("dim", F.size("vec")).withColumn("model", F.lit(model))
 
 

@@ -26,6 +26,8 @@ TABLES = {
     "facts": "project string, ord long, text string, nodes array<string>, file string, from_project string",
     "vectors": "project string, pos long, kind string, id string, name string, type string, description string, text string, nodes array<string>, facts array<string>, sources array<string>, file string, vec array<float>, dim int, model string, away double, cell int",
     "cells": "project string, cell int, pivot array<double>, least double, most double, n long, dim int, model string",
+    "labels": "project string, text string, vec array<float>, model string",
+    "derived": "project string, state string, model string",
     "projects": "project string, name string, source_dir string, model string, files long, updated string",
 }
 
@@ -51,12 +53,14 @@ class Memory:
     what an update writes is in proportion to what changed.
 
     ``extractor`` makes a provider for chunks (None: the offline rules); ``embed_with`` is an embedding provider; ``converters``
-    makes the conversion providers; ``summarise`` may write overviews.
+    makes the conversion providers; ``summarise`` may write overviews. ``most_chunks`` bounds what is read of a document (None: all);
+    entities whose vectors reach ``merge_cosine`` may merge (None: by names and aliases only).
     """
 
-    def __init__(self, spark: SparkSession, root: str, extractor: Callable | None = None, embed_with=None, converters: Callable = convert.installed, summarise: Callable | None = None):
+    def __init__(self, spark: SparkSession, root: str, extractor: Callable | None = None, embed_with=None, converters: Callable = convert.installed, summarise: Callable | None = None, most_chunks: int | None = config.MAX_CHUNKS, merge_cosine: float | None = config.MERGE_COSINE):
         self.spark, self.root = spark, root.rstrip("/")
         self.extractor, self.converters, self.summarise = extractor, converters, summarise
+        self.most_chunks, self.merge_cosine = most_chunks, merge_cosine
         self.provider = embed_with or vectors.HashedWords()
         self.embed = vectors.embedder(self.provider)
 
@@ -181,7 +185,7 @@ class Memory:
         counts, streak = {"chunks": 0, "failed_chunks": 0}, 0
         for b in range(batches):
             part = pending.where(F.pmod(F.xxhash64("file"), F.lit(batches)) == b)
-            chunks = chunk.chunk_documents(part)
+            chunks = chunk.chunk_documents(part, most=self.most_chunks)
             if self.extractor is None:
                 parsed = Cut(extract.parse_responses(extract.run_offline(chunks)), "parsed").df
             else:
@@ -215,25 +219,49 @@ class Memory:
         order = self._ordered(project).select("project", "file", "doc_ord")
         return self.read("parsed", project).drop("doc_ord").join(order, ["project", "file"])
 
-    def derive(self, project: str) -> dict:
-        """Graph and index of a project from its answers; imported rows stay."""
-        raw = extract.raw_tables(self.answers(project))
-        built = graph.build_graph(*raw, embed=self.embed)
+    def state(self, project: str) -> str:
+        """What a project's graph is derived from: a digest of the answers that stand, which changes with any of them."""
+        held = self.answers(project).select("file", "version").distinct()
+        n, mixed = held.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("file", "version")), F.lit(0).cast("long"))).first()
+        return f"{n} {mixed & (1 << 64) - 1:016x}"
+
+    def derive(self, project: str, anew: bool = False) -> dict:
+        """Graph and index of a project from its answers; imported rows stay.
+
+        Nothing is derived where no answer changed since the last time (``anew`` insists). Otherwise entities are resolved and
+        counted anew, as a change of one document can merge others' entities; but only texts that are new are embedded, and the index
+        takes the vectors of the others from the one before. The state is recorded last, so a stopped derivation runs again.
+        """
+        state = self.state(project)
+        done = self.read("derived", project).where((F.col("state") == state) & (F.col("model") == self.provider.model))
+        if not anew and not done.isEmpty():
+            return self._counts(project)
+        known = self.read("labels", project).where(F.col("model") == self.provider.model)
+        keep = lambda labels: self.write("labels", labels.distinct().withColumn("model", F.lit(self.provider.model)), project)
+        merge = {} if self.merge_cosine is None else {"embed": self.embed, "cosine": self.merge_cosine, "known": known, "keep": keep}
+        built = graph.build_graph(*extract.raw_tables(self.answers(project)), **merge)
         for name, rows in zip(("nodes", "edges", "facts"), built):
             kept = self.read(name, project).where("from_project is not null")
             self.write(name, rows.unionByName(kept), project)
-        return self.index(project)
+        out = self.index(project)
+        self.write("derived", self.spark.createDataFrame([(project, state, self.provider.model)], TABLES["derived"]), project)
+        return out
+
+    def _counts(self, project: str) -> dict:
+        return {name: self.read(name, project).count() for name in ("nodes", "edges", "facts", "vectors")}
 
     def index(self, project: str) -> dict:
+        """The index of a project's graph; texts that the index before holds by the same model are not embedded again."""
         g = self.graph(project)
-        rows = Cut(vectors.build_index(g.nodes, g.facts, self.embed, self.provider.model), "index")
+        known = self.read("vectors", project).where(F.col("model") == self.provider.model).select("text", "vec")
+        rows = Cut(vectors.build_index(g.nodes, g.facts, self.embed, self.provider.model, known), "index")
         points = similar.pivots(rows.df, "pos", "vec")
         placed = similar.assigned(rows.df, "vec", points)
         self.write("vectors", placed, project)
         cells = similar.cell_table(self.read("vectors", project), points)
         self.write("cells", cells.withColumns({"dim": F.lit(points.shape[1]), "model": F.lit(self.provider.model)}), project)
         rows.drop()
-        return {"nodes": g.nodes.count(), "edges": g.edges.count(), "facts": g.facts.count(), "vectors": self.read("vectors", project).count()}
+        return self._counts(project)
 
     def build(self, source_dir: str, project: str, name: str | None = None, incremental: bool = True, reset: bool = False, max_files: int | None = None, prune: bool = False, verify: bool = False) -> dict:
         if not files._exists(self.spark, source_dir):

@@ -189,6 +189,9 @@ ORACLE = {
     "document_nodes": f"{_GRAPH} select id, name, 'Concept' as type, mentions, coalesce(degree, 0)::bigint as degree, sources, coalesce(nfs.facts, '') as facts from ent left join dg using (id) left join srcs using (id) left join nfs using (id)",
     "document_edges": f"{_GRAPH} select ord, source, 'precedes' as relation, target, count, array_to_string(fl[1:8], '|') as files from edg",
     "document_facts": f"{_GRAPH} select seq as ord, text, array_to_string(nodes, '|') as nodes, file from fn",
+    "memory_index": f"""{_GRAPH}, nd as (select id, name, coalesce(l.facts, []) as facts from ent left join (select id, list(text order by r) as facts from (select *, row_number() over (partition by id order by seq, text) as r from nf) where r <= 12 group by id) l using (id))
+        select 'node' as kind, id, name, 'Concept' as type, md5(concat_ws(' ', name || ' (Concept).', case when len(facts) > 0 then array_to_string(facts[1:5], ' ') end)) as text, null as nodes, array_to_string(facts[1:6], '|') as facts, null as file, 256 as dim from nd
+        union all select 'fact', null, null, null, md5(text), array_to_string(nodes, '|'), null, printf('%012d.md', string_split(file, '/')[-1]::bigint), 256 from fn where text <> ''""",
     "linked_project": f"""{_G}, k as (select id from nodes order by score desc, ord, id limit 20), j as (select id from nodes order by score desc, ord, id limit 10), had as (select n1, n2, ord, text from facts where n1 in (select id from j) or n2 in (select id from j))
         select 'node' as kind, 'star:' || id as id from k where id not in (select id from j) union all
         select 'edge', concat_ws(' ', 'star:' || source, relation, 'star:' || target) from edges where source in (select id from k) and target in (select id from k) and not (source in (select id from j) and target in (select id from j)) union all

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from recollect.functions import text as T
 from recollect.operators import chunk, dedup, digest, expand, extract, graph, link, resolve, similar, vectors
 from recollect.operators.components import connected_components
-from recollect.session import Cut
+from recollect.session import Cut, shared_dir
 from recollect.sources import convert, manifest
 from recollect.sources.tables import documents, star_graph, table
 
@@ -353,6 +354,26 @@ def document_facts(spark, sf):
     return _document_graph(spark, sf).facts.select("ord", "text", F.array_join("nodes", "|").alias("nodes"), "file")
 
 
+def _memory(spark, sf):
+    """A memory of the documents in a new folder: recorded, extracted, derived and indexed, then updated with nothing new."""
+    from recollect.plans.memory import Memory
+
+    m = Memory(spark, f"{shared_dir(spark)}/recollect/memory-{uuid.uuid4().hex}", most_chunks=None, merge_cosine=None)
+    # files in the order of the documents' ids
+    docs = documents(spark, sf, "m").withColumns({"rel_path": F.format_string("%012d.md", "doc_ord"), "size": F.length("body").cast("long"), "modified": F.lit(None).cast("timestamp"), "hash": F.md5("body"), "method": F.lit("text"), "chars": F.length("body").cast("long")})
+    m.record(docs, "m")
+    for _ in range(2):
+        m.extract("m")
+        m.derive("m")
+    return m
+
+
+@query
+def memory_index(spark, sf):
+    """What a memory of the documents is searched by: its index, read back from the tables."""
+    return _memory(spark, sf).read("vectors", "m").select("kind", "id", "name", "type", F.md5("text").alias("text"), F.array_join("nodes", "|").alias("nodes"), F.array_join("facts", "|").alias("facts"), "file", "dim")
+
+
 @query
 def linked_project(spark, sf):
     """Linking into a project that holds a part already: only what is missing is added."""

@@ -1,6 +1,7 @@
 import hashlib
 import io
 import os
+import random
 import time
 import zipfile
 
@@ -353,3 +354,68 @@ def test_health_of_providers(spark, tmp_path):
     down = Memory(spark, str(tmp_path / "m"), extractor=unset, embed_with=Down()).health()
     assert down == {"embedding": "OSError: no such host", "extractor": "KeyError: 'token'"}
     assert '"health"' in cli.main(["status", "--ask"], Memory(spark, str(tmp_path / "m")))
+
+
+class TestDerive:
+    """A derivation is left out where no answer changed, and embeds new texts only; the outcome is that of a whole one."""
+
+    @staticmethod
+    def counting(path):
+        from recollect.operators.vectors import HashedWords
+
+        class Counting(HashedWords):
+            model = "counting"
+
+            def vectors(self, texts):
+                with open(path, "a") as f:
+                    f.writelines(f"{t}\n" for t in texts)
+                return super().vectors(texts)
+
+        return Counting()
+
+    @staticmethod
+    def held(m):
+        """Everything that is derived, orders as ranks, vectors by what they are of."""
+        out = {}
+        for name in ("nodes", "edges", "facts"):
+            rows = [r.asDict() for r in m.read(name, "p").collect()]
+            out[name] = [{k: v for k, v in r.items() if k != "ord"} for r in sorted(rows, key=lambda r: r["ord"])]
+        out["vectors"] = sorted((r["kind"], r["id"] or "", r["file"] or "", r["text"], tuple(r["vec"])) for r in m.read("vectors", "p").collect())
+        return out
+
+    def test_edits(self, spark, tmp_path):
+        rnd = random.Random(3)
+        words = ["Harbour", "Harbours", "Lantern", "Granite", "Meadow", "Orchard", "Saddle", "Timber", "Velvet", "Willow"]
+        src, asked = tmp_path / "src", tmp_path / "asked"
+        src.mkdir()
+        line = lambda: f"{rnd.choice(words)} stands beside {rnd.choice(words)}. Later {rnd.choice(words)} met the {rnd.choice(words)} number {rnd.randrange(99)}."
+        for i in range(6):
+            (src / f"d{i}.md").write_text(line())
+        m = Memory(spark, str(tmp_path / "mem"), embed_with=self.counting(str(asked)))
+        m.build(str(src), "p")
+        seen = asked.read_text().splitlines()
+        assert len(seen) == len(set(seen)) > 6
+        counts = m.update("p")["graph"]
+        assert asked.read_text().splitlines() == seen and counts["nodes"] == m.read("nodes", "p").count() > 2
+        (src / "d3.md").write_text(line())
+        (src / "a.md").write_text(line())
+        (src / "d0.md").unlink()
+        before = {r["text"] for t in ("vectors", "labels") for r in m.read(t, "p").collect()}
+        m.build(str(src), "p", prune=True)
+        new = asked.read_text().splitlines()[len(seen):]
+        assert new and len(new) == len(set(new)) and not set(new) & before
+        whole = Memory(spark, str(tmp_path / "whole"), embed_with=self.counting(str(tmp_path / "other")))
+        whole.build(str(src), "p")
+        assert self.held(m) == self.held(whole)
+
+    def test_other_model_embeds_all(self, spark, tmp_path):
+        src, asked = tmp_path / "src", tmp_path / "asked"
+        src.mkdir()
+        (src / "a.md").write_text("Harbour stands beside Granite. Harbour is old and Granite is older.")
+        Memory(spark, str(tmp_path / "mem")).build(str(src), "p")
+        m = Memory(spark, str(tmp_path / "mem"), embed_with=self.counting(str(asked)))
+        m.build(str(src), "p")
+        assert {r["model"] for r in m.read("vectors", "p").collect()} == {"counting"} and "Harbour (Concept)" in asked.read_text()
+        n = len(asked.read_text().splitlines())
+        m.derive("p", anew=True)
+        assert len(asked.read_text().splitlines()) == n
