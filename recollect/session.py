@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,6 +43,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_made: ContextVar[list | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Drops, at its end, every ``Cut`` made within, also by operators called; for work whose results are written by then."""
+    made: list[Cut] = []
+    token = _made.set(made)
+    try:
+        yield
+    finally:
+        _made.reset(token)
+        for cut in made:
+            cut.drop()
+        release(spark)
+
+
 class Cut:
     """A DataFrame written as Parquet in the shared folder and read again.
 
@@ -54,6 +73,8 @@ class Cut:
         self.path = f"{shared_dir(self.spark)}/recollect/{name}-{uuid.uuid4().hex}"
         df.write.partitionBy(*by).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        if (made := _made.get()) is not None:
+            made.append(self)
 
     def count(self) -> int:
         return self.df.count()
