@@ -15,8 +15,10 @@ from recollect.session import Cut, release
 SHINGLE, THRESHOLD, MIN_CHARS = 6, 0.8, 20
 #: Two lines of similarity 0.8 share a band with probability 0.98, of 0.85 with 0.997.
 BANDS, ROWS = 10, 5
-#: Lines of a block of the second look, and blocks beyond which a bucket is first dealt into cells by bands of its own.
+#: Lines of a block of the second look, and blocks beyond which cells by rare shingles are tried for a bucket; both ways find the same.
 BLOCK, DEEP = 1024, 64
+#: Slots in which shingles are counted to order them by rarity (a power of two).
+SLOTS = 1 << 20
 #: Code points below which shingles are packed into 64 bits, and shingles counted at a time.
 BASE, COLUMNS = 1600, 4096
 #: Rows of one key that a task takes at most; at most HOT keys have more than both this and a HOT-th of all rows, and are dealt over several tasks.
@@ -24,9 +26,9 @@ SPREAD, HOT = 512, 10_000
 #: Bits of the filter that picks lines for verification (a power of two; broadcast at 16 MB).
 FILTER = 1 << 24
 _rng = np.random.Generator(np.random.PCG64(20))
-#: Factors and summands of the hashes of the first banding and of the cells'.
-_A = _rng.integers(1, 1 << 32, (2, BANDS * ROWS), dtype=np.uint32) | np.uint32(1)
-_C = _rng.integers(0, 1 << 32, (2, BANDS * ROWS), dtype=np.uint32)
+#: Factors and summands of the hashes.
+_A = (_rng.integers(1, 1 << 32, (2, BANDS * ROWS), dtype=np.uint32) | np.uint32(1))[0]
+_C = _rng.integers(0, 1 << 32, (2, BANDS * ROWS), dtype=np.uint32)[0]
 _M, _R = np.uint64(0x9E3779B97F4A7C15), np.uint32(0x9E3779B1)
 
 
@@ -34,7 +36,7 @@ def _codes(texts: list[str]) -> np.ndarray:
     return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
 
 
-def band_keys(lines: list[str], banding: int = 0) -> np.ndarray:
+def band_keys(lines: list[str]) -> np.ndarray:
     """(lines, BANDS) keys of lines of SHINGLE characters at least: bands of MinHash values over character shingles."""
     size = np.array([len(x) for x in lines], dtype=np.int64)
     c = _codes(lines)
@@ -55,8 +57,8 @@ def band_keys(lines: list[str], banding: int = 0) -> np.ndarray:
     least = np.empty((len(lines), BANDS * ROWS), dtype=np.uint64)
     t = np.empty_like(h)
     for i in range(BANDS * ROWS):
-        np.multiply(h, _A[banding, i], out=t)
-        t += _C[banding, i]
+        np.multiply(h, _A[i], out=t)
+        t += _C[i]
         least[:, i] = np.minimum.reduceat(t, starts)
     keys = np.tile(np.arange(BANDS, dtype=np.uint64), (len(lines), 1))
     for r in range(ROWS):
@@ -228,13 +230,42 @@ def _second(batches):
     yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["src", "dst"])
 
 
-def _cells(batches):
-    """A row for each cell of a line: its bands by other hashes than the first."""
+def shingle_keys(line: str) -> np.ndarray:
+    """A 64-bit key for each of a line's distinct shingles."""
+    return np.array([xxhash.xxh64_intdigest(g.encode("utf-8", "surrogatepass")) for g in shingles(line)], dtype=np.uint64)
+
+
+def _met(batches):
+    """``(slot, n)``: how many shingles of a batch's lines fall in each of SLOTS slots."""
     for batch in batches:
-        lines = batch.column("line").to_pylist()
-        keys = band_keys(lines, 1).ravel() if lines else np.zeros(0, np.int64)
-        take = pa.array(np.repeat(np.arange(len(lines)), BANDS), pa.int32())
-        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("rep", "lh", "c", "main")), pa.array(keys, pa.int64())], names=["rep", "lh", "c", "main", "cell"])
+        keys = [shingle_keys(x) for x in batch.column("line").to_pylist()]
+        slot, n = np.unique(np.concatenate(keys) & np.uint64(SLOTS - 1) if keys else np.zeros(0, np.uint64), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int64)), pa.array(n.astype(np.int64))], names=["slot", "n"])
+
+
+def prefix(line: str, counts: np.ndarray) -> np.ndarray:
+    """The keys of a line's rarest shingles: two lines of similarity THRESHOLD share one of them, whatever ``counts`` says.
+
+    Such lines share at least that part of either's shingles. So, with all shingles in one order, each has the first shared one
+    among those left when the others are fewer than it must share. Shingles of one key stand for each other in the order.
+    """
+    keys = shingle_keys(line)
+    least = int(np.ceil(THRESHOLD * len(keys) - 1e-9))
+    order = np.lexsort((keys, counts[keys & np.uint64(SLOTS - 1)]))
+    return np.unique(keys[order[: len(keys) - least + 1]]).view(np.int64)
+
+
+def _cells(counts):
+    """A row for each cell of a line: the keys of its ``prefix``."""
+
+    def run(batches):
+        for batch in batches:
+            keys = [prefix(x, counts.value) for x in batch.column("line").to_pylist()]
+            take = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]), pa.int32())
+            cells = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("rep", "lh", "c", "main")), cells], names=["rep", "lh", "c", "main", "cell"])
+
+    return run
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -314,17 +345,28 @@ def _blocks(members: DataFrame, main: DataFrame, text: DataFrame, hot: DataFrame
     """The members ``(rep, lh, c)`` of unsettled buckets ``(rep, main)`` in blocks ``(rep, cell, i, j)``, with their lines, sorted by block.
 
     A block has lines of side 0, outside the main component, and of side 1, all lines. Buckets of
-    more than DEEP blocks are dealt into cells first: lines that share one more band, of hashes of its own.
+    more than DEEP blocks are dealt into cells of lines that share a rare shingle (see ``prefix``), which loses no link, or
+    taken whole where cells would have more pairs than the bucket.
     """
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     every = _spread(members, "rep", "lh", hot).join(_copied(main, "rep", hot), ["rep", "part"]).drop("part")
-    rows = every.where(F.col("all") <= DEEP * BLOCK).select("rep", "lh", "c", "main", F.lit(0).cast("long").alias("cell"), "ni", "nj")
-    if not main.where(F.col("all") > DEEP * BLOCK).isEmpty():
-        deep = every.where(F.col("all") > DEEP * BLOCK).join(text, "lh").select("rep", "lh", "c", "main", "line")
-        celled = Cut(deep.mapInArrow(_cells, "rep long, lh long, c long, main long, cell long"), "line-cells").df
+    whole = ["rep", "lh", "c", "main", F.lit(0).cast("long").alias("cell"), "ni", "nj"]
+    rows = every.where(F.col("all") <= DEEP * BLOCK).select(*whole)
+    large = main.where(F.col("all") > DEEP * BLOCK)
+    if not large.isEmpty():
+        deep = Cut(every.where(F.col("all") > DEEP * BLOCK).join(text, "lh").select("rep", "lh", "c", "main", "ni", "nj", "line"), "line-deep").df
+        met = deep.mapInArrow(_met, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+        counts = np.zeros(SLOTS, dtype=np.int64)
+        counts[np.asarray(met["slot"])] = np.asarray(met["n"])
+        shared = text.sparkSession.sparkContext.broadcast(counts)
+        celled = Cut(deep.select("rep", "lh", "c", "main", "line").mapInArrow(_cells(shared), "rep long, lh long, c long, main long, cell long"), "line-cells").df
         sizes = celled.groupBy("rep", "cell").agg(F.count(F.lit(1)).alias("nj"), F.count_if(F.col("c") != F.col("main")).alias("ni")).where("ni > 0 and nj > 1")
-        sizes = sizes.select("rep", "cell", blocks(F.col("ni")).alias("ni"), blocks(F.col("nj")).alias("nj"))
-        rows = rows.unionByName(celled.join(sizes, ["rep", "cell"]))
+        sizes = Cut(sizes, "line-cell-sizes").df
+        # pairs of lines, not of blocks: most cells are smaller than a block
+        dear = sizes.groupBy("rep").agg(F.sum(F.col("ni").cast("double") * F.col("nj")).alias("pairs")).join(large.select("rep", "others", "all"), "rep").where(F.col("pairs") > F.col("others").cast("double") * F.col("all")).select("rep")
+        dear = Cut(dear, "line-dear").df
+        sizes = sizes.join(F.broadcast(dear), "rep", "left_anti").select("rep", "cell", blocks(F.col("ni")).alias("ni"), blocks(F.col("nj")).alias("nj"))
+        rows = rows.unionByName(celled.join(sizes, ["rep", "cell"])).unionByName(deep.join(F.broadcast(dear), "rep", "left_semi").select(*whole))
     rows = rows.withColumn("h", F.xxhash64("lh"))
     other = rows.select("rep", "cell", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), F.pmod("h", "nj").cast("int").alias("j"), F.lit(1).alias("side"), "lh", "c")
     rest = rows.where("c <> main").select("rep", "cell", F.pmod("h", "ni").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"), F.lit(0).alias("side"), "lh", "c")
@@ -339,8 +381,8 @@ def line_components(lines: DataFrame, docs: DataFrame) -> DataFrame:
     verified against the one that most tasks saw. Then the members of all buckets of such a line are taken
     together: those outside their largest component so far meet the others in pairs of blocks of at most some 2 BLOCK lines
     (see ``block_links``). That leaves no candidate pair
-    undecided but those already connected, and no bucket is expanded into its pairs. Only in buckets of more than DEEP
-    blocks a pair must share one more band (see ``_blocks``).
+    undecided but those already connected, and no bucket is expanded into its pairs. Buckets of more than DEEP
+    blocks are compared by cells that lose no link (see ``_blocks``), so what is linked does not depend on their size.
     """
     held = _buckets(lines)
     # a line that many tasks saw is the likeliest to be what others vary, and so the best to verify them against
@@ -361,7 +403,8 @@ def line_components(lines: DataFrame, docs: DataFrame) -> DataFrame:
     per = placed.df.groupBy("rep", "c").agg(F.count(F.lit(1)).alias("n"))
     main = per.groupBy("rep").agg(F.max(F.struct("n", "c")).alias("m"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts"))
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    main = main.where("parts > 1 and all > 2").select("rep", F.col("m.c").alias("main"), "all", blocks(F.col("all") - F.col("m.n")).alias("ni"), blocks(F.col("all")).alias("nj"))
+    others = F.col("all") - F.col("m.n")
+    main = main.where("parts > 1 and all > 2").select("rep", F.col("m.c").alias("main"), "all", others.alias("others"), blocks(others).alias("ni"), blocks(F.col("all")).alias("nj"))
     main = Cut(main, "line-mains")
     dealt = _blocks(placed.df, main.df, text.df, hot.df.withColumnRenamed("src", "rep"))
     found = Cut(dealt.mapInArrow(_second, "src long, dst long").distinct(), "line-links").df

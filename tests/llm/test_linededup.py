@@ -64,6 +64,37 @@ def test_near_copies_in_large_groups(spark, monkeypatch, deep):
     assert sum(got[d] != want[d] for d in want) <= 3
 
 
+def linked_in_bucket(spark, lines, deep, monkeypatch):
+    """Links that the second look finds among lines of one bucket, each a component of its own."""
+    monkeypatch.setattr(L, "BLOCK", 8)
+    monkeypatch.setattr(L, "DEEP", deep)
+    rows, n = list(enumerate(lines)), len(lines)
+    members = spark.createDataFrame([(0, i, i) for i, _ in rows], "rep long, lh long, c long")
+    per = members.groupBy("rep").agg(L.F.min("c").alias("main"), L.F.count("*").alias("all"))
+    blocks = lambda c: L.F.ceil(c / L.BLOCK).cast("int")
+    main = per.select("rep", "main", "all", (L.F.col("all") - 1).alias("others"), blocks(L.F.col("all") - 1).alias("ni"), blocks(L.F.col("all")).alias("nj"))
+    text = spark.createDataFrame(rows, "lh long, line string")
+    hot = spark.createDataFrame([], "rep long, _parts int")
+    found = {tuple(r) for r in L._blocks(members, main, text, hot).mapInArrow(L._second, "src long, dst long").collect()}
+    return found, {(i, j) for j in range(n) for i in range(j) if L.jaccard(lines[i], lines[j]) >= L.THRESHOLD}
+
+
+@pytest.mark.parametrize("kind", ["sparse", "dense"])
+@pytest.mark.parametrize("deep", [1, 1000])
+def test_links_do_not_depend_on_the_size_of_a_bucket(spark, monkeypatch, deep, kind):
+    """Lines near the threshold: large buckets find every link that small ones find, by cells or whole where cells are dearer."""
+    rng, lines = random.Random(8), []
+    for _ in range(40 if kind == "sparse" else 1):
+        base = [rng.choice("abcdefghij語é") for _ in range(120)]
+        for _ in range(4 if kind == "sparse" else 120):
+            line = list(base)
+            for _ in range(rng.choice([1, 1, 1, 2])):
+                line[rng.randrange(len(line))] = rng.choice("xyzä文")
+            lines.append("".join(line))
+    found, want = linked_in_bucket(spark, lines, deep, monkeypatch)
+    assert len(want) > 100 and found == want
+
+
 @pytest.mark.parametrize("n,letters", [(60, "abcde"), (300, "abcde"), (60, "ab語の本")])
 def test_block_links_match_jaccard(n, letters, monkeypatch):
     monkeypatch.setattr(L, "COLUMNS", 100)
