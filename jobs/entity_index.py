@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from jobs.common import beside, command_line, settings
 from recollect.operators import chunk, dedup, extract, graph, resolve
+from recollect.session import Cut, scratch
 
 log = logging.getLogger("jobs.entity_index")
 
@@ -31,14 +32,17 @@ def index(docs: DataFrame, chunk_words: int, overlap: int) -> DataFrame:
     project with a third of all mentions is a few rows a task.
     """
     # a copy counts where it came first; hashes decide, texts stay where they are
-    first = dedup.exact_duplicates(docs.select("project", "file", "doc_ord", "body")).where("not duplicate").select("project", "file")
-    kept = docs.join(first, ["project", "file"], "left_semi")
+    copies = dedup.exact_duplicates(docs.select("project", "file", "doc_ord", "body")).where("duplicate").select("project", "file")
+    kept = docs.join(copies, ["project", "file"], "left_anti")
     parsed = extract.parse_responses(extract.run_offline(chunk.chunk_documents(kept.drop("doc_id"), chunk_words, overlap, None)))
+    # mentions and relations come from one extraction
+    parsed = Cut(parsed.select(*extract.CHUNK, "entities", "relations", "facts"), "index-parsed").df
     raw, relations, _ = extract.raw_tables(parsed)
     named = resolve.mentions_of(raw)
     doc = F.shiftright("seq", 24).alias("doc")
     per_doc = named.groupBy("project", F.col("nm").alias("entity"), doc).agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("seq"), F.min_by("name", "seq").alias("name"))
     per = per_doc.groupBy("project", "entity").agg(F.min_by("name", "seq").alias("name"), F.sum("n").alias("mentions"), F.count(F.lit(1)).alias("documents"), F.min("doc").alias("first_doc"))
+    per = Cut(per, "index-entities").df
     key = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
     edges = graph.dedup_edges(relations.where("grounded").select("project", "seq", key("source").alias("src"), key("target").alias("dst"), "relation", "file").where("src <> dst"))
     degree = graph.degrees(edges).withColumnRenamed("id", "entity")
@@ -58,13 +62,14 @@ def shaped(docs: DataFrame) -> DataFrame:
 def run(spark: SparkSession, documents: str, out: str, config: str | None = None) -> dict:
     """Write the index; returns how many projects and entities it holds."""
     conf = settings(DEFAULTS, config)
-    found = index(shaped(spark.read.parquet(documents)), conf["chunk_words"], conf["overlap"])
-    if conf["projects"]:
-        # what projects share is known from all of them; only the rows of some are written
-        found = found.where(F.col("project").isin(conf["projects"]))
     # full runs replace everything, runs of some projects only their partitions
     mode = "dynamic" if conf["projects"] else "static"
-    found.repartition("project", F.pmod(F.xxhash64("entity"), F.lit(64))).write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("project").parquet(out)
+    with scratch(spark):
+        found = index(shaped(spark.read.parquet(documents)), conf["chunk_words"], conf["overlap"])
+        if conf["projects"]:
+            # what projects share is known from all of them; only the rows of some are written
+            found = found.where(F.col("project").isin(conf["projects"]))
+        found.repartition("project", F.pmod(F.xxhash64("entity"), F.lit(64))).write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("project").parquet(out)
     projects, entities = read_index(spark, out).agg(F.count_distinct("project"), F.count(F.lit(1))).first()
     log.info("read %s; %s holds %d entities of %d projects", documents, out, entities, projects)
     return {"projects": projects, "entities": entities}

@@ -2,7 +2,9 @@
 
 import pytest
 
+from jobs import entity_index
 from recollect.plans.queries import QUERIES
+from recollect.session import shared_dir
 
 SF = "/root/testdata/sf0.001"
 
@@ -16,3 +18,10 @@ def test_pages_go_to_python_few_at_a_time(spark, name):
     """Arrow would send 10,000 pages at once, whatever their length."""
     made = plan(QUERIES[name](spark, SF))
     assert "BatchEvalPython" in made and "Arrow" not in made
+
+
+def test_index_extracts_once(spark):
+    """Mentions, degrees and what projects share are read from one extraction, not from the documents again."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    found = entity_index.index(entity_index.shaped(docs), 200, 20)
+    assert not [f for f in found.inputFiles() if f"{shared_dir(spark)}/recollect/" not in f]
