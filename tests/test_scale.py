@@ -3,6 +3,7 @@
 import pytest
 
 from jobs import entity_index
+from recollect.operators import dedup, graph
 from recollect.plans.queries import QUERIES
 from recollect.session import shared_dir
 
@@ -25,3 +26,25 @@ def test_index_extracts_once(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     found = entity_index.index(entity_index.shaped(docs), 200, 20)
     assert not [f for f in found.inputFiles() if f"{shared_dir(spark)}/recollect/" not in f]
+
+
+@pytest.mark.parametrize("name,other", [("document_edges", "facts_of"), ("document_facts", "edges_of")])
+def test_edges_and_facts_make_only_themselves(spark, monkeypatch, name, other):
+    def never(*_):
+        raise AssertionError(other)
+
+    monkeypatch.setattr(graph, other, never)
+    QUERIES[name](spark, SF)
+
+
+def test_dedup_normalises_texts_once(spark):
+    """Ranges are drawn from a sample; the keys it is drawn from are not computed for it."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def body(i):
+        calls.add(1)
+        return f"text {i} " * 100
+
+    docs = spark.range(40).selectExpr("'p' as project", "concat(id, '.md') as file", "id as doc_ord").withColumn("body", dedup.F.udf(body)("doc_ord"))
+    dedup.document_dedup(docs)
+    assert calls.value == 40
