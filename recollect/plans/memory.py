@@ -27,6 +27,7 @@ TABLES = {
     "vectors": "project string, pos long, kind string, id string, name string, type string, description string, text string, nodes array<string>, facts array<string>, sources array<string>, file string, vec array<float>, dim int, model string, away double, cell int",
     "cells": "project string, cell int, pivot array<double>, least double, most double, n long, dim int, model string",
     "labels": "project string, text string, vec array<float>, model string",
+    "extracted": "project string, state string",
     "derived": "project string, state string, model string",
     "projects": "project string, name string, source_dir string, model string, files long, updated string",
 }
@@ -94,15 +95,17 @@ class Memory:
         fs.rename(path(new), path(out))
         fs.delete(path(old), True)
 
-    def append(self, name: str, rows: DataFrame, project: str) -> None:
-        """Add rows to a project's part of a log: they stand in place of older rows of their keys.
+    def append(self, name: str, rows: DataFrame, project: str) -> int:
+        """Add rows to a project's part of a log: they stand in place of older rows of their keys. Their version comes back.
 
         Without a ``gone`` column they are there. Rows that a stopped run appended are superseded when it runs again.
         """
         cols = [c.split()[0] for c in _columns(TABLES[name])]
         rows = rows if "gone" in rows.columns else rows.withColumn("gone", F.lit(False))
-        rows = rows.withColumn("version", F.lit(time.time_ns()))
+        version = time.time_ns()
+        rows = rows.withColumn("version", F.lit(version))
         rows.select(*cols).drop("project").write.mode("append").parquet(f"{self.path(name)}/{folder_of(project)}")
+        return version
 
     def compact(self, project: str) -> dict:
         """Rewrite a project's logs without rows that are superseded; counts of the rows left."""
@@ -168,27 +171,40 @@ class Memory:
         """Extract from documents whose content has not been extracted; documents with a failed chunk wait for the next run whole.
 
         A provider gets about ``batch`` documents at a time; what was answered in batches before it failed is kept. An outage ends
-        the batch's job for all its tasks (see ``extract.Breaker``).
+        the batch's job for all its tasks (see ``extract.Breaker``). Nothing is read where documents and what is extracted of them are
+        as a run without failures left them.
         """
+        held = self.read("extracted", project).first()
+        if held is not None and held["state"] == self._extracted(project):
+            return {"chunks": 0, "failed_chunks": 0, "documents": self._answered(project).select("file").distinct().count()}
         with scratch(self.spark):
-            docs = self._ordered(project)
-            keep = dedup.document_dedup(docs).where("skipped is null").select("file")
+            docs = self.read("documents", project).select("project", F.col("rel_path").alias("file"), "hash", "body")
+            # keys, not texts, are ranked, compared and joined
+            keys = Cut(dedup.document_keys(docs), "content-keys").df
+            ranked = _ranked(keys, "file")
+            keep = dedup.dedup_keys(ranked).where("skipped is null").select("file")
             state = self.read("manifest", project).select(F.col("rel_path").alias("file"), "extracted_hash")
-            pending = docs.join(keep, "file", "left_semi").join(state, "file", "left").where("extracted_hash is null or extracted_hash <> hash")
-            pending = Cut(pending.select("project", "file", "doc_ord", "body"), "pending").df
+            todo = ranked.join(keep, "file", "left_semi").join(state, "file", "left").where("extracted_hash is null or extracted_hash <> hash")
+            todo = Cut(todo.select("file", "doc_ord"), "todo").df
+            pending = docs.join(todo, "file").select("project", "file", "doc_ord", "body")
+            if self.extractor is not None:
+                pending = Cut(pending, "pending").df
             # older answers of documents that are read anew go first
-            stale = self.read("parsed", project).join(pending.select("file"), "file", "left_semi").select("project", "file").distinct()
+            stale = self.read("parsed", project).join(todo, "file", "left_semi").select("project", "file").distinct()
             if not stale.isEmpty():
                 empty = self.spark.createDataFrame([], TABLES["parsed"])
                 self.append("parsed", empty.unionByName(stale.withColumn("gone", F.lit(True)), allowMissingColumns=True), project)
             # each batch's answers are kept as soon as they are there
-            batches = 1 if self.extractor is None else max(1, -(-pending.count() // batch))
+            batches = 1 if self.extractor is None else max(1, -(-todo.count() // batch))
             counts, streak = {"chunks": 0, "failed_chunks": 0}, 0
             for b in range(batches):
-                part = pending.where(F.pmod(F.xxhash64("file"), F.lit(batches)) == b)
+                own = F.pmod(F.xxhash64("file"), F.lit(batches)) == b
+                part, answered = pending.where(own), todo.where(own)
                 chunks = chunk.chunk_documents(part, most=self.most_chunks)
                 if self.extractor is None:
-                    parsed = Cut(extract.parse_responses(extract.run_offline(chunks)), "parsed").df
+                    # the rules never fail, so their answers are kept as they come
+                    version = self.append("parsed", extract.parse_responses(extract.run_offline(chunks)), project)
+                    asked, failed = self.read("parsed", project).where(F.col("version") == version).count(), 0
                 else:
                     # small tasks, which report soon and of which few run before the job ends
                     chunks = Cut(chunks, "chunks").df
@@ -196,35 +212,37 @@ class Memory:
                     breaker = extract.Breaker(self.spark)
                     answers = extract.run_extractor(chunks, breaker.watched(self.extractor))
                     parsed = breaker.cut(extract.parse_responses(answers), "parsed").df
-                extract.check_provider(parsed)
-                clean = extract.clean_documents(parsed)
-                self.append("parsed", clean, project)
-                failed = parsed.where("error is not null").select("file").distinct()
-                answered = part.join(failed, "file", "left_anti").select(F.col("file").alias("rel_path"))
-                marked = self.read("manifest", project).join(answered, "rel_path", "left_semi")
+                    asked, failed = extract.check_provider(parsed)
+                    self.append("parsed", extract.clean_documents(parsed), project)
+                    answered = answered.join(parsed.where("error is not null").select("file").distinct(), "file", "left_anti")
+                marked = self.read("manifest", project).join(answered.select(F.col("file").alias("rel_path")), "rel_path", "left_semi")
                 self.append("manifest", marked.withColumn("extracted_hash", F.col("hash")), project)
-                asked, failed = parsed.count(), parsed.where("error is not null").count()
                 counts = {"chunks": counts["chunks"] + asked, "failed_chunks": counts["failed_chunks"] + failed}
                 streak = streak + failed if failed == asked else 0
                 if streak >= config.FAILED_LEAST:
                     raise RuntimeError(f"{streak} chunks in a row failed; the extractor seems to be down")
-        return {**counts, "documents": self.answers(project).select("file").distinct().count()}
+        if not counts["failed_chunks"]:
+            self.write("extracted", self.spark.createDataFrame([(project, self._extracted(project))], TABLES["extracted"]), project)
+        return {**counts, "documents": self._answered(project).select("file").distinct().count()}
 
-    def _ordered(self, project: str) -> DataFrame:
-        """Documents with ``doc_ord``: document order is path order; a rank by ranges of paths needs no single task."""
-        docs = self.read("documents", project).select("project", F.col("rel_path").alias("file"), "hash", "body")
-        return docs.join(_ranked(docs.select("project", "file"), "file"), ["project", "file"])
+    def _extracted(self, project: str) -> str:
+        """A digest of the documents that stand and of what the manifest says is extracted of them."""
+        docs, known = self.read("documents", project), self.read("manifest", project)
+        return f"{_digest(docs, 'rel_path', 'version', 'hash')} {_digest(known, 'rel_path', 'extracted_hash')}"
+
+    def _answered(self, project: str) -> DataFrame:
+        """The answers for documents that are there."""
+        docs = self.read("documents", project).select("project", F.col("rel_path").alias("file"))
+        return self.read("parsed", project).join(docs, ["project", "file"], "left_semi")
 
     def answers(self, project: str) -> DataFrame:
-        """The answers for documents that are there, in today's document order."""
-        order = self._ordered(project).select("project", "file", "doc_ord")
-        return self.read("parsed", project).drop("doc_ord").join(order, ["project", "file"])
+        """The answers for documents that are there, in today's document order, which is path order."""
+        docs = self.read("documents", project).select("project", F.col("rel_path").alias("file"))
+        return self.read("parsed", project).drop("doc_ord").join(_ranked(docs, "file"), ["project", "file"])
 
     def state(self, project: str) -> str:
         """What a project's graph is derived from: a digest of the answers that stand, which changes with any of them."""
-        held = self.answers(project).select("file", "version").distinct()
-        n, mixed = held.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("file", "version")), F.lit(0).cast("long"))).first()
-        return f"{n} {mixed & (1 << 64) - 1:016x}"
+        return _digest(self._answered(project).select("file", "version").distinct(), "file", "version")
 
     def derive(self, project: str, anew: bool = False) -> dict:
         """Graph and index of a project from its answers; imported rows stay.
@@ -241,7 +259,8 @@ class Memory:
             known = self.read("labels", project).where(F.col("model") == self.provider.model)
             keep = lambda labels: self.write("labels", labels.distinct().withColumn("model", F.lit(self.provider.model)), project)
             merge = {} if self.merge_cosine is None else {"embed": self.embed, "cosine": self.merge_cosine, "known": known, "keep": keep}
-            built = graph.build_graph(*extract.raw_tables(self.answers(project)), **merge)
+            answers = Cut(self.answers(project), "answers").df  # read for entities, relations and facts
+            built = graph.build_graph(*extract.raw_tables(answers), **merge)
             for name, rows in zip(("nodes", "edges", "facts"), built):
                 kept = self.read(name, project).where("from_project is not null")
                 self.write(name, rows.unionByName(kept), project)
@@ -253,16 +272,23 @@ class Memory:
         return {name: self.read(name, project).count() for name in ("nodes", "edges", "facts", "vectors")}
 
     def index(self, project: str) -> dict:
-        """The index of a project's graph; texts that the index before holds by the same model are not embedded again."""
+        """The index of a project's graph; texts that the index before holds by the same model are not embedded again,
+        unless the provider is cheap (see ``vectors.is_cheap``).
+        """
         g = self.graph(project)
-        known = self.read("vectors", project).where(F.col("model") == self.provider.model).select("text", "vec")
-        rows = Cut(vectors.build_index(g.nodes, g.facts, self.embed, self.provider.model, known), "index")
-        points = similar.pivots(rows.df, "pos", "vec")
-        placed = similar.assigned(rows.df, "vec", points)
+        rows = None
+        if vectors.is_cheap(self.provider):
+            placed, points = vectors.placed_index(vectors.index_items(g.nodes, g.facts), self.provider)
+        else:
+            known = self.read("vectors", project).where(F.col("model") == self.provider.model).select("text", "vec")
+            rows = Cut(vectors.build_index(g.nodes, g.facts, self.embed, self.provider.model, known), "index")
+            points = similar.pivots(rows.df, "pos", "vec")
+            placed = similar.assigned(rows.df, "vec", points)
         self.write("vectors", placed, project)
         cells = similar.cell_table(self.read("vectors", project), points)
         self.write("cells", cells.withColumns({"dim": F.lit(points.shape[1]), "model": F.lit(self.provider.model)}), project)
-        rows.drop()
+        if rows is not None:
+            rows.drop()
         return self._counts(project)
 
     def build(self, source_dir: str, project: str, name: str | None = None, incremental: bool = True, reset: bool = False, max_files: int | None = None, prune: bool = False, verify: bool = False) -> dict:
@@ -407,6 +433,12 @@ def _columns(schema: str) -> list[str]:
     return [*out, schema[last:].strip()]
 
 
+def _digest(rows: DataFrame, *cols: str) -> str:
+    """How many rows there are, and a hash of some columns that depends on no order; rows differ in these columns."""
+    n, mixed = rows.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64(*cols)), F.lit(0).cast("long"))).first()
+    return f"{n} {mixed & (1 << 64) - 1:016x}"
+
+
 def _ranked(rows: DataFrame, by: str) -> DataFrame:
     """``rows`` with ``doc_ord``, their place in the order of ``by``: counts of ranges, then places within them."""
     dealt = Cut(rows.repartitionByRange(by).sortWithinPartitions(by).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()), "ranked").df

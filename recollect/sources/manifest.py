@@ -22,9 +22,13 @@ def untouched(listed: DataFrame, manifest: DataFrame, key: str = "rel_path") ->
 def current(log: DataFrame, key: list[str]) -> DataFrame:
     """The rows of a log as they stand: of each key those of the highest ``version``, unless these say that it is ``gone``.
 
-    Keys and versions alone decide which rows are superseded; a log without any (a compact one) is read as it lies.
+    Keys and versions alone decide which rows are superseded; a log without any (a compact one) is read as it lies, and one of
+    a single version needs no look at its keys.
     """
     narrow = log.select(*key, "version", "gone")
+    low, high, gone = narrow.agg(F.min("version"), F.max("version"), F.max("gone")).first()
+    if low == high and not gone:
+        return log
     last = narrow.groupBy(*key).agg(F.max("version").alias("_last"))
     dead = narrow.join(last, key).where("version < _last or gone").select(*key, "version").distinct()
     return log if dead.isEmpty() else log.join(dead, [*key, "version"], "left_anti").select(*log.columns)

@@ -3,7 +3,8 @@
 import pytest
 
 from jobs import entity_index
-from recollect.operators import dedup, graph
+from recollect.operators import dedup, graph, similar, vectors
+from recollect.plans.memory import Memory
 from recollect.plans.queries import QUERIES
 from recollect.session import shared_dir
 
@@ -48,3 +49,36 @@ def test_dedup_normalises_texts_once(spark):
     docs = spark.range(40).selectExpr("'p' as project", "concat(id, '.md') as file", "id as doc_ord").withColumn("body", dedup.F.udf(body)("doc_ord"))
     dedup.document_dedup(docs)
     assert calls.value == 40
+
+
+def test_nothing_new_reads_no_text(spark, tmp_path, monkeypatch):
+    """An update of documents that are as the last run left them normalises and compares none; a change is found."""
+    def docs(*rows):
+        made = spark.createDataFrame([(p, f"h{b}", f"Harbour stands beside Granite and {b} for ever. " * 9) for p, b in rows], "rel_path string, hash string, body string")
+        return made.selectExpr("'p' as project", "*", "length(body) as size", "cast(null as timestamp) as modified", "'text' as method", "cast(length(body) as long) as chars")
+
+    m = Memory(spark, str(tmp_path / "mem"), merge_cosine=None)
+    m.record(docs(("a.md", "Lantern"), ("b.md", "Lantern"), ("c.md", "Meadow")), "p")
+    assert m.extract("p") == {"chunks": 2, "failed_chunks": 0, "documents": 2}
+    keys, asked = dedup.document_keys, []
+    monkeypatch.setattr(dedup, "document_keys", lambda d: asked.append(1) or keys(d))
+    assert m.extract("p") == {"chunks": 0, "failed_chunks": 0, "documents": 2} and not asked
+    # the copy's original changes, so the copy is read too
+    m.record(docs(("a.md", "Orchard")), "p")
+    assert m.extract("p") == {"chunks": 2, "failed_chunks": 0, "documents": 3} and asked
+
+
+def test_offline_index_is_one_pass(spark):
+    """Vectors and cells of the offline embedder: those of a look-up of each text, without a join, and only texts go to Python."""
+    nodes = spark.range(80).selectExpr("'p' as project", "id as ord", "concat('n', id) as id", "concat('Name ', id % 7, ' of ', id) as name", "'Concept' as type", "'' as description", "cast(array() as array<string>) as aliases", "array('f') as sources", "array(concat('says ', id)) as facts")
+    facts = spark.range(80).selectExpr("'p' as project", "id as ord", "if(id = 3, '?', concat('A fact, ', id % 9, ' times told')) as text", "array('n1') as nodes", "'f' as file")
+    items = vectors.index_items(nodes, facts)
+    provider = vectors.HashedWords()
+    placed, points = vectors.placed_index(items, provider)
+    made = plan(placed)
+    assert made.count("ArrowEvalPython") == 2 and "Join" not in made  # one each for nodes and facts
+    found = vectors.build_index(nodes, facts, vectors.embedder(provider))
+    rows = similar.assigned(found, "vec", points)
+    by = lambda d: {(r["kind"], r["pos"]): (r["text"], list(r["vec"]), r["cell"], round(r["away"], 9), r["dim"], r["model"]) for r in d.collect()}
+    assert by(placed) == by(rows) and len(by(rows)) == 160
+    assert abs(similar.pivots(found, "pos", "vec") - points).max() < 1e-9
