@@ -7,6 +7,7 @@ from recollect.operators import dedup, graph, similar, vectors
 from recollect.plans.memory import Memory
 from recollect.plans.queries import QUERIES
 from recollect.session import shared_dir
+from recollect.sources import convert
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,6 +23,30 @@ def test_pages_go_to_python_few_at_a_time(spark, name):
     assert "BatchEvalPython" in made and "Arrow" not in made
 
 
+@pytest.mark.parametrize("name", ["page_to_markdown", "page_heading_chunks"])
+def test_long_pages_go_to_python_fewer_at_a_time(spark, tmp_path, monkeypatch, name):
+    """What a worker holds at once is bounded in characters too, not only in pages."""
+    seen = []
+
+    def held(html):  # Spark sends a task's rows by hundreds
+        seen.append(len(html or ""))
+        return None if html is None else f"at once {sum(seen[(len(seen) - 1) // 100 * 100 :])} characters"
+
+    spark.range(0, 120, 1, 1).selectExpr("id as page_id", "'u' as url", "repeat('<p>word</p> ', 10000) as html").write.parquet(f"{tmp_path}/pages.parquet")
+    monkeypatch.setattr(convert, "html_to_markdown", convert.F.udf(held, useArrow=False).asNondeterministic())
+    made = QUERIES[name](spark, str(tmp_path))
+    found = [int(r[-1].split()[2]) for r in made.collect()]
+    assert len(found) == 120 and 120_000 <= max(found) <= 100 * 16_384 + 120_000
+
+
+def test_long_and_missing_pages_are_converted_once(spark):
+    """Empty rows that go along with long pages leave nothing behind; other columns stay."""
+    pages = [(1, None, "a"), (2, "", "b"), (3, "<h1>T</h1>" + "<p>Å word</p>" * 9000, "c"), (4, "<script>x</script>", None), (5, "<p>p</p>", "e")]
+    made = convert.markdown_pages(spark.createDataFrame(pages, "page_id long, html string, kind string"), out="body")
+    assert made.columns == ["page_id", "kind", "body"]
+    assert sorted(map(tuple, made.collect())) == [(i, kind, convert.html_markdown(html)) for i, html, kind in pages]
+
+
 def test_index_extracts_once(spark):
     """Mentions, degrees and what projects share are read from one extraction, not from the documents again."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
