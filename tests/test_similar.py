@@ -62,6 +62,20 @@ class TestSearch:
         self.run(spark, x[:2], x[0], 20, projects=1)
 
 
+def most_rows(df):
+    """The most rows that an operator of a plan that has run gave."""
+
+    def of(plan):
+        metrics = plan.metrics()
+        yield metrics.apply("numOutputRows").value() if metrics.contains("numOutputRows") else 0
+        name = plan.getClass().getSimpleName()
+        inner = [plan.executedPlan()] if name == "AdaptiveSparkPlanExec" else [plan.plan()] if name.endswith("QueryStageExec") else [plan.children().apply(i) for i in range(plan.children().size())]
+        for child in inner:
+            yield from of(child)
+
+    return max(of(df._jdf.queryExecution().executedPlan()))
+
+
 def plain_pairs(x, threshold, projects=1):
     s = x @ x.T
     return {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if i % projects == j % projects and s[i, j] >= threshold}
@@ -108,6 +122,41 @@ class TestPairs:
         near = {p for p in want ^ {(r["a"], r["b"]) for r in got} if abs(unit[p[0]] @ unit[p[1]] - threshold) > 1e-9}
         assert not near and len(got) == len({(r["a"], r["b"]) for r in got})
 
+    @pytest.mark.parametrize("block, tile", [(7, 1024), (4096, 5), (30, 4)])
+    def test_sparse_blocks(self, spark, monkeypatch, block, tile):
+        """Rows of frequent terms meet in blocks and tiles, those of rare ones together; ids may be texts and repeat in projects."""
+        monkeypatch.setattr(similar, "TILE", tile)
+        rng = random.Random(5)
+        rows, entries = [], []
+        for i in range(240):
+            project, id_ = f"p{i % 3}", f"r{i // 3 * 7 % 80}"
+            words = {("common", f"group{i % 4}"): 1.0, ("own", f"{i}"): 0.5} | {("w", str(rng.randrange(12))): rng.choice([1.0, -1.0, 2.5]) for _ in range(4)}
+            rows.append((project, id_, i % 5))
+            entries += [(project, id_, "-".join(t), w) for t, w in words.items()]
+        vec = {}
+        for p, i, t, w in entries:
+            vec.setdefault((p, i), {})[t] = w
+        norm = {k: math.sqrt(sum(w * w for w in v.values())) for k, v in vec.items()}
+        want = {}
+        for p, i, o in rows:
+            for q, j, u in rows:
+                if p == q and (o, i) < (u, j):
+                    sim = sum(w * vec[q, j].get(t, 0) for t, w in vec[p, i].items()) / norm[p, i] / norm[q, j]
+                    if sim >= 0.7:
+                        want[p, i, j] = sim
+        got = similar.sparse_pairs(spark.createDataFrame(entries, "project string, id string, term string, weight double"), spark.createDataFrame(rows, "project string, id string, ord int"), 0.7, block=block).collect()
+        assert len(got) == len(want) > 50 and all(math.isclose(want[r["project"], r["a"], r["b"]], r["sim"]) for r in got)
+
+    def test_only_pairs_that_count_leave_a_sparse_task(self, spark):
+        """Rows that share a frequent word and nothing else meet without a row for each pair, which would fill disks."""
+        entries = [("p", i, t, 1.0) for i in range(1500) for t in ("all", f"a{i // 2}", f"b{i // 3}")]
+        rows = spark.createDataFrame([("p", i, i) for i in range(1500)], "project string, id long, ord long")
+        # all meet at the common word, but few share another one
+        got = similar.sparse_pairs(spark.createDataFrame(entries, "project string, id long, term string, weight double"), rows, 0.5)
+        found = got.collect()
+        assert {(r["a"], r["b"]) for r in found} == {(i, j) for i in range(1500) for j in range(i + 1, min(i + 3, 1500)) if i // 2 == j // 2 or i // 3 == j // 3}
+        assert most_rows(got) < 10 * len(entries)
+
     def test_odd(self, spark):
         rows = spark.createDataFrame([("p", 1, 1, [1.0, 0.0]), ("p", 2, 1, [1.0, 0.0]), ("p", 3, 0, [1.0, 0.0, 0.0]), ("p", 4, 0, [0.0, 0.0]), ("p", 5, 0, []), ("p", 6, 0, None), ("q", 7, 0, [1.0, 0.0])], "project string, id long, ord long, vec array<double>")
         assert [tuple(r) for r in similar.near_pairs(rows, 0.8).collect()] == [(1, 2, 1.0)]
