@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recollect.functions.text import dot
-from recollect.operators import similar, vectors
+from recollect.operators import resolve, similar, vectors
 from recollect.plans.queries import QUERIES
 from recollect.session import Cut
 
@@ -208,6 +208,15 @@ def test_merged_titles(spark):
     assert got == want
 
 
+def test_merged_titles_split_beginnings_only(spark, monkeypatch):
+    """Of long texts no more than the words of a name are split, and once a text."""
+    seen = []
+    monkeypatch.setattr(resolve, "resolve", lambda raw, embed: seen.append(raw) or (raw.selectExpr("project id", "seq ord", "name", "type", "1L mentions", "aliases"), None))
+    QUERIES["merged_titles"](spark, SF)
+    plan = resolve.mentions_of(seen[0])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(regexp_extract(text") == 1 and "split(text" not in plan
+
+
 def test_norms_are_computed_once(spark):
     """Unit vectors of 512 dimensions in well under a millisecond each."""
     import time

@@ -60,3 +60,12 @@ def test_small_functions(spark):
 def test_ratio(spark):
     a, b = "acme corporation", "acme corp"
     assert one(spark, ratio(F.col("a"), F.col("b")), a=a, b=b) == pytest.approx(difflib.SequenceMatcher(None, a, b).ratio())
+
+
+def test_first_words(spark):
+    """They are the first of all words, whatever surrounds them."""
+    texts = ["", " ", "a", " a b ", "\n\t a\u2003b\x1cc\u00a0d  e f g h i j", "1 2 3 4 5 6 7", "1 2 3 4 5 6 7 8", "1 2 3 4 5 6 7\n", "é ü\u3000ß", "x" * 100_000, " " * 100_000 + "y", "z " * 50_000, "\U0001f600 \U0001f601", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for n in (1, 3, 7):
+        for r in df.select("t", T.first_words(F.col("t"), n).alias("got"), F.slice(T.words(F.col("t")), 1, n).alias("want")).collect():
+            assert r["got"] == r["want"] and (r["t"] is None or r["got"] == r["t"].split()[:n])
